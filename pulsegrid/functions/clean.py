@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_DAY_FIRST = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
-_ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_CLOCK = r"^\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
+_DAY_FIRST = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}) "
+
+# Every character that counts as whitespace at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The spellings that count as true and false.
 TRUE_WORDS = ["ja", "yes"]
@@ -29,7 +33,7 @@ MONTH_NAMES = [
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind, line breaks included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def fold(text: Column) -> Column:
@@ -57,11 +61,9 @@ def to_status_time(date_text: Column, time_text: Column) -> Column:
 
     Dates are ``yyyy-MM-dd`` or day-first ``dd.MM.yyyy``; seconds are optional.
     """
-    day, clock = strip(date_text), strip(time_text)
-    iso = F.when(day.rlike(_DAY_FIRST), F.regexp_replace(day, _DAY_FIRST, "$3-$2-$1")).when(
-        day.rlike(_ISO_DAY), day
-    )
-    return F.when(clock.rlike(_CLOCK), F.concat_ws(" ", iso, clock).try_cast("timestamp_ntz"))
+    joined = F.concat(F.trim(date_text), F.lit(" "), F.trim(time_text))
+    iso = F.regexp_replace(joined, _DAY_FIRST, "$3-$2-$1 ")
+    return F.when(time_text.rlike(r"\S"), iso.try_cast("timestamp_ntz"))
 
 
 def micros_between(start: Column, end: Column) -> Column:

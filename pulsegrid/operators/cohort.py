@@ -15,32 +15,37 @@ def by_terms(df: DataFrame, column: str, any_of: Sequence[str], none_of: Sequenc
     return df.where(classify.term_match(F.col(column), any_of, none_of))
 
 
-def _with_default(df: DataFrame, column: str, wanted: Column) -> DataFrame:
+def _with_default(df: DataFrame, column: str, wanted: Column, among: DataFrame | None) -> DataFrame:
     """Wanted rows; if the table has none, the rows of the smallest value.
 
-    The test is one aggregate row used as a scalar subquery.
+    The test over ``among``, by default ``df``, is one aggregate row used as a
+    scalar subquery.
     """
-    default = df.agg(
-        F.when(~F.coalesce(F.bool_or(wanted), F.lit(False)), F.min(column)).alias("default")
-    ).scalar()
+    none = ~F.coalesce(F.bool_or(wanted), F.lit(False))
+    default = (among or df).agg(F.when(none, F.min(column)).alias("default")).scalar()
     return df.where(wanted | F.coalesce(F.col(column) == default, F.lit(False)))
 
 
-def default_by_terms(df: DataFrame, column: str, any_of: Sequence[str]) -> DataFrame:
+def default_by_terms(df: DataFrame, column: str, any_of: Sequence[str], among: DataFrame | None = None) -> DataFrame:
     """Cohort a diagnosis report starts with: term matches, else the first value in sort order."""
-    return _with_default(df, column, classify.term_match(F.col(column), any_of))
+    return _with_default(df, column, classify.term_match(F.col(column), any_of), among)
 
 
-def default_by_values(df: DataFrame, column: str, preferred: Sequence[str]) -> DataFrame:
+def default_by_values(df: DataFrame, column: str, preferred: Sequence[str], among: DataFrame | None = None) -> DataFrame:
     """Preferred values that occur, else the first value in sort order."""
-    return _with_default(df, column, F.coalesce(F.col(column).isin(list(preferred)), F.lit(False)))
+    return _with_default(df, column, F.coalesce(F.col(column).isin(list(preferred)), F.lit(False)), among)
+
+
+def newest_years(df: DataFrame, ts: str, n: int = 2) -> DataFrame:
+    """The last ``n`` distinct years as ``_year``, found by a top-N over the distinct ones."""
+    years = df.where(F.col(ts).isNotNull()).select(F.year(ts).alias("_year")).distinct()
+    return years.orderBy(F.desc("_year")).limit(n)
 
 
 def last_years(df: DataFrame, ts: str, n: int = 2) -> DataFrame:
-    """Rows of the last ``n`` distinct years; a top-N over years gives the n-row side of the semi join."""
-    year = F.year(ts)
-    years = df.where(F.col(ts).isNotNull()).select(year.alias("_year")).distinct().orderBy(F.desc("_year")).limit(n)
-    return df.withColumn("_year", year).join(F.broadcast(years), "_year", "left_semi").drop("_year")
+    """Rows of the last ``n`` distinct years; the semi join broadcasts the n years."""
+    years = F.broadcast(newest_years(df, ts, n))
+    return df.withColumn("_year", F.year(ts)).join(years, "_year", "left_semi").drop("_year")
 
 
 def contains_or_exact(df: DataFrame, column: str, include: str, exclude: str, exact: str) -> DataFrame:
@@ -75,9 +80,13 @@ def cascade_options(df: DataFrame, chosen: dict[str, str | None]) -> DataFrame:
 
 
 def null_or_non_negative(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    for c in columns:
-        df = df.where(F.col(c).isNull() | (F.col(c) >= 0))
-    return df
+    """Rows without a negative value in any of the columns; nulls pass.
+
+    One comparison with the smallest value instead of one per column, since
+    each mention of a derived column in a filter recomputes it.
+    """
+    smallest = F.least(*columns) if len(columns) > 1 else F.col(columns[0])
+    return df.where(F.coalesce(smallest, F.lit(0)) >= 0)
 
 
 def score_range(df: DataFrame, low: float, high: float, kind: str) -> DataFrame:

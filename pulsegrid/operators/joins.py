@@ -16,6 +16,16 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str = "protocolId") -> DataFram
     return df.join(ids.select(key), key, "left_semi")
 
 
+def _suffixed(left: DataFrame, right: DataFrame, key: str, suffix: str) -> DataFrame:
+    clashes = [c for c in right.columns if c in left.columns and c != key]
+    return right.withColumnsRenamed({c: c + suffix for c in clashes})
+
+
+def left_outer(left: DataFrame, right: DataFrame, key: str = "protocolId", suffix: str = "_y") -> DataFrame:
+    """All left rows with their right rows; right columns that clash get ``suffix``."""
+    return left.join(_suffixed(left, right, key, suffix), key, "left")
+
+
 def full_outer(left: DataFrame, right: DataFrame, key: str = "protocolId", suffix: str = "_y") -> DataFrame:
     """All rows of both sides on ``key``; right columns that clash get ``suffix``.
 
@@ -23,11 +33,9 @@ def full_outer(left: DataFrame, right: DataFrame, key: str = "protocolId", suffi
     join, both halves can be split at run time when a key, or the null key,
     is oversized. A filter on left columns drops the second half altogether.
     """
-    clashes = [c for c in right.columns if c in left.columns and c != key]
-    right = right.withColumnsRenamed({c: c + suffix for c in clashes})
-    matched = left.join(right, key, "left")
-    alone = right.join(left.select(key), key, "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    renamed = _suffixed(left, right, key, suffix)
+    alone = renamed.join(left.select(key), key, "left_anti")
+    return left.join(renamed, key, "left").unionByName(alone, allowMissingColumns=True)
 
 
 def flag_members(df: DataFrame, members: DataFrame, flag: str, key: str = "protocolId") -> DataFrame:

@@ -1,19 +1,20 @@
 """Exact percentiles of whole numbers without collecting a group anywhere.
 
 The built-in ``percentile`` keeps all distinct values of a group in one
-buffer. Here the wanted ranks are narrowed digit by digit over the counted
-values: each step counts the values per digit prefix, walks the running count
-of at most 2**20 prefixes, and keeps only the prefixes that hold a wanted
-rank. Every row is counted map-side, so a hot group shuffles as counts.
+buffer. Here the rows are first reduced to counted values, map-side, and the
+counts are written out once. The wanted ranks are then narrowed digit by digit
+over that table: each step counts per digit prefix, walks the running count of
+at most 2**20 prefixes, and keeps only the prefixes that hold a wanted rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from pulsegrid.session import materialise
 
 # Bits dropped from a value at each narrowing step; of a microsecond count the
 # first step keeps 13-day units, the second seconds, the last the value itself.
@@ -22,13 +23,14 @@ STEPS = (40, 20, 0)
 PERCENTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
-def _wanted_ranks(total: Column, ps: Sequence[float]) -> Column:
-    """Zero-based ranks linear interpolation reads for each percentile of ``total`` values."""
-    ranks = []
-    for p in ps:
-        position = (total - 1) * F.lit(float(p))
-        ranks += [F.floor(position), F.ceil(position)]
-    return F.array_distinct(F.array(*ranks))
+def _with_wanted(level: DataFrame, group: str, wanted: str) -> DataFrame:
+    """Prefixes that hold a wanted rank; ``at`` is the rank relative to the values of the prefix."""
+    running = level.selectExpr("*", f"sum(_n) OVER (PARTITION BY {group} ORDER BY _q) - _n AS _before")
+    inside = (
+        f"filter(transform({wanted}, w -> struct(w.rank AS rank, w.at - _before AS at)), "
+        "w -> w.at >= 0 AND w.at < _n) AS _wanted"
+    )
+    return running.selectExpr("_k", "_q AS _p", "_total", inside).where("size(_wanted) > 0")
 
 
 def exact_percentiles(
@@ -41,67 +43,45 @@ def exact_percentiles(
     """One row per group: ``n`` and an array ``percentiles`` in the order of ``ps``.
 
     ``value`` is a whole number; results interpolate linearly and are divided
-    by ``unit``. Null values are left out, null groups are kept.
+    by ``unit``. Null values are left out, null groups are kept. Runs the job
+    that counts ``df`` when called, so that ``df`` is computed once.
     """
-    keys = [f"_k{i}" for i in range(len(by))]
-    # Struct-wrapped keys compare null to null, so the joins below keep null groups.
-    counted = (
+    # One struct key: as a struct field a null compares equal to a null.
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    counted = materialise(
         df.where(F.col(value).isNotNull())
-        .groupBy(*[F.struct(F.col(b)).alias(k) for b, k in zip(by, keys)], F.col(value).cast("bigint").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(key.alias("_k"), F.col(value).cast("bigint").alias("_v"))
+        .agg(F.expr("count(1) AS _n")),
+        "value-counts",
     )
-    if not keys:
-        keys = ["_k"]
-        counted = counted.withColumn("_k", F.lit(0))
-
-    # Per prefix: the ranks wanted in it, relative to the values before it.
-    found = None
-    for shift in STEPS:
-        if found is None:
-            level = counted
-            group = list(keys)
-        else:
-            level = counted.withColumn("_p", F.shiftright("_v", previous)).join(found, [*keys, "_p"])
-            group = [*keys, "_p"]
-        carried = [] if found is None else [F.first("_wanted").alias("_wanted"), F.first("_total").alias("_total")]
-        level = (
-            level.withColumn("_q", F.shiftright("_v", shift))
-            .groupBy(*group, "_q")
-            .agg(F.sum("_n").alias("_n"), *carried)
-        )
-        running = W.partitionBy(*group).orderBy("_q").rowsBetween(W.unboundedPreceding, W.currentRow)
-        level = level.withColumn("_upto", F.sum("_n").over(running))
-        if found is None:
-            level = level.withColumn("_total", F.sum("_n").over(W.partitionBy(*group)))
-            level = level.withColumn(
-                "_wanted",
-                F.transform(_wanted_ranks(F.col("_total"), ps), lambda r: F.struct(r.alias("rank"), r.alias("at"))),
-            )
-        before = F.col("_upto") - F.col("_n")
-        inside = F.filter("_wanted", lambda w: (w["at"] >= before) & (w["at"] < F.col("_upto")))
-        found = (
-            level.select(
-                *keys,
-                F.col("_q").alias("_p"),
-                "_total",
-                F.transform(inside, lambda w: F.struct(w["rank"], (w["at"] - before).alias("at"))).alias("_wanted"),
-            ).where(F.size("_wanted") > 0)
+
+    fractions = ", ".join(f"{float(p)!r}D" for p in ps)
+    ranks = f"flatten(transform(array({fractions}), p -> array(floor((_total - 1) * p), ceil((_total - 1) * p))))"
+    first = counted.groupBy("_k", F.expr(f"shiftright(_v, {STEPS[0]}) AS _q")).agg(F.expr("sum(_n) AS _n"))
+    first = first.selectExpr("*", "sum(_n) OVER (PARTITION BY _k) AS _total")
+    found = _with_wanted(first, "_k", f"transform(array_distinct({ranks}), r -> struct(r AS rank, r AS at))")
+    for previous, shift in zip(STEPS, STEPS[1:]):
+        kept = counted.selectExpr("*", f"shiftright(_v, {previous}) AS _p").join(found, ["_k", "_p"])
+        level = kept.groupBy("_k", "_p", F.expr(f"shiftright(_v, {shift}) AS _q")).agg(
+            F.expr("sum(_n) AS _n"), F.expr("first(_wanted) AS _carried"), F.expr("first(_total) AS _total")
         )
-        previous = shift
+        found = _with_wanted(level, "_k, _p", "_carried")
 
     # At most two values per percentile and group are left.
-    at_rank = found.select(*keys, "_total", "_p", F.explode("_wanted.rank").alias("_rank"))
-    per_group = at_rank.groupBy(*keys).agg(
-        F.first("_total").alias("n"),
-        F.map_from_entries(F.collect_list(F.struct("_rank", F.col("_p").cast("double")))).alias("_at"),
+    per_group = (
+        found.selectExpr("_k", "_total", "_p", "explode(_wanted.rank) AS _rank")
+        .groupBy("_k")
+        .agg(
+            F.expr("first(_total) AS n"),
+            F.expr("map_from_entries(collect_list(struct(_rank, CAST(_p AS DOUBLE)))) AS _at"),
+        )
+    )
+    interpolate = (
+        f"transform(array({fractions}), p -> (_at[floor((n - 1) * p)] + "
+        "(_at[ceil((n - 1) * p)] - _at[floor((n - 1) * p)]) * ((n - 1) * p - floor((n - 1) * p)))"
+        f" / {float(unit)!r}D) AS percentiles"
     )
-    results = []
-    for p in ps:
-        position = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.col("_at")[F.floor(position)], F.col("_at")[F.ceil(position)]
-        results.append((low + (high - low) * (position - F.floor(position))) / F.lit(float(unit)))
-    named = [F.col(k)[b].alias(b) for b, k in zip(by, keys)] if by else []
-    return per_group.select(*named, "n", F.array(*results).alias("percentiles"))
+    return per_group.selectExpr(*[f"_k.`{b}`" for b in by], "n", interpolate)
 
 
 def sketched_percentiles(

@@ -13,21 +13,18 @@ Only distinct names are cut; callers join the result back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _pieces(text: str, lengths) -> F.Column:
-    """Distinct substrings of the given lengths."""
+def _cut(texts: DataFrame, text: str, lengths: Column) -> DataFrame:
+    """One row per distinct substring of the given lengths, as ``piece`` next to the other columns."""
+    sized = texts.withColumn("_lengths", lengths)
+    sized = sized.select(*texts.columns, F.explode("_lengths").alias("_length"))
     size = F.char_length(text)
-
-    def cut(length):
-        starts = F.when(length <= size, F.sequence(F.lit(1), size - length + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda at: F.substring(F.col(text), at, length))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, cut)))
+    starts = F.sequence(F.lit(1), size - F.col("_length") + 1)
+    pieces = F.transform(starts, lambda at: F.substring(F.col(text), at, F.col("_length")))
+    return sized.where(F.col("_length") <= size).select(*texts.columns, F.explode(F.array_distinct(pieces)).alias("piece"))
 
 
 def match_names(names: DataFrame, name: str, variants: DataFrame) -> DataFrame:
@@ -40,16 +37,12 @@ def match_names(names: DataFrame, name: str, variants: DataFrame) -> DataFrame:
     distinct = names.select(F.col(name)).where(F.char_length(name) > 0).distinct()
     entry = F.struct("rank", "variant")
 
-    lengths = variants.agg(F.collect_set(F.char_length("variant")).alias("lengths")).scalar()
-    cut = distinct.select(name, F.explode(_pieces(name, lengths)).alias("piece"))
-    holds_variant = cut.join(variants, F.col("piece") == F.col("variant")).select(name, entry.alias("_best"))
+    lengths = variants.agg(F.collect_set(F.char_length("variant"))).scalar()
+    holds_variant = _cut(distinct, name, lengths).join(variants, F.col("piece") == F.col("variant"))
+    holds_variant = holds_variant.select(name, entry.alias("_best"))
 
-    every_length = F.sequence(F.lit(1), F.char_length("variant"))
-    entries = (
-        variants.select(entry.alias("_best"), F.explode(_pieces("variant", every_length)).alias("piece"))
-        .groupBy("piece")
-        .agg(F.min("_best").alias("_best"))
-    )
+    substrings = _cut(variants.select("rank", "variant"), "variant", F.sequence(F.lit(1), F.char_length("variant")))
+    entries = substrings.groupBy("piece").agg(F.min(entry).alias("_best"))
     in_variant = distinct.join(entries, F.col(name) == F.col("piece")).select(name, "_best")
 
     best = (

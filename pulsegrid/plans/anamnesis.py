@@ -23,12 +23,12 @@ def protocol_texts(freetexts: DataFrame, linked: DataFrame | None = None) -> Dat
     rows = items.texts(freetexts).where(F.col("description") == vocab.ITEM_ANAMNESIS)
     if linked is not None:
         rows = joins.keep_ids(rows, linked)
-    one = first.first_per_key(rows.where(F.col("protocolId") != ""), ["protocolId"], ["_id", "pos"])
     chosen = txt.pick_text([F.col("text"), F.col("content")])
+    rows = rows.where(F.col("protocolId") != "").select("protocolId", "_id", "pos", chosen.alias("text"))
     return (
-        one.select("protocolId", chosen.alias("text"))
+        first.first_per_key(rows, ["protocolId"], ["_id", "pos"])
         .where(F.col("text").isNotNull())
-        .withColumn("text_key", txt.text_key(F.col("text")))
+        .select("protocolId", "text", txt.text_key(F.col("text")).alias("text_key"))
     )
 
 

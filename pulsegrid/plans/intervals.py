@@ -30,51 +30,60 @@ PERCENTILE_NAMES = ["p10", "p25", "p50", "p75", "p90"]
 MINUTE = 60_000_000.0
 
 
-def interval_table(missions: DataFrame, spans: Mapping[str, tuple[str, str]] = INTERVALS) -> DataFrame:
+def interval_table(rows: DataFrame, spans: Mapping[str, tuple[str, str]] = INTERVALS) -> DataFrame:
     """Add each interval in microseconds; rows with a negative one are removed, null ones stay."""
-    timed = missions.withColumns(
+    timed = rows.withColumns(
         {name: clean.micros_between(F.col(start), F.col(end)) for name, (start, end) in spans.items()}
     )
     return cohort.null_or_non_negative(timed, list(spans))
 
 
+def missions(index: DataFrame, details: DataFrame) -> DataFrame:
+    """All protocols of either collection with status timestamps."""
+    return scans.mission_table(index, scans.protocol_details(details))
+
+
+def _with_details(selected: DataFrame, details: DataFrame) -> DataFrame:
+    """Selected index rows with their details.
+
+    A selection by mission type, diagnosis or year holds index rows only, so
+    it is made before the join and the details without index row never move.
+    """
+    return joins.left_outer(selected, scans.protocol_details(details))
+
+
 def select_missions(
-    missions: DataFrame,
+    rows: DataFrame,
     mission_types: Sequence[str] | None = None,
     diagnoses: Sequence[str] | None = None,
     years: Sequence[int] | None = None,
 ) -> DataFrame:
     """The report's three selections; an empty one filters nothing."""
-    rows = scans.select_values(missions, "missionType", mission_types)
+    rows = scans.select_values(rows, "missionType", mission_types)
     rows = scans.select_values(rows, "leadingDiagnosis", diagnoses)
     return rows.where(F.year("missionDate").isin(list(years))) if years else rows
 
 
-def default_selection(missions: DataFrame, terms: Sequence[str] | None) -> DataFrame:
+def default_selection(index: DataFrame, terms: Sequence[str] | None) -> DataFrame:
     """What the report shows before anything is chosen: primary missions, diagnoses with a term,
-    last two years. Each default is derived from the whole table."""
-    types = cohort.default_by_values(missions.select("missionType"), "missionType", vocab.PRIMARY_MISSION_TYPES)
-    rows = missions.join(types.distinct(), "missionType", "left_semi")
+    last two years. Each default is derived from the whole table, as a scalar subquery."""
+    rows = cohort.default_by_values(index, "missionType", vocab.PRIMARY_MISSION_TYPES)
     if terms:
-        chosen = cohort.default_by_terms(missions.select("leadingDiagnosis"), "leadingDiagnosis", terms)
-        rows = rows.join(chosen.distinct(), "leadingDiagnosis", "left_semi")
-    years = (
-        missions.where(F.col("missionDate").isNotNull())
-        .select(F.year("missionDate").alias("_year")).distinct().orderBy(F.desc("_year")).limit(2)
-    )
-    return rows.withColumn("_year", F.year("missionDate")).join(F.broadcast(years), "_year", "left_semi").drop("_year")
+        rows = cohort.default_by_terms(rows, "leadingDiagnosis", terms, among=index)
+    years = F.broadcast(cohort.newest_years(index, "missionDate"))
+    return rows.withColumn("_year", F.year("missionDate")).join(years, "_year", "left_semi").drop("_year")
 
 
 def cohort_intervals(index: DataFrame, details: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Interval table of the default selection for diagnosis ``terms``."""
-    return interval_table(default_selection(scans.mission_table(index, details), terms))
+    return interval_table(_with_details(default_selection(index, terms), details))
 
 
 def resuscitation_intervals(index: DataFrame, details: DataFrame, results: DataFrame) -> DataFrame:
     """Interval table of missions with a confirmed resuscitation, one row per positive item."""
     positive = items.resuscitations(results).where("rea_status").select("protocolId", "rea_status")
-    missions = scans.mission_table(index, details).join(positive, "protocolId")
-    return interval_table(default_selection(missions, None))
+    selected = default_selection(index.join(positive, "protocolId"), None)
+    return interval_table(_with_details(selected, details))
 
 
 def head_injury_intervals(
@@ -87,8 +96,8 @@ def head_injury_intervals(
 ) -> DataFrame:
     """Interval table of head injuries whose consciousness score lies in the range."""
     scored = cohort.score_range(items.scores(findings, vocab.ITEM_SCORE), low, high, kind)
-    missions = default_selection(scans.mission_table(index, details), vocab.COHORT_TERMS["head_injury"])
-    return interval_table(joins.keep_ids(missions, scored))
+    selected = default_selection(index, vocab.COHORT_TERMS["head_injury"])
+    return interval_table(_with_details(joins.keep_ids(selected, scored), details))
 
 
 def valid(intervals: DataFrame, main: str = PREHOSPITAL) -> DataFrame:
@@ -171,8 +180,8 @@ def turn_out(details: DataFrame) -> DataFrame:
     return interval_table(scans.protocol_details(details), {"AusrueckIntervall": ("StatusAlarm", "Status3")})
 
 
-def approach(missions: DataFrame, mission: str = "missionNumber") -> DataFrame:
+def approach(rows: DataFrame, mission: str = "missionNumber") -> DataFrame:
     """Interval from departure to arrival of the first unit on scene per mission."""
-    arrived = missions.where(F.col("Status4").isNotNull())
+    arrived = rows.where(F.col("Status4").isNotNull())
     on_scene = first.first_per_key(arrived, [mission], ["Status4", "protocolId", "Status3"])
     return interval_table(on_scene, {"AnfahrIntervall": ("Status3", "Status4")})

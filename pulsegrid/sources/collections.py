@@ -28,12 +28,17 @@ def read_tables(spark: SparkSession, root: str, names: list[str] | None = None,
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Give an in-memory collection the declared columns and types, absent ones as null."""
+    """Give an in-memory collection the declared columns and types, absent ones as null.
+
+    A column that already has its type is passed through uncast, which keeps
+    reads of single nested fields cheap.
+    """
     declared = StructType.fromDDL(COLLECTIONS[name])
-    have = {c.lower() for c in df.columns}
-    return df.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in declared
-        ]
-    )
+    have = {f.name.lower(): f.dataType.simpleString() for f in df.schema}
+    columns = []
+    for field in declared:
+        column = F.col(f"`{field.name}`") if field.name.lower() in have else F.lit(None)
+        if have.get(field.name.lower()) != field.dataType.simpleString():
+            column = column.cast(field.dataType)
+        columns.append(column.alias(field.name))
+    return df.select(*columns)
