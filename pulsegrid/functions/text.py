@@ -76,8 +76,8 @@ def _cleaned(value: Column) -> Column:
 
 def answer_columns(pairs: Column, fields: Mapping[str, str] = vocab.ANSWER_FIELDS) -> dict[str, Column]:
     """One text column per field; the last line of a key wins, a missing key is empty text."""
-    columns = {}
-    for key, name in fields.items():
-        hits = F.filter(pairs, lambda p, key=key: p["key"] == key)
-        columns[name] = F.coalesce(_cleaned(F.try_element_at(hits, F.lit(-1))["value"]), F.lit(""))
-    return columns
+    def last_of(key: str) -> Column:
+        hits = F.filter(pairs, lambda p: p["key"] == key)
+        return F.try_element_at(hits, F.lit(-1))["value"]
+
+    return {name: F.coalesce(_cleaned(last_of(key)), F.lit("")) for key, name in fields.items()}
