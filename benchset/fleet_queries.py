@@ -93,7 +93,7 @@ SQL_PROTOCOL_MISSIONS = """pm AS (SELECT idx.protocolId, callSign, missionType,
 )
 def fleet_utilization_protocols(spark, sf):
     index = v.index(spark, sf).where(clean.within_days(F.col("missionDate"), FIRST_DAY, LAST_DAY))
-    rows = mission_rows(index, v.details(spark, sf)).where(F.col("missionDate").isNotNull())
+    rows = mission_rows(index, v.details(spark, sf), ["StatusAlarm", "StatusEnd"]).where(F.col("missionDate").isNotNull())
     table = fleet.utilization(
         rows, "callSign", "StatusAlarm", "StatusEnd", schedule(spark, sf), FIRST_DAY, LAST_DAY, ["12-83-1", "12-85-1", "12-85-2"]
     )
@@ -140,7 +140,7 @@ def event_utilization(spark, sf):
     count(*) FILTER (WHERE us > 86400000000) AS very_long FROM d WHERE us > 0""",
 )
 def duration_outliers(spark, sf):
-    details = scans.protocol_details(v.details(spark, sf))
+    details = scans.status_times(v.details(spark, sf), ["StatusAlarm", "StatusEnd"])
     return rounded(fleet.duration_statistics(fleet.durations(details, "StatusAlarm", "StatusEnd")))
 
 

@@ -211,6 +211,5 @@ def turn_out_interval(spark, sf):
 )
 def approach_interval(spark, sf):
     name = "AnfahrIntervall"
-    missions = scans.mission_table(v.index(spark, sf), scans.protocol_details(v.details(spark, sf)))
-    columns = missions.select("missionNumber", "protocolId", "Status3", "Status4")
-    return rounded(intervals.percentile_table(intervals.approach(columns), [name], main=name))
+    rows = intervals.missions(v.index(spark, sf).select("protocolId", "missionNumber"), v.details(spark, sf), ["Status3", "Status4"])
+    return rounded(intervals.percentile_table(intervals.approach(rows), [name], main=name))

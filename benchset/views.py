@@ -31,13 +31,17 @@ _STORED: dict[tuple, DataFrame] = {}
 
 
 def stored(derive: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Derive a collection on first use in an application, then read the written table."""
+    """Derive a collection on first use in an application, then read the written table.
+
+    The rows are spread over one file per core, since the given tables are single files.
+    """
 
     @wraps(derive)
     def read(spark: SparkSession, sf: str, *variant: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf, derive.__name__, *variant)
         if key not in _STORED:
-            _STORED[key] = materialise(derive(spark, sf, *variant), "-".join(key[2:]))
+            rows = derive(spark, sf, *variant).repartition(spark.sparkContext.defaultParallelism)
+            _STORED[key] = materialise(rows, "-".join(key[2:]))
         return _STORED[key]
 
     return read

@@ -51,3 +51,14 @@ def dense_grid(keys: DataFrame, slots: dict[str, list], values: DataFrame, zero:
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(e) for e in entries])))
     joined = grid.join(values, grid.columns, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+
+
+def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows; the columns are computed before anything built on them.
+
+    Filters on results of costly columns (parsed texts) are otherwise pushed
+    down as copies of the whole expression, once per mention. A one-element
+    ``inline`` is a step no filter passes.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns)))).select(*df.columns)

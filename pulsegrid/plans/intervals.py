@@ -38,18 +38,22 @@ def interval_table(rows: DataFrame, spans: Mapping[str, tuple[str, str]] = INTER
     return cohort.null_or_non_negative(timed, list(spans))
 
 
-def missions(index: DataFrame, details: DataFrame) -> DataFrame:
-    """All protocols of either collection with status timestamps."""
-    return scans.mission_table(index, scans.protocol_details(details))
+def _stops(spans: Mapping[str, tuple[str, str]]) -> list[str]:
+    return sorted({status for span in spans.values() for status in span})
+
+
+def missions(index: DataFrame, details: DataFrame, statuses: Sequence[str] = tuple(_stops(INTERVALS))) -> DataFrame:
+    """All protocols of either collection with the named status timestamps."""
+    return joins.full_outer(index, scans.status_times(details, statuses))
 
 
 def _with_details(selected: DataFrame, details: DataFrame) -> DataFrame:
-    """Selected index rows with their details.
+    """Selected index rows with their status timestamps.
 
     A selection by mission type, diagnosis or year holds index rows only, so
     it is made before the join and the details without index row never move.
     """
-    return joins.left_outer(selected, scans.protocol_details(details))
+    return joins.left_outer(selected, scans.status_times(details, _stops(INTERVALS)))
 
 
 def select_missions(
@@ -177,7 +181,7 @@ def long_form(intervals: DataFrame, ids: Sequence[str], names: Sequence[str] = t
 
 def turn_out(details: DataFrame) -> DataFrame:
     """Interval from alarm to departure of the vehicle."""
-    return interval_table(scans.protocol_details(details), {"AusrueckIntervall": ("StatusAlarm", "Status3")})
+    return interval_table(scans.status_times(details, ["StatusAlarm", "Status3"]), {"AusrueckIntervall": ("StatusAlarm", "Status3")})
 
 
 def approach(rows: DataFrame, mission: str = "missionNumber") -> DataFrame:

@@ -48,6 +48,15 @@ def protocol_details(details: DataFrame, limit: int | None = None) -> DataFrame:
     return first.newest(typed, "content_dateStatusAlarm", ["protocolId"], limit)
 
 
+def status_times(details: DataFrame, statuses: Sequence[str]) -> DataFrame:
+    """Protocol id and the named status timestamps (``Status4``, ``StatusAlarm`` ...), each text parsed once.
+
+    What joins and shuffles above this carry is timestamps, not texts.
+    """
+    parsed = protocol_details(details).select("protocolId", *statuses)
+    return joins.computed_once(parsed, list(statuses))
+
+
 def dispatch_records(dispatch: DataFrame, district: str = vocab.DISTRICT, limit: int | None = None) -> DataFrame:
     """Control-centre records of one district, or its newest ``limit`` ones."""
     rows = dispatch.where(F.col("EO_LANDKREIS") == district)
