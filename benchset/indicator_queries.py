@@ -423,7 +423,7 @@ def flow_nodes(spark, sf):
 @query(
     "flow_node_numbers",
     """WITH n AS (SELECT DISTINCT p_name AS node FROM part UNION SELECT DISTINCT c_name FROM customer)
-    SELECT count(*) AS nodes, count(*) AS numbers, 0 AS first, count(*) - 1 AS last FROM n""",
+    SELECT count(*) AS nodes, count(*) AS numbers, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM n""",
 )
 def flow_node_numbers(spark, sf):
     """Numbers are dense and unique over part and customer names taken as nodes."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +9,7 @@ from benchset import views as v
 from benchset.cohort_queries import SQL_ORDER_LINES, order_lines
 from benchset.registry import query, rounded
 from pulsegrid import vocab
-from pulsegrid.operators import cohort
 from pulsegrid.plans import intervals
-from pulsegrid.sources import scans
 
 W = v.with_ctes
 
@@ -185,9 +181,28 @@ def interval_totals(spark, sf):
     return rounded(intervals.target_share(polytrauma(spark, sf)))
 
 
-@query("interval_percentiles_approx")
+@query(
+    "interval_percentiles_approx",
+    W(SQL_ORDER_LINES, SQL_VALID)
+    + """SELECT o_orderpriority, count(*) AS n, true AS p10, true AS p25, true AS p50, true AS p75, true AS p90
+    FROM valid GROUP BY 1""",
+)
 def interval_percentiles_approx(spark, sf):
-    return rounded(intervals.percentile_table(delivery(spark, sf), ["delivery"], BY, "delivery", approx=True))
+    """Sketched percentiles, each tested for a rank within the sketch's error."""
+    rows = delivery(spark, sf)
+    sketched = intervals.percentile_table(rows, ["delivery"], BY, "delivery", approx=True)
+    names, error = intervals.PERCENTILE_NAMES, 2 / 10_000
+    minutes = intervals.valid(rows, "delivery").select(*BY, (F.col("delivery") / F.lit(intervals.MINUTE)).alias("_m"))
+    both = minutes.join(sketched, BY)
+    ranks = both.groupBy(*BY, "n").agg(
+        *[F.avg((F.col("_m") < F.col(c)).cast("double")).alias(f"{c}_below") for c in names],
+        *[F.avg((F.col("_m") <= F.col(c)).cast("double")).alias(f"{c}_upto") for c in names],
+    )
+    near = {
+        c: (F.col(f"{c}_below") <= p + error) & (F.col(f"{c}_upto") >= p - error)
+        for c, p in zip(names, (0.1, 0.25, 0.5, 0.75, 0.9))
+    }
+    return ranks.select(*BY, "n", *[test.alias(c) for c, test in near.items()])
 
 
 @query(

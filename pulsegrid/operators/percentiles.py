@@ -33,6 +33,22 @@ def _with_wanted(level: DataFrame, group: str, wanted: str) -> DataFrame:
     return running.selectExpr("_k", "_q AS _p", "_total", inside).where("size(_wanted) > 0")
 
 
+def value_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Counted values, written out: ``_k`` (struct of the group columns), ``_v`` and ``_n``.
+
+    Runs the job when called; whatever is read from the result afterwards does
+    not compute ``df`` again.
+    """
+    # One struct key: as a struct field a null compares equal to a null.
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    counted = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(key.alias("_k"), F.col(value).cast("bigint").alias("_v"))
+        .agg(F.expr("count(1) AS _n"))
+    )
+    return materialise(counted, "value-counts")
+
+
 def exact_percentiles(
     df: DataFrame,
     by: Sequence[str],
@@ -43,18 +59,13 @@ def exact_percentiles(
     """One row per group: ``n`` and an array ``percentiles`` in the order of ``ps``.
 
     ``value`` is a whole number; results interpolate linearly and are divided
-    by ``unit``. Null values are left out, null groups are kept. Runs the job
-    that counts ``df`` when called, so that ``df`` is computed once.
+    by ``unit``. Null values are left out, null groups are kept.
     """
-    # One struct key: as a struct field a null compares equal to a null.
-    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    counted = materialise(
-        df.where(F.col(value).isNotNull())
-        .groupBy(key.alias("_k"), F.col(value).cast("bigint").alias("_v"))
-        .agg(F.expr("count(1) AS _n")),
-        "value-counts",
-    )
+    return percentiles_of(value_table(df, by, value), by, ps, unit)
+
 
+def percentiles_of(counted: DataFrame, by: Sequence[str], ps: Sequence[float], unit: float = 1.0) -> DataFrame:
+    """``exact_percentiles`` of a value table."""
     fractions = ", ".join(f"{float(p)!r}D" for p in ps)
     ranks = f"flatten(transform(array({fractions}), p -> array(floor((_total - 1) * p), ceil((_total - 1) * p))))"
     first = counted.groupBy("_k", F.expr(f"shiftright(_v, {STEPS[0]}) AS _q")).agg(F.expr("sum(_n) AS _n"))

@@ -51,16 +51,20 @@ def top_n_other(df: DataFrame, value: str, n: int = 10, other: str = vocab.OTHER
 
 
 def top_per_group(df: DataFrame, group: str, value: str, n: int) -> DataFrame:
-    """The ``n`` most frequent values of each group, ties by value, with their rank.
-
-    The ranking runs on counted rows, and Spark keeps only n of them per group
-    and map task before the shuffle.
-    """
+    """The ``n`` most frequent values of each group, ties by value, with their rank."""
     counts = (
         df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
         .groupBy(group, value)
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    return top_counted(counts, group, value, n)
+
+
+def top_counted(counts: DataFrame, group: str, value: str, n: int) -> DataFrame:
+    """The ``n`` largest counts of each group of a counted table.
+
+    Spark keeps only n rows per group and map task before the shuffle.
+    """
     order = W.partitionBy(group).orderBy(F.col("count").desc(), F.col(value))
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

@@ -103,26 +103,17 @@ def hour_profile(missions: DataFrame, vehicle: str, start: str, end: str) -> Dat
 
 def duration_statistics(timed: DataFrame, long_hours: float = 24) -> DataFrame:
     """Count, mean, median, maximum and minimum of positive durations in hours, and how many are very long."""
-    valid = timed.where(F.col("duration_micros") > 0)
-    plain = valid.agg(
-        F.avg("duration_micros").alias("mean"),
-        F.max("duration_micros").alias("max"),
-        F.min("duration_micros").alias("min"),
-        F.count_if(F.col("duration_micros") > int(long_hours * HOUR)).alias("very_long"),
-    )
-    median = percentiles.named_percentiles(
-        percentiles.exact_percentiles(valid, [], "duration_micros", [0.5], HOUR), ["median_hours"]
-    )
-    one = F.lit(1).alias("_one")
-    both = median.select("*", one).join(plain.select("*", one), "_one")
-    return both.select(
-        "n",
-        clean.hours(F.col("mean")).alias("mean_hours"),
-        "median_hours",
-        clean.hours(F.col("max")).alias("max_hours"),
-        clean.hours(F.col("min")).alias("min_hours"),
-        "very_long",
+    counted = percentiles.value_table(timed.where(F.col("duration_micros") > 0), [], "duration_micros")
+    median = percentiles.named_percentiles(percentiles.percentiles_of(counted, [], [0.5], HOUR), ["median_hours"])
+    total = F.sum(F.col("_v").cast("decimal(38,0)") * F.col("_n")).cast("double")
+    plain = counted.groupBy(F.lit(1).alias("_one")).agg(
+        (clean.hours(total) / F.sum("_n")).alias("mean_hours"),
+        clean.hours(F.max("_v")).alias("max_hours"),
+        clean.hours(F.min("_v")).alias("min_hours"),
+        F.sum(F.when(F.col("_v") > int(long_hours * HOUR), F.col("_n")).otherwise(0)).alias("very_long"),
     )
+    both = median.withColumn("_one", F.lit(1)).join(plain, "_one")
+    return both.select("n", "mean_hours", "median_hours", "max_hours", "min_hours", "very_long")
 
 
 def longest_missions(timed: DataFrame, tie: Sequence[str], n: int = 10) -> DataFrame:
@@ -167,9 +158,25 @@ def measures_by_vehicle_type(
         "protocolId", "evmCount", classify.vehicle_type(F.col("callSign")).alias("vehicle_type")
     ).where(F.col("vehicle_type").isin(list(types)))
     totals = typed.groupBy("vehicle_type").agg(F.count(F.lit(1)).alias("missions"))
-    with_measures = typed.where(_has_measures(at_least_one)).select("protocolId", "vehicle_type")
-    rows = items.extended_measures(measures).select("protocolId", "description").join(with_measures, "protocolId")
-    top = summary.top_per_group(rows, "vehicle_type", "description", n)
+    # Both sides are counted per protocol before they meet, so a protocol with
+    # many items and many rows joins as counts.
+    holders = (
+        typed.where(_has_measures(at_least_one))
+        .groupBy("protocolId", "vehicle_type")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    done = (
+        items.extended_measures(measures)
+        .where(F.col("description").isNotNull())
+        .groupBy("protocolId", "description")
+        .agg(F.count(F.lit(1)).alias("_items"))
+    )
+    counts = (
+        done.join(holders, "protocolId")
+        .groupBy("vehicle_type", "description")
+        .agg(F.sum(F.col("_rows") * F.col("_items")).alias("count"))
+    )
+    top = summary.top_counted(counts, "vehicle_type", "description", n)
     return top.join(totals, "vehicle_type").select(
         "vehicle_type",
         "description",

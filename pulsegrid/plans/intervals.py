@@ -133,16 +133,14 @@ def target_share(
     intervals: DataFrame, by: Sequence[str] = (), main: str = PREHOSPITAL, target: float = TARGET_MINUTES
 ) -> DataFrame:
     """Missions, share within the target, median and its distance to the target, per group."""
-    rows = valid(intervals, main)
-    median = percentiles.named_percentiles(
-        percentiles.exact_percentiles(rows, by, main, [0.5], MINUTE), ["median"]
+    counted = percentiles.value_table(valid(intervals, main), by, main)
+    median = percentiles.named_percentiles(percentiles.percentiles_of(counted, by, [0.5], MINUTE), ["median"])
+    within = F.sum(F.when(F.col("_v") <= int(target * MINUTE), F.col("_n")).otherwise(0))
+    shares = counted.groupBy("_k").agg((within / F.sum("_n") * 100).alias("share_within"))
+    keyed = median.withColumn("_k", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+    return keyed.join(shares, "_k").select(
+        *by, "n", "median", (F.col("median") - F.lit(float(target))).alias("median_delta"), "share_within"
     )
-    shares = rows.groupBy(*by).agg(summary.share(F.col(main) <= int(target * MINUTE)).alias("share_within"))
-    named = median.withColumn("median_delta", F.col("median") - F.lit(float(target)))
-    if not by:
-        return named.withColumn("_one", F.lit(1)).join(shares.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    same = [named[b].eqNullSafe(shares[b]) for b in by]
-    return named.join(shares, same).select(*[named[b] for b in by], "n", "median", "median_delta", "share_within")
 
 
 def monthly_trend(

@@ -63,8 +63,25 @@ def dispatch_match_quality(dispatch: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def diagnosis_flow(missions: DataFrame, dispatch: DataFrame) -> DataFrame:
-    """Counts from dispatch code to final diagnosis over linked rows."""
-    return flows.flow_counts(link_dispatch(missions, dispatch), "CEDUS_CODE", "leadingDiagnosis")
+    """Counts from dispatch code to final diagnosis over linked rows.
+
+    Both sides are counted per mission number and label first: a number with
+    many records on both sides joins as products of counts, not as all pairs.
+    """
+    codes = (
+        dispatch.where(F.col("CEDUS_CODE").isNotNull() & F.col("EINSATZ_NR").isNotNull())
+        .groupBy(F.col("EINSATZ_NR").alias("number"), "CEDUS_CODE")
+        .agg(F.count(F.lit(1)).alias("_records"))
+    )
+    diagnoses = (
+        missions.where(F.col("leadingDiagnosis").isNotNull() & F.col("missionNumber").isNotNull())
+        .groupBy(F.col("missionNumber").alias("number"), "leadingDiagnosis")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    linked = codes.join(diagnoses, "number")
+    return linked.groupBy("CEDUS_CODE", "leadingDiagnosis").agg(
+        F.sum(F.col("_records") * F.col("_rows")).alias("count")
+    )
 
 
 def scenario_transitions(dispatch: DataFrame) -> DataFrame:
