@@ -204,7 +204,7 @@ def documentation_bundle(spark, sf):
         "score": (items.scores(findings, vocab.ITEM_SCORE), 2),
         "glucose": (items.vitals(v.vitals(spark, sf, "bz"), "bz"), 1),
         "neuro": (items.neurological_signs(findings), 1),
-        "onset": (items.exploded(results).where(F.col("item.value_1") == vocab.ITEM_ONSET), 1),
+        "onset": (items.exploded(results, "value_1").where(F.col("item.value_1") == vocab.ITEM_ONSET), 1),
     }
     return rounded(coverage.documentation_bundle(monitored_index(spark, sf), documented))
 

@@ -66,6 +66,11 @@ def exact_percentiles(
 
 def percentiles_of(counted: DataFrame, by: Sequence[str], ps: Sequence[float], unit: float = 1.0) -> DataFrame:
     """``exact_percentiles`` of a value table."""
+    return keyed_percentiles(counted, ps, unit).select(*[F.col("_k")[b].alias(b) for b in by], "n", "percentiles")
+
+
+def keyed_percentiles(counted: DataFrame, ps: Sequence[float], unit: float = 1.0) -> DataFrame:
+    """Percentiles of a value table by its key ``_k``, to be joined with other aggregates of it."""
     fractions = ", ".join(f"{float(p)!r}D" for p in ps)
     ranks = f"flatten(transform(array({fractions}), p -> array(floor((_total - 1) * p), ceil((_total - 1) * p))))"
     first = counted.groupBy("_k", F.expr(f"shiftright(_v, {STEPS[0]}) AS _q")).agg(F.expr("sum(_n) AS _n"))
@@ -92,7 +97,7 @@ def percentiles_of(counted: DataFrame, by: Sequence[str], ps: Sequence[float], u
         "(_at[ceil((n - 1) * p)] - _at[floor((n - 1) * p)]) * ((n - 1) * p - floor((n - 1) * p)))"
         f" / {float(unit)!r}D) AS percentiles"
     )
-    return per_group.selectExpr(*[f"_k.`{b}`" for b in by], "n", interpolate)
+    return per_group.selectExpr("_k", "n", interpolate)
 
 
 def sketched_percentiles(

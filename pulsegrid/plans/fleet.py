@@ -104,16 +104,16 @@ def hour_profile(missions: DataFrame, vehicle: str, start: str, end: str) -> Dat
 def duration_statistics(timed: DataFrame, long_hours: float = 24) -> DataFrame:
     """Count, mean, median, maximum and minimum of positive durations in hours, and how many are very long."""
     counted = percentiles.value_table(timed.where(F.col("duration_micros") > 0), [], "duration_micros")
-    median = percentiles.named_percentiles(percentiles.percentiles_of(counted, [], [0.5], HOUR), ["median_hours"])
     total = F.sum(F.col("_v").cast("decimal(38,0)") * F.col("_n")).cast("double")
-    plain = counted.groupBy(F.lit(1).alias("_one")).agg(
+    plain = counted.groupBy("_k").agg(
         (clean.hours(total) / F.sum("_n")).alias("mean_hours"),
         clean.hours(F.max("_v")).alias("max_hours"),
         clean.hours(F.min("_v")).alias("min_hours"),
         F.sum(F.when(F.col("_v") > int(long_hours * HOUR), F.col("_n")).otherwise(0)).alias("very_long"),
     )
-    both = median.withColumn("_one", F.lit(1)).join(plain, "_one")
-    return both.select("n", "mean_hours", "median_hours", "max_hours", "min_hours", "very_long")
+    both = percentiles.keyed_percentiles(counted, [0.5], HOUR).join(plain, "_k")
+    median = F.col("percentiles")[0].alias("median_hours")
+    return both.select("n", "mean_hours", median, "max_hours", "min_hours", "very_long")
 
 
 def longest_missions(timed: DataFrame, tie: Sequence[str], n: int = 10) -> DataFrame:

@@ -134,12 +134,15 @@ def target_share(
 ) -> DataFrame:
     """Missions, share within the target, median and its distance to the target, per group."""
     counted = percentiles.value_table(valid(intervals, main), by, main)
-    median = percentiles.named_percentiles(percentiles.percentiles_of(counted, by, [0.5], MINUTE), ["median"])
     within = F.sum(F.when(F.col("_v") <= int(target * MINUTE), F.col("_n")).otherwise(0))
     shares = counted.groupBy("_k").agg((within / F.sum("_n") * 100).alias("share_within"))
-    keyed = median.withColumn("_k", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
-    return keyed.join(shares, "_k").select(
-        *by, "n", "median", (F.col("median") - F.lit(float(target))).alias("median_delta"), "share_within"
+    median = F.col("percentiles")[0]
+    return percentiles.keyed_percentiles(counted, [0.5], MINUTE).join(shares, "_k").select(
+        *[F.col("_k")[b].alias(b) for b in by],
+        "n",
+        median.alias("median"),
+        (median - F.lit(float(target))).alias("median_delta"),
+        "share_within",
     )
 
 

@@ -33,13 +33,10 @@ def mission_match_quality(missions: DataFrame, dispatch: DataFrame) -> DataFrame
     by_number = missions.groupBy("missionNumber").agg(F.count(F.lit(1)).alias("rows"))
     by_dispatch = dispatch.groupBy("EINSATZ_NR").agg(F.count(F.lit(1)).alias("records"))
     both = by_number.join(by_dispatch, F.col("missionNumber") == F.col("EINSATZ_NR"), "left")
-    left = both.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("missions"), F.count("EINSATZ_NR").alias("linked"))
-    right = by_dispatch.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("dispatch_records"))
-    one = F.lit(1).alias("_one")
-    return (
-        left.select("*", one).join(right.select("*", one), "_one").drop("_one")
-        .withColumn("missing", F.col("missions") - F.col("linked"))
-        .select("missions", "dispatch_records", "linked", "missing")
+    records = by_dispatch.agg(F.coalesce(F.sum("records"), F.lit(0))).scalar()
+    counts = both.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("missions"), F.count("EINSATZ_NR").alias("linked"))
+    return counts.select(
+        "missions", records.alias("dispatch_records"), "linked", (F.col("missions") - F.col("linked")).alias("missing")
     )
 
 

@@ -7,6 +7,8 @@ exists on the document and on the item is taken from the document first.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,23 +21,21 @@ RESULTS = "protocols_results"
 MEASURES = "protocols_measures"
 
 
-def exploded(documents: DataFrame) -> DataFrame:
+def zipped(fields: Sequence[str]) -> Column:
+    """The ``data`` array cut down to the given item fields, so that the scan reads no others."""
+    return F.arrays_zip(*[F.col(f"data.`{f}`") for f in fields])
+
+
+def exploded(documents: DataFrame, *fields: str) -> DataFrame:
     """One row per item: document id, protocol, document source, array position, item struct.
 
     Documents with an empty or null array have no item and give no row.
     """
     return documents.select(
-        *[c for c in ("_id", "protocolId") if c in documents.columns],
-        (F.col("source") if "source" in documents.columns else F.lit(None).cast("string")).alias("doc_source"),
-        F.posexplode("data").alias("pos", "item"),
+        "_id", "protocolId", F.col("source").alias("doc_source"), F.posexplode(zipped(fields)).alias("pos", "item")
     )
 
 
-def has_item(match) -> Column:
-    """Document predicate: some item satisfies ``match``; never null."""
-    return F.coalesce(F.exists("data", match), F.lit(False))
-
-
 def _source() -> Column:
     return F.coalesce("doc_source", "item.source").alias("source")
 
@@ -43,7 +43,7 @@ def _source() -> Column:
 def scores(findings: DataFrame, name: str) -> DataFrame:
     """Numeric finding (consciousness score, pain) with finding type and time."""
     return (
-        exploded(findings)
+        exploded(findings, "description", "valueInteger", "type", "timeStamp", "source")
         .where(F.col("item.description") == name)
         .select(
             "protocolId",
@@ -75,7 +75,7 @@ def pupil_status(findings: DataFrame) -> DataFrame:
         item["valueString"].alias("reaction"), item["timeStamp"].alias("timestamp"), item["source"].alias("source")
     )
     return (
-        exploded(findings)
+        exploded(findings, "description", "valueString", "timeStamp", "source")
         .where((is_left | is_right) & F.col("protocolId").isNotNull())
         .groupBy("protocolId")
         .agg(
@@ -96,7 +96,7 @@ def pupil_status(findings: DataFrame) -> DataFrame:
 
 def triage_score(results: DataFrame) -> DataFrame:
     return (
-        exploded(results)
+        exploded(results, "value_1", "value_2", "source")
         .where(F.col("item.value_1") == vocab.ITEM_TRIAGE)
         .select(
             "protocolId",
@@ -126,7 +126,7 @@ def symptom_onset(results: DataFrame) -> DataFrame:
 
     spec = F.struct(value.alias("text"), source.alias("source"), F.col("item.timeStamp").alias("timestamp"))
     per_protocol = (
-        exploded(results)
+        exploded(results, "value_1", "value_2", "timeStamp", "source")
         .where(is_onset | (is_spec & filled))
         .where(F.col("protocolId").isNotNull())
         .groupBy("protocolId")
@@ -167,7 +167,7 @@ def resuscitations(results: DataFrame) -> DataFrame:
         _source(),
         F.lit(RESULTS).alias("collection"),
     ]
-    return exploded(results).where(origin.isNotNull()).select(*columns)
+    return exploded(results, "value_1", "value_2", "timeStamp", "source").where(origin.isNotNull()).select(*columns)
 
 
 def resuscitations_with_destination(results: DataFrame, index: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def medications(measures: DataFrame, pattern: str | None = None) -> DataFrame:
         expression = f"(?iu){pattern}"
         wanted = wanted & (F.col("item.value_2").rlike(expression) | F.col("item.value_6").rlike(expression))
     return (
-        exploded(measures)
+        exploded(measures, "value_1", "value_2", "value_3", "value_4", "value_5", "value_6", "timeStamp", "source")
         .where(wanted)
         .select(
             "protocolId",
@@ -208,8 +208,9 @@ def medications(measures: DataFrame, pattern: str | None = None) -> DataFrame:
 
 def intubations(measures: DataFrame) -> DataFrame:
     """Intubation items with a device, from documents that hold an airway item."""
+    with_airway = measures.where(F.exists("data.value_1", lambda name: name == vocab.ITEM_AIRWAY))
     return (
-        exploded(measures.where(has_item(lambda i: i["value_1"] == vocab.ITEM_AIRWAY)))
+        exploded(with_airway, "value_2", "value_3", "value_4", "value_8", "timeStamp", "source")
         .where((F.col("item.value_2") == vocab.ITEM_INTUBATION) & F.col("item.value_3").isNotNull())
         .select(
             "protocolId",
@@ -227,7 +228,7 @@ def intubations(measures: DataFrame) -> DataFrame:
 def twelve_lead_ecgs(measures: DataFrame) -> DataFrame:
     """12-lead ECG items; a documented one counts as performed."""
     return (
-        exploded(measures)
+        exploded(measures, "value_1", "value_2", "value_3", "timeStamp", "source")
         .where((F.col("item.value_1") == vocab.ITEM_MONITORING) & (F.col("item.value_2") == vocab.ITEM_ECG))
         .select(
             "protocolId",
@@ -243,7 +244,7 @@ def twelve_lead_ecgs(measures: DataFrame) -> DataFrame:
 
 def extended_measures(measures: DataFrame) -> DataFrame:
     return (
-        exploded(measures)
+        exploded(measures, "value_1", "value_2", "value_10", "value_11", "timeStamp", "source")
         .where(F.col("item.value_11") == vocab.ITEM_EXTENDED)
         .select(
             "protocolId",
@@ -260,7 +261,8 @@ def extended_measures(measures: DataFrame) -> DataFrame:
 
 def vitals(documents: DataFrame, code: str) -> DataFrame:
     """Vital-sign series from nested or flat documents; an empty array keeps one null row."""
-    rows = documents.select("*", F.explode_outer("data").alias("item"))
+    fields = ["value", "unit", "%", "o2Administration", "description", "timeStamp", "source"]
+    rows = documents.select("protocolId", *[f"`{f}`" for f in fields], F.explode_outer(zipped(fields)).alias("item"))
 
     def either(field: str) -> Column:
         return F.coalesce(F.col(f"`{field}`"), F.col(f"item.`{field}`"))
@@ -280,7 +282,8 @@ def vitals(documents: DataFrame, code: str) -> DataFrame:
 
 def texts(documents: DataFrame) -> DataFrame:
     """Free-text items with the item's own protocol id, else the document's."""
-    return documents.select("_id", F.col("protocolId").alias("doc_protocol"), F.posexplode("data").alias("pos", "item")).select(
+    items = F.posexplode(zipped(["protocolId", "description", "content", "text"])).alias("pos", "item")
+    return documents.select("_id", F.col("protocolId").alias("doc_protocol"), items).select(
         "_id",
         "pos",
         F.coalesce("item.protocolId", "doc_protocol").alias("protocolId"),
