@@ -260,6 +260,6 @@ def mission_order(spark, sf):
     return mission_mix.types_in_legend_order(v.index(spark, sf))
 
 
-@query("priority_order", """SELECT p_type, count(*) AS count FROM part GROUP BY p_type ORDER BY count DESC, p_type LIMIT 3""")
-def priority_order(spark, sf):
+@query("top_values", """SELECT p_type, count(*) AS count FROM part GROUP BY p_type ORDER BY count DESC, p_type LIMIT 3""")
+def top_values(spark, sf):
     return summary.top_values(v.table(spark, sf, "part"), "p_type", 3)

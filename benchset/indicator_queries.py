@@ -333,7 +333,7 @@ def destination_resuscitation(spark, sf):
         ELSE substr(lower(c_name), 10 + c_custkey % 3, 7) END AS name
         FROM customer JOIN nation ON c_nationkey = n_nationkey),
     vars AS (SELECT lower(n_name) AS variant, n_nationkey AS rnk FROM nation
-        UNION ALL SELECT lower(c_name), 100 + c_custkey FROM customer WHERE c_nationkey = 3)
+        UNION ALL SELECT lower(c_name), 100 + c_custkey FROM customer)
     SELECT name, min(rnk) AS rank FROM names JOIN vars ON contains(name, variant) OR contains(variant, name) GROUP BY name""",
 )
 def variant_matching(spark, sf):
@@ -345,7 +345,7 @@ def variant_matching(spark, sf):
     )
     names = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(text.alias("name"))
     listed = nation.select(F.lower("n_name").alias("variant"), F.col("n_nationkey").cast("bigint").alias("rank")).unionByName(
-        customer.where("c_nationkey = 3").select(F.lower("c_name").alias("variant"), (F.col("c_custkey") + 100).alias("rank"))
+        customer.select(F.lower("c_name").alias("variant"), (F.col("c_custkey") + 100).alias("rank"))
     )
     return match_names(names, "name", listed.withColumn("granted", F.lit(True))).select("name", "rank")
 

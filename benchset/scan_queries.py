@@ -350,15 +350,20 @@ def calendar_parts(spark, sf):
 @query(
     "mission_details_full_outer",
     W(v.SQL_INDEX, v.SQL_DETAILS)
-    + """SELECT protocolId, missionType, missionDate, StatusAlarm, Status8 FROM
-    (SELECT * FROM idx WHERE missionDate >= TIMESTAMP '1996-01-01') i
-    FULL JOIN (SELECT * FROM dtl WHERE StatusAlarm < TIMESTAMP '2000-01-01') d USING (protocolId)""",
+    + """, d AS (SELECT * EXCLUDE (protocolId), CASE WHEN transportFlashingLights THEN protocolId ELSE 'only-' || protocolId END
+        AS protocolId FROM dtl)
+    SELECT protocolId, missionType, missionDate, StatusAlarm, Status8 FROM idx FULL JOIN d USING (protocolId)""",
 )
 def mission_details_full_outer(spark, sf):
-    index = v.index(spark, sf).where(F.col("missionDate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
-    details = scans.protocol_details(v.details(spark, sf))
-    details = details.where(F.col("StatusAlarm") < F.lit("2000-01-01").cast("timestamp_ntz"))
-    both = joins.full_outer(index, details)
+    """Half of the details get ids the index lacks, so both unmatched sides occur."""
+    details = scans.protocol_details(v.details(spark, sf)).select(
+        F.when(F.col("content_transportFlashingLights"), F.col("protocolId"))
+        .otherwise(F.concat(F.lit("only-"), "protocolId"))
+        .alias("protocolId"),
+        "StatusAlarm",
+        "Status8",
+    )
+    both = joins.full_outer(v.index(spark, sf), details)
     return both.select("protocolId", "missionType", "missionDate", "StatusAlarm", "Status8")
 
 

@@ -36,16 +36,17 @@ def default_by_values(df: DataFrame, column: str, preferred: Sequence[str], amon
     return _with_default(df, column, F.coalesce(F.col(column).isin(list(preferred)), F.lit(False)), among)
 
 
-def newest_years(df: DataFrame, ts: str, n: int = 2) -> DataFrame:
-    """The last ``n`` distinct years as ``_year``, found by a top-N over the distinct ones."""
-    years = df.where(F.col(ts).isNotNull()).select(F.year(ts).alias("_year")).distinct()
-    return years.orderBy(F.desc("_year")).limit(n)
+def last_years(df: DataFrame, ts: str, n: int = 2, among: DataFrame | None = None) -> DataFrame:
+    """Rows of the last ``n`` distinct years of ``among``, by default ``df``.
 
-
-def last_years(df: DataFrame, ts: str, n: int = 2) -> DataFrame:
-    """Rows of the last ``n`` distinct years; the semi join broadcasts the n years."""
-    years = F.broadcast(newest_years(df, ts, n))
-    return df.withColumn("_year", F.year(ts)).join(years, "_year", "left_semi").drop("_year")
+    No row lies between those years, so a plain lower bound selects them; it
+    comes from a top-N over the distinct years as a scalar subquery, and Spark
+    hands its value to the scan.
+    """
+    years = (among or df).where(F.col(ts).isNotNull()).select(F.year(ts).alias("_year")).distinct()
+    newest = years.orderBy(F.desc("_year")).limit(n)
+    first_day = F.make_date(F.min("_year"), F.lit(1), F.lit(1)).cast("timestamp_ntz")
+    return df.where(F.col(ts) >= newest.agg(first_day).scalar())
 
 
 def contains_or_exact(df: DataFrame, column: str, include: str, exclude: str, exact: str) -> DataFrame:

@@ -74,8 +74,7 @@ def default_selection(index: DataFrame, terms: Sequence[str] | None) -> DataFram
     rows = cohort.default_by_values(index, "missionType", vocab.PRIMARY_MISSION_TYPES)
     if terms:
         rows = cohort.default_by_terms(rows, "leadingDiagnosis", terms, among=index)
-    years = F.broadcast(cohort.newest_years(index, "missionDate"))
-    return rows.withColumn("_year", F.year("missionDate")).join(years, "_year", "left_semi").drop("_year")
+    return cohort.last_years(rows, "missionDate", among=index)
 
 
 def cohort_intervals(index: DataFrame, details: DataFrame, terms: Sequence[str]) -> DataFrame:
