@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from pulsegrid import schemas, vocab
 from pulsegrid.sources import collections, items, metrics, reference, scans
