@@ -7,12 +7,13 @@ shared folder and reads it again as the next stage's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pulsegrid.llm import exact, mixing, packing
+from pulsegrid.llm import exact, mixing, near, packing, toxicity
 from pulsegrid.llm.common import table, written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go. Examples are the labelled ones among ``docs``."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +21,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: shingles of five words, similarity of 0.8 or more."""
+    return near.drop_near_copies(docs, size=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: a row for each copy."""
     return mixing.mixed_rows(docs)
@@ -31,7 +37,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -162,21 +161,13 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("long")
-def print_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: fingerprint(normal((t or "").encode())))
-
-
-@F.pandas_udf("binary")
-def bytes_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: normal((t or "").encode()))
-
-
 def drop_copies(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each group of equal texts, all columns kept.
 
     Rows with a fingerprint of their own pass; the others meet by their bytes and leave one whole row.
     """
+    print_of = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(normal((t or "").encode()))), "long")
+    bytes_of = F.pandas_udf(lambda texts: texts.map(lambda t: normal((t or "").encode())), "binary")
     prints = documents.select(print_of("text").alias("print"))
     repeated = written(repeated_prints(prints, partitions(documents.sparkSession)), "prints")
     marked = documents.withColumn("_print", print_of("text"))

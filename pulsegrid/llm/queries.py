@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import exact, huffman, mixing, packing, sharding
+from pulsegrid.llm import embeddings, exact, huffman, mixing, near, packing, sharding, toxicity
 from pulsegrid.llm.common import table
 
 
@@ -30,8 +30,20 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85).drop("first")
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op4_exact_dedup, op5_packing, op6_mixing, op7_token_ids)
+    f.__name__: f for f in (op1_sharding, op4_exact_dedup, op5_packing, op6_mixing, op7_token_ids, op8_near_dedup, op9_embedding_dedup, op10_toxicity)
 }
 
 SQL: dict[str, str] = {
