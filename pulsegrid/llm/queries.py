@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import embeddings, exact, huffman, mixing, near, packing, secrets, sharding, toxicity
+from pulsegrid.llm import embeddings, exact, huffman, mixing, near, packing, repeats, secrets, sharding, toxicity
 from pulsegrid.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_secrets, op4_exact_dedup, op5_packing, op6_mixing, op7_token_ids, op8_near_dedup, op9_embedding_dedup, op10_toxicity)
+    f.__name__: f for f in (op1_sharding, op2_repeats, op3_secrets, op4_exact_dedup, op5_packing, op6_mixing, op7_token_ids, op8_near_dedup, op9_embedding_dedup, op10_toxicity)
 }
 
 SQL: dict[str, str] = {
