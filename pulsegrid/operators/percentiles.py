@@ -1,10 +1,12 @@
-"""Exact percentiles of whole numbers without collecting a group anywhere.
+"""Exact percentiles of whole numbers without collecting or sorting a group anywhere.
 
 The built-in ``percentile`` keeps all distinct values of a group in one
-buffer. Here the rows are first reduced to counted values, map-side, and the
-counts are written out once. The wanted ranks are then narrowed digit by digit
-over that table: each step counts per digit prefix, walks the running count of
-at most 2**20 prefixes, and keeps only the prefixes that hold a wanted rank.
+buffer. Here rows are first reduced to counted values, map-side. Each group's
+range of values is cut into ``BUCKETS`` equal parts of its own; running counts
+over those name the parts that hold a wanted rank; these are cut again, and
+what is left is walked value by value. Every step keeps at most two parts per
+percentile, so the first one leaves a few thousandths of a group. Nothing is
+written: the counted values are one exchange, which Spark reuses.
 """
 
 from __future__ import annotations
@@ -14,39 +16,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.session import materialise
-
-# Bits dropped from a value at each narrowing step; of a microsecond count the
-# first step keeps 13-day units, the second seconds, the last the value itself.
-STEPS = (40, 20, 0)
+# Parts a range is cut into, and how often, before single values are walked.
+BUCKETS = 4096
+CUTS = 2
 
 PERCENTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
-def _with_wanted(level: DataFrame, group: str, wanted: str) -> DataFrame:
-    """Prefixes that hold a wanted rank; ``at`` is the rank relative to the values of the prefix."""
-    running = level.selectExpr("*", f"sum(_n) OVER (PARTITION BY {group} ORDER BY _q) - _n AS _before")
+def _with_wanted(level: DataFrame, group: str) -> DataFrame:
+    """Parts that hold a wanted rank; ``at`` is the rank relative to the values of the part."""
+    running = level.selectExpr("*", f"sum(_n) OVER (PARTITION BY {group} ORDER BY _low) - _n AS _before")
     inside = (
-        f"filter(transform({wanted}, w -> struct(w.rank AS rank, w.at - _before AS at)), "
+        "filter(transform(_wanted, w -> struct(w.rank AS rank, w.at - _before AS at)), "
         "w -> w.at >= 0 AND w.at < _n) AS _wanted"
     )
-    return running.selectExpr("_k", "_q AS _p", "_total", inside).where("size(_wanted) > 0")
+    return running.selectExpr("_k", "_low", "_width", "_total", inside).where("size(_wanted) > 0")
 
 
 def value_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Counted values, written out: ``_k`` (struct of the group columns), ``_v`` and ``_n``.
-
-    Runs the job when called; whatever is read from the result afterwards does
-    not compute ``df`` again.
-    """
-    # One struct key: as a struct field a null compares equal to a null.
-    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    counted = (
+    """Counted values: ``_k`` (struct of the group columns), ``_v`` and ``_n``."""
+    # One struct key: as a struct field a null compares equal to a null. Without groups it is always 0,
+    # yet not a literal, since joins on a literal are planned without a key.
+    key = F.struct(*by) if by else F.struct(F.pmod(F.col(value).cast("bigint"), F.lit(1)).alias("all"))
+    return (
         df.where(F.col(value).isNotNull())
         .groupBy(key.alias("_k"), F.col(value).cast("bigint").alias("_v"))
         .agg(F.expr("count(1) AS _n"))
     )
-    return materialise(counted, "value-counts")
 
 
 def exact_percentiles(
@@ -69,27 +65,51 @@ def percentiles_of(counted: DataFrame, by: Sequence[str], ps: Sequence[float], u
     return keyed_percentiles(counted, ps, unit).select(*[F.col("_k")[b].alias(b) for b in by], "n", "percentiles")
 
 
+def first_parts(counted: DataFrame, ps: Sequence[float]) -> DataFrame:
+    """Each group as one part: its smallest value, its width, its size and the wanted ranks."""
+    fractions = ", ".join(f"{float(p)!r}D" for p in ps)
+    ranks = f"flatten(transform(array({fractions}), p -> array(floor((_total - 1) * p), ceil((_total - 1) * p))))"
+    whole = counted.groupBy("_k").agg(F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"), F.expr("sum(_n) AS _total"))
+    # widths as decimals: a range may be wider than 64 bits hold
+    width = "CAST(_high AS DECIMAL(20, 0)) - CAST(_low AS DECIMAL(20, 0)) + 1 AS _width"
+    return whole.selectExpr("_k", "_low", width, "_total", f"transform(array_distinct({ranks}), r -> struct(r AS rank, r AS at)) AS _wanted")
+
+
+def cut_parts(counted: DataFrame, parts: DataFrame) -> DataFrame:
+    """The values of ``parts`` counted in BUCKETS parts of each: _k, _part, _low, _width, _n, _total, _wanted.
+
+    ``counted`` carries the lower end of its part as ``_part``, absent at first.
+    """
+    step = "greatest(CAST(ceil(_width / {0}) AS DECIMAL(20, 0)), CAST(1 AS DECIMAL(20, 0)))".format(BUCKETS)
+    named = parts.selectExpr("_k", "_low AS _part", f"{step} AS _step", "_total", "_wanted")
+    keys = [c for c in ("_k", "_part") if c in counted.columns]
+    bucket = "floor((CAST(_v AS DECIMAL(20, 0)) - CAST(_part AS DECIMAL(20, 0))) / _step)"
+    low = f"CAST(_part + CAST({bucket} * _step AS DECIMAL(20, 0)) AS BIGINT) AS _low"
+    return counted.join(named, keys).selectExpr("_k", "_part", "_v", "_n", low, "_step AS _width", "_total", "_wanted")
+
+
 def keyed_percentiles(counted: DataFrame, ps: Sequence[float], unit: float = 1.0) -> DataFrame:
     """Percentiles of a value table by its key ``_k``, to be joined with other aggregates of it."""
     fractions = ", ".join(f"{float(p)!r}D" for p in ps)
-    ranks = f"flatten(transform(array({fractions}), p -> array(floor((_total - 1) * p), ceil((_total - 1) * p))))"
-    first = counted.groupBy("_k", F.expr(f"shiftright(_v, {STEPS[0]}) AS _q")).agg(F.expr("sum(_n) AS _n"))
-    first = first.selectExpr("*", "sum(_n) OVER (PARTITION BY _k) AS _total")
-    found = _with_wanted(first, "_k", f"transform(array_distinct({ranks}), r -> struct(r AS rank, r AS at))")
-    for previous, shift in zip(STEPS, STEPS[1:]):
-        kept = counted.selectExpr("*", f"shiftright(_v, {previous}) AS _p").join(found, ["_k", "_p"])
-        level = kept.groupBy("_k", "_p", F.expr(f"shiftright(_v, {shift}) AS _q")).agg(
-            F.expr("sum(_n) AS _n"), F.expr("first(_wanted) AS _carried"), F.expr("first(_total) AS _total")
+    rows, found = counted, first_parts(counted, ps)
+    for _ in range(CUTS):
+        cut = cut_parts(rows, found)
+        level = cut.groupBy("_k", "_part", "_low").agg(
+            F.expr("sum(_n) AS _n"), F.expr("first(_width) AS _width"), F.expr("first(_total) AS _total"), F.expr("first(_wanted) AS _wanted")
         )
-        found = _with_wanted(level, "_k, _p", "_carried")
+        found = _with_wanted(level, "_k, _part")
+        rows = cut.selectExpr("_k", "_low AS _part", "_v", "_n")
+    left = rows.join(found.withColumnRenamed("_low", "_part"), ["_k", "_part"])
+    left = left.selectExpr("_k", "_part", "_v AS _low", "_width", "_n", "_total", "_wanted")
+    found = _with_wanted(left, "_k, _part")
 
     # At most two values per percentile and group are left.
     per_group = (
-        found.selectExpr("_k", "_total", "_p", "explode(_wanted.rank) AS _rank")
+        found.selectExpr("_k", "_total", "_low", "explode(_wanted.rank) AS _rank")
         .groupBy("_k")
         .agg(
             F.expr("first(_total) AS n"),
-            F.expr("map_from_entries(collect_list(struct(_rank, CAST(_p AS DOUBLE)))) AS _at"),
+            F.expr("map_from_entries(collect_list(struct(_rank, CAST(_low AS DOUBLE)))) AS _at"),
         )
     )
     interpolate = (

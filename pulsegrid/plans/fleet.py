@@ -57,7 +57,8 @@ def utilization(
     used = (
         timed.groupBy(F.col(vehicle).alias("vehicle"), clean.weekday_group(F.col(start)).alias("weekday_group"))
         .agg(
-            F.coalesce(F.sum(F.when(counted, F.col("duration_micros"))), F.lit(0)).alias("micros"),
+            # sums of microseconds outgrow 64 bits
+            F.coalesce(F.sum(F.when(counted, F.col("duration_micros").cast("decimal(38,0)"))), F.lit(0)).cast("double").alias("micros"),
             F.count_if(counted).alias("missions"),
         )
     )

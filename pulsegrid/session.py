@@ -1,11 +1,7 @@
-"""Session settings and the shared folder used to cut lineage."""
+"""Session settings, the shared folder, and written tables."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning carries the skew handling: joins below are left, semi,
@@ -33,26 +29,11 @@ def build_session(app: str = "pulsegrid", master: str | None = None, **extra: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    own = tempfile.mkdtemp(prefix="pulsegrid-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table and read it back, so later readers rescan the file only.
-
-    Without ``path`` the table goes to a fresh folder under the shared folder.
-    """
-    spark = df.sparkSession
-    target = path or os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the session's warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def materialise(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as a Parquet table and read it back, so later readers rescan the file only."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

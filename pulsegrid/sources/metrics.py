@@ -65,6 +65,6 @@ def load_metric(
     return rows.limit(limit)
 
 
-def materialised_metric(tables: Tables, metric: str, path: str | None = None, **options) -> DataFrame:
-    """The metric written to a Parquet table and read back, for many readers."""
-    return session.materialise(load_metric(tables, metric, **options), f"metric-{metric}", path)
+def materialised_metric(tables: Tables, metric: str, path: str, **options) -> DataFrame:
+    """The metric written to a Parquet table at ``path`` and read back, for many readers."""
+    return session.materialise(load_metric(tables, metric, **options), path)
