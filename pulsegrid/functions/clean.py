@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_DAY_FIRST = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}) "
+_ONSET_DATE = r"(^|\D)\d{1,2}\.\d{1,2}\.(\d{4}|\d{2})(\D|$)"
 
 # Every character that counts as whitespace at the ends of a text.
 WHITESPACE = (
@@ -41,13 +41,9 @@ def fold(text: Column) -> Column:
     return F.lower(strip(text))
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(strip(text), F.lit(""))
-
-
 def yes_no(text: Column) -> Column:
-    """``ja``/``yes`` to true, ``nein``/``no`` to false, any other text to null."""
-    word = F.lower(text)
+    """``ja``/``yes`` to true, ``nein``/``no`` to false, whatever the case or white space around; any other text to null."""
+    word = fold(text)
     return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
 
 
@@ -61,9 +57,10 @@ def to_status_time(date_text: Column, time_text: Column) -> Column:
 
     Dates are ``yyyy-MM-dd`` or day-first ``dd.MM.yyyy``; seconds are optional.
     """
-    joined = F.concat(F.trim(date_text), F.lit(" "), F.trim(time_text))
-    iso = F.regexp_replace(joined, _DAY_FIRST, "$3-$2-$1 ")
-    return F.when(time_text.rlike(r"\S"), iso.try_cast("timestamp_ntz"))
+    day, time = F.trim(date_text), strip(time_text)
+    parts = [F.split_part(day, F.lit("."), F.lit(k)) for k in (3, 2, 1)]
+    iso = F.when(F.contains(day, F.lit(".")), F.concat_ws("-", *parts)).otherwise(day)
+    return F.when(time != "", F.concat(iso, F.lit(" "), time).try_cast("timestamp_ntz"))
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -79,10 +76,6 @@ def hours(micros: Column) -> Column:
     return micros / F.lit(3_600_000_000.0)
 
 
-def minutes_between(start: Column, end: Column) -> Column:
-    return minutes(micros_between(start, end))
-
-
 def hours_between(start: Column, end: Column) -> Column:
     return hours(micros_between(start, end))
 
@@ -123,9 +116,11 @@ def month_name(month: Column) -> Column:
 
 
 def onset_kind(value: Column) -> Column:
-    """``date`` for text with a dot and at least 8 characters, else ``time`` for text with a colon."""
-    return F.when(value.contains(".") & (F.char_length(value) >= 8), "date").when(
-        value.contains(":"), "time"
+    """``date`` for day, month and a two- or four-digit year, else ``time`` for text with a colon, else ``other``; blank: null."""
+    return (
+        F.when(value.rlike(_ONSET_DATE), "date")
+        .when(value.contains(":"), "time")
+        .when(strip(value) != "", "other")
     )
 
 

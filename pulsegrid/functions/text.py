@@ -10,22 +10,14 @@ from pyspark.sql import functions as F
 from pulsegrid import vocab
 from pulsegrid.functions.clean import strip
 
-MIN_TEXT = 10
-PREVIEW = 100
-
 
 def pick_text(preferred: Sequence[Column], fallback: Sequence[Column] = ()) -> Column:
-    """First non-empty preferred field, else the first fallback field that is long enough; trimmed.
-
-    Texts of ten characters or fewer give null.
-    """
-    candidates = [F.nullif(c, F.lit("")) for c in preferred]
-    candidates += [F.when(F.char_length(strip(c)) > MIN_TEXT, c) for c in fallback]
-    chosen = strip(F.coalesce(*candidates))
-    return F.when(F.char_length(chosen) > MIN_TEXT, chosen)
+    """First preferred field that is not blank, else the first such fallback field; trimmed. All blank: null."""
+    return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in (*preferred, *fallback)])
 
 
-def preview(text: Column, size: int = PREVIEW) -> Column:
+def preview(text: Column, size: int = 100) -> Column:
+    """Beginning of a text for display, beside the text itself."""
     return F.when(F.char_length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit("..."))).otherwise(text)
 
 
@@ -74,10 +66,12 @@ def _cleaned(value: Column) -> Column:
     return F.when(F.startswith(bare, F.lit("- ")) | F.startswith(bare, F.lit("**")), "").otherwise(bare)
 
 
-def answer_columns(pairs: Column, fields: Mapping[str, str] = vocab.ANSWER_FIELDS) -> dict[str, Column]:
-    """One text column per field; the last line of a key wins, a missing key is empty text."""
+def answer_columns(keys: Column, values: Column, fields: Mapping[str, str] = vocab.ANSWER_FIELDS) -> dict[str, Column]:
+    """One text column per field from the keys and values of ``answer_pairs``, last line first.
+
+    The last line of a key wins; a missing key is empty text.
+    """
     def last_of(key: str) -> Column:
-        hits = F.filter(pairs, lambda p: p["key"] == key)
-        return F.try_element_at(hits, F.lit(-1))["value"]
+        return F.get(values, F.array_position(keys, key).cast("int") - 1)
 
     return {name: F.coalesce(_cleaned(last_of(key)), F.lit("")) for key, name in fields.items()}

@@ -18,12 +18,13 @@ from pulsegrid.sources import items
 def protocol_texts(freetexts: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """First anamnesis item per protocol with its text, optionally only of linked protocols.
 
-    Texts of ten characters or fewer are left out.
+    The text is the first field that is not blank, in the order ``text``, ``content``, ``value``,
+    ``data``, then any other text field of the item. Items without one are left out.
     """
     rows = items.texts(freetexts).where(F.col("description") == vocab.ITEM_ANAMNESIS)
     if linked is not None:
         rows = joins.keep_ids(rows, linked)
-    chosen = txt.pick_text([F.col("text"), F.col("content")])
+    chosen = txt.pick_text([F.col(c) for c in items.TEXT_FIELDS], [F.col(c) for c in items.OTHER_TEXT_FIELDS])
     rows = rows.where(F.col("protocolId") != "").select("protocolId", "_id", "pos", chosen.alias("text"))
     return (
         first.first_per_key(rows, ["protocolId"], ["_id", "pos"])
@@ -52,14 +53,19 @@ def prompts(texts: DataFrame, template: str = vocab.PROMPT) -> DataFrame:
 
 def parse_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
     """Twelve field columns out of each answer text; the other columns stay."""
-    paired = answers.withColumn("_pairs", txt.answer_pairs(F.col(column)))
-    return paired.withColumns(txt.answer_columns(F.col("_pairs"))).drop("_pairs", column)
+    paired = answers.withColumn("_pairs", F.reverse(txt.answer_pairs(F.col(column))))
+    split = paired.withColumns({"_keys": F.col("_pairs.key"), "_values": F.col("_pairs.value")})
+    split = joins.computed_once(split, ["_keys", "_values"])
+    return split.withColumns(txt.answer_columns(F.col("_keys"), F.col("_values"))).drop("_pairs", "_keys", "_values", column)
 
 
 def fan_out(texts: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Every protocol with the parsed answer to its whole text and a preview of the text."""
+    """Every protocol with the parsed answer to its whole text, the text, and its beginning for display."""
     shown = texts.select(
-        F.col("protocolId").alias("einsatz_id"), "text_key", txt.preview(F.col("text")).alias("anamnesis_text")
+        F.col("protocolId").alias("einsatz_id"),
+        "text_key",
+        F.col("text").alias("anamnesis_text"),
+        txt.preview(F.col("text")).alias("anamnesis_preview"),
     )
     return shown.join(parsed, "text_key").drop("text_key")
 

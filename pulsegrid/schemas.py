@@ -42,7 +42,7 @@ MEASURES = (
 
 FREETEXTS = (
     "_id STRING, protocolId STRING, data ARRAY<STRUCT<protocolId: STRING, description: STRING, "
-    "content: STRING, text: STRING>>"
+    "content: STRING, text: STRING, value: STRING, data: STRING, comment: STRING>>"
 )
 
 # One schema for both shapes a vitals file may have: items nested in ``data``

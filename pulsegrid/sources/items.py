@@ -20,6 +20,10 @@ FINDINGS = "protocols_findings"
 RESULTS = "protocols_results"
 MEASURES = "protocols_measures"
 
+# Text fields of a free-text item in order of preference; then its other text fields.
+TEXT_FIELDS = ["text", "content", "value", "data"]
+OTHER_TEXT_FIELDS = ["comment"]
+
 
 def zipped(fields: Sequence[str]) -> Column:
     """The ``data`` array cut down to the given item fields, so that the scan reads no others."""
@@ -111,7 +115,8 @@ def triage_score(results: DataFrame) -> DataFrame:
 def symptom_onset(results: DataFrame) -> DataFrame:
     """Last date, last time and last specification per protocol, from one aggregation.
 
-    Source and time come from the last onset item that has them, else from the specification.
+    A value that is neither date nor time is the onset if there is no other. Source and time come
+    from the last onset item that has them, else from the specification.
     """
     name, value = F.col("item.value_1"), F.col("item.value_2")
     is_onset = name == vocab.ITEM_ONSET
@@ -133,6 +138,7 @@ def symptom_onset(results: DataFrame) -> DataFrame:
         .agg(
             last(value, is_onset & (kind == "date")).alias("date"),
             last(value, is_onset & (kind == "time")).alias("time"),
+            last(value, is_onset & (kind == "other")).alias("other"),
             last(source, is_onset & (source != "")).alias("onset_source"),
             last(F.col("item.timeStamp"), is_onset & F.col("item.timeStamp").isNotNull()).alias("onset_timestamp"),
             last(spec, is_spec).alias("spec"),
@@ -141,7 +147,7 @@ def symptom_onset(results: DataFrame) -> DataFrame:
     return per_protocol.select(
         "protocolId",
         F.lit(vocab.ITEM_ONSET).alias("metric"),
-        F.nullif(F.concat_ws(" ", "date", "time"), F.lit("")).alias("onset_time"),
+        F.coalesce(F.nullif(F.concat_ws(" ", "date", "time"), F.lit("")), "other").alias("onset_time"),
         "date",
         "time",
         F.col("spec.text").alias("specification"),
@@ -242,6 +248,17 @@ def twelve_lead_ecgs(measures: DataFrame) -> DataFrame:
     )
 
 
+def rhythms(measures: DataFrame) -> DataFrame:
+    """Protocols of monitoring items that record the heart rhythm, 12-lead or not."""
+    wanted = (F.col("item.value_1") == vocab.ITEM_MONITORING) & F.col("item.value_2").contains("EKG")
+    return exploded(measures, "value_1", "value_2").where(wanted).select("protocolId")
+
+
+def onsets(results: DataFrame) -> DataFrame:
+    """Protocols of symptom-onset items, filled in or not."""
+    return exploded(results, "value_1").where(F.col("item.value_1") == vocab.ITEM_ONSET).select("protocolId")
+
+
 def extended_measures(measures: DataFrame) -> DataFrame:
     return (
         exploded(measures, "value_1", "value_2", "value_10", "value_11", "timeStamp", "source")
@@ -282,12 +299,12 @@ def vitals(documents: DataFrame, code: str) -> DataFrame:
 
 def texts(documents: DataFrame) -> DataFrame:
     """Free-text items with the item's own protocol id, else the document's."""
-    items = F.posexplode(zipped(["protocolId", "description", "content", "text"])).alias("pos", "item")
+    fields = [*TEXT_FIELDS, *OTHER_TEXT_FIELDS]
+    items = F.posexplode(zipped(["protocolId", "description", *fields])).alias("pos", "item")
     return documents.select("_id", F.col("protocolId").alias("doc_protocol"), items).select(
         "_id",
         "pos",
         F.coalesce("item.protocolId", "doc_protocol").alias("protocolId"),
         F.col("item.description").alias("description"),
-        F.col("item.content").alias("content"),
-        F.col("item.text").alias("text"),
+        *[F.col(f"item.{f}").alias(f) for f in fields],
     )

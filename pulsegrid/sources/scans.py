@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid import vocab
 from pulsegrid.functions import clean
 from pulsegrid.operators import first, joins
 from pulsegrid.schemas import STATUS_CODES
@@ -57,9 +56,9 @@ def status_times(details: DataFrame, statuses: Sequence[str]) -> DataFrame:
     return joins.computed_once(parsed, list(statuses))
 
 
-def dispatch_records(dispatch: DataFrame, district: str = vocab.DISTRICT, limit: int | None = None) -> DataFrame:
-    """Control-centre records of one district, or its newest ``limit`` ones."""
-    rows = dispatch.where(F.col("EO_LANDKREIS") == district)
+def dispatch_records(dispatch: DataFrame, district: str | None = None, limit: int | None = None) -> DataFrame:
+    """Control-centre records of all districts or of one, or the newest ``limit`` of them."""
+    rows = dispatch if district is None else dispatch.where(F.col("EO_LANDKREIS") == district)
     return first.newest(rows, "EINSATZBEGINN", ["EINSATZ_NR", "AUFTRAGS_NR"], limit)
 
 
