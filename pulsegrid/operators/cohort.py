@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,28 @@ def last_years(df: DataFrame, ts: str, n: int = 2, among: DataFrame | None = Non
     return df.where(F.col(ts) >= newest.agg(first_day).scalar())
 
 
+def by_defaults(
+    df: DataFrame, wanted: Mapping[str, Column], ts: str | None = None, n: int = 2, among: DataFrame | None = None
+) -> DataFrame:
+    """Several defaults at once: per column the wanted rows, or those of the smallest value if there are
+    none; and of ``ts`` the last ``n`` distinct years. All come from one aggregate row over ``among``.
+    """
+    whole = among or df
+    found = [
+        F.when(~F.coalesce(F.bool_or(test), F.lit(False)), F.min(column)).alias(column) for column, test in wanted.items()
+    ]
+    if ts:
+        # a few dozen distinct years at most
+        years = F.reverse(F.array_sort(F.collect_set(F.year(ts))))
+        found.append(F.make_date(F.array_min(F.slice(years, 1, n)), F.lit(1), F.lit(1)).cast("timestamp_ntz").alias("_from"))
+    if not found:
+        return df
+    defaults = whole.agg(F.struct(*found).alias("defaults")).scalar()
+    for column, test in wanted.items():
+        df = df.where(test | F.coalesce(F.col(column) == defaults[column], F.lit(False)))
+    return df.where(F.col(ts) >= defaults["_from"]) if ts else df
+
+
 def contains_or_exact(df: DataFrame, column: str, include: str, exclude: str, exact: str) -> DataFrame:
     """Rows whose value holds ``include`` and not ``exclude``; if there are none, rows equal to ``exact``."""
     wanted = classify.term_match(F.col(column), [include], [exclude])

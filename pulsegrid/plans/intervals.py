@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid import vocab
-from pulsegrid.functions import clean
+from pulsegrid.functions import classify, clean
 from pulsegrid.operators import cohort, first, joins, percentiles, summary
 from pulsegrid.sources import items, scans
 
@@ -29,6 +29,10 @@ TARGET_MINUTES = 60
 PERCENTILE_NAMES = ["p10", "p25", "p50", "p75", "p90"]
 MINUTE = 60_000_000.0
 
+# A selection left as the report starts with; else a list of values, or None for all.
+DEFAULT = "default"
+Choice = Sequence | str | None
+
 
 def interval_table(rows: DataFrame, spans: Mapping[str, tuple[str, str]] = INTERVALS) -> DataFrame:
     """Add each interval in microseconds; rows with a negative one are removed, null ones stay."""
@@ -68,24 +72,41 @@ def select_missions(
     return rows.where(F.year("missionDate").isin(list(years))) if years else rows
 
 
-def default_selection(index: DataFrame, terms: Sequence[str] | None) -> DataFrame:
-    """What the report shows before anything is chosen: primary missions, diagnoses with a term,
-    last two years. Each default is derived from the whole table, as a scalar subquery."""
-    rows = cohort.default_by_values(index, "missionType", vocab.PRIMARY_MISSION_TYPES)
-    if terms:
-        rows = cohort.default_by_terms(rows, "leadingDiagnosis", terms, among=index)
-    return cohort.last_years(rows, "missionDate", among=index)
+def selection(
+    index: DataFrame,
+    terms: Sequence[str] | None,
+    mission_types: Choice = DEFAULT,
+    diagnoses: Choice = DEFAULT,
+    years: Choice = DEFAULT,
+) -> DataFrame:
+    """The report's three selections. Each is a list, ``None`` for all, or ``DEFAULT``: what the report
+    shows before anything is chosen, which is primary missions, diagnoses with a term, the last two years.
+
+    Defaults are derived from the whole table, all in one aggregate row used as a scalar subquery.
+    """
+    wanted = {}
+    if mission_types == DEFAULT:
+        wanted["missionType"] = F.coalesce(F.col("missionType").isin(vocab.PRIMARY_MISSION_TYPES), F.lit(False))
+    if diagnoses == DEFAULT and terms:
+        wanted["leadingDiagnosis"] = classify.term_match(F.col("leadingDiagnosis"), terms)
+    rows = select_missions(
+        index,
+        None if mission_types == DEFAULT else mission_types,
+        None if diagnoses == DEFAULT else diagnoses,
+        None if years == DEFAULT else years,
+    )
+    return cohort.by_defaults(rows, wanted, "missionDate" if years == DEFAULT else None, among=index)
 
 
-def cohort_intervals(index: DataFrame, details: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Interval table of the default selection for diagnosis ``terms``."""
-    return interval_table(_with_details(default_selection(index, terms), details))
+def cohort_intervals(index: DataFrame, details: DataFrame, terms: Sequence[str], **choices: Choice) -> DataFrame:
+    """Interval table of the cohort of diagnosis ``terms``; ``choices`` as in ``selection``."""
+    return interval_table(_with_details(selection(index, terms, **choices), details))
 
 
-def resuscitation_intervals(index: DataFrame, details: DataFrame, results: DataFrame) -> DataFrame:
+def resuscitation_intervals(index: DataFrame, details: DataFrame, results: DataFrame, **choices: Choice) -> DataFrame:
     """Interval table of missions with a confirmed resuscitation, one row per positive item."""
     positive = items.resuscitations(results).where("rea_status").select("protocolId", "rea_status")
-    selected = default_selection(index.join(positive, "protocolId"), None)
+    selected = selection(index.join(positive, "protocolId"), None, **choices)
     return interval_table(_with_details(selected, details))
 
 
@@ -96,10 +117,11 @@ def head_injury_intervals(
     low: float = 3,
     high: float = 8,
     kind: str = vocab.FIRST_FINDING,
+    **choices: Choice,
 ) -> DataFrame:
     """Interval table of head injuries whose consciousness score lies in the range."""
     scored = cohort.score_range(items.scores(findings, vocab.ITEM_SCORE), low, high, kind)
-    selected = default_selection(index, vocab.COHORT_TERMS["head_injury"])
+    selected = selection(index, vocab.COHORT_TERMS["head_injury"], **choices)
     return interval_table(_with_details(joins.keep_ids(selected, scored), details))
 
 
@@ -161,7 +183,8 @@ def process_shares(
     """Mean minutes of each part over rows that have all parts, and its percentage of their sum."""
     whole = valid(intervals, main).na.drop(subset=list(parts))
     sums = whole.groupBy(*by).agg(
-        *[F.sum(p).alias(p) for p in parts], F.count(F.lit(1)).alias("_rows")
+        # sums of microseconds outgrow 64 bits
+        *[F.sum(F.col(p).cast("decimal(38,0)")).cast("double").alias(p) for p in parts], F.count(F.lit(1)).alias("_rows")
     ).where(F.col("_rows") > 0)
     total = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
     long = sums.withColumn("_total", total).unpivot([*by, "_rows", "_total"], list(parts), "interval", "_micros")
