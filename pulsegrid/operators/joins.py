@@ -26,12 +26,23 @@ def left_outer(left: DataFrame, right: DataFrame, key: str = "protocolId", suffi
     return left.join(_suffixed(left, right, key, suffix), key, "left")
 
 
+def left_by(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """All left rows with the right rows of an equal key; rows without a key take no part in the join.
+
+    So the rows that link to nothing do not meet in one partition. No column name may occur on both sides.
+    """
+    keyed = left.where(F.col(left_key).isNotNull())
+    linked = keyed.join(right, keyed[left_key] == right[right_key], "left")
+    return linked.unionByName(left.where(F.col(left_key).isNull()), allowMissingColumns=True)
+
+
 def full_outer(left: DataFrame, right: DataFrame, key: str = "protocolId", suffix: str = "_y") -> DataFrame:
     """All rows of both sides on ``key``; right columns that clash get ``suffix``.
 
     Written as left join plus the unmatched right rows: unlike one full outer
     join, both halves can be split at run time when a key, or the null key,
     is oversized. A filter on left columns drops the second half altogether.
+    Each input is read twice, the left one the second time for its key only.
     """
     renamed = _suffixed(left, right, key, suffix)
     alone = renamed.join(left.select(key), key, "left_anti")

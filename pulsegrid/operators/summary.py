@@ -22,6 +22,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
 
+def with_target(df: DataFrame, target: float = 100, value: str = "percent", name: str = "to_target") -> DataFrame:
+    """Add the distance of a percentage to its target, negative below it."""
+    return df.withColumn(name, F.col(value) - F.lit(float(target)))
+
+
 def value_counts(df: DataFrame, value: str, keep_null: bool = False, name: str = "count") -> DataFrame:
     """Rows per value; null values count only with ``keep_null``."""
     rows = df if keep_null else df.where(F.col(value).isNotNull())
@@ -33,16 +38,20 @@ def top_values(df: DataFrame, value: str, n: int = 10, name: str = "count") -> D
     return value_counts(df, value, name=name).orderBy(F.col(name).desc(), value).limit(n)
 
 
+def failures_first(df: DataFrame, flag: str, tie: Sequence[str]) -> DataFrame:
+    """Detail rows for reading: those that miss the flag first, then by the tie-breakers."""
+    return df.orderBy(F.coalesce(F.col(flag), F.lit(False)), *tie)
+
+
 def top_n_other(df: DataFrame, value: str, n: int = 10, other: str = vocab.OTHER) -> DataFrame:
     """The ``n`` most frequent values and one row with the sum of all others, if there are any.
 
-    Only the counted table is ranked, by a top-N; the n rows found are the
-    side the anti join broadcasts.
+    Only the counted table is ranked, by a top-N.
     """
     counts = value_counts(df, value)
     top = counts.orderBy(F.col("count").desc(), value).limit(n)
     rest = (
-        counts.join(F.broadcast(top.select(value)), value, "left_anti")
+        counts.join(top.select(value), value, "left_anti")
         .agg(F.sum("count").alias("count"))
         .where(F.col("count") > 0)
         .select(F.lit(other).alias(value), "count")
@@ -101,7 +110,7 @@ def category_table(df: DataFrame, row: str, column: str, categories: Sequence[st
 
 def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Percentage of rows with an entry, one row per column, from one pass."""
-    one = df.agg(*[(F.count(F.col(c)) / F.count(F.lit(1)) * 100).alias(c) for c in columns])
+    one = df.agg(*[percent(F.count(F.col(c)), F.count(F.lit(1))).alias(c) for c in columns])
     return to_long(one, [], columns, "field", "percent")
 
 

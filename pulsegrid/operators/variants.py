@@ -1,12 +1,13 @@
 """Matching of free-text names against a table of name variants, first variant wins.
 
 A variant matches a name when either contains the other. Both directions are
-equality joins on substrings, so no pair that does not match is ever formed:
+equality joins on pieces of one fixed length, that of the shortest variant,
+followed by the exact test:
 
-* variant in name: the name is cut into its substrings of the lengths variants
-  have, and each piece is looked up as a variant;
-* name in variant: every substring of a variant is an entry that already holds
-  the best variant containing it, and the whole name is looked up once.
+* variant in name: the pieces of the name are looked up as beginnings of variants;
+* name in variant: the beginning of the name is looked up among the pieces of
+  variants. A name shorter than a piece is looked up among all shorter ones,
+  each of which already holds the best variant that contains it.
 
 Only distinct names are cut; callers join the result back.
 """
@@ -17,14 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(texts: DataFrame, text: str, lengths: Column) -> DataFrame:
-    """One row per distinct substring of the given lengths, as ``piece`` next to the other columns."""
-    sized = texts.withColumn("_lengths", lengths)
-    sized = sized.select(*texts.columns, F.explode("_lengths").alias("_length"))
-    size = F.char_length(text)
-    starts = F.sequence(F.lit(1), size - F.col("_length") + 1)
-    pieces = F.transform(starts, lambda at: F.substring(F.col(text), at, F.col("_length")))
-    return sized.where(F.col("_length") <= size).select(*texts.columns, F.explode(F.array_distinct(pieces)).alias("piece"))
+def _pieces(text: Column, size: Column) -> Column:
+    """Distinct pieces of the given length, empty for a shorter text."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
+    cut = F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, size)))
+    return F.when(F.char_length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
 
 
 def match_names(names: DataFrame, name: str, variants: DataFrame) -> DataFrame:
@@ -36,17 +34,27 @@ def match_names(names: DataFrame, name: str, variants: DataFrame) -> DataFrame:
     variants = variants.where(F.char_length("variant") > 0)
     distinct = names.select(F.col(name)).where(F.char_length(name) > 0).distinct()
     entry = F.struct("rank", "variant")
+    size = variants.agg(F.min(F.char_length("variant"))).scalar()
+    listed = variants.select("rank", "variant", size.alias("_size"))
+    sized = distinct.select(name, size.alias("_size"))
 
-    lengths = variants.agg(F.collect_set(F.char_length("variant"))).scalar()
-    holds_variant = _cut(distinct, name, lengths).join(variants, F.col("piece") == F.col("variant"))
-    holds_variant = holds_variant.select(name, entry.alias("_best"))
+    begins = listed.select(F.left("variant", F.col("_size")).alias("piece"), entry.alias("_best"), "variant")
+    cut = sized.select(name, F.explode(_pieces(F.col(name), F.col("_size"))).alias("piece"))
+    holds_variant = cut.join(begins, "piece").where(F.contains(F.col(name), F.col("variant")))
 
-    substrings = _cut(variants.select("rank", "variant"), "variant", F.sequence(F.lit(1), F.char_length("variant")))
-    entries = substrings.groupBy("piece").agg(F.min(entry).alias("_best"))
-    in_variant = distinct.join(entries, F.col(name) == F.col("piece")).select(name, "_best")
+    inner = listed.select(F.explode(_pieces(F.col("variant"), F.col("_size"))).alias("piece"), entry.alias("_best"), "variant")
+    long_names = sized.where(F.char_length(name) > F.col("_size")).select(name, F.left(name, F.col("_size")).alias("piece"))
+    in_variant = long_names.join(inner, "piece").where(F.contains(F.col("variant"), F.col(name)))
+
+    up_to = F.sequence(F.lit(1), F.col("_size"))
+    shorter = listed.select(F.explode(F.flatten(F.transform(up_to, lambda n: _pieces(F.col("variant"), n)))).alias(name), entry.alias("_best"))
+    shorter = shorter.groupBy(name).agg(F.min("_best").alias("_best"))
+    is_short = distinct.join(shorter, name).select(name, "_best")
 
     best = (
-        holds_variant.unionByName(in_variant)
+        holds_variant.select(name, "_best")
+        .unionByName(in_variant.select(name, "_best"))
+        .unionByName(is_short)
         .groupBy(name)
         .agg(F.min("_best").alias("_best"))
         .select(name, F.col("_best.rank").alias("rank"), F.col("_best.variant").alias("variant"))

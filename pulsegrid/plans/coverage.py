@@ -15,9 +15,6 @@ from pulsegrid.sources import items
 
 ALL_KINDS = "all"
 
-# The kinds of measurement the monitoring indicator asks for.
-MONITORED = {"gcs": "GCS", "bd": "Blutdruck", "hf": "Herzfrequenz", "spo2": "SpO2", "af": "Atemfrequenz"}
-
 
 def measurement_counts(ids: DataFrame, measured: Mapping[str, DataFrame], minimum: int = 2) -> DataFrame:
     """Per distinct protocol: count of each kind, a flag per kind with enough, and one for all kinds.
@@ -40,10 +37,10 @@ def measurement_counts(ids: DataFrame, measured: Mapping[str, DataFrame], minimu
 
 
 def coverage_shares(counts: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """Percentage of protocols per kind and for all kinds, one row each."""
+    """Percentage of protocols per kind and for all kinds, one row each, with its distance to all of them."""
     names = [*kinds, ALL_KINDS]
     one = counts.agg(*[summary.share(F.col(f"{k}_met")).alias(k) for k in names])
-    return summary.to_long(one, [], names, "kind", "percent")
+    return summary.with_target(summary.to_long(one, [], names, "kind", "percent"))
 
 
 def monitoring_coverage(index: DataFrame, measured: Mapping[str, DataFrame]) -> DataFrame:
@@ -72,9 +69,20 @@ def glucose_when_unconscious(scores: DataFrame, glucose: DataFrame) -> DataFrame
 
 
 def glucose_detail(scores: DataFrame, glucose: DataFrame) -> DataFrame:
-    """Cases with every valid glucose value; cases without one keep a null."""
-    values = glucose.where(F.col("value") > 0).select("protocolId", F.col("value").alias("bz_value"))
-    return reduced_consciousness(scores).join(values, "protocolId", "left")
+    """Cases with the number, sum, smallest and largest of their valid glucose values.
+
+    Values are reduced per protocol first, so many scores and many values of one protocol never multiply.
+    """
+    value = F.col("value").cast("decimal(20,4)")
+    per_protocol = (
+        glucose.where(F.col("value") > 0)
+        .groupBy("protocolId")
+        .agg(
+            F.count(F.lit(1)).alias("bz_count"), F.sum(value).alias("bz_sum"), F.min("value").alias("bz_min"), F.max("value").alias("bz_max")
+        )
+    )
+    joined = reduced_consciousness(scores).join(per_protocol, "protocolId", "left")
+    return joined.withColumn("bz_count", F.coalesce("bz_count", F.lit(0)))
 
 
 def cohort_flags(cases: DataFrame, measured: DataFrame, flag: str = "measured") -> DataFrame:
@@ -142,6 +150,32 @@ def documentation_bundle(cases: DataFrame, documented: Mapping[str, tuple[DataFr
     return coverage_shares(counts, list(documented))
 
 
+def stroke_bundle(index: DataFrame, findings: DataFrame, results: DataFrame, measures: DataFrame, glucose: DataFrame, temperature: DataFrame) -> DataFrame:
+    """Two scores, glucose, neurological signs, temperature, rhythm and onset in primary missions for a stroke."""
+    primary = index.where(F.col("missionType").isin(vocab.PRIMARY_MISSION_TYPES))
+    cases = cohort.by_terms(primary, "leadingDiagnosis", vocab.STROKE_TERMS)
+    return documentation_bundle(cases, {
+        "score": (items.scores(findings, vocab.ITEM_SCORE), 2),
+        "glucose": (glucose, 1),
+        "neuro": (items.neurological_signs(findings), 1),
+        "temperature": (temperature, 1),
+        "rhythm": (items.rhythms(measures), 1),
+        "onset": (items.onsets(results), 1),
+    })
+
+
+def head_injury_bundle(index: DataFrame, findings: DataFrame) -> DataFrame:
+    """Consciousness at the first finding, pupils and two scores in primary missions for a head injury."""
+    primary = index.where(F.col("missionType").isin(vocab.PRIMARY_MISSION_TYPES))
+    cases = cohort.by_terms(primary, "leadingDiagnosis", vocab.COHORT_TERMS["head_injury"])
+    scores = items.scores(findings, vocab.ITEM_SCORE).where(F.col("value_num").isNotNull())
+    return documentation_bundle(cases, {
+        "consciousness": (scores.where(F.col("type") == vocab.FIRST_FINDING), 1),
+        "pupils": (items.pupil_status(findings), 1),
+        "score": (scores, 2),
+    })
+
+
 def pain_relief(pain: DataFrame, start: float = 5, drop: float = 2) -> DataFrame:
     """Protocols with a first score of at least ``start`` and those whose last one is lower than that
     or dropped by ``drop``; first and last by time, each protocol reduced map-side."""

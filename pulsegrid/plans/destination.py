@@ -13,14 +13,24 @@ from pulsegrid.operators import cohort, summary
 from pulsegrid.operators.variants import match_names
 
 
+# Keys that the rows of one destination are spread over.
+SALTS = 16
+
+
 def with_capabilities(df: DataFrame, target: str, variants: DataFrame) -> DataFrame:
     """Add ``granted``, the capabilities of the first name variant the destination text matches.
 
-    Only distinct destination texts are matched. A blank destination matches nothing.
+    Only distinct destination texts are matched. A blank destination matches nothing and takes no
+    part in the join; a frequent one is spread over ``SALTS`` keys.
     """
     named = df.withColumn("_target", clean.fold(F.col(target)))
-    best = match_names(named, "_target", variants).drop("rank")
-    return named.join(best, "_target", "left").drop("_target")
+    blank = F.coalesce(F.col("_target"), F.lit("")) == ""
+    best = match_names(named.where(~blank), "_target", variants).drop("rank")
+    spread = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    salted = named.where(~blank).withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    found = salted.join(spread, ["_target", "_salt"], "left").drop("_target", "_salt")
+    return found.unionByName(named.where(blank).drop("_target"), allowMissingColumns=True)
 
 
 def mark_eligible(
@@ -41,7 +51,7 @@ def mark_eligible(
 def eligibility_share(cases: DataFrame) -> DataFrame:
     return cases.agg(
         F.count(F.lit(1)).alias("cases"), F.count_if("hospital_eligible").alias("eligible")
-    ).withColumn("percent", summary.percent(F.col("eligible"), F.col("cases")))
+    ).transform(lambda d: summary.with_target(d.withColumn("percent", summary.percent(F.col("eligible"), F.col("cases")))))
 
 
 def trauma_cases(index: DataFrame, variants: DataFrame) -> DataFrame:

@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import flows, summary
+from pulsegrid.operators import flows, joins, summary
 
 
 def link_dispatch(missions: DataFrame, dispatch: DataFrame) -> DataFrame:
     """Every mission row with its dispatch records, one to many."""
-    return missions.join(dispatch, missions["missionNumber"] == dispatch["EINSATZ_NR"], "left")
+    return joins.left_by(missions, dispatch, "missionNumber", "EINSATZ_NR")
 
 
 def link_protocols(dispatch: DataFrame, index: DataFrame) -> DataFrame:
     """Every dispatch record with its protocols."""
-    return dispatch.join(index, dispatch["EINSATZ_NR"] == index["missionNumber"], "left")
+    return joins.left_by(dispatch, index, "EINSATZ_NR", "missionNumber")
 
 
 def add_texts(linked: DataFrame, freetexts: DataFrame) -> DataFrame:
     """Free-text documents joined on, clashing columns with a suffix."""
     clashes = [c for c in freetexts.columns if c in linked.columns and c != "protocolId"]
     renamed = freetexts.withColumnsRenamed({c: f"{c}_Freetext" for c in clashes})
-    return linked.join(renamed, "protocolId", "left")
+    return joins.left_by(linked, renamed.withColumnRenamed("protocolId", "_text_of"), "protocolId", "_text_of").drop("_text_of")
 
 
 def mission_match_quality(missions: DataFrame, dispatch: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,5 +73,23 @@ def indicated_totals(labelled: DataFrame, fields: Sequence[str] = tuple(NEEDS),
     return one.unpivot([], list(fields), "field", "indicated")
 
 
+def overview(labelled: DataFrame, fields: Sequence[str] = tuple(NEEDS), needed: str = "indiziert") -> DataFrame:
+    """All figures of the report as (measure, value), from one pass over the texts.
+
+    Texts, silent ones with their percentage, documentation rate and indications per field, and texts
+    by the number of fields indicated (numbers that occur).
+    """
+    silent = reduce(lambda a, b: a & b, [F.col(f).isNull() for f in fields])
+    asked = sum((F.when(F.col(f) == needed, 1).otherwise(0) for f in fields), F.lit(0))
+    texts = F.count(F.lit(1))
+    figures = {"texts": texts, "undocumented": F.count_if(silent), "undocumented_percent": summary.percent(F.count_if(silent), texts)}
+    figures |= {f"rate {f}": summary.percent(F.count(f), texts) for f in fields}
+    figures |= {f"indicated {f}": F.count_if(F.col(f) == needed) for f in fields}
+    figures |= {f"needs {n}": F.count_if(asked == n) for n in range(len(fields) + 1)}
+    one = labelled.agg(*[c.cast("double").alias(name) for name, c in figures.items()])
+    long = one.unpivot([], list(figures), "measure", "value")
+    return long.where(~(F.startswith("measure", F.lit("needs ")) & (F.col("value") == 0)))
+
+
 def documentation_rates(labelled: DataFrame, fields: Sequence[str] = tuple(NEEDS)) -> DataFrame:
     return summary.completeness(labelled, fields)

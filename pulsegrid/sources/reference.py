@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from pulsegrid import vocab
 
 
+# Fixed value: the first column of the capability file.
+HOSPITAL_NAME = "Name"
+
+
 def read_hospitals(spark: SparkSession, path: str) -> DataFrame:
     """Capability file: ``;``-separated, first column a list of name variants in file order."""
-    columns = ["Name", *vocab.CAPABILITIES]
-    schema = ", ".join([f"`{columns[0]}` STRING"] + [f"`{c}` BOOLEAN" for c in columns[1:]])
-    raw = spark.read.schema(schema).csv(path, sep=";", header=True, quote="")
-    return raw.withColumn("row", F.monotonically_increasing_id()).withColumn(
-        "names", F.from_json("Name", "array<string>")
-    )
+    lines = spark.read.text(path).withColumn("row", F.monotonically_increasing_id())
+    return hospital_rows(lines.where(~F.startswith("value", F.lit(f"{HOSPITAL_NAME};"))))
+
+
+def hospital_rows(lines: DataFrame) -> DataFrame:
+    """Rows of the capability file out of its lines (``row``, ``value``), header left out."""
+    schema = ", ".join([f"`{HOSPITAL_NAME}` STRING"] + [f"`{c}` BOOLEAN" for c in vocab.CAPABILITIES])
+    parsed = F.from_csv("value", schema, {"sep": ";", "quote": ""})
+    rows = lines.where(F.trim("value") != "").select("row", parsed.alias("_line")).select("row", "_line.*")
+    return rows.withColumn("names", F.from_json(HOSPITAL_NAME, "array<string>"))
 
 
 def name_variants(hospitals: DataFrame, capabilities: list[str] = vocab.CAPABILITIES) -> DataFrame:
