@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
 
 from benchset import views as v
 from benchset.registry import query, rounded
 from pulsegrid import vocab
-from pulsegrid.operators import cohort, flows
+from pulsegrid.operators import cohort, flows, summary
 from pulsegrid.operators.variants import match_names
 from pulsegrid.plans import coverage, destination, linkage
 from pulsegrid.sources import items, reference, scans
@@ -44,18 +45,33 @@ cnt AS (SELECT protocolId,
 @query(
     "monitoring_coverage",
     W(v.SQL_FINDINGS, v.SQL_VITALS, SQL_COUNTS)
-    + """SELECT 'gcs' AS kind, round(avg(CASE WHEN gcs_count >= 2 THEN 100.0 ELSE 0 END), 6) AS percent FROM cnt
+    + """, s AS (SELECT 'gcs' AS kind, round(avg(CASE WHEN gcs_count >= 2 THEN 100.0 ELSE 0 END), 6) AS percent FROM cnt
     UNION ALL SELECT 'bd', round(avg(CASE WHEN bd_count >= 2 THEN 100.0 ELSE 0 END), 6) FROM cnt
     UNION ALL SELECT 'hf', round(avg(CASE WHEN hf_count >= 2 THEN 100.0 ELSE 0 END), 6) FROM cnt
     UNION ALL SELECT 'spo2', round(avg(CASE WHEN spo2_count >= 2 THEN 100.0 ELSE 0 END), 6) FROM cnt
     UNION ALL SELECT 'af', round(avg(CASE WHEN af_count >= 2 THEN 100.0 ELSE 0 END), 6) FROM cnt
     UNION ALL SELECT 'all', round(avg(CASE WHEN least(gcs_count, bd_count, hf_count, spo2_count, af_count) >= 2
-        THEN 100.0 ELSE 0 END), 6) FROM cnt""",
+        THEN 100.0 ELSE 0 END), 6) FROM cnt)
+    SELECT kind, percent, round(percent - 100, 6) AS to_target FROM s""",
 )
 def monitoring_coverage(spark, sf):
     return rounded(coverage.monitoring_coverage(monitored_index(spark, sf), measured(spark, sf)))
 
 
+@query(
+    "monitoring_failures_first",
+    W(v.SQL_FINDINGS, v.SQL_VITALS, SQL_COUNTS)
+    + """SELECT protocolId, least(gcs_count, bd_count, hf_count, spo2_count, af_count) >= 2 AS all_met,
+    gcs_count + bd_count + hf_count + spo2_count + af_count AS measurements FROM cnt ORDER BY 2, 1""",
+)
+def monitoring_failures_first(spark, sf):
+    """The detail table as it is read: protocols that miss a kind come first."""
+    ids = scans.select_values(monitored_index(spark, sf), "missionType", vocab.MONITORED_MISSION_TYPES)
+    counts = coverage.measurement_counts(ids, measured(spark, sf))
+    total = sum((F.col(f"{k}_count") for k in ("bd", "hf", "spo2", "af")), F.col("gcs_count"))
+    return summary.failures_first(counts, "all_met", ["protocolId"]).select("protocolId", "all_met", total.alias("measurements"))
+
+
 @query(
     "monitoring_counts",
     W(v.SQL_FINDINGS, v.SQL_VITALS, SQL_COUNTS)
@@ -95,9 +111,9 @@ def conditional_measure_detail(spark, sf):
     detail = coverage.glucose_detail(scores, items.vitals(v.vitals(spark, sf, "bz"), "bz"))
     return rounded(
         detail.groupBy("protocolId", "value_num").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("bz_value").alias("with_value"),
-            F.sum(F.col("bz_value").cast("decimal(20,4)")).cast("double").alias("bz_sum"),
+            F.sum(F.greatest("bz_count", F.lit(1))).alias("n"),
+            F.sum("bz_count").alias("with_value"),
+            F.sum("bz_sum").cast("double").alias("bz_sum"),
         ),
         4,
     )
@@ -171,12 +187,13 @@ def therapy_doses(spark, sf):
     W(v.SQL_MEASURES)
     + """, tube AS (SELECT DISTINCT protocolId FROM mea WHERE value_1 = 'Atemweg' AND value_2 = 'Intubation'
         AND value_3 IN ('ECONOMY', 'PROMO')),
-    co2 AS (SELECT DISTINCT CAST(event_id AS VARCHAR) AS protocolId FROM events WHERE event_type = 'error' AND event_id % 6 <> 0)
+    co2 AS (SELECT DISTINCT CAST(event_id AS VARCHAR) AS protocolId FROM events
+        WHERE event_type = 'view' AND event_id % 8 >= 6 AND event_id % 6 <> 0)
     SELECT count(*) AS cases, count(c.protocolId) AS with_measure, round(count(c.protocolId) * 100.0 / count(*), 6) AS percent
     FROM tube LEFT JOIN co2 c USING (protocolId)""",
 )
 def capnography_share(spark, sf):
-    co2 = items.vitals(v.vitals(spark, sf, "spo2", "event_id"), "co2")
+    co2 = items.vitals(v.vitals(spark, sf, "co2", "event_id"), "co2")
     return rounded(
         coverage.capnography_after_airway(items.intubations(v.measures(spark, sf)), co2, ["ECONOMY", "PROMO"])
     )
@@ -191,12 +208,13 @@ def capnography_share(spark, sf):
         (SELECT count(*) FROM vit WHERE vit.protocolId = ids.protocolId AND metric = 'bz') AS glucose,
         (SELECT count(*) FROM fnd WHERE fnd.protocolId = ids.protocolId AND description = 'Auffälligkeiten') AS neuro,
         (SELECT count(*) FROM res WHERE res.protocolId = ids.protocolId AND value_1 = 'Symptombeginn') AS onset FROM ids)
-    SELECT 'score' AS kind, round(avg(CASE WHEN score >= 2 THEN 100.0 ELSE 0 END), 6) AS percent FROM n
+    , s AS (SELECT 'score' AS kind, round(avg(CASE WHEN score >= 2 THEN 100.0 ELSE 0 END), 6) AS percent FROM n
     UNION ALL SELECT 'glucose', round(avg(CASE WHEN glucose >= 1 THEN 100.0 ELSE 0 END), 6) FROM n
     UNION ALL SELECT 'neuro', round(avg(CASE WHEN neuro >= 1 THEN 100.0 ELSE 0 END), 6) FROM n
     UNION ALL SELECT 'onset', round(avg(CASE WHEN onset >= 1 THEN 100.0 ELSE 0 END), 6) FROM n
     UNION ALL SELECT 'all', round(avg(CASE WHEN score >= 2 AND glucose >= 1 AND neuro >= 1 AND onset >= 1
-        THEN 100.0 ELSE 0 END), 6) FROM n""",
+        THEN 100.0 ELSE 0 END), 6) FROM n)
+    SELECT kind, percent, round(percent - 100, 6) AS to_target FROM s""",
 )
 def documentation_bundle(spark, sf):
     findings, results = v.findings(spark, sf), v.results(spark, sf)
@@ -204,11 +222,63 @@ def documentation_bundle(spark, sf):
         "score": (items.scores(findings, vocab.ITEM_SCORE), 2),
         "glucose": (items.vitals(v.vitals(spark, sf, "bz"), "bz"), 1),
         "neuro": (items.neurological_signs(findings), 1),
-        "onset": (items.exploded(results, "value_1").where(F.col("item.value_1") == vocab.ITEM_ONSET), 1),
+        "onset": (items.onsets(results), 1),
     }
     return rounded(coverage.documentation_bundle(monitored_index(spark, sf), documented))
 
 
+def _sql_bundle(kinds: dict[str, tuple[str, int]]) -> str:
+    """Shares of the cases ``c`` with enough entries of each kind; a kind is the SQL of its protocols."""
+    counts = " ".join(
+        f"LEFT JOIN (SELECT protocolId, count(*) AS {k} FROM ({rows}) GROUP BY 1) USING (protocolId)" for k, (rows, _) in kinds.items()
+    )
+    met = {k: f"coalesce({k}, 0) >= {least}" for k, (_, least) in kinds.items()}
+    met["all"] = " AND ".join(met.values())
+    return (
+        f", n AS (SELECT * FROM c {counts}), s AS ("
+        + " UNION ALL ".join(f"SELECT '{k}' AS kind, round(avg(CASE WHEN {test} THEN 100.0 ELSE 0 END), 6) AS percent FROM n" for k, test in met.items())
+        + ") SELECT kind, percent, round(percent - 100, 6) AS to_target FROM s WHERE percent IS NOT NULL"
+    )
+
+
+SQL_PRIMARY = "missionType IN ('Pauschale RTW', 'RTW - Transport')"
+
+
+@query(
+    "stroke_bundle",
+    W(v.SQL_INDEX, v.SQL_FINDINGS, v.SQL_RESULTS, v.SQL_MEASURES, v.SQL_VITALS)
+    + f""", c AS (SELECT DISTINCT protocolId FROM idx WHERE {SQL_PRIMARY}
+        AND regexp_matches(lower(leadingDiagnosis), '{"|".join(vocab.STROKE_TERMS)}'))"""
+    + _sql_bundle({
+        "score": ("SELECT protocolId FROM fnd WHERE description = 'GCS'", 2),
+        "glucose": ("SELECT protocolId FROM vit WHERE metric = 'bz'", 1),
+        "neuro": ("SELECT protocolId FROM fnd WHERE description = 'Auffälligkeiten'", 1),
+        "temperature": ("SELECT protocolId FROM vit WHERE metric = 'temp'", 1),
+        "rhythm": ("SELECT protocolId FROM mea WHERE value_1 = 'Monitoring' AND contains(value_2, 'EKG')", 1),
+        "onset": ("SELECT protocolId FROM res WHERE value_1 = 'Symptombeginn'", 1),
+    }),
+)
+def stroke_bundle(spark, sf):
+    series = [items.vitals(v.vitals(spark, sf, code), code) for code in ("bz", "temp")]
+    return rounded(
+        coverage.stroke_bundle(v.index(spark, sf), v.findings(spark, sf), v.results(spark, sf), v.measures(spark, sf), *series)
+    )
+
+
+@query(
+    "head_injury_bundle",
+    W(v.SQL_INDEX, v.SQL_FINDINGS)
+    + f""", c AS (SELECT DISTINCT protocolId FROM idx WHERE {SQL_PRIMARY} AND lower(leadingDiagnosis) LIKE '%schädel-hirn%')"""
+    + _sql_bundle({
+        "consciousness": ("SELECT protocolId FROM fnd WHERE description = 'GCS' AND value_num IS NOT NULL AND type = 'eb_neuro'", 1),
+        "pupils": ("SELECT DISTINCT protocolId FROM fnd WHERE description LIKE 'Lichtreaktion%'", 1),
+        "score": ("SELECT protocolId FROM fnd WHERE description = 'GCS' AND value_num IS NOT NULL", 2),
+    }),
+)
+def head_injury_bundle(spark, sf):
+    return rounded(coverage.head_injury_bundle(v.index(spark, sf), v.findings(spark, sf)))
+
+
 @query(
     "pain_relief",
     W(v.SQL_FINDINGS)
@@ -306,7 +376,8 @@ def destination_stroke(spark, sf):
     "WITH c AS ("
     + _sql_destination(vocab.STROKE_KEYWORDS, vocab.STROKE_TERMS)
     + """) SELECT count(*) AS cases, count(*) FILTER (WHERE hospital_eligible) AS eligible,
-    round(count(*) FILTER (WHERE hospital_eligible) * 100.0 / count(*), 6) AS percent FROM c""",
+    round(count(*) FILTER (WHERE hospital_eligible) * 100.0 / count(*), 6) AS percent,
+    round(count(*) FILTER (WHERE hospital_eligible) * 100.0 / count(*) - 100, 6) AS to_target FROM c""",
 )
 def destination_share(spark, sf):
     return rounded(destination.eligibility_share(destination.stroke_cases(v.index(spark, sf), variants(spark))))
@@ -423,18 +494,22 @@ def flow_nodes(spark, sf):
 @query(
     "flow_node_numbers",
     """WITH n AS (SELECT DISTINCT p_name AS node FROM part UNION SELECT DISTINCT c_name FROM customer)
-    SELECT count(*) AS nodes, count(*) AS numbers, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM n""",
+    SELECT count(*) AS nodes, count(*) AS numbers, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last,
+    CAST(0 AS BIGINT) AS unordered FROM n""",
 )
 def flow_node_numbers(spark, sf):
-    """Numbers are dense and unique over part and customer names taken as nodes."""
+    """Each node has one number, numbers are dense, and within a bucket they follow the order of the nodes."""
     nodes = v.table(spark, sf, "part").select(F.col("p_name").alias("node")).union(
         v.table(spark, sf, "customer").select("c_name")
     ).distinct()
-    return flows.number_nodes(nodes).agg(
-        F.count("node").alias("nodes"),
+    bucket = W_.partitionBy(F.pmod(F.xxhash64("node"), F.lit(flows.BUCKETS))).orderBy("node")
+    numbered = flows.number_nodes(nodes).withColumn("follows", F.lag("index").over(bucket) + 1 == F.col("index"))
+    return numbered.agg(
+        F.count_distinct("node").alias("nodes"),
         F.count_distinct("index").alias("numbers"),
         F.min("index").alias("first"),
         F.max("index").alias("last"),
+        F.count_if(~F.col("follows")).alias("unordered"),
     )
 
 

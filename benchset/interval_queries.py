@@ -9,6 +9,7 @@ from benchset import views as v
 from benchset.cohort_queries import SQL_ORDER_LINES, order_lines
 from benchset.registry import query, rounded
 from pulsegrid import vocab
+from pulsegrid.operators import percentiles
 from pulsegrid.plans import intervals
 
 W = v.with_ctes
@@ -75,6 +76,14 @@ long AS (SELECT protocolId, leadingDiagnosis, 'ReaktionsIntervall' AS interval,
     UNION ALL SELECT protocolId, leadingDiagnosis, 'TransportIntervall', t / 60000000.0 FROM ok
     UNION ALL SELECT protocolId, leadingDiagnosis, 'PraehospitalIntervall', p / 60000000.0 FROM ok)"""
 
+# The same over all mission types and years.
+SQL_ALL = SQL_MISSIONS.replace(
+    """SELECT * FROM mis WHERE missionType IN ('Pauschale RTW', 'RTW - Transport')
+    AND year(missionDate) IN (SELECT y FROM years)""",
+    "SELECT * FROM mis WHERE protocolId IN (SELECT protocolId FROM idx)",
+)
+EVERYTHING = {"mission_types": None, "years": None}
+
 COHORTS = {
     "interval_polytrauma": ("polytrauma", "polytrauma"),
     "interval_stemi": ("stemi", "stemi|acs"),
@@ -84,16 +93,34 @@ COHORTS = {
 
 for _name, (_cohort, _pattern) in COHORTS.items():
 
-    def _cohort_report(spark, sf, terms=vocab.COHORT_TERMS[_cohort]):
-        rows = intervals.cohort_intervals(v.index(spark, sf), v.details(spark, sf), terms)
-        return rounded(intervals.percentile_table(rows))
+    for _suffix, _missions, _choices in (("", SQL_MISSIONS, {}), ("_all", SQL_ALL, EVERYTHING)):
+
+        def _cohort_report(spark, sf, terms=vocab.COHORT_TERMS[_cohort], choices=_choices):
+            rows = intervals.cohort_intervals(v.index(spark, sf), v.details(spark, sf), terms, **choices)
+            return rounded(intervals.percentile_table(rows))
+
+        query(
+            _name + _suffix,
+            W(v.SQL_INDEX, v.SQL_DETAILS, _missions)
+            + f"""SELECT interval, count(*) AS n, {PERCENTILES.format('minutes')} FROM long
+            WHERE regexp_matches(lower(leadingDiagnosis), '{_pattern}') GROUP BY 1""",
+        )(_cohort_report)
 
-    query(
-        _name,
-        W(v.SQL_INDEX, v.SQL_DETAILS, SQL_MISSIONS)
-        + f"""SELECT interval, count(*) AS n, {PERCENTILES.format('minutes')} FROM long
-        WHERE regexp_matches(lower(leadingDiagnosis), '{_pattern}') GROUP BY 1""",
-    )(_cohort_report)
+
+CHOSEN = {"mission_types": ["KTW", "RTW - Transport"], "diagnoses": ["Sepsis", "Polytrauma"], "years": [1996, 1998]}
+
+
+@query(
+    "interval_chosen",
+    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_ALL)
+    + f"""SELECT interval, count(*) AS n, {PERCENTILES.format('minutes')} FROM long JOIN idx USING (protocolId)
+    WHERE idx.leadingDiagnosis IN ('Sepsis', 'Polytrauma') AND missionType IN ('KTW', 'RTW - Transport')
+    AND year(missionDate) IN (1996, 1998) GROUP BY 1""",
+)
+def interval_chosen(spark, sf):
+    """All three selections chosen by the reader."""
+    rows = intervals.cohort_intervals(v.index(spark, sf), v.details(spark, sf), vocab.COHORT_TERMS["sepsis"], **CHOSEN)
+    return rounded(intervals.percentile_table(rows))
 
 
 @query(
@@ -115,24 +142,41 @@ def interval_resuscitation(spark, sf):
 
 
 @query(
-    "interval_head_injury",
-    W(v.SQL_INDEX, v.SQL_DETAILS, v.SQL_FINDINGS, SQL_MISSIONS)
-    + f"""SELECT interval, count(*) AS n, {PERCENTILES.format('minutes')} FROM long
-    WHERE lower(leadingDiagnosis) LIKE '%schädel-hirn%' AND protocolId IN (SELECT CAST(event_id AS VARCHAR) FROM fnd
-        WHERE description = 'GCS' AND type = 'eb_neuro' AND value_num BETWEEN 3 AND 8) GROUP BY 1""",
+    "interval_resuscitation_all",
+    W(v.SQL_INDEX, v.SQL_DETAILS, v.SQL_RESULTS, SQL_ALL)
+    + f""", rea AS (SELECT protocolId FROM res
+        WHERE (value_1 = 'NACA' AND value_2 = '6') OR (value_1 = 'Rea durchgeführt' AND value_2 = 'ja'))
+    SELECT interval, count(*) AS n, {PERCENTILES.format('minutes')} FROM long JOIN rea USING (protocolId) GROUP BY 1""",
 )
-def interval_head_injury(spark, sf):
-    rows = intervals.head_injury_intervals(v.index(spark, sf), v.details(spark, sf), v.findings(spark, sf, "event_id"))
-    return rounded(intervals.percentile_table(rows))
+def interval_resuscitation_all(spark, sf):
+    collections = v.index(spark, sf), v.details(spark, sf), v.results(spark, sf)
+    return rounded(intervals.percentile_table(intervals.resuscitation_intervals(*collections, **EVERYTHING)))
+
+
+for _suffix, _missions, _choices in (("", SQL_MISSIONS, {}), ("_all", SQL_ALL, EVERYTHING)):
+
+    def _head_injury(spark, sf, choices=_choices):
+        findings = v.findings(spark, sf, "event_id")
+        rows = intervals.head_injury_intervals(v.index(spark, sf), v.details(spark, sf), findings, **choices)
+        return rounded(intervals.percentile_table(rows))
+
+    query(
+        "interval_head_injury" + _suffix,
+        W(v.SQL_INDEX, v.SQL_DETAILS, v.SQL_FINDINGS, _missions)
+        + f"""SELECT interval, count(*) AS n, {PERCENTILES.format('minutes')} FROM long
+        WHERE lower(leadingDiagnosis) LIKE '%schädel-hirn%' AND protocolId IN (SELECT CAST(event_id AS VARCHAR) FROM fnd
+            WHERE description = 'GCS' AND type = 'eb_neuro' AND value_num BETWEEN 3 AND 8) GROUP BY 1""",
+    )(_head_injury)
 
 
 def polytrauma(spark, sf):
-    return intervals.cohort_intervals(v.index(spark, sf), v.details(spark, sf), vocab.COHORT_TERMS["polytrauma"])
+    """All mission types and years."""
+    return intervals.cohort_intervals(v.index(spark, sf), v.details(spark, sf), vocab.COHORT_TERMS["polytrauma"], **EVERYTHING)
 
 
 @query(
     "interval_long",
-    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_MISSIONS)
+    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_ALL)
     + """SELECT protocolId, interval, round(minutes, 6) AS minutes FROM long
     WHERE lower(leadingDiagnosis) LIKE '%polytrauma%'""",
 )
@@ -142,7 +186,7 @@ def interval_long(spark, sf):
 
 @query(
     "interval_process_shares",
-    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_MISSIONS)
+    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_ALL)
     + """, s AS (SELECT sum(r) AS r, sum(v) AS v, sum(t) AS t, count(*) AS n FROM ok
         WHERE r IS NOT NULL AND v IS NOT NULL AND lower(leadingDiagnosis) LIKE '%polytrauma%')
     SELECT 'ReaktionsIntervall' AS interval, round(r / 60000000.0 / n, 6) AS mean_minutes, round(r * 100.0 / (r + v + t), 6) AS share FROM s
@@ -155,7 +199,7 @@ def interval_process_shares(spark, sf):
 
 @query(
     "interval_report",
-    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_MISSIONS)
+    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_ALL)
     + ", q AS (SELECT * FROM long WHERE lower(leadingDiagnosis) LIKE '%polytrauma%')\n"
     + " UNION ALL ".join(
         f"SELECT '{n}' AS statistic, "
@@ -172,7 +216,7 @@ def interval_report(spark, sf):
 
 @query(
     "interval_totals",
-    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_MISSIONS)
+    W(v.SQL_INDEX, v.SQL_DETAILS, SQL_ALL)
     + """SELECT count(*) AS n, round(median(p / 60000000.0), 6) AS median, round(median(p / 60000000.0) - 60, 6) AS median_delta,
     round(avg(CASE WHEN p <= 3600000000 THEN 1.0 ELSE 0.0 END) * 100, 6) AS share_within FROM ok
     WHERE lower(leadingDiagnosis) LIKE '%polytrauma%'""",
@@ -181,28 +225,20 @@ def interval_totals(spark, sf):
     return rounded(intervals.target_share(polytrauma(spark, sf)))
 
 
+DISCRETE = PERCENTILES.replace("quantile_cont", "quantile_disc")
+
+
 @query(
     "interval_percentiles_approx",
     W(SQL_ORDER_LINES, SQL_VALID)
-    + """SELECT o_orderpriority, count(*) AS n, true AS p10, true AS p25, true AS p50, true AS p75, true AS p90
+    + f"""SELECT o_orderpriority, 'delivery' AS interval, count(*) AS n, {DISCRETE.format('minutes')}
     FROM valid GROUP BY 1""",
 )
 def interval_percentiles_approx(spark, sf):
-    """Sketched percentiles, each tested for a rank within the sketch's error."""
-    rows = delivery(spark, sf)
-    sketched = intervals.percentile_table(rows, ["delivery"], BY, "delivery", approx=True)
-    names, error = intervals.PERCENTILE_NAMES, 2 / 10_000
-    minutes = intervals.valid(rows, "delivery").select(*BY, (F.col("delivery") / F.lit(intervals.MINUTE)).alias("_m"))
-    both = minutes.join(sketched, BY)
-    ranks = both.groupBy(*BY, "n").agg(
-        *[F.avg((F.col("_m") < F.col(c)).cast("double")).alias(f"{c}_below") for c in names],
-        *[F.avg((F.col("_m") <= F.col(c)).cast("double")).alias(f"{c}_upto") for c in names],
-    )
-    near = {
-        c: (F.col(f"{c}_below") <= p + error) & (F.col(f"{c}_upto") >= p - error)
-        for c, p in zip(names, (0.1, 0.25, 0.5, 0.75, 0.9))
-    }
-    return ranks.select(*BY, "n", *[test.alias(c) for c, test in near.items()])
+    """Sketched percentiles, fine enough to be values of the data; tests judge coarser ones by rank."""
+    rows = intervals.valid(delivery(spark, sf), "delivery").withColumn("interval", F.lit("delivery"))
+    table = percentiles.sketched_percentiles(rows, [*BY, "interval"], "delivery", unit=intervals.MINUTE, accuracy=1_000_000)
+    return rounded(percentiles.named_percentiles(table, intervals.PERCENTILE_NAMES))
 
 
 @query(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from benchset import views as v
 from benchset.registry import query, rounded
+from pulsegrid import vocab
 from pulsegrid.functions import clean
 from pulsegrid.operators import first, joins
+from pulsegrid.session import shared_dir
 from pulsegrid.sources import items, metrics, reference, scans
 from pulsegrid.sources.collections import conform
 
@@ -164,16 +168,18 @@ def pair_first_full_outer(spark, sf):
     "onset_last_value",
     W(v.SQL_RESULTS)
     + """, o AS (SELECT protocolId,
-        arg_max(value_2, event_id) FILTER (WHERE value_2 LIKE '%.%' AND length(value_2) >= 8) AS date,
-        arg_max(value_2, event_id) FILTER (WHERE NOT (value_2 LIKE '%.%' AND length(value_2) >= 8) AND value_2 LIKE '%:%') AS time,
+        arg_max(value_2, event_id) FILTER (WHERE is_date) AS date,
+        arg_max(value_2, event_id) FILTER (WHERE NOT is_date AND value_2 LIKE '%:%') AS time,
+        arg_max(value_2, event_id) FILTER (WHERE NOT is_date AND value_2 NOT LIKE '%:%' AND value_2 <> '') AS other,
         arg_max(item_source, event_id) AS osource,
         arg_max(timestamp, event_id) FILTER (WHERE timestamp IS NOT NULL) AS ots
-        FROM res WHERE value_1 = 'Symptombeginn' GROUP BY protocolId),
+        FROM (SELECT *, regexp_matches(value_2, '[0-9]+[.][0-9]+[.][0-9]+') AS is_date FROM res)
+        WHERE value_1 = 'Symptombeginn' GROUP BY protocolId),
     s AS (SELECT protocolId, max(event_id) AS e FROM res
         WHERE value_1 = 'Spezifikation Symptombeginn' AND value_2 <> '' GROUP BY protocolId),
     sp AS (SELECT res.protocolId, value_2, timestamp, item_source FROM s JOIN res ON res.event_id = s.e)
     SELECT protocolId, 'Symptombeginn' AS metric,
-        CASE WHEN date IS NOT NULL AND time IS NOT NULL THEN date || ' ' || time ELSE coalesce(date, time) END AS onset_time,
+        CASE WHEN date IS NOT NULL AND time IS NOT NULL THEN date || ' ' || time ELSE coalesce(date, time, other) END AS onset_time,
         date, time, sp.value_2 AS specification, coalesce(ots, sp.timestamp) AS timestamp,
         coalesce(osource, sp.item_source) AS source, 'protocols_results' AS collection
     FROM o FULL JOIN sp USING (protocolId)""",
@@ -238,25 +244,32 @@ def year_scoped_metric(spark, sf):
 
 @query(
     "metric_registry",
-    W(v.SQL_INDEX, v.SQL_FINDINGS, v.SQL_RESULTS, v.SQL_MEASURES, v.SQL_DISPATCH, v.SQL_DETAILS)
+    W(v.SQL_INDEX, v.SQL_FINDINGS, v.SQL_RESULTS, v.SQL_MEASURES, v.SQL_DISPATCH, v.SQL_DETAILS, v.SQL_VITALS)
     + """SELECT 'Index' AS metric, count(*) AS n FROM idx UNION ALL SELECT 'Details', count(*) FROM dtl
     UNION ALL SELECT 'Freetext', count(*) FROM documents
-    UNION ALL SELECT 'ETÜ', count(*) FROM dsp WHERE EO_LANDKREIS = 'Schleswig-Flensburg'
+    UNION ALL SELECT 'ETÜ', count(*) FROM dsp
+    UNION ALL SELECT 'Pupillenstatus', count(DISTINCT protocolId) FROM fnd WHERE description LIKE 'Lichtreaktion%'
+    UNION ALL SELECT 'Symptombeginn', count(DISTINCT protocolId) FROM res
+        WHERE value_1 = 'Symptombeginn' OR (value_1 = 'Spezifikation Symptombeginn' AND value_2 <> '')
+    UNION ALL SELECT 'Reanimation', count(*) FROM res WHERE (value_1 = 'NACA' AND value_2 = '6') OR value_1 = 'Rea durchgeführt'
+    UNION ALL SELECT 'Reanimation_mit_targetDestination', count(DISTINCT protocolId) FROM res
+        WHERE (value_1 = 'NACA' AND value_2 = '6') OR (value_1 = 'Rea durchgeführt' AND value_2 = 'ja')
+    UNION ALL SELECT 'Intubation', count(*) FROM mea WHERE value_1 = 'Atemweg' AND value_2 = 'Intubation' AND value_3 IS NOT NULL
+    UNION ALL SELECT '12-Kanal-EKG', count(*) FROM mea WHERE value_1 = 'Monitoring' AND value_2 = '12-Kanal-EKG'
+    UNION ALL SELECT 'Feiertage', count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders
     UNION ALL SELECT 'GCS', count(*) FROM fnd WHERE description = 'GCS'
     UNION ALL SELECT 'Schmerzen', count(*) FROM fnd WHERE description = 'Schmerzen'
     UNION ALL SELECT 'Neurologische_Auffälligkeiten', count(*) FROM fnd WHERE description = 'Auffälligkeiten'
     UNION ALL SELECT 'NACA', count(*) FROM res WHERE value_1 = 'NACA'
     UNION ALL SELECT 'Medikamente', count(*) FROM mea WHERE value_1 = 'Medikamente'
     UNION ALL SELECT 'EVM', count(*) FROM mea WHERE value_11 = 'EVM'
-    UNION ALL SELECT CASE event_type WHEN 'click' THEN 'af' WHEN 'view' THEN 'bd' WHEN 'purchase' THEN 'bz'
-        WHEN 'signup' THEN 'hf' ELSE 'spo2' END, count(*) FROM events GROUP BY 1""",
+    UNION ALL SELECT metric, count(*) FROM vit GROUP BY 1""",
 )
 def metric_registry(spark, sf):
+    """Rows of all 27 metrics."""
     tables = v.collections(spark, sf)
-    names = ["Index", "Details", "Freetext", "ETÜ", "GCS", "Schmerzen", "Neurologische_Auffälligkeiten",
-             "NACA", "Medikamente", "EVM", *v.VITAL_EVENTS]
     counts = None
-    for name in names:
+    for name in metrics.METRICS:
         part = metrics.load_metric(tables, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n")
         counts = part if counts is None else counts.unionByName(part)
     return counts
@@ -269,10 +282,47 @@ def metric_registry(spark, sf):
     WHERE EO_LANDKREIS = 'Schleswig-Flensburg' ORDER BY EINSATZBEGINN DESC, EINSATZ_NR, AUFTRAGS_NR LIMIT 1000""",
 )
 def dispatch_region_newest(spark, sf):
-    rows = scans.dispatch_records(v.dispatch(spark, sf), limit=1000)
+    rows = scans.dispatch_records(v.dispatch(spark, sf), vocab.DISTRICT, limit=1000)
     return rows.select("EINSATZ_NR", "AUFTRAGS_NR", "EO_LANDKREIS", "EINSATZBEGINN", "EINSATZMITTEL")
 
 
+@query(
+    "dispatch_all_districts",
+    W(v.SQL_DISPATCH) + "SELECT EO_LANDKREIS, count(*) AS n, count(DISTINCT EINSATZ_NR) AS missions FROM dsp GROUP BY 1",
+)
+def dispatch_all_districts(spark, sf):
+    rows = scans.dispatch_records(v.dispatch(spark, sf))
+    return rows.groupBy("EO_LANDKREIS").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("EINSATZ_NR").alias("missions"))
+
+
+@query(
+    "metric_row_cap",
+    W(v.SQL_FINDINGS) + "SELECT least(count(*), 100) AS n FROM fnd WHERE description = 'GCS'",
+)
+def metric_row_cap(spark, sf):
+    """A row cap the caller asks for; which rows is left open, so only their number is told."""
+    rows = metrics.load_metric({"findings": v.findings(spark, sf)}, "GCS", limit=100)
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
+_NAMES = """'["' || {n} || '", " KH ' || {n} || ' "]'"""
+_FLAGS = ["s_suppkey % 2 = 0", "s_suppkey % 3 = 0", "s_suppkey % 5 = 0", "s_nationkey > 12"]
+
+
+@query(
+    "hospital_file_rows",
+    f"""SELECT lower(name) AS variant, {", ".join(f"{flag} AS c{k}" for k, flag in enumerate(_FLAGS))}
+    FROM (SELECT s_name AS name, * FROM supplier UNION ALL SELECT ' KH ' || s_name || ' ', * FROM supplier)""",
+)
+def hospital_file_rows(spark, sf):
+    """Suppliers written as lines of the capability file, parsed as the file reader does."""
+    fields = [_NAMES.format(n="s_name"), *(f"CASE WHEN {flag} THEN 'True' ELSE 'False' END" for flag in _FLAGS)]
+    line = F.concat_ws(";", *(F.expr(f) for f in fields))
+    rows = reference.hospital_rows(v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row"), line.alias("value")))
+    variants = reference.name_variants(rows)
+    return variants.select("variant", *[F.col("granted")[c].alias(f"c{k}") for k, c in enumerate(vocab.CAPABILITIES)])
+
+
 HOLIDAYS = [
     ("1996-01-01", "Neujahr"), ("1996-12-25", "Weihnachten"), ("1998-05-01", "Tag der Arbeit"),
     ("1998-10-03", "Tag der Deutschen Einheit"), ("2000-01-01", "Neujahr"), ("2000-12-26", "Weihnachten"),
@@ -287,7 +337,8 @@ HOLIDAYS = [
     FROM orders LEFT JOIN h ON CAST(o_orderdate AS DATE) = h.date""",
 )
 def holiday_join(spark, sf):
-    table = spark.createDataFrame(HOLIDAYS, "date STRING, name STRING")
+    entries = ", ".join(f"('{d}', '{n}')" for d, n in HOLIDAYS)
+    table = spark.sql(f"SELECT * FROM VALUES {entries} AS t(date, name)")
     orders = v.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     return reference.mark_holidays(orders, "o_orderdate", table)
 
@@ -312,7 +363,8 @@ def schedule_parse(spark, sf):
     WHERE description = 'GCS' GROUP BY protocolId""",
 )
 def materialised_metric(spark, sf):
-    stored = metrics.materialised_metric({"findings": v.findings(spark, sf)}, "GCS")
+    path = f"{shared_dir(spark)}/metric-gcs-{uuid.uuid4().hex}"
+    stored = metrics.materialised_metric({"findings": v.findings(spark, sf)}, "GCS", path)
     return rounded(
         stored.groupBy("protocolId").agg(F.count(F.lit(1)).alias("n"), F.avg("value_num").alias("mean_value"))
     )

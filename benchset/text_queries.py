@@ -8,7 +8,6 @@ from benchset import views as v
 from benchset.registry import query, rounded
 from pulsegrid import vocab
 from pulsegrid.functions import clean
-from pulsegrid.functions import text as txt
 from pulsegrid.plans import anamnesis, linkage, requirements
 
 W = v.with_ctes
@@ -108,22 +107,7 @@ _FIELDS = [*vocab.REQUIREMENT_RULES]
         + CASE WHEN infectious_disease = 'indiziert' THEN 1 ELSE 0 END), count(*) FROM ktw GROUP BY 1""",
 )
 def requirement_summary(spark, sf):
-    labelled = ktw_labels(spark, sf)
-    silent = requirements.undocumented_share(labelled).select(
-        F.expr("stack(3, 'texts', CAST(texts AS DOUBLE), 'undocumented', CAST(undocumented AS DOUBLE), "
-               "'undocumented_percent', percent) AS (measure, value)")
-    )
-    rates = requirements.documentation_rates(labelled).select(
-        F.concat(F.lit("rate "), "field").alias("measure"), F.col("percent").alias("value")
-    )
-    indicated = requirements.indicated_totals(labelled).select(
-        F.concat(F.lit("indicated "), "field").alias("measure"), F.col("indicated").cast("double").alias("value")
-    )
-    needs = requirements.needs_per_text(labelled).select(
-        F.concat(F.lit("needs "), F.col("categories_needed").cast("string")).alias("measure"),
-        F.col("count").cast("double").alias("value"),
-    )
-    return rounded(silent.unionByName(rates).unionByName(indicated).unionByName(needs))
+    return rounded(requirements.overview(ktw_labels(spark, sf)))
 
 
 _LABEL_CASE = (
@@ -152,16 +136,16 @@ def _sql_strip(text: str) -> str:
     return f"regexp_replace({text}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
 
 
-SQL_PICKED = f"""picked AS (SELECT protocolId, {_sql_strip('content')} AS text FROM txt WHERE description = 'Anamnese'),
-long_enough AS (SELECT protocolId, text, sha256(text) AS text_key FROM picked WHERE length(text) > 10)"""
+SQL_PICKED = f"""chosen AS (SELECT protocolId, coalesce(nullif({_sql_strip('other')}, ''), nullif({_sql_strip('content')}, '')) AS text
+    FROM txt WHERE description = 'Anamnese'),
+picked AS (SELECT protocolId, text, sha256(text) AS text_key FROM chosen WHERE text IS NOT NULL)"""
 
 
 @query(
     "text_dedupe_fanout",
     W(v.SQL_TEXTS, SQL_PICKED)
-    + """, d AS (SELECT text_key, count(*) AS copies, min(protocolId) AS first_protocol FROM long_enough GROUP BY 1)
-    SELECT protocolId, text_key, copies, first_protocol,
-    CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview FROM long_enough JOIN d USING (text_key)""",
+    + """, d AS (SELECT text_key, count(*) AS copies, min(protocolId) AS first_protocol FROM picked GROUP BY 1)
+    SELECT protocolId, text_key, copies, first_protocol, text FROM picked JOIN d USING (text_key)""",
 )
 def text_dedupe_fanout(spark, sf):
     texts = anamnesis.protocol_texts(v.freetexts(spark, sf))
@@ -169,7 +153,7 @@ def text_dedupe_fanout(spark, sf):
         "text_key", "copies", F.col("protocolId").alias("first_protocol")
     )
     return texts.join(distinct, "text_key").select(
-        "protocolId", "text_key", "copies", "first_protocol", txt.preview(F.col("text")).alias("preview")
+        "protocolId", "text_key", "copies", "first_protocol", "text"
     )
 
 
@@ -180,28 +164,28 @@ _HEAD, _TAIL = (part.replace("'", "''") for part in vocab.PROMPT.split("{text}")
     "prompt_table",
     W(v.SQL_TEXTS, SQL_PICKED)
     + f"""SELECT text_key, min(protocolId) AS protocolId, sha256('{_HEAD}' || any_value(text) || '{_TAIL}') AS prompt_sha
-    FROM long_enough GROUP BY text_key""",
+    FROM picked GROUP BY text_key""",
 )
 def prompt_table(spark, sf):
     prompts = anamnesis.prompts(anamnesis.protocol_texts(v.freetexts(spark, sf)))
     return prompts.select("text_key", "protocolId", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
-# Answer texts composed from the documents: fenced and bare, bracketed values,
+# Answer texts composed from the whole documents, as one line: fenced and bare, bracketed values,
 # repeated keys, list markers, text with further colons.
 _ASSAULT = "CASE doc_id % 3 WHEN 0 THEN 'ja' WHEN 1 THEN 'nein' ELSE 'unklar' END"
 _REFUSAL = "CASE doc_id % 4 WHEN 0 THEN 'ja' ELSE 'nein' END"
 _HELP = "CASE doc_id % 5 WHEN 0 THEN 'medizinisch' WHEN 1 THEN 'Medizinisch und pflegerisch' ELSE 'pflegerisch' END"
 
 
-def _answer(newline: str, first_line: str) -> str:
+def _answer(newline: str, one_line: str) -> str:
     body = (
         f"'UEBERGRIF_VORHANDEN: vielleicht' || {newline} || 'uebergrif_vorhanden : [' || {_ASSAULT} || ']' || {newline} || "
         f"'UEBERGRIF_ART: - verbal' || {newline} || 'kein Schluessel' || {newline} || "
         f"'VERWEIGERUNG_VORHANDEN:' || {_REFUSAL} || {newline} || 'VERWEIGERUNG_MASSNAHME: **keine**' || {newline} || "
         f"'HILFEBEDARF_TYP:  ' || {_HELP} || '  ' || {newline} || "
         f"'MEDIZINISCHES_PROBLEM_KATEGORIE: Zeit: ' || lang || ': ' || source || {newline} || "
-        f"'AUFFAELLIGKEITEN_BESCHREIBUNG: [' || {first_line} || ']'"
+        f"'AUFFAELLIGKEITEN_BESCHREIBUNG: [' || {one_line} || ']'"
     )
     fence = f"'```' || {newline}"
     return (
@@ -212,7 +196,7 @@ def _answer(newline: str, first_line: str) -> str:
 
 def answers(spark, sf):
     return v.table(spark, sf, "documents").select(
-        "doc_id", F.expr(_answer("'\\n'", "substring_index(text, '\\n', 1)")).alias("answer")
+        "doc_id", F.expr(_answer("'\\n'", "translate(text, '\\n', ' ')")).alias("answer")
     )
 
 
@@ -220,7 +204,7 @@ SQL_ANSWERS = f"""ans AS (SELECT doc_id, {_ASSAULT} AS "übergriff_vorhanden", '
     {_REFUSAL} AS verweigerung_vorhanden, '' AS verweigerung_massnahme, '' AS verweigerung_begruendung,
     {_HELP} AS hilfebedarf_typ, '' AS hilfebedarf_beschreibung, '' AS medizinisches_problem_beschreibung,
     'Zeit: ' || lang || ': ' || source AS medizinisches_problem_kategorie, '' AS auffaelligkeiten_vorhanden,
-    {_sql_strip("split_part(text, chr(10), 1)")} AS line FROM documents),
+    {_sql_strip("replace(text, chr(10), ' ')")} AS line FROM documents),
 par AS (SELECT * EXCLUDE (line), CASE WHEN line LIKE '- %' OR line LIKE '**%' THEN '' ELSE line END
     AS auffaelligkeiten_beschreibung FROM ans)"""
 
@@ -268,9 +252,10 @@ def answer_field_counts(spark, sf):
     "answer_fan_out",
     W(v.SQL_INDEX, v.SQL_DISPATCH, v.SQL_TEXTS, SQL_PICKED)
     + f""", linked AS (SELECT DISTINCT idx.protocolId FROM dsp JOIN idx ON EINSATZ_NR = missionNumber),
-    mine AS (SELECT * FROM long_enough WHERE protocolId IN (SELECT protocolId FROM linked)),
+    mine AS (SELECT * FROM picked WHERE protocolId IN (SELECT protocolId FROM linked)),
     d AS (SELECT text_key, min(protocolId) AS p FROM mine GROUP BY 1)
-    SELECT protocolId AS einsatz_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS anamnesis_text,
+    SELECT protocolId AS einsatz_id, text AS anamnesis_text,
+    CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS anamnesis_preview,
     CASE WHEN CAST(p AS BIGINT) % 2 = 0 THEN 'ja' ELSE 'nein' END AS "übergriff_vorhanden", 'Text ' || text_key AS hilfebedarf_beschreibung
     FROM mine JOIN d USING (text_key)""",
 )
@@ -285,4 +270,4 @@ def answer_fan_out(spark, sf):
     )
     parsed = anamnesis.parse_answers(asked.select("text_key", answer.alias("answer")))
     fanned = anamnesis.fan_out(texts, parsed)
-    return fanned.select("einsatz_id", "anamnesis_text", "übergriff_vorhanden", "hilfebedarf_beschreibung")
+    return fanned.select("einsatz_id", "anamnesis_text", "anamnesis_preview", "übergriff_vorhanden", "hilfebedarf_beschreibung")

@@ -3,50 +3,33 @@
 Orders play the mission index, lineitems the details, measures and dispatch
 records, events the findings, results and vital signs, documents the free
 texts. Every row of a table becomes one document, so the collections grow with
-the tables and no document is ever gathered from several rows. A collection is
-written once per application and read back, as collections at rest would be.
+the tables and no document is ever gathered from several rows. Collections are
+plain projections: filters and column choices of a query reach the given tables.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.schemas import STATUS_CODES
-from pulsegrid.session import materialise
 from pulsegrid.sources.collections import conform
 
-VITAL_EVENTS = {"af": "click", "bd": "view", "bz": "purchase", "hf": "signup", "spo2": "error"}
+# Event type of each vital sign, and which of its events; every event has one sign.
+FREQUENT, RARE = "event_id % 8 < 6", "event_id % 8 >= 6"
+VITAL_EVENTS = {
+    "af": ("click", FREQUENT), "bd": ("view", FREQUENT), "bz": ("purchase", FREQUENT), "hf": ("signup", FREQUENT),
+    "spo2": ("error", FREQUENT), "co": ("click", RARE), "co2": ("view", RARE), "hb": ("purchase", RARE),
+    "puls": ("signup", RARE), "temp": ("error", RARE),
+}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
 
 
-_STORED: dict[tuple, DataFrame] = {}
-
-
-def stored(derive: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Derive a collection on first use in an application, then read the written table.
-
-    The rows are spread over one file per core, since the given tables are single files.
-    """
-
-    @wraps(derive)
-    def read(spark: SparkSession, sf: str, *variant: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf, derive.__name__, *variant)
-        if key not in _STORED:
-            rows = derive(spark, sf, *variant).repartition(spark.sparkContext.defaultParallelism)
-            _STORED[key] = materialise(rows, "-".join(key[2:]))
-        return _STORED[key]
-
-    return read
-
-
 def _plus(ts: str, minutes: str = "0", seconds: str = "0") -> Column:
     return F.expr(
         f"{ts} + make_dt_interval(0, 0, CAST({minutes} AS INT), CAST({seconds} AS DECIMAL(18, 6)))"
@@ -77,7 +60,6 @@ CALL_SIGN = """CASE o_custkey % 7
     WHEN 4 THEN '12-82-1' WHEN 5 THEN '10-85-14' END"""
 
 
-@stored
 def index(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     rows = orders.select(
@@ -99,7 +81,6 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
     return conform(rows, "index")
 
 
-@stored
 def details(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     day = F.to_date("l_shipdate")
@@ -144,7 +125,6 @@ def _event_id() -> Column:
     return F.expr("lpad(CAST(event_id AS STRING), 18, '0')").alias("_id")
 
 
-@stored
 def findings(spark: SparkSession, sf: str, protocol: str = "user_id") -> DataFrame:
     item = F.expr(
         """named_struct(
@@ -172,7 +152,6 @@ def findings(spark: SparkSession, sf: str, protocol: str = "user_id") -> DataFra
     )
 
 
-@stored
 def results(spark: SparkSession, sf: str) -> DataFrame:
     item = F.expr(
         """named_struct(
@@ -200,7 +179,6 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@stored
 def measures(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     parts = table(spark, sf, "part")
@@ -232,10 +210,10 @@ def measures(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@stored
 def vitals(spark: SparkSession, sf: str, code: str, protocol: str = "user_id") -> DataFrame:
     """Even events hold the series nested, odd ones flat; the unit is in either of its two fields."""
-    events = table(spark, sf, "events").where(F.col("event_type") == VITAL_EVENTS[code])
+    kind, which = VITAL_EVENTS[code]
+    events = table(spark, sf, "events").where(F.col("event_type") == kind).where(which)
     value = "CASE WHEN event_id % 6 = 0 THEN -1.0 ELSE value END"
     unit = "CASE WHEN event_id % 4 < 2 THEN 'mmHg' END"
     alternative = "CASE WHEN event_id % 4 >= 2 THEN 'Prozent' END"
@@ -262,7 +240,6 @@ def vitals(spark: SparkSession, sf: str, code: str, protocol: str = "user_id") -
     )
 
 
-@stored
 def dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return conform(
         table(spark, sf, "lineitem").select(
@@ -302,16 +279,21 @@ PHRASE = """CASE doc_id % 9
     ELSE '' END"""
 
 
-@stored
+# The preferred text field: mostly absent, else blank or a short text.
+OTHER_TEXT = "CASE doc_id % 10 WHEN 3 THEN '  ' WHEN 4 THEN 'Sturz' END"
+
+
 def freetexts(spark: SparkSession, sf: str) -> DataFrame:
     item = F.expr(
         f"""named_struct('protocolId', CAST(doc_id AS STRING),
             'description', CASE WHEN doc_id % 10 = 9 THEN 'Eigenanamnese' ELSE 'Anamnese' END,
-            'content', text || {PHRASE}, 'text', CAST(NULL AS STRING))"""
+            'content', text || {PHRASE}, 'text', {OTHER_TEXT},
+            'value', CAST(NULL AS STRING), 'data', CAST(NULL AS STRING), 'comment', CAST(NULL AS STRING))"""
     )
     other = F.expr(
         """named_struct('protocolId', CAST(doc_id AS STRING), 'description', 'Übergabe',
-            'content', lang, 'text', CAST(NULL AS STRING))"""
+            'content', lang, 'text', CAST(NULL AS STRING),
+            'value', CAST(NULL AS STRING), 'data', CAST(NULL AS STRING), 'comment', CAST(NULL AS STRING))"""
     )
     return conform(
         table(spark, sf, "documents").select(
@@ -332,20 +314,25 @@ def collections(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "measures": measures(spark, sf),
         "freetexts": freetexts(spark, sf),
         "dispatch": dispatch(spark, sf),
+        "holidays": holidays(spark, sf),
         **{f"vitals_{c}": vitals(spark, sf, c) for c in VITAL_EVENTS},
     }
 
 
+def holidays(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order day as a day with a name."""
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return conform(days.withColumn("name", F.date_format("date", "D")), "holidays")
+
+
 def hospitals(spark: SparkSession) -> DataFrame:
     """Small capability table in the file's shape: order, name variants, one boolean per capability."""
-    return spark.createDataFrame(
-        [
-            (0, ["Nordklinik", "Nordklinik Flensbg", "ZNA"], True, True, False, False),
-            (1, ["KH West", "Westklinik"], True, False, True, True),
-            (2, ["Uniklinik Campus Ost", "Campus Ost", "KH West"], False, True, True, True),
-        ],
-        "row BIGINT, names ARRAY<STRING>, `TIA / Schlaganfall` BOOLEAN, `ACS / STEMI /NSTEMI` BOOLEAN, "
-        "Reanimation BOOLEAN, Polytrauma BOOLEAN",
+    return spark.sql(
+        """SELECT * FROM VALUES
+        (0L, array('Nordklinik', 'Nordklinik Flensbg', 'ZNA'), true, true, false, false),
+        (1L, array('KH West', 'Westklinik'), true, false, true, true),
+        (2L, array('Uniklinik Campus Ost', 'Campus Ost', 'KH West'), false, true, true, true)
+        AS t(row, names, `TIA / Schlaganfall`, `ACS / STEMI /NSTEMI`, Reanimation, Polytrauma)"""
     )
 
 
@@ -404,8 +391,12 @@ SQL_MEASURES = """mea AS (SELECT CAST(l_orderkey AS VARCHAR) AS protocolId,
     CASE WHEN l_linestatus = 'F' THEN 'EVM' END AS value_11, l_shipdate AS timestamp
     FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
-SQL_VITALS = """vit AS (SELECT event_id, CAST(user_id AS VARCHAR) AS protocolId,
-    CASE event_type WHEN 'click' THEN 'af' WHEN 'view' THEN 'bd' WHEN 'purchase' THEN 'bz' WHEN 'signup' THEN 'hf' ELSE 'spo2' END AS metric,
+SQL_VITAL_CODE = (
+    "CASE " + " ".join(f"WHEN event_type = '{kind}' AND {which} THEN '{code}'" for code, (kind, which) in VITAL_EVENTS.items()) + " END"
+)
+
+SQL_VITALS = f"""vit AS (SELECT event_id, CAST(user_id AS VARCHAR) AS protocolId,
+    {SQL_VITAL_CODE} AS metric,
     CASE WHEN event_id % 6 = 0 THEN -1.0 ELSE value END AS value,
     CASE WHEN event_id % 4 < 2 THEN 'mmHg' ELSE 'Prozent' END AS unit, props AS description, ts AS timestamp,
     CASE WHEN event_id % 2 = 0 THEN 'monitor' ELSE 'tablet' END AS source FROM events)"""
@@ -427,7 +418,7 @@ SQL_DISPATCH = """dsp AS (SELECT CAST(l_orderkey AS VARCHAR) AS EINSATZ_NR,
 
 SQL_TEXTS = f"""txt AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS protocolId,
     CASE WHEN doc_id % 10 = 9 THEN 'Eigenanamnese' ELSE 'Anamnese' END AS description,
-    text || {PHRASE} AS content FROM documents)"""
+    text || {PHRASE} AS content, {OTHER_TEXT} AS other FROM documents)"""
 
 SQL_VARIANTS = """caps(variant, rnk, stroke, cardiac, arrest, trauma) AS (VALUES
     ('nordklinik', 1, true, true, false, false), ('nordklinik flensbg', 2, true, true, false, false),

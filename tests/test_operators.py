@@ -156,3 +156,25 @@ def test_sketched_percentiles_close_to_exact(spark):
     df = spark.range(100_000).select(F.lit("g").alias("g"), F.col("id").alias("v"))
     got = percentiles.sketched_percentiles(df, ["g"], "v", PS).first()["percentiles"]
     assert all(math.isclose(a, p * 100_000, abs_tol=25) for a, p in zip(got, PS))
+
+
+def test_first_cut_splits_one_group(spark):
+    """All values within minutes, one group: the first cut leaves a few thousandths of it."""
+    df = spark.range(0, 200_000).select((F.col("id") * 3001).alias("v"))
+    counted = percentiles.value_table(df, [], "v")
+    cut = percentiles.cut_parts(counted, percentiles.first_parts(counted, [0.5]))
+    sizes = [r["n"] for r in cut.groupBy("_low").agg(F.sum("_n").alias("n")).collect()]
+    assert len(sizes) > 4000 and max(sizes) < 100
+
+
+def test_percentiles_of_a_range_wider_than_64_bits(spark):
+    df = spark.createDataFrame([(-(2**63),), (0,), (2**63 - 1,)], "v bigint")
+    assert percentiles.exact_percentiles(df, [], "v", [0.0, 0.5, 1.0]).first()["percentiles"] == [-float(2**63), 0.0, float(2**63)]
+
+
+def test_sketch_ranks(spark):
+    df = spark.range(0, 50_000).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("v"))
+    values = sorted(r[0] for r in df.collect())
+    got = percentiles.sketched_percentiles(df, [], "v", accuracy=1000).first()["percentiles"]
+    for p, v in zip(percentiles.PERCENTILES, got):
+        assert abs(sum(x <= v for x in values) / len(values) - p) <= 2 / 1000

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from benchset import check
+from benchset import check, registry
 
 SF = "/root/testdata/sf0.01"
 
@@ -13,9 +13,9 @@ def duck():
     return check.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
-    assert check.compare(spark, duck, SF, name, entry.queries()[name], entry.oracle_sql()[name]) is None
+    assert check.compare(spark, duck, SF, name, registry.QUERIES[name], registry.SQL[name]) is None
 
 
 def test_entry(spark):

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from benchset import views
-from pulsegrid.operators import joins, summary
-from pulsegrid.sources import items, scans
+from benchset import registry, views
+from pulsegrid.operators import joins, percentiles, summary
+from pulsegrid.plans import intervals, requirements
+from pulsegrid.sources import collections, items, scans
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,15 +16,15 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_python_and_no_pair_products(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(registry.QUERIES[name](spark, SF))
     for operator in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in text, operator
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.SQL) == set(registry.QUERIES) <= set(entry.queries())
 
 
 def test_id_filter_is_a_semi_join(spark):
@@ -39,22 +40,61 @@ def test_newest_rows_are_a_top_n(spark):
 def test_year_filter_and_columns_reach_the_scan(spark):
     rows = scans.mission_index(views.index(spark, SF), years=(1997, 1998)).select("protocolId")
     text = plan(rows)
-    assert "GreaterThanOrEqual(missionDate" in text and "LessThan(missionDate" in text
-    assert "ReadSchema: struct<protocolId:string,missionDate:timestamp_ntz>" in text
+    assert "GreaterThanOrEqual(o_orderdate" in text and "LessThan(o_orderdate" in text
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in text
 
 
-def test_item_extract_reads_only_its_item_fields(spark):
-    text = plan(items.triage_score(views.results(spark, SF)))
+def test_item_extract_reads_only_its_item_fields(spark, tmp_path):
+    views.results(spark, SF).write.parquet(str(tmp_path / "results"))
+    text = plan(items.triage_score(collections.read_collection(spark, str(tmp_path), "results")))
     assert "value_2" in text and "timeStamp" not in text.split("ReadSchema")[1]
 
 
+def test_building_a_query_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        for name in registry.QUERIES:
+            if name != "materialised_metric":
+                registry.QUERIES[name](spark, SF)
+        # reading a file's schema is the only job
+        stages = [s for j in tracker.getJobIdsForGroup("building") for s in tracker.getJobInfo(j).stageIds]
+        assert all(tracker.getStageInfo(s) is None or tracker.getStageInfo(s).name.startswith("parquet") for s in stages)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def scans_of(df) -> int:
+    return plan(df).count("FileScan parquet")
+
+
+def test_one_pass_over_the_texts(spark):
+    labelled = requirements.classify_texts(requirements.anamnesis_texts(views.freetexts(spark, SF)))
+    assert scans_of(requirements.overview(labelled)) == 1
+
+
+def test_defaults_come_from_one_aggregate(spark):
+    rows = intervals.selection(views.index(spark, SF), ["polytrauma"])
+    rows.collect()
+    final = plan(rows).split("== Initial Plan ==")[0]
+    assert final.count("ReusedSubquery") >= 2
+
+
+def test_percentiles_write_nothing_and_read_once(spark):
+    lines = views.table(spark, SF, "lineitem").select(F.col("l_orderkey").alias("v"))
+    found = percentiles.exact_percentiles(lines, [], "v")
+    found.collect()
+    text = plan(found)
+    assert "ReusedExchange" in text and "/_shared" not in text
+
+
 def test_top_per_group_limits_before_the_shuffle(spark):
     lines = views.table(spark, SF, "lineitem")
     assert "WindowGroupLimit" in plan(summary.top_per_group(lines, "l_returnflag", "l_suppkey", 5))
 
 
 def test_interval_cohort_needs_no_full_outer_join(spark):
-    text = plan(entry.queries()["interval_long"](spark, SF))
+    text = plan(registry.QUERIES["interval_long"](spark, SF))
     assert "FullOuter" not in text and "LeftAnti" not in text
 
 

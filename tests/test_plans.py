@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import schemas, vocab
 from pulsegrid.plans import anamnesis, coverage, destination, fleet, intervals, linkage, located, mission_mix, requirements
-from pulsegrid.sources import collections, reference
+from pulsegrid.sources import collections, items, reference
 
 DAY = dt.datetime(2025, 3, 3, 8)  # a Monday
 
@@ -110,7 +110,8 @@ def test_glucose_when_unconscious(frame, rows):
     )
     glucose = frame([("a", 90.0), ("a", 95.0), ("e", 0.0), ("c", 100.0)], "protocolId string, value double")
     assert rows(coverage.glucose_when_unconscious(scores, glucose)) == [(2, 1, 50.0)]
-    assert coverage.glucose_detail(scores, glucose).count() == 5
+    detail = rows(coverage.glucose_detail(scores, glucose), "protocolId", "value_num", "bz_count", "bz_min", "bz_max")
+    assert detail == [("a", 14.0, 2, 90.0, 95.0), ("a", 3.0, 2, 90.0, 95.0), ("e", 9.0, 0, None, None)]
     assert rows(coverage.glucose_when_unconscious(scores.where("false"), glucose)) == [(0, 0, 0.0)]
 
 
@@ -301,3 +302,77 @@ def test_located(frame, rows):
     assert located.coordinates_in_degrees(dispatch).first()[0] is False
     degrees = located.locate(dispatch.withColumn("EO_Y_KOORD", F.lit(54.5)).withColumn("EO_X_KOORD", F.lit(9.5)), in_degrees=True)
     assert degrees.first()["latitude"] == 54.5
+
+
+def test_interval_selections(frame, rows):
+    missions = index(
+        frame,
+        [("a", "RTW - Transport", "Polytrauma", dt.datetime(2021, 1, 1)), ("b", "KTW", "Polytrauma", dt.datetime(2023, 1, 1)),
+         ("c", "RTW - Transport", "Polytrauma", dt.datetime(2024, 1, 1)), ("d", "RTW - Transport", "Sepsis", dt.datetime(2023, 5, 1)),
+         ("e", None, None, None)],
+        "protocolId string, missionType string, leadingDiagnosis string, missionDate timestamp_ntz",
+    )
+    chosen = lambda **choices: [r[0] for r in rows(intervals.selection(missions, ["polytrauma"], **choices), "protocolId")]
+    assert chosen() == ["c"]
+    assert chosen(years=None) == ["a", "c"]
+    assert chosen(years=None, mission_types=None) == ["a", "b", "c"]
+    assert chosen(years=None, mission_types=None, diagnoses=None) == ["a", "b", "c", "d", "e"]
+    assert chosen(years=[2023], mission_types=["KTW"], diagnoses=["Polytrauma"]) == ["b"]
+    assert chosen(diagnoses=["Sepsis"]) == ["d"]
+
+
+def test_sums_beyond_64_bits(frame, rows):
+    big = 6 * 10**18
+    part = frame([(big, big, big, 3 * big)] * 2 if 3 * big < 2**63 else [(big, big, big, big)] * 3,
+                 ", ".join(f"{p} bigint" for p in [*intervals.PARTS, intervals.PREHOSPITAL]))
+    shares = intervals.process_shares(part).collect()
+    assert [round(r["share"], 6) for r in shares] == [33.333333] * 3
+    start = dt.datetime(1, 1, 1)
+    long = frame([("v", start, dt.datetime(9999, 12, 31))] * 40, "callSign string, a timestamp_ntz, b timestamp_ntz")
+    schedule = frame([], "vehicle string, weekly_hours int")
+    used = fleet.utilization(long, "callSign", "a", "b", schedule, "2024-01-01", "2024-01-07")
+    assert max(r["actual_hours"] for r in used.collect()) > 2**63 / 3.6e9
+
+
+def test_empty_tables(frame, rows):
+    empty = lambda name: frame([], schemas.COLLECTIONS[name])
+    labelled = requirements.classify_texts(requirements.anamnesis_texts(empty("freetexts")))
+    assert dict(rows(requirements.overview(labelled)))["texts"] == 0.0
+    assert all(r["percent"] == 0.0 for r in requirements.documentation_rates(labelled).collect())
+    assert intervals.percentile_table(intervals.cohort_intervals(empty("index"), empty("details"), ["x"])).count() == 0
+    assert intervals.process_shares(intervals.cohort_intervals(empty("index"), empty("details"), ["x"], years=None)).count() == 0
+    assert coverage.stroke_bundle(empty("index"), empty("findings"), empty("results"), empty("measures"),
+                                  items.vitals(empty("vitals_bz"), "bz"), items.vitals(empty("vitals_temp"), "temp")).count() == 0
+    assert linkage.link_dispatch(empty("index"), empty("dispatch")).count() == 0
+    assert rows(linkage.dispatch_match_quality(empty("dispatch"), empty("index"))) == [(0, 0, 0.0)]
+
+
+def test_null_link_keys_take_no_part(spark, frame, rows):
+    missions = index(frame, [(str(k), str(k) if k % 2 else None) for k in range(200)], "protocolId string, missionNumber string")
+    dispatch = frame([("1", "x"), ("1", "y"), (None, "z")], "EINSATZ_NR string, CEDUS_CODE string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        linked = linkage.link_dispatch(missions, dispatch)
+        assert linked.count() == 201 and linked.where("CEDUS_CODE is not null").count() == 2
+        assert "isnotnull(missionNumber" in linked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_hot_and_blank_destinations(frame, rows):
+    table = frame([("nordklinik", 1, {vocab.CAP_TRAUMA: True})], "variant string, rank int, granted map<string,boolean>")
+    cases = [(str(k), "Nordklinik ZNA" if k % 3 else " ", "Polytrauma") for k in range(300)]
+    missions = frame(cases, "protocolId string, targetDestination string, leadingDiagnosis string")
+    marked = destination.mark_eligible(missions, table, vocab.TRAUMA_KEYWORDS)
+    assert marked.count() == 300 and marked.where("hospital_eligible").count() == 200
+
+
+def test_anamnesis_text_fields(frame, rows):
+    item = lambda **v: tuple(v.get(n) for n in ("protocolId", "description", "content", "text", "value", "data", "comment"))
+    docs = frame(
+        [(str(k), str(k), [item(description="Anamnese", **fields)]) for k, fields in enumerate(
+            [{"text": "Sturz", "content": "lang"}, {"text": " ", "content": "Dyspnoe!"}, {"value": "v"}, {"data": "d"}, {"comment": "c"}, {"text": ""}])],
+        schemas.FREETEXTS,
+    )
+    assert [r[1] for r in rows(anamnesis.protocol_texts(docs), "protocolId", "text")] == ["Sturz", "Dyspnoe!", "v", "d", "c"]

@@ -244,8 +244,9 @@ def test_dispatch_records(frame, rows):
         ),
         "dispatch",
     )
-    assert rows(scans.dispatch_records(table), "EINSATZ_NR") == [("1",), ("3",)]
-    assert rows(scans.dispatch_records(table, limit=1), "EINSATZ_NR") == [("3",)]
+    assert rows(scans.dispatch_records(table), "EINSATZ_NR") == [("1",), ("2",), ("3",), ("4",)]
+    assert rows(scans.dispatch_records(table, vocab.DISTRICT), "EINSATZ_NR") == [("1",), ("3",)]
+    assert rows(scans.dispatch_records(table, vocab.DISTRICT, limit=1), "EINSATZ_NR") == [("3",)]
 
 
 def test_read_collection_fills_absent_columns(spark, tmp_path, rows):
