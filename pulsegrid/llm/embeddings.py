@@ -232,11 +232,14 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
 
     def settle(batches):
         for batch in batches:
-            c, o = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<f8").reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1)) for k in (4, 5))
-            angle = np.arccos(np.clip((c * o).sum(axis=1), -1, 1))
-            reach = batch.column(6).to_numpy() + batch.column(7).to_numpy()
-            kind = np.where(angle + reach < limit - SLACK, 1, np.where(angle - reach > limit + SLACK, -1, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + [pa.array(kind.astype(np.int32))], names=["root", "block", "o_block", "o_size", "kind"])
+            sizes = np.array([len(c) for c in batch.column(4).to_pylist()])
+            for size in np.unique(sizes):  # vectors of one component have one length
+                part = batch.filter(pa.array(sizes == size))
+                c, o = (np.frombuffer(b"".join(part.column(k).to_pylist()), "<f8").reshape(part.num_rows, -1) for k in (4, 5))
+                angle = np.arccos(np.clip((c * o).sum(axis=1), -1, 1))
+                reach = part.column(6).to_numpy() + part.column(7).to_numpy()
+                kind = np.where(angle + reach < limit - SLACK, 1, np.where(angle - reach > limit + SLACK, -1, 0))
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(4)] + [pa.array(kind.astype(np.int32))], names=["root", "block", "o_block", "o_size", "kind"])
 
     pairs = slim.join(other, "root").select("root", "block", "o_block", "o_size", "centre", "o_centre", "radius", "o_radius")
     pairs = written(pairs.mapInArrow(settle, "root long, block string, o_block string, o_size long, kind int").where("kind >= 0"), "pairs")
