@@ -30,8 +30,9 @@ WORDS = r"[A-Za-z0-9+/_=-]{6,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SAMPLE = 5000
-#: Counts added to every pair: random strings are spread evenly unless seen otherwise, identifiers are not.
-EVEN_RANDOM, EVEN_ORDINARY = 1.0, 0.1
+#: Counts spread over the characters after each one: evenly in the model of random strings, by their
+#: share in the model of identifiers.
+EVEN, BACK = 68.0, 10.0
 
 
 def text_of(documents: DataFrame) -> Column:
@@ -60,7 +61,7 @@ def spans(text: Column, kind: int, pattern: str, ok) -> Column:
 
 
 def labelled(documents: DataFrame) -> DataFrame:
-    """Distinct strings with y: 1 found by the patterns, 0 other words, from the sampled documents."""
+    """Distinct strings with y: 1 found by the patterns, 0 other words met twice or more, from the sampled documents."""
     every = max(1, documents.count() // SAMPLE)
     text = text_of(documents)
     sample = documents.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(every)) == 0).select(text.alias("text"))
@@ -68,7 +69,9 @@ def labelled(documents: DataFrame) -> DataFrame:
     random = F.concat(matches(t, ASSIGN, 2), matches(t, ACCESS), matches(t, HEX))
     ordinary = matches(F.regexp_replace(t, f"{ASSIGN}|{ACCESS}|{HEX}", " "), WORDS, 0)
     strings = sample.select(F.explode(random).alias("s"), F.lit(1).alias("y")).where(F.char_length("s") >= 16)
-    return strings.unionByName(sample.select(F.explode(ordinary).alias("s"), F.lit(0).alias("y"))).distinct()
+    # a word met once only may be random itself
+    words = sample.select(F.explode(ordinary).alias("s")).groupBy("s").count().where("count > 1")
+    return strings.distinct().unionByName(words.select("s", F.lit(0).alias("y")))
 
 
 def codes(s: Column) -> Column:
@@ -81,17 +84,23 @@ def pair_ratios(documents: DataFrame) -> list[float]:
     n = len(ALPHABET) + 1
     strings = labelled(documents).withColumn("codes", codes(F.col("s")))
     before = F.concat(F.array(F.lit(0)), F.slice("codes", 1, F.greatest(F.size("codes") - 1, F.lit(0))))
-    pairs = strings.select("y", F.explode(F.arrays_zip(before.alias("a"), F.col("codes").alias("b"))).alias("p"))
+    # a pair counts once per string, so that one long monotonous string does not outweigh the rest
+    both = F.arrays_zip(before.alias("a"), F.col("codes").alias("b"))
+    pairs = strings.select("y", F.explode(F.array_distinct(both)).alias("p"))
     # at most two counts for each pair of characters
     counted = pairs.groupBy("y", "p.a", "p.b").agg(F.count("*").alias("n")).collect()
     counts = {(r.y, r.a, r.b): r.n for r in counted}
+    # a character's share among identifiers, whatever comes before it
+    alone = [sum(counts.get((0, a, b), 0) for a in range(n)) + 0.5 for b in range(n)]
+    alone = [x / sum(alone[1:]) for x in alone]
     out = []
     for a in range(n):
-        totals = [sum(counts.get((y, a, b), 0) + even for b in range(1, n)) for y, even in ((0, EVEN_ORDINARY), (1, EVEN_RANDOM))]
+        random_total = sum(counts.get((1, a, b), 0) for b in range(1, n)) + EVEN
+        ordinary_total = sum(counts.get((0, a, b), 0) for b in range(1, n)) + BACK
         out.append(0.0)  # no character has code 0
         for b in range(1, n):
-            random = (counts.get((1, a, b), 0) + EVEN_RANDOM) / totals[1]
-            ordinary = (counts.get((0, a, b), 0) + EVEN_ORDINARY) / totals[0]
+            random = (counts.get((1, a, b), 0) + EVEN / (n - 1)) / random_total
+            ordinary = (counts.get((0, a, b), 0) + BACK * alone[b]) / ordinary_total
             out.append(math.log(random / ordinary))
     return out if any(y == 1 for y, _, _ in counts) else [0.0] * (n * n)
 
