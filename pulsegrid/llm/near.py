@@ -2,16 +2,16 @@
 
 A document is its set of distinct word shingles. Each shingle's hash names one of ``REGISTERS`` buckets;
 a bucket keeps its smallest hash as the count of leading zeros and the ``MANTISSA`` bits after the first
-one. ``BANDS`` keys of ``ROWS`` registers find candidates; pairs whose collision-corrected Jaccard
-estimate lies far below the threshold are left out; the others are compared on their full sets.
+one. ``BANDS`` keys of ``ROWS`` registers bring candidates together.
 
 Small sets enter every shingle under ``COPIES`` hashes so that buckets fill; sets near the size where
 that ends are banded both ways, so a similar pair always has one way in common.
 
-Equal sets are one node. Within a band's bucket, every node is compared with the bucket's most
-connected node (a star, not all pairs); nodes of a bucket that are still in different components are
-then compared with the next such node, until few enough pairs are left to be compared all. So no link
-between components is lost and no group emits its square.
+Equal sets are one node. All nodes that share a band key are in the canopy of the most connected one of
+them, so any two of them meet there. Within a canopy, collision-corrected Jaccard estimates of all pairs
+leave the nodes that may have a link at all; these are compared on their full sets. Both steps work on
+blocks of bounded size, as matrix operations whose results leave the task as a list of nodes and as a
+forest of links: no pair is lost and no group emits its square.
 
 Null and empty texts have no shingle and link with nothing. Rows that repeat a doc_id are separate
 rows. Further columns are not read.
@@ -19,29 +19,28 @@ rows. Further columns are not read.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import components, text_bytes, written
 
-REGISTERS, MANTISSA = 128, 10
-BANDS, ROWS = 32, 4
+REGISTERS, MANTISSA = 256, 10
+#: A pair at 0.8 shares no band with a probability of 3e-6, at 0.85 of 2e-9.
+BANDS, ROWS = 42, 6
 EMPTY = 0xFFFF
 #: Sets below SMALL enter each shingle COPIES[0] times, others COPIES[1] times.
-SMALL, COPIES = 64, (32, 2)
-#: Standard errors below the threshold at which an estimate still leads to verification.
-MARGIN = 6
+SMALL, COPIES = 64, (32, 4)
 #: Expected share of equal registers of unrelated sets is this times 2 ** -MANTISSA (published for HyperMinHash).
 COLLISION = 0.1699
-#: All pairs that are left are compared once there are at most so many per node; star rounds before that.
-LEFT_PER_NODE, MOST_ROUNDS = 4, 6
-#: Word hashes a worker remembers.
-REMEMBERED = 1_000_000
-
-_WORDS: dict[bytes, int] = {}
+#: Standard errors below the threshold at which an estimate still leads to verification.
+MARGIN = 6
+#: Nodes and bytes of sets in a block of a canopy, and columns multiplied at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 4096
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,29 +50,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _WORDS.get
-    out = [known(w) for w in words]
-    if None in out:
-        for k, h in enumerate(out):
-            if h is None:
-                out[k] = h = xxhash.xxh3_64_intdigest(words[k])
-                if len(_WORDS) < REMEMBERED:
-                    _WORDS[words[k]] = h
-    return np.array(out, np.uint64)
-
-
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a shorter text is one shingle."""
     words = text.lower().split()  # of bytes: A-Z only, and ASCII white space
     if not words:
         return np.empty(0, np.uint64)
-    h = word_hashes(words)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : len(h) - n + 1 + k]
+    return np.unique(mixed(out))
 
 
 def sketch(items: np.ndarray, copies: int) -> np.ndarray:
@@ -104,20 +92,24 @@ def ways(n: int, percent: int) -> list[int]:
 def band_keys(registers: np.ndarray, way: int) -> list[int]:
     """Keys of the bands that hold any register."""
     rows = registers[: BANDS * ROWS].reshape(BANDS, ROWS)
-    packed = np.zeros(BANDS, np.uint64)
+    keys = np.arange(2 * BANDS, dtype=np.uint64)[way::2]
     for k in range(ROWS):
-        packed = packed << np.uint64(16) | rows[:, k].astype(np.uint64)
-    keys = mixed(packed + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(way))
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, k].astype(np.uint64))
     return keys[(rows != EMPTY).any(axis=1)].astype(np.int64).tolist()
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of register rows, corrected for equal registers of different shingles."""
-    used = (a != EMPTY) | (b != EMPTY)
-    n = np.maximum(used.sum(axis=1), 1)
-    equal = ((a == b) & used).sum(axis=1) / n
+def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of every row of ``a`` with every row of ``b``, and the registers each rests on.
+
+    Corrected for equal registers of different shingles; registers that are empty on both sides say nothing.
+    """
+    equal = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        equal += a[:, k, None] == b[None, :, k]
+    empty = ((a == EMPTY).astype(np.float32) @ (b == EMPTY).astype(np.float32).T).astype(np.int64)
+    n = np.maximum(a.shape[1] - empty, 1)
     chance = COLLISION / (1 << MANTISSA)
-    return (equal - chance) / (1 - chance), n
+    return ((equal - empty) / n - chance) / (1 - chance), n
 
 
 def sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
@@ -160,26 +152,73 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "r0", "r1").mapInArrow(run, "key long, id long")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose estimate does not rule them out, by sizes and registers."""
-    side = lambda name: nodes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("r0").alias(f"r0_{name}"), F.col("r1").alias(f"r1_{name}"))
-    both = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b")
-    both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def canopies(nodes: DataFrame) -> DataFrame:
+    """(leader, id) of all canopies, the leaders included."""
+    bands = banded(nodes)
+    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = written(bands.join(shared, "key"), "bands")
+    degree = members.groupBy("id").agg(F.sum("c").alias("degree"))
+    # degree and id in one number, so that the leader is a plain maximum
+    rank = F.col("degree").cast("decimal(38,0)") * F.lit(Decimal(2**63)) + F.col("id")
+    ranked = members.select("key", "id").join(degree, "id").select("key", "id", rank.alias("rank"))
+    leaders = ranked.groupBy("key").agg(F.max("rank").alias("rank"))
+    leaders = leaders.select("key", (F.col("rank") % F.lit(Decimal(2**63))).cast("long").alias("leader"))
+    pairs = members.select("key", "id").join(leaders, "key").select("leader", "id").distinct()
+    return written(pairs, "canopies")
 
-    def run(batches):
+
+def in_blocks(found: DataFrame, data: DataFrame, size: Column, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Canopies as blocks of about BLOCK nodes and BLOCK_BYTES: (blocks, pairs of different blocks of one canopy).
+
+    ``columns`` of ``data`` are gathered as arrays; of the second block they have the suffix 2.
+    """
+    placed = found.join(data, "id")
+    several = placed.groupBy("leader").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).alias("blocks"))
+    placed = placed.join(several.where("n > 1"), "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    gathered = placed.groupBy("leader", "block", "blocks").agg(*[F.collect_list(F.coalesce(c, F.lit(b"")) if c in ("r0", "r1") else c).alias(c) for c in columns])
+    large = written(gathered.where("blocks > 1"), "blocks")
+    other = large.select("leader", F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in columns])
+    across = large.join(other, "leader").where("block < block2")
+    return gathered, across.select(*columns, *[f"{c}2" for c in columns])
+
+
+def hopeful(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (leader, id) whose node has an estimate within the canopy that does not rule out a link."""
+    t = percent / 100
+
+    def near(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        """Rows of registers against each other; rows without registers of this way are near nothing."""
+        out = np.zeros((len(a), len(b)), bool)
+        rows, columns = (np.flatnonzero([len(x) > 0 for x in side]) for side in (a, b))
+        if len(rows) and len(columns):
+            left, right = (np.frombuffer(b"".join(side), np.uint16).reshape(-1, REGISTERS) for side in (a, b))
+            j, n = estimates(left, right)
+            out[np.ix_(rows, columns)] = j >= t - MARGIN * np.sqrt(t * (1 - t) / n)
+        return out
+
+    def kept(batches):
+        for batch in batches:
+            rows = [[], []]
+            for leader, ids, r0, r1 in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                close = near(r0, r0) | near(r1, r1)
+                np.fill_diagonal(close, False)
+                own = np.flatnonzero(close.any(axis=1))
+                rows[0] += [leader] * len(own)
+                rows[1] += [ids[k] for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["leader", "id"])
+
+    def kept_across(batches):
         for batch in batches:
-            a, b, r0a, r1a, r0b, r1b = (batch.column(k).to_pylist() for k in range(6))
-            if not a:
-                continue
-            way = [(x, y) if x is not None and y is not None else (u, v) for x, u, y, v in zip(r0a, r1a, r0b, r1b)]
-            left = np.frombuffer(b"".join(x for x, _ in way), np.uint16).reshape(-1, REGISTERS)
-            right = np.frombuffer(b"".join(y for _, y in way), np.uint16).reshape(-1, REGISTERS)
-            j, n = estimate(left, right)
-            t = percent / 100
-            mask = pa.array(j >= t - MARGIN * np.sqrt(t * (1 - t) / n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            for leader, ids, r0, r1, _, ids2, r02, r12 in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                close = near(r0, r02) | near(r1, r12)
+                own = [ids[k] for k in np.flatnonzero(close.any(axis=1))] + [ids2[k] for k in np.flatnonzero(close.any(axis=0))]
+                yield pa.RecordBatch.from_arrays([pa.array([leader[0]] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["leader", "id"])
 
-    return both.select("a", "b", "r0_a", "r1_a", "r0_b", "r1_b").mapInArrow(run, "a long, b long")
+    registers = nodes.select("id", "r0", "r1")
+    size = F.octet_length(F.coalesce("r0", F.lit(b""))) + F.octet_length(F.coalesce("r1", F.lit(b"")))
+    inside, across = in_blocks(found.withColumn("of", F.col("leader")), registers, size, ["of", "id", "r0", "r1"])
+    inside = inside.select("leader", "id", "r0", "r1").mapInArrow(kept, "leader long, id long")
+    return written(inside.unionByName(across.mapInArrow(kept_across, "leader long, id long")).distinct(), "hopeful")
 
 
 def sets_of(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -203,69 +242,76 @@ def sets_of(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int
     return found.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
+def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which sets are linked with which others (by default with each other), by exact intersections."""
+    rows = sets + (others or [])
+    n = len(sets)
+    sizes = np.array([len(x) for x in rows])
+    items, column = np.unique(np.concatenate(rows), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    several = np.bincount(column, minlength=len(items)) > 1  # an item of one set is in no intersection
+    number = np.cumsum(several) - 1
+    keep = several[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, len(rows) - n if others else n), np.float32)
+    width = int(several.sum())
+    cuts = np.searchsorted(column, np.arange(0, width + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        part = np.zeros((len(rows), min(COLUMNS, width - k * COLUMNS)), np.float32)
+        part[row[a:b], column[a:b] - k * COLUMNS] = 1
+        common += part[:n] @ (part[n:] if others else part).T
+    common = common.astype(np.int64)
+    union = sizes[:n, None] + sizes[None, n:] - common if others else sizes[:, None] + sizes[None, :] - common
+    return 100 * common >= percent * union
+
+
+def forest(links: np.ndarray, ids: list[int], others: list[int] | None) -> list[tuple[int, int]]:
+    """Edges that connect what ``links`` connects, fewer than there are nodes."""
+    nodes = ids + (others or [])
+    n = len(ids)
+    root = np.arange(len(nodes))
+    edges = []
+    for k in range(n):
+        near = np.flatnonzero(links[k]) + (n if others else 0)
+        mine = root[k]
+        for r in np.unique(root[near]):
+            if r != mine:
+                edges.append((nodes[k], nodes[near[root[near] == r][0]]))
+                root[root == r] = mine
+    return edges
 
-    def run(batches):
+
+def canopy_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all linked nodes of each canopy."""
+
+    def alone(batches):
+        for batch in batches:
+            edges = []
+            for ids, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = [np.frombuffer(x, np.uint64) for x in items]
+                edges += forest(linked(own, None, percent), ids, None) if len(ids) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def crossed(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            for ids, items, ids2, items2 in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                own, other = ([np.frombuffer(x, np.uint64) for x in y] for y in (items, items2))
+                edges = forest(linked(own, other, percent), ids, ids2)
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-    return both.mapInArrow(run, "a long, b long")
+    inside, across = in_blocks(found, sets, F.octet_length("items"), ["id", "items"])
+    inside = inside.select("id", "items").mapInArrow(alone, "a long, b long")
+    return inside.unionByName(across.mapInArrow(crossed, "a long, b long"))
 
 
 def links(documents: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """id and component_id of all nodes: stars per bucket, then what they leave apart."""
-    bands = banded(nodes)
-    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = written(bands.join(shared, "key"), "bands")
-    degree = written(members.groupBy("id").agg(F.sum("c").alias("degree")), "degrees")
-    n_nodes = degree.count()
-    state = written(nodes.select("id", F.col("id").alias("component_id")), "components")
-    edges = tested = None
-    for step in range(MOST_ROUNDS + 1):
-        # buckets whose nodes are not yet all in one component
-        apart = members.join(degree, "id").join(state, "id")
-        open_keys = apart.groupBy("key").agg(
-            F.max(F.struct("degree", "id", "component_id")).alias("top"), F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("c")
-        )
-        open_keys = written(open_keys.where("low != high").select("key", F.col("top.id").alias("leader"), F.col("top.component_id").alias("leads"), "c"), "open")
-        left = open_keys.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        rows = apart.drop("c").join(open_keys.select("key", "leader", "leads"), "key")
-        everything = step and left <= LEFT_PER_NODE * BANDS * n_nodes or step == MOST_ROUNDS
-        if everything:
-            other = rows.select("key", F.col("id").alias("b"), F.col("component_id").alias("c2"))
-            pairs = rows.select("key", F.col("id").alias("a"), F.col("component_id").alias("c1")).join(other, "key").where("a < b AND c1 != c2")
-        else:
-            if step:  # that leader has been tried: the most connected node outside its component, later any outside it
-                order = F.col("degree") if step == 1 else F.xxhash64("id", F.lit(step))
-                rest = rows.where("component_id != leads").groupBy("key").agg(F.max(F.struct(order, "id", "component_id")).alias("top"))
-                rows = rows.drop("leader", "leads").join(rest.select("key", F.col("top.id").alias("leader"), F.col("top.component_id").alias("leads")), "key")
-            pairs = rows.where("component_id != leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        chosen = written(likely(pairs, nodes, percent), "likely")
-        wanted = chosen.select(F.col("a").alias("id")).union(chosen.select("b")).distinct()
-        sets = written(sets_of(documents, nodes, wanted, size), "sets")
-        new = written(verified(chosen, sets, percent), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        state = written(components(nodes.select("id"), edges), "components")
-        if everything:
-            break
-    return state
+    """id and component_id of all nodes."""
+    found = hopeful(canopies(nodes), nodes, percent)
+    sets = sets_of(documents, nodes, found.select("id").distinct(), size)
+    edges = written(canopy_links(found, sets, percent), "links")
+    return written(components(nodes.select("id"), edges), "components")
 
 
 def near_groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

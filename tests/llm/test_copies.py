@@ -138,7 +138,7 @@ def test_estimates_follow_the_true_similarity():
             n = int(600 * share)
             a, b = both[: n + (600 - n) // 2], np.concatenate([both[:n], both[n + (600 - n) // 2 :]])
             x, y = (near.sketch(np.unique(s), 2)[None, :] for s in (a, b))
-            found.append(float(near.estimate(x, y)[0]))
+            found.append(float(near.estimates(x, y)[0][0, 0]))
         assert abs(np.mean(found) - share) < 0.03
 
 
