@@ -7,7 +7,6 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +40,6 @@ def text_bytes(column: pa.Array):
         yield value.as_py() or b""
 
 
-def arrow_schema(schema: StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
