@@ -156,7 +156,7 @@ def test_destination(spark, frame, rows):
     # "nordklinik" keeps its first place and takes the capabilities of its last mention.
     assert rows(got.where("hospital_eligible"), "protocolId") == [("a",), ("h",)]
     assert got.count() == 8
-    assert rows(destination.eligibility_share(got)) == [(8, 2, 25.0)]
+    assert rows(destination.eligibility_share(got)) == [(8, 2, 25.0, -75.0)]
     rea = frame([("a", True, "Westklinik"), ("b", False, "Westklinik"), ("c", True, None)], "protocolId string, rea_status boolean, targetDestination string")
     assert rows(destination.resuscitation_cases(rea, variants), "protocolId", "hospital_eligible") == [("a", True), ("c", False)]
 
@@ -245,7 +245,7 @@ def test_extended_measures(frame, rows):
 
 def freetexts(frame, texts):
     return frame(
-        [(str(i), p, [(None, "Übergabe", "egal", None), (None, d, t, None)]) for i, (p, d, t) in enumerate(texts)], schemas.FREETEXTS
+        [(str(i), p, [(None, "Übergabe", "egal", *[None] * 4), (None, d, t, *[None] * 4)]) for i, (p, d, t) in enumerate(texts)], schemas.FREETEXTS
     )
 
 
@@ -269,20 +269,20 @@ def test_anamnesis_batch(frame, rows):
     long = "Langer Anfang " * 10
     docs = freetexts(frame, [
         ("a", "Anamnese", f" {long}eins "), ("b", "Anamnese", f"{long}eins"), ("c", "Anamnese", f"{long}zwei"),
-        ("a", "Anamnese", "zweiter Text des Protokolls"), ("d", "Anamnese", "zu kurz"), ("e", "Eigenanamnese", f"{long}drei"),
+        ("a", "Anamnese", "zweiter Text des Protokolls"), ("d", "Anamnese", "kurz"), ("e", "Eigenanamnese", f"{long}drei"),
         ("", "Anamnese", f"{long}vier"),
     ])
     texts = anamnesis.protocol_texts(docs)
-    assert rows(texts, "protocolId") == [("a",), ("b",), ("c",)]
+    assert rows(texts, "protocolId") == [("a",), ("b",), ("c",), ("d",)]
     asked = anamnesis.prompts(texts)
-    assert rows(asked, "protocolId") == [("a",), ("c",)]  # texts sharing a prefix stay apart
+    assert rows(asked, "protocolId") == [("a",), ("c",), ("d",)]  # texts sharing a prefix stay apart
     answers = asked.select("text_key", F.concat(F.lit("UEBERGRIF_VORHANDEN: "), F.when(F.col("protocolId") == "a", "ja").otherwise("nein")).alias("answer"))
     results = anamnesis.fan_out(texts, anamnesis.parse_answers(answers))
-    assert rows(results, "einsatz_id", "übergriff_vorhanden") == [("a", "ja"), ("b", "ja"), ("c", "nein")]
-    assert rows(anamnesis.case_counts(results)) == [(3, 2, 0, 0)]
+    assert rows(results, "einsatz_id", "übergriff_vorhanden") == [("a", "ja"), ("b", "ja"), ("c", "nein"), ("d", "nein")]
+    assert rows(anamnesis.case_counts(results)) == [(4, 2, 0, 0)]
     summary = {r["category"]: (r["yes"], r["no"], r["total"]) for r in anamnesis.yes_no_summary(results).collect()}
-    assert summary["Übergriffe"] == (2, 1, 3) and summary["Auffälligkeiten"] == (0, 0, 0)
-    assert rows(anamnesis.field_counts(results, "übergriff_vorhanden")) == [("ja", 2), ("nein", 1)]
+    assert summary["Übergriffe"] == (2, 2, 4) and summary["Auffälligkeiten"] == (0, 0, 0)
+    assert rows(anamnesis.field_counts(results, "übergriff_vorhanden")) == [("ja", 2), ("nein", 2)]
     linked = frame([("c",)], "protocolId string")
     assert rows(anamnesis.protocol_texts(docs, linked), "protocolId") == [("c",)]
 
