@@ -6,13 +6,15 @@ in it whose ``GRAM`` bytes hash lowest: equal strings have equal such grams at e
 is lost. Strings of one place are neighbours; their bytes make one piece.
 
 1. Every batch of documents sends each gram once; grams that only one document has end there.
-2. Documents come together with their shared grams. Equal pieces of a batch are one: for all but the
-   smallest doc_id they are repeats already. The others go to the shard their gram hashes to.
-3. A shard puts its pieces' suffixes in order with their common prefixes (``induced``). In a run of
-   suffixes that share ``LENGTH`` bytes, all but those of the smallest doc_id are repeats.
+2. Documents come together with their shared grams and send a hash of each piece that belongs to one.
+   Of equal pieces all but those of the smallest doc_id are repeats; a piece whose gram no different
+   piece has is settled by that.
+3. The remaining pieces go, once each, to the shard their gram hashes to. A shard puts their suffixes in
+   order with their common prefixes (``induced``). In a run of suffixes that share ``LENGTH`` bytes, all
+   but those of the smallest doc_id are repeats.
 4. The repeated ranges meet their document again, are joined and cut out.
 
-A hot string or piece reaches a shard once per batch at most. Null text is empty; a null doc_id is below
+A hot string or piece is sent once per batch at most. Null text is empty; a null doc_id is below
 all others; rows that repeat a doc_id do not repeat each other. Further columns are not read.
 """
 
@@ -22,16 +24,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import partitions, text_bytes
+from pulsegrid.llm.common import partitions, text_bytes, tidy
 from pulsegrid.llm.induced import suffixes
 from pulsegrid.llm.near import mixed
 
 LENGTH, GRAM = 50, 16
-#: Text bytes handled at once; a longer document is a batch of its own. Positions need PLACE_BITS.
-BATCH, PLACE_BITS = 4 << 20, 24
+#: Text bytes of a batch (a longer document is one of its own), and of what is hashed at once, whose
+#: places need PLACE_BITS.
+BATCH, AT_ONCE, PLACE_BITS = 6 << 20, 1 << 20, 24
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -43,81 +47,101 @@ def gram_hashes(data: bytes) -> np.ndarray:
         part = np.frombuffer(data, "<u8", (len(data) - k) // 8, k)
         own = word[k::8]
         own[: min(len(own), len(part))] = part[: len(own)]
-    return mixed(word[:n] * np.uint64(0x9E3779B97F4A7C15) + (word[8 : n + 8] ^ (word[8 : n + 8] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
-
-
-def lowest_places(h: np.ndarray, n: int) -> np.ndarray:
-    """For each of the first ``n`` strings the place of its lowest gram hash, the leftmost of equal ones."""
-    places = np.arange(len(h), dtype=np.uint64)
-    v = h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | places
+    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h += word[8 : n + 8]
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def lowest_places(h: np.ndarray) -> np.ndarray:
+    """For each string the place of its lowest gram hash, the leftmost of equal ones."""
+    v = h >> np.uint64(PLACE_BITS)
+    v <<= np.uint64(PLACE_BITS)
+    v |= np.arange(len(h), dtype=np.uint64)
     grams, width = LENGTH - GRAM + 1, 1
     while 2 * width <= grams:
         v = np.minimum(v[:-width], v[width:])
         width *= 2
     if width < grams:
         v = np.minimum(v[: len(v) - (grams - width)], v[grams - width :])
-    return (v[:n] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    v &= np.uint64((1 << PLACE_BITS) - 1)
+    return v.view(np.int64)
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, text number, first string, last string) of every place that strings belong to.
 
-    Strings are given by their start within the text. Texts shorter than LENGTH have none.
+    Strings are given by their start within the text. Texts shorter than LENGTH have none. A text too
+    long for PLACE_BITS is cut into parts that overlap, so that every string is whole in one.
     """
-    parts = []
-    step = (1 << PLACE_BITS) - LENGTH - 16
-    todo = [(k, 0, t) if len(t) <= step else (k, at, t[at : at + step + LENGTH - 1]) for k, t in enumerate(texts) for at in (range(0, max(len(t), 1), step) if len(t) > step else (0,))]
-    group, size = [], 0
+    parts, group, size = [], [], 0
+    step = (1 << PLACE_BITS) - 2 * LENGTH
 
     def flush():
-        if not group:
-            return
         lengths = np.array([len(t) for _, _, t in group])
         ends = np.cumsum(lengths)
         data = b"".join(t for _, _, t in group)
-        n = len(data) - LENGTH + 1
-        if n > 0:
-            h = gram_hashes(data)
-            place = lowest_places(h, n)
-            starts = np.arange(n)
-            own = np.searchsorted(ends, starts, side="right")
-            whole = starts + LENGTH <= ends[own]
-            starts, own, place = starts[whole], own[whole], place[whole]
-            if len(starts):
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(own) != 0)]))
-                last = np.append(first[1:], len(starts)) - 1
-                text = own[first]
-                numbers = np.array([k for k, _, _ in group])
-                base = (ends - lengths)[text] - np.array([at for _, at, _ in group])[text]
-                parts.append((h[place[first]], numbers[text], starts[first] - base, starts[last] - base))
-
-    for item in todo:
-        if size and size + len(item[2]) > BATCH:
-            flush()
-            group, size = [], 0
-        group.append(item)
-        size += len(item[2])
-    flush()
+        if len(data) < LENGTH:
+            return
+        h = gram_hashes(data)
+        place = lowest_places(h)
+        # the last LENGTH - 1 starts of a text are no strings of it
+        outside = (ends[:, None] - np.arange(1, LENGTH)).reshape(-1)
+        place[outside[(outside >= 0) & (outside < len(place))]] = -1
+        change = np.flatnonzero(place[1:] != place[:-1]) + 1
+        first = np.concatenate([[0], change])
+        last = np.concatenate([change, [len(place)]]) - 1
+        inside = place[first] >= 0
+        first, last = first[inside], last[inside]
+        text = np.searchsorted(ends, first, side="right")
+        at = (ends - lengths - np.array([a for _, a, _ in group]))[text]
+        parts.append((h[place[first]], np.array([k for k, _, _ in group])[text], first - at, last - at))
+
+    for k, t in enumerate(texts):
+        for at in range(0, max(len(t) - LENGTH + 1, 1), step):
+            part = t[at : at + step + LENGTH - 1] if len(t) > step else t
+            if size and size + len(part) > AT_ONCE:
+                flush()
+                group, size = [], 0
+            group.append((k, at, part))
+            size += len(part)
+    if group:
+        flush()
     if not parts:
         return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def batches_of(batches, column: int):
-    """(ids, texts, rows) in batches of about BATCH bytes; the other columns stay in ``rows``."""
+def batches_of(batches, *columns: int):
+    """(ids, texts, further columns) in batches of about BATCH bytes; columns are id, text and ``columns``."""
+    ids, texts, more, size = [], [], [[] for _ in columns], 0
     for batch in batches:
-        ids, texts, rows, size = [], [], [], 0
-        keys = batch.column(0).to_pylist()
-        for k, text in enumerate(text_bytes(batch.column(column))):
-            ids.append(NULL_ID if keys[k] is None else keys[k])
+        further = [batch.column(c).to_pylist() for c in columns]
+        for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)))):
+            ids.append(key)
             texts.append(text)
-            rows.append(k)
+            for out, values in zip(more, further):
+                out.append(values[k])
             size += len(text)
             if size >= BATCH:
-                yield np.array(ids, np.int64), texts, batch.take(pa.array(rows))
-                ids, texts, rows, size = [], [], [], 0
-        if ids:
-            yield np.array(ids, np.int64), texts, batch.take(pa.array(rows))
+                yield np.array(ids, np.int64), texts, more
+                ids, texts, more, size = [], [], [[] for _ in columns], 0
+    if ids:
+        yield np.array(ids, np.int64), texts, more
+
+
+def heads_of(*columns: np.ndarray) -> np.ndarray:
+    """Starts of the runs in which all (sorted) columns stay the same."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    fresh = np.zeros(len(columns[0]), bool)
+    fresh[0] = True
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(fresh)
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -128,65 +152,63 @@ def shared_grams(texts: DataFrame, ranges: int) -> DataFrame:
     """id and keys (a part of them): the grams of a document that another document has too."""
 
     def send(batches):
-        for ids, texts, _ in batches_of(batches, 1):
+        for ids, texts, _ in batches_of(batches):
             key, number, _, _ = anchors(texts)
             if not len(key):
                 continue
             doc = ids[number]
-            order = np.lexsort((doc, key))
+            order = np.argsort(key, kind="stable")
             key, doc = key[order], doc[order]
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-            key, doc = key[fresh], doc[fresh]
-            head = np.concatenate([[True], key[1:] != key[:-1]])
-            several = np.repeat(np.diff(np.flatnonzero(np.append(head, True))) > 1, np.diff(np.flatnonzero(np.append(head, True))))
-            # known here already: all but the one that is sent on
-            rows = [(-1, int(d), k.tobytes(), b"", b"") for d, k in grouped(doc[several & ~head], key[several & ~head])]
-            key, doc, several = key[head], doc[head], several[head]
-            own = range_of(key, ranges)
-            cuts = np.searchsorted(own, np.arange(ranges + 1))
+            heads = heads_of(key)
+            sizes = np.diff(np.append(heads, len(key)))
+            least = np.minimum.reduceat(doc, heads)
+            several = least != np.maximum.reduceat(doc, heads)
+            # known here already: all documents but the one that is sent on
+            other = np.repeat(several, sizes) & (doc != np.repeat(least, sizes))
+            rows = [(int(d % ranges), int(d), np.unique(k).tobytes(), None, None) for d, k in grouped(doc[other], key[other])]
+            key = key[heads]
+            cuts = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1))
             for r in range(ranges):
                 a, b = cuts[r], cuts[r + 1]
                 if a < b:
-                    rows.append((r, None, key[a:b].tobytes(), doc[a:b].tobytes(), np.packbits(several[a:b]).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] if x[0] >= 0 else hash(x[1]) % ranges for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()), *(pa.array([x[k] for x in rows], pa.binary()) for k in (2, 3, 4))],
-                names=["range", "id", "keys", "docs", "several"],
-            )
+                    rows.append((r, None, key[a:b].tobytes(), least[a:b].tobytes(), np.packbits(several[a:b]).tobytes()))
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["range", "id", "keys", "docs", "several"])
+
+    def shared(held):
+        key, doc, several = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key, kind="stable")
+        key, doc, several = key[order], doc[order], several[order]
+        heads = heads_of(key)
+        sizes = np.diff(np.append(heads, len(key)))
+        common = (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)) | np.logical_or.reduceat(several, heads)
+        keep = np.repeat(common, sizes)
+        rows = list(grouped(doc[keep], key[keep]))
+        return pa.RecordBatch.from_arrays([pa.array([int(d) for d, _ in rows], pa.int64()), pa.array([k.tobytes() for _, k in rows], pa.binary())], names=["id", "keys"])
 
     def merge(batches):
         at, held = None, []
-
-        def out():
-            key, doc, several = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, key))
-            key, doc, several = key[order], doc[order], several[order]
-            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(heads, len(key)))
-            common = (doc[heads] != doc[heads + sizes - 1]) | np.logical_or.reduceat(several, heads)
-            keep = np.repeat(common, sizes)
-            rows = list(grouped(doc[keep], key[keep]))
-            return pa.RecordBatch.from_arrays([pa.array([int(d) for d, _ in rows], pa.int64()), pa.array([k.tobytes() for _, k in rows], pa.binary())], names=["id", "keys"])
-
         for batch in batches:
-            local_ids, local_keys = [], []
+            known = [[], []]
             for r, id, keys, docs, several in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if id is not None:
-                    local_ids.append(id)
-                    local_keys.append(keys)
+                    known[0].append(id)
+                    known[1].append(keys)
                     continue
                 if r != at and held:
-                    yield out()
+                    yield shared(held)
                     held = []
                 at = r
                 n = len(keys) // 8
                 held.append((np.frombuffer(keys, np.uint64), np.frombuffer(docs, np.int64), np.unpackbits(np.frombuffer(several, np.uint8))[:n].astype(bool)))
-            if local_ids:
-                yield pa.RecordBatch.from_arrays([pa.array(local_ids, pa.int64()), pa.array(local_keys, pa.binary())], names=["id", "keys"])
+            if known[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(known[0], pa.int64()), pa.array(known[1], pa.binary())], names=["id", "keys"])
         if held:
-            yield out()
+            yield shared(held)
 
-    sent = texts.mapInArrow(send, "range int, id long, keys binary, docs binary, several binary")
-    return sent.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "id long, keys binary")
+    sent = texts.select("id", "text").mapInArrow(tidy(send), "range int, id long, keys binary, docs binary, several binary")
+    # as many partitions as ranges: sizes in memory are a multiple of those Spark would merge them by
+    return sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(tidy(merge), "id long, keys binary")
 
 
 def grouped(ids: np.ndarray, values: np.ndarray):
@@ -198,77 +220,142 @@ def grouped(ids: np.ndarray, values: np.ndarray):
         yield ids[a], values[a:b]
 
 
-def spans_batch(rows: list[tuple[int, list[int], list[int]]]) -> pa.RecordBatch:
-    """Rows (shard null, id, starts, ends) of repeated ranges."""
-    n = len(rows)
-    empty = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())]
-    spans = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([*empty, *spans], names=PIECES)
+#: A row is either ranges of a document (starts, ends), or hashes or pieces for a shard.
+SENT = ["shard", "id", "starts", "ends", "keys", "hashes", "docs", "places", "sizes", "bytes"]
+KINDS = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 6]
+SENT_DDL = "shard int, id long, starts array<long>, ends array<long>, keys binary, hashes binary, docs binary, places binary, sizes binary, bytes binary"
 
 
-PIECES = ["shard", "bytes", "sizes", "docs", "places", "id", "starts", "ends"]
-PIECES_DDL = "shard int, bytes binary, sizes binary, docs binary, places binary, id long, starts array<long>, ends array<long>"
+def sent_batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(SENT, KINDS)], names=SENT)
 
 
-def pieces(texts: DataFrame, shards: int) -> DataFrame:
-    """Pieces per shard, and the ranges already known to be repeats; ``texts`` has id, text, keys (several)."""
+def ranges_of(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
+    """One row of joined ranges per document."""
+    order = np.lexsort((starts, docs))
+    docs, starts, ends = docs[order], starts[order], ends[order]
+    cuts = heads_of(docs)
+    return [dict(zip(("id", "starts", "ends"), (int(docs[a]), *merged(starts[a:b], ends[a:b])))) for a, b in zip(cuts, np.append(cuts[1:], len(docs)))]
+
+
+def piece_hashes(texts: DataFrame, ranges: int) -> DataFrame:
+    """Hashes of the pieces of shared grams per range of keys; ``texts`` has id, text and keys (several)."""
 
     def run(batches):
-        for ids, texts, rest in batches_of(batches, 1):
-            shared = [np.unique(np.frombuffer(b"".join(k or ()), np.uint64)) for k in rest.column(2).to_pylist()]
+        for ids, texts, (keys,) in batches_of(batches, 2):
             key, number, first, last = anchors(texts)
             mark = np.zeros(len(key), bool)
             cuts = np.searchsorted(number, np.arange(len(texts) + 1))
-            for k, known in enumerate(shared):
-                a, b = cuts[k], cuts[k + 1]
+            for k, own in enumerate(keys):
+                known, (a, b) = np.unique(np.frombuffer(b"".join(own or ()), np.uint64)), (cuts[k], cuts[k + 1])
                 if len(known) and a < b:
                     at = np.minimum(np.searchsorted(known, key[a:b]), len(known) - 1)
                     mark[a:b] = known[at] == key[a:b]
+            if not mark.any():
+                continue
             key, number, first, last = key[mark], number[mark], first[mark], last[mark]
-            least: dict[bytes, int] = {}
-            contents = [texts[k][a : b + LENGTH] for k, a, b in zip(number.tolist(), first.tolist(), last.tolist())]
-            docs = ids[number].tolist()
-            for content, doc in zip(contents, docs):
-                if least.setdefault(content, doc) > doc:
-                    least[content] = doc
-            known: dict[int, tuple[list, list]] = {}
-            places: dict[bytes, list[int]] = {}
-            keys: dict[bytes, int] = {}
-            for content, doc, a, k in zip(contents, docs, first.tolist(), key.tolist()):
-                if least[content] < doc:
-                    own = known.setdefault(doc, ([], []))
-                    own[0].append(a)
-                    own[1].append(a + len(content))
-                else:
-                    places.setdefault(content, []).append(a)
-                    keys[content] = k
-            if known:
-                yield spans_batch([(d, *merged(*x)) for d, x in known.items()])
-            if places:
-                unique = list(places)
-                own = range_of(mixed(np.array([keys[c] for c in unique], np.uint64)), shards)
-                order = np.argsort(own, kind="stable")
-                cuts = np.searchsorted(own[order], np.arange(shards + 1))
-                columns = [[], [], [], [], []]
-                for r in range(shards):
-                    mine = [unique[k] for k in order[cuts[r] : cuts[r + 1]]]
-                    if mine:
-                        columns[0].append(r)
-                        columns[1].append(b"".join(mine))
-                        columns[2].append(np.array([len(c) for c in mine], "<i4").tobytes())
-                        columns[3].append(np.array([least[c] for c in mine], "<i8").tobytes())
-                        # number of places, then the places, of each piece
-                        columns[4].append(np.array([x for c in mine for x in (len(places[c]), *places[c])], "<i8").tobytes())
-                n = len(columns[0])
-                made = [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])]
-                yield pa.RecordBatch.from_arrays([*made, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=PIECES)
-
-    return texts.mapInArrow(run, PIECES_DDL)
-
-
-def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+            digest = xxhash.xxh3_64_intdigest
+            hashes = np.array([digest(texts[k][a : b + LENGTH]) for k, a, b in zip(number.tolist(), first.tolist(), last.tolist())], np.uint64)
+            doc, size = ids[number], last - first + LENGTH
+            order = np.lexsort((doc, hashes, key))
+            key, hashes, doc, first, size = (x[order] for x in (key, hashes, doc, first, size))
+            heads = heads_of(key, hashes)
+            least = np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
+            gone = doc > least
+            rows = ranges_of(doc[gone], first[gone], (first + size)[gone])
+            key, hashes, doc, first, size = (x[~gone] for x in (key, hashes, doc, first, size))
+            cuts = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1))
+            for r in range(ranges):
+                own = slice(cuts[r], cuts[r + 1])
+                if cuts[r] < cuts[r + 1]:
+                    rows.append({"shard": r, "keys": key[own].tobytes(), "hashes": hashes[own].tobytes(), "docs": doc[own].tobytes(), "places": first[own].astype(np.int64).tobytes(), "sizes": size[own].astype(np.uint8).tobytes()})
+            yield sent_batch(rows)
+
+    return texts.select("id", "text", "keys", "doc_id").mapInArrow(tidy(run), SENT_DDL)
+
+
+def settled(sent: DataFrame) -> DataFrame:
+    """Ranges of the pieces that equal one of a smaller doc_id, and (id, keys, places, sizes) of those left to compare."""
+
+    def compare(held):
+        key, hashes, doc, place, size = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((doc, hashes, key))
+        key, hashes, doc, place, size = (x[order] for x in (key, hashes, doc, place, size))
+        heads = heads_of(key, hashes)
+        gone = doc > np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
+        rows = ranges_of(doc[gone], place[gone], (place + size)[gone])
+        # keys that different pieces have
+        grams = heads_of(key)
+        several = np.diff(np.searchsorted(heads, np.append(grams, len(key)))) > 1
+        left = np.repeat(several, np.diff(np.append(grams, len(key)))) & ~gone
+        order = np.argsort(doc[left], kind="stable")
+        key, doc, place, size = (x[left][order] for x in (key, doc, place, size))
+        cuts = heads_of(doc)
+        for a, b in zip(cuts, np.append(cuts[1:], len(doc))):
+            rows.append({"id": int(doc[a]), "keys": key[a:b].tobytes(), "places": place[a:b].tobytes(), "sizes": size[a:b].astype(np.uint8).tobytes()})
+        return sent_batch(rows)
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            known = batch.filter(pa.array([x is None for x in batch.column(0).to_pylist()], pa.bool_()))
+            if known.num_rows:
+                yield known
+            columns = [batch.column(SENT.index(c)).to_pylist() for c in ("keys", "hashes", "docs", "places", "sizes")]
+            for shard, *row in zip(batch.column(0).to_pylist(), *columns):
+                if shard is None:
+                    continue
+                if shard != at and held:
+                    yield compare(held)
+                    held = []
+                at = shard
+                held.append([np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint64, np.int64, np.int64, np.uint8))])
+                held[-1][4] = held[-1][4].astype(np.int64)
+        if held:
+            yield compare(held)
+
+    return by_shard(sent).mapInArrow(tidy(run), SENT_DDL)
+
+
+def by_shard(sent: DataFrame) -> DataFrame:
+    spread = F.pmod(F.xxhash64("id"), F.lit(partitions(sent.sparkSession))).cast("int")
+    return sent.repartition(partitions(sent.sparkSession), F.coalesce("shard", spread)).sortWithinPartitions("shard")
+
+
+def pieces(texts: DataFrame, shards: int) -> DataFrame:
+    """The pieces asked for per shard; ``texts`` has id, text and ``asked``: (keys, places, sizes), several."""
+
+    def run(batches):
+        for ids, texts, (asked,) in batches_of(batches, 2):
+            rows = []
+            found = [[], [], [], [], []]
+            for id, text, several in zip(ids.tolist(), texts, asked):
+                for part in several:
+                    places, sizes = np.frombuffer(part["places"], np.int64), np.frombuffer(part["sizes"], np.uint8).astype(np.int64)
+                    found[0].append(np.frombuffer(part["keys"], np.uint64))
+                    found[1].append(np.full(len(places), id, np.int64))
+                    found[2].append(places)
+                    found[3].append(sizes)
+                    found[4] += [text[p : p + n] for p, n in zip(places.tolist(), sizes.tolist())]
+            key, doc, place, size = (np.concatenate(x) for x in found[:4])
+            fits = np.array([len(c) for c in found[4]]) == size  # rows may repeat a doc_id with another text
+            own = range_of(mixed(key), shards)
+            order = np.argsort(own, kind="stable")
+            order = order[fits[order]]
+            cuts = np.searchsorted(own[order], np.arange(shards + 1))
+            for r in range(shards):
+                mine = order[cuts[r] : cuts[r + 1]]
+                if len(mine):
+                    rows.append({"shard": r, "docs": doc[mine].tobytes(), "places": place[mine].tobytes(), "sizes": size[mine].astype(np.uint8).tobytes(), "bytes": b"".join(found[4][k] for k in mine.tolist())})
+            if rows:
+                yield sent_batch(rows)
+
+    return texts.select("id", "text", "asked", "doc_id").mapInArrow(tidy(run), SENT_DDL)
+
+
+def merged(starts, ends) -> tuple[list[int], list[int]]:
     """Ranges joined where they touch or overlap."""
-    if not starts:
+    if not len(starts):
         return [], []
     order = np.argsort(starts, kind="stable")
     s, e = np.array(starts, np.int64)[order], np.maximum.accumulate(np.array(ends, np.int64)[order])
@@ -320,55 +407,31 @@ def shard_repeats(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.n
 
 
 def repeated_ranges(sent: DataFrame) -> DataFrame:
-    """id, starts, ends: repeated ranges, several rows per document."""
+    """id, starts, ends: repeated ranges within the pieces of each shard."""
 
     def ranges(held):
-        data = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
-        sizes = np.concatenate([np.frombuffer(x[1], "<i4") for x in held]).astype(np.int64)
-        docs = np.concatenate([np.frombuffer(x[2], "<i8") for x in held])
-        listed = np.concatenate([np.frombuffer(x[3], "<i8") for x in held])
-        at = shard_repeats(data, sizes, docs)
-        if not len(at):
-            return
+        docs, places, sizes, data = (b"".join(x) for x in zip(*held))
+        docs, places, sizes = np.frombuffer(docs, np.int64), np.frombuffer(places, np.int64), np.frombuffer(sizes, np.uint8).astype(np.int64)
+        at = shard_repeats(np.frombuffer(data, np.uint8), sizes, docs)
         begins = np.cumsum(sizes) - sizes
         piece = np.searchsorted(begins, at, side="right") - 1
-        # neighbouring starts of one piece are one range
-        fresh = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)])
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(at)) - 1
-        where, heads = [], 0
-        for _ in range(len(sizes)):
-            n = int(listed[heads])
-            where.append((heads + 1, heads + 1 + n))
-            heads += n + 1
-        by_doc: dict[int, tuple[list, list]] = {}
-        for p, a, b in zip(piece[first].tolist(), (at[first] - begins[piece[first]]).tolist(), (at[last] - begins[piece[first]]).tolist()):
-            own = by_doc.setdefault(int(docs[p]), ([], []))
-            for start in listed[where[p][0] : where[p][1]].tolist():
-                own[0].append(start + a)
-                own[1].append(start + b + LENGTH)
-        rows = [(d, *merged(*x)) for d, x in by_doc.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2))], names=["id", "starts", "ends"])
+        start = places[piece] + at - begins[piece]
+        return sent_batch(ranges_of(docs[piece], start, start + LENGTH))
 
     def run(batches):
         at, held = None, []
         for batch in batches:
-            known = batch.filter(pa.array([s is None for s in batch.column(0).to_pylist()], pa.bool_()))
-            if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(k) for k in (5, 6, 7)], names=["id", "starts", "ends"])
-            for shard, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if shard is None:
-                    continue
+            columns = [batch.column(SENT.index(c)).to_pylist() for c in ("docs", "places", "sizes", "bytes")]
+            for shard, *row in zip(batch.column(0).to_pylist(), *columns):
                 if shard != at and held:
-                    yield from ranges(held)
+                    yield ranges(held)
                     held = []
                 at = shard
                 held.append(row)
         if held:
-            yield from ranges(held)
+            yield ranges(held)
 
-    dealt = sent.repartition(F.coalesce("shard", F.pmod(F.xxhash64("id"), F.lit(partitions(sent.sparkSession))).cast("int")))
-    return dealt.sortWithinPartitions("shard").mapInArrow(run, "id long, starts array<long>, ends array<long>")
+    return by_shard(sent).mapInArrow(tidy(run), SENT_DDL)
 
 
 def cut_out(documents: DataFrame, found: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -391,15 +454,21 @@ def cut_out(documents: DataFrame, found: DataFrame, keep_text: bool = False) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds))], names=names)
 
     spans = found.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    both = documents.join(spans, documents["id"] == spans["id"], "left").select("doc_id", "text", "starts", "ends")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    both = documents.join(spans, "id", "left").select("doc_id", "text", "starts", "ends")
+    return both.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
-    """The measures, and with ``keep_text`` the bytes, of every document without its repeated strings."""
+    """The measures, and with ``keep_text`` the bytes, of every document without its repeated strings.
+
+    The texts are shuffled by id once: the three joins with them read the same exchange.
+    """
     n = partitions(documents.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     texts = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(NULL_ID))).alias("id"), F.col("text").cast("string"))
-    keys = shared_grams(texts.select("id", "text"), n).groupBy("id").agg(F.collect_list("keys").alias("keys"))
-    with_keys = texts.join(keys, "id").select("id", "text", "keys")
-    return cut_out(texts, repeated_ranges(pieces(with_keys, n)), keep_text)
+    keys = shared_grams(texts, n).groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    first = settled(piece_hashes(texts.join(keys, "id"), n))
+    asked = first.where("keys IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("keys", "places", "sizes")).alias("asked"))
+    second = repeated_ranges(pieces(texts.join(asked, "id"), n))
+    found = first.where("starts IS NOT NULL").select("id", "starts", "ends").unionByName(second.select("id", "starts", "ends"))
+    return cut_out(texts, found, keep_text)
