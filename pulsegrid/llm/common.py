@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -34,6 +35,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a Python worker remembers from one task to the next, by the module that uses it.
+KEPT: dict[str, dict] = {}
+
+
+def forget(keeps: str | None = None) -> None:
+    for name, memory in KEPT.items():
+        if name != keeps:
+            memory.clear()
+
+
+def tidy(run, keeps: str | None = None):
+    """``run`` over Arrow batches that forgets what other modules remember and gives memory back at the end.
+
+    Python workers are kept for later tasks; what they and their allocators hold would add to those.
+    """
+
+    def inner(batches):
+        forget(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner
+
+
 def text_bytes(column: pa.Array):
     """Each text as UTF-8 bytes; null as empty."""
     for value in column.cast(pa.binary()):

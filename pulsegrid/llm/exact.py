@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import partitions, text_bytes, written
+from pulsegrid.llm.common import partitions, text_bytes, tidy, written
 
 #: Bits of a fingerprint, and of its remainder; the rest is the slot.
 FINGERPRINT, REMAINDER = 52, 28
@@ -100,7 +100,7 @@ def signed(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], names=["doc_id", "print", "sha"])
 
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(source.mapInArrow(run, "doc_id long, print long, sha binary").withColumn("row", F.monotonically_increasing_id()), "signed")
+    return written(source.mapInArrow(tidy(run), "doc_id long, print long, sha binary").withColumn("row", F.monotonically_increasing_id()), "signed")
 
 
 def repeated_prints(prints: DataFrame, ranges: int) -> DataFrame:
@@ -124,7 +124,7 @@ def repeated_prints(prints: DataFrame, ranges: int) -> DataFrame:
         if at is not None:
             yield pa.RecordBatch.from_arrays([pa.array(whole.repeated())], names=["print"])
 
-    filters = prints.mapInArrow(build, "range int, filter binary")
+    filters = prints.mapInArrow(tidy(build), "range int, filter binary")
     return filters.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "print long")
 
 
@@ -137,7 +137,7 @@ def verified_groups(documents: DataFrame, repeated: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "print", "bytes"])
 
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = source.mapInArrow(run, "doc_id long, print long, bytes binary").join(repeated, "print", "left_semi")
+    texts = source.mapInArrow(tidy(run), "doc_id long, print long, bytes binary").join(repeated, "print", "left_semi")
     groups = texts.groupBy("bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     return groups.select(F.unhex(F.sha2("bytes", 256)).alias("sha"), "keep_id", "group_size")
 
@@ -147,11 +147,11 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     rows = signed(documents)
     repeated = written(repeated_prints(rows.select("print"), partitions(documents.sparkSession)), "prints")
     groups = written(verified_groups(documents, repeated), "copies")
-    grouped = rows.join(groups, "sha", "left")
     single = F.col("group_size").isNull()
-    # rows that repeat the doc_id that stays: the first of them stays
-    last = grouped.where(~single & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("row").alias("keep_row"))
-    out = rows.join(groups.join(last, "sha"), "sha", "left")
+    # of rows that repeat the doc_id that stays, the first stays
+    first = rows.groupBy("sha", "doc_id").agg(F.min("row").alias("keep_row")).alias("f")
+    same = (F.col("f.sha") == F.col("g.sha")) & F.col("f.doc_id").eqNullSafe(F.col("g.keep_id"))
+    out = rows.join(groups.alias("g").join(first, same).select("g.*", "keep_row"), "sha", "left")
     return out.select(
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -166,8 +166,8 @@ def drop_copies(documents: DataFrame) -> DataFrame:
 
     Rows with a fingerprint of their own pass; the others meet by their bytes and leave one whole row.
     """
-    print_of = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(normal((t or "").encode()))), "long")
-    bytes_of = F.pandas_udf(lambda texts: texts.map(lambda t: normal((t or "").encode())), "binary")
+    print_of = F.arrow_udf(lambda texts: pa.array([fingerprint(normal(t)) for t in text_bytes(texts)], pa.int64()), "long")
+    bytes_of = F.arrow_udf(lambda texts: pa.array([normal(t) for t in text_bytes(texts)], pa.binary()), "binary")
     prints = documents.select(print_of("text").alias("print"))
     repeated = written(repeated_prints(prints, partitions(documents.sparkSession)), "prints")
     marked = documents.withColumn("_print", print_of("text"))

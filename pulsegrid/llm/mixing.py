@@ -14,6 +14,7 @@ one draw between them and are taken in order of reading. An empty table gives an
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,19 +96,16 @@ def near_cut(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def fill(pdf):
+def fill(rows: pa.Table) -> pa.Table:
     """Rows (of one source, near its cut) to take: in rank order whatever still fits, then one more if that ends nearer."""
-    pdf = pdf.sort_values(["key", "row"])
-    missing, taken = float(pdf["missing"].iloc[0]), []
-    for size in pdf["size"]:
-        taken.append(size <= missing)
-        missing -= size if taken[-1] else 0
-    rest = pdf[[not t for t in taken]]
-    rest = rest[(rest["size"] < 2 * missing)]
-    out = pdf[taken]
-    if len(rest):
-        out = pdf[[t or r == rest["row"].iloc[0] for t, r in zip(taken, pdf["row"])]]
-    return out[["row"]]
+    missing = float(rows["missing"][0].as_py())
+    taken, left = [], []
+    for _, row, size in sorted(zip(*(rows[c].to_pylist() for c in ("key", "row", "size")))):
+        fits = size <= missing
+        missing -= size if fits else 0
+        (taken if fits else left).append((row, size))
+    nearer = [row for row, size in left if size < 2 * missing]
+    return pa.table({"row": pa.array([row for row, _ in taken] + nearer[:1], pa.int64())})
 
 
 def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
@@ -133,7 +131,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     near = near.select("r.*", "low", "high", "missing")
     is_open = (F.col("certain") < most) & (F.col("size") > 0)
     edge = near.where(is_open & F.col("digit").between(F.col("low"), F.col("high"))).select("source", "row", "key", "size", "missing")
-    taken = edge.groupBy("source").applyInPandas(fill, "row long").withColumn("chosen", F.lit(1))
+    taken = edge.groupBy("source").applyInArrow(fill, "row long").withColumn("chosen", F.lit(1))
     extra = F.when(is_open & (F.col("digit") < F.col("low")), 1).otherwise(F.coalesce("chosen", F.lit(0)))
     out = near.join(written(taken, "edge"), "row", "left").withColumn("copies", F.col("certain") + extra)
     return out.select(*[c for c in rows.columns if c not in ("row", "_weight")], "source_size", "target", F.col("copies").cast("int").alias("copies"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import components, text_bytes, written
+from pulsegrid.llm.common import components, text_bytes, tidy, written
 
 REGISTERS, MANTISSA = 256, 10
 #: A pair at 0.8 shares no band with a probability of 3e-6, at 0.85 of 2e-9.
@@ -131,7 +131,7 @@ def sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "set_hash", "r0", "r1"])
 
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = source.mapInArrow(run, "doc_id long, n long, set_hash binary, r0 binary, r1 binary")
+    out = source.mapInArrow(tidy(run), "doc_id long, n long, set_hash binary, r0 binary, r1 binary")
     return written(out.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
@@ -217,7 +217,7 @@ def hopeful(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     registers = nodes.select("id", "r0", "r1")
     size = F.octet_length(F.coalesce("r0", F.lit(b""))) + F.octet_length(F.coalesce("r1", F.lit(b"")))
     inside, across = in_blocks(found.withColumn("of", F.col("leader")), registers, size, ["of", "id", "r0", "r1"])
-    inside = inside.select("leader", "id", "r0", "r1").mapInArrow(kept, "leader long, id long")
+    inside = inside.select("leader", "id", "r0", "r1").mapInArrow(tidy(kept), "leader long, id long")
     return written(inside.unionByName(across.mapInArrow(kept_across, "leader long, id long")).distinct(), "hopeful")
 
 
@@ -239,7 +239,7 @@ def sets_of(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int
                         sets.append(own)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "items"])
 
-    return found.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+    return found.mapInArrow(tidy(run), "id long, items binary").dropDuplicates(["id"])
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -302,7 +302,7 @@ def canopy_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     inside, across = in_blocks(found, sets, F.octet_length("items"), ["id", "items"])
-    inside = inside.select("id", "items").mapInArrow(alone, "a long, b long")
+    inside = inside.select("id", "items").mapInArrow(tidy(alone), "a long, b long")
     return inside.unionByName(across.mapInArrow(crossed, "a long, b long"))
 
 

@@ -25,19 +25,18 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import text_bytes, written
+from pulsegrid.llm.common import forget, text_bytes, tidy, written
 
 EXAMPLES = 8000
 LEAST_TERMS, MOST_TERMS = 8, 4096
 #: Lengths in bytes of the word beginnings that are terms beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Words whose term a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Weight of the one dimension that stands for all words without a term.
 OTHER = 0.3
 NEIGHBOURS, BLOCK = 15, 64
@@ -195,7 +194,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: i
 
     sizes = {r.y: r.n for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sum(n for y, n in sizes.items() if y != 1)
-    per_term = examples.select("y", "text").mapInArrow(occurring, "term binary, y int").groupBy("term")
+    per_term = examples.select("y", "text").mapInArrow(tidy(occurring), "term binary, y int").groupBy("term")
     per_term = written(per_term.agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("b")), "terms")
     vocabulary: dict[bytes, int] = {}
     if n1 and n0:
@@ -213,7 +212,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *kinds], names=["doc_id", "y", "t", "n"])
 
     # at most ``most`` rows of at most MOST_TERMS terms; alike examples side by side make block bounds tight
-    rows = examples.select("doc_id", "y", "text").mapInArrow(counted, "doc_id long, y int, t array<int>, n array<int>").collect()
+    rows = examples.select("doc_id", "y", "text").mapInArrow(tidy(counted), "doc_id long, y int, t array<int>, n array<int>").collect()
     counts = [dict(zip(r.t, r.n)) for r in rows]
     seen = np.zeros(len(vocabulary))
     for c in counts:
@@ -241,14 +240,16 @@ def g_cells(a: Column, b: Column, n1: int, n0: int):
 def scorer(model: Model):
     """Column function from a text to (score, evidence): the nearest examples with cosine and label."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            score, found = model.score(model.count((text or "").encode()))
-            rows.append((score, [f"{model.ids[e]}:{s:.4f}:{model.labels[e]}" for s, e in found[:3]]))
-        return pd.DataFrame(rows, columns=["score", "evidence"])
+    def run(texts: pa.Array) -> pa.Array:
+        forget()
+        scores, evidence = [], []
+        for text in text_bytes(texts):
+            score, found = model.score(model.count(text))
+            scores.append(score)
+            evidence.append([f"{model.ids[e]}:{s:.4f}:{model.labels[e]}" for s, e in found[:3]])
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.string()))], names=["score", "evidence"])
 
-    return F.pandas_udf(run, "score double, evidence array<string>")
+    return F.arrow_udf(run, "score double, evidence array<string>")
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
