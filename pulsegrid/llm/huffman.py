@@ -9,7 +9,8 @@ Layout of a written folder, all Parquet, so that any store Spark reaches can hol
   of every block of ``BLOCK`` ids, and the bit stream.
 
 A block decodes without the others; a reader decodes all blocks of a segment in step, each with one
-look-up per id in a table of 2 ** MAX_BITS entries.
+look-up per id in a table of 2 ** max_bits entries. The limit on code lengths follows the number of ids
+in use, three bits above what equal lengths would take, at most MAX_BITS.
 
 Null text is empty; a null doc_id sorts first; rows that repeat a doc_id are written one after another.
 """
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulsegrid.llm.common import shared_dir, written
+from pulsegrid.llm.common import shared_dir, tidy, written
 from pulsegrid.llm.tokens import encoder, tokenizer_path
 
 END_ID = 0
 MAX_BITS = 20
 #: Ids in a block, and least ids in a segment unless its file ends.
 BLOCK, SEGMENT = 512, 1 << 20
-#: Text bytes aimed at for one file, and most files.
-FILE_BYTES, MOST_FILES = 32 << 20, 10_000
+#: Documents in a file, and most files.
+FILE_DOCS, MOST_FILES = 8192, 10_000
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -78,12 +79,16 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Id and code length for every value of the next ``most`` bits."""
+def length_limit(counts: np.ndarray) -> int:
+    return min(MAX_BITS, int(max(np.count_nonzero(counts), 2) - 1).bit_length() + 3)
+
+
+def decode_table(lengths: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
+    """Id * 32 + code length for every value of the next ``most`` bits."""
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     spans = np.int64(1) << (most - lengths[order].astype(np.int64))
-    return np.repeat(order, spans).astype(np.uint32), np.repeat(lengths[order], spans)
+    return np.repeat(order << 5 | lengths[order], spans).astype(np.uint32)
 
 
 def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -101,20 +106,20 @@ def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tupl
     return out.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], starts[::BLOCK].copy()
 
 
-def decode_bits(stream: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray], most: int = MAX_BITS) -> np.ndarray:
+def decode_bits(stream: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     """All blocks in step: the k-th id of each at the k-th step."""
-    symbols, sizes = table
     raw = np.frombuffer(stream + bytes(8), np.uint8).astype(np.uint32)
     window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     at, last = checkpoints.astype(np.int64), len(checkpoints) - 1
-    out = np.zeros((len(checkpoints), BLOCK), np.uint32)
+    out = np.zeros((BLOCK, len(checkpoints)), np.uint32)
     for k in range(min(BLOCK, n)):
         if k == n - last * BLOCK:  # the last block is shorter
             at = at[:-1]
         key = window[at >> 3] >> (32 - most - (at & 7)).astype(np.uint32) & np.uint32((1 << most) - 1)
-        out[: len(at), k] = symbols[key]
-        at = at + sizes[key]
-    return out.reshape(-1)[:n]
+        entry = table[key]
+        out[k, : len(at)] = entry
+        at = at + (entry & np.uint32(31))
+    return (out.T.reshape(-1) >> np.uint32(5))[:n]
 
 
 def tokenized(documents: DataFrame, path: str, bounds: list[int]) -> DataFrame:
@@ -137,7 +142,7 @@ def tokenized(documents: DataFrame, path: str, bounds: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(buckets), pa.array(width), pa.array(ids, pa.binary())], names=["doc_id", "bucket", "width", "ids"])
 
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(source.mapInArrow(run, "doc_id long, bucket int, width int, ids binary"), "ids")
+    return written(source.mapInArrow(tidy(run, "tokens"), "doc_id long, bucket int, width int, ids binary"), "ids")
 
 
 def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
@@ -153,15 +158,14 @@ def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for row in ids.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in ids.select("width", "ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.id] = row.n
     return counts
 
 
 def file_bounds(documents: DataFrame) -> list[int]:
-    """Largest doc_id of every file but the last: quantiles, as many as the text bytes ask for."""
-    size = documents.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    files = min(MOST_FILES, -(-size // FILE_BYTES))
+    """Largest doc_id of every file but the last: quantiles, as many as the number of documents asks for."""
+    files = min(MOST_FILES, -(-documents.count() // FILE_DOCS))
     if files <= 1:
         return []
     at = F.percentile_approx("doc_id", [k / files for k in range(1, files)], 10 * MOST_FILES)
@@ -173,9 +177,11 @@ def write_ids(documents: DataFrame, folder: str, path: str | None = None) -> Non
     spark, path = documents.sparkSession, path or tokenizer_path()
     bounds = file_bounds(documents)
     ids = tokenized(documents, path, bounds)
-    lengths = code_lengths(id_counts(ids, encoder(path).tokenizer.get_vocab_size()))
+    counts = id_counts(ids, encoder(path).tokenizer.get_vocab_size())
+    most = length_limit(counts)
+    lengths = code_lengths(counts, most)
     codes = canonical_codes(lengths)
-    spark.createDataFrame([(MAX_BITS, bytearray(lengths.tobytes()))], "max_bits int, lengths binary").write.parquet(f"{folder}/codebook")
+    spark.createDataFrame([(most, bytearray(lengths.tobytes()))], "max_bits int, lengths binary").write.parquet(f"{folder}/codebook")
     schema = pa.schema([("bucket", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("checkpoints", pa.list_(pa.int64())), ("stream", pa.binary())])
 
     def segment(bucket, number, docs, held):
@@ -202,7 +208,7 @@ def write_ids(documents: DataFrame, folder: str, path: str | None = None) -> Non
 
     ordered = ids.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
     ddl = "bucket int, segment int, n_docs long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, stream binary"
-    ordered.mapInArrow(run, ddl).write.option("compression", "uncompressed").partitionBy("bucket").parquet(f"{folder}/segments")
+    ordered.mapInArrow(tidy(run), ddl).write.option("compression", "uncompressed").partitionBy("bucket").parquet(f"{folder}/segments")
 
 
 def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
@@ -232,7 +238,7 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFr
 
     out = "bucket int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
     chosen = segments.select("bucket", "segment", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "stream")
-    decoded = chosen.mapInArrow(run, out).join(places, ["bucket", "segment"])
+    decoded = chosen.mapInArrow(tidy(run), out).join(places, ["bucket", "segment"])
     return decoded.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), *names[4:])
 
 

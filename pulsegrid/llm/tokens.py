@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from array import array
 
+from pulsegrid.llm.common import KEPT
+
 TOKENIZER = "byte_bpe_50k.json"
 #: Pre-tokens remembered by one worker; further ones are encoded anew each time.
 REMEMBERED = 1_000_000
@@ -40,6 +42,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -47,8 +50,10 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         found = self.known.get(piece)
         if found is None:
-            word = piece.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+            # printable ASCII but the space stands for itself
+            simple = piece.isascii() and piece.isprintable()
+            word = piece.replace(" ", self.letters[32]) if simple else piece.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.tokenize(word)]).tobytes()
             if len(self.known) < REMEMBERED:
                 self.known[piece] = found
         return found
@@ -57,14 +62,14 @@ class Encoder:
         if PLAIN.match(text) is None or any(s in text for s in self.special):
             whole = self.tokenizer.encode_batch([text], add_special_tokens=False)[0].ids
             return array("I", whole).tobytes()
-        known, pieces = self.known.get, PIECES.findall(text)
-        parts = [known(p) for p in pieces]
+        pieces = PIECES.findall(text)
+        parts = [*map(self.known.get, pieces)]
         if None in parts:
             parts = [found or self._piece(p) for found, p in zip(parts, pieces)]
         return b"".join(parts)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = KEPT.setdefault("tokens", {})
 
 
 def encoder(path: str) -> Encoder:

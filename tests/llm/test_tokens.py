@@ -131,7 +131,7 @@ def test_bits_round_trip_in_blocks():
 
 
 def test_files_give_the_ids_back(documents, texts, encode, monkeypatch):
-    monkeypatch.setattr(huffman, "FILE_BYTES", 60_000)
+    monkeypatch.setattr(huffman, "FILE_DOCS", 30)
     monkeypatch.setattr(huffman, "SEGMENT", 5_000)
     back = sorted(huffman.round_trip(documents.repartition(3), keep_ids=True).collect(), key=lambda r: r.doc_id)
     at = 0
