@@ -6,9 +6,10 @@ orders by random hyperplanes; then every round joins the neighbours of one node
 ``AUDIT`` nodes, compared with all nodes, finds the wanted share of their links in the graph.
 
 Edges at the threshold or above give the components. A full list whose worst entry is still a link is
-saturated: its node may have more links than its list holds. So lists are enlarged to the whole
-component: blocks of one component are compared as matrices and only counts leave the task. Two blocks
-whose centres and radii settle all their angles at once are counted without a comparison.
+saturated: its node may have more links than its list holds. Links within a component need no list:
+its blocks are compared as matrices and only counts leave the task. Links between saturated nodes of
+different components are found from blocks as well: components are joined where a pair of blocks has a
+link. Two blocks whose centres and radii settle all their angles at once are not compared.
 
 Cosines are in double precision. Null and empty vectors, vectors with null or non-finite components and
 zero vectors link with nothing, as do vectors of different lengths. Rows that repeat a vec_id are
@@ -31,8 +32,8 @@ K = 10
 TREES, PLANES, LEAF = 8, 24, 64
 LEAST_ROUNDS, MOST_ROUNDS = 1, 6
 AUDIT, WANTED = 1024, 0.995
-#: Vectors in a block of a component.
-BLOCK = 512
+#: Vectors in a block of a component, and centres of blocks in a tile.
+BLOCK, TILE = 512, 1024
 #: Angles this close to the threshold are never settled by bounds.
 SLACK = 1e-6
 
@@ -165,8 +166,14 @@ def descent(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return nearest_lists(graph.unionByName(better))
 
 
-def audit(graph: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """Share of the true links of AUDIT nodes that the graph has; a saturated list counts for all links of its node."""
+def saturated(graph: DataFrame, threshold: float) -> DataFrame:
+    """id of the nodes whose list is full of links."""
+    lists = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("worst"))
+    return lists.where((F.col("n") >= K) & (F.col("worst") >= threshold)).select(F.col("u").alias("id"))
+
+
+def audit(graph: DataFrame, nodes: DataFrame, threshold: float, state: DataFrame | None = None) -> float:
+    """Share of the true links of AUDIT nodes that the graph has, or for saturated nodes the components of ``state``."""
     queries = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).select("id", "v").collect()
     groups = {}
     for q in queries:
@@ -184,20 +191,44 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["q", "y"])
 
     true = nodes.select("id", "v").mapInArrow(run, "q long, y long")
-    full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("worst")).where((F.col("n") >= K) & (F.col("worst") >= threshold)).select(F.col("u").alias("q"))
     have = graph.select(F.col("u").alias("q"), F.col("v").alias("y")).unionByName(graph.select(F.col("v").alias("q"), F.col("u").alias("y"))).distinct()
-    open_links = true.join(full, "q", "left_anti")
-    found = open_links.join(have.withColumn("hit", F.lit(1)), ["q", "y"], "left").agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit")).first()
+    found = true.join(have.withColumn("hit", F.lit(1)), ["q", "y"], "left")
+    if state is not None:
+        full = state.join(saturated(graph, threshold), "id").select(F.col("id").alias("q"), F.col("component_id").alias("own"))
+        other = state.select(F.col("id").alias("y"), F.col("component_id").alias("other"))
+        same = F.when(F.col("own") == F.col("other"), 1)
+        found = found.join(full, "q", "left").join(other, "y", "left").withColumn("hit", F.coalesce("hit", same))
+    found = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit")).first()
     return found.hit / found.n if found.n else 1.0
 
 
-def neighbour_graph(nodes: DataFrame, threshold: float) -> DataFrame:
+def linked_components(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """id and component_id by the links of the graph and those between saturated nodes; written."""
+    edges = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    state = written(components(nodes.select("id"), edges), "components")
+    members = state.join(saturated(graph, threshold), "id").join(nodes, "id").select(F.col("component_id").alias("root"), "id", "w", "v")
+    across = written(links_across(members, threshold), "across")
+    if not across.take(1):
+        return state
+    roots = across.select("a").union(across.select("b")).distinct().withColumnRenamed("a", "id")
+    joined = components(roots, across).select(F.col("id").alias("root"), F.col("component_id").alias("least"))
+    state = state.join(joined, state.component_id == joined.root, "left")
+    return written(state.select("id", F.coalesce("least", "component_id").alias("component_id")), "components")
+
+
+def grouped_graph(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The neighbour graph, and the components of its nodes."""
     graph = written(nearest_lists(first_lists(nodes)), "graph")
     for step in range(MOST_ROUNDS):
         graph = written(descent(graph, nodes), "graph")
-        if step + 1 >= LEAST_ROUNDS and audit(graph, nodes, threshold) >= WANTED:
+        state = linked_components(graph, nodes, threshold)
+        if step + 1 >= LEAST_ROUNDS and audit(graph, nodes, threshold, state) >= WANTED:
             break
-    return graph
+    return graph, state
+
+
+def neighbour_graph(nodes: DataFrame, threshold: float) -> DataFrame:
+    return grouped_graph(nodes, threshold)[0]
 
 
 def blocks_of(members: DataFrame) -> DataFrame:
@@ -223,6 +254,52 @@ def blocks_of(members: DataFrame) -> DataFrame:
     return gathered.select("root", "block", "m").mapInArrow(run, "root long, block string, ids array<long>, ws array<long>, vs binary, size long, centre binary, radius double")
 
 
+def links_across(members: DataFrame, threshold: float) -> DataFrame:
+    """a and b: components (by root) of which some ``members`` are linked; all pairs of their blocks are settled or compared."""
+    blocks = written(blocks_of(members), "blocks")
+    tiles = -(-blocks.count() // TILE)
+    limit = math.acos(threshold)
+    slim = blocks.select("root", "block", F.length("centre").alias("length"), "centre", "radius")
+    slim = slim.withColumn("tile", F.pmod(F.xxhash64("root", "block"), F.lit(max(tiles, 1))))
+    tiled = written(slim.groupBy("length", "tile").agg(F.collect_list(F.struct("root", "block", "centre", "radius")).alias("m")), "tiles")
+    heads = tiled.select("length", "tile")
+    pairs = heads.join(heads.select("length", F.col("tile").alias("o_tile")), "length").where("tile <= o_tile")
+    pairs = pairs.join(tiled, ["length", "tile"]).join(tiled.select("length", F.col("tile").alias("o_tile"), F.col("m").alias("o_m")), ["length", "o_tile"])
+
+    def settle(batches):
+        for batch in batches:
+            for own, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (c, r, root), (o_c, o_r, o_root) = ((unit([m["centre"] for m in t]), np.array([m["radius"] for m in t]), np.array([m["root"] for m in t], np.int64)) for t in (own, other))
+                angle = np.arccos(np.clip(c @ o_c.T, -1, 1))
+                reach = r[:, None] + o_r
+                near = (angle - reach <= limit + SLACK) & (root[:, None] != o_root)
+                whole = near & (angle + reach < limit - SLACK)
+                known = np.unique(np.stack([root[np.nonzero(whole)[0]], o_root[np.nonzero(whole)[1]]], axis=1), axis=0)
+                i, j = np.nonzero(near & ~whole)
+                columns = [root[i], [own[k]["block"] for k in i], o_root[j], [other[k]["block"] for k in j]]
+                columns = [np.concatenate([known[:, 0], columns[0]]), [None] * len(known) + columns[1], np.concatenate([known[:, 1], columns[2]]), [None] * len(known) + columns[3]]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["root", "block", "o_root", "o_block"])
+
+    pairs = written(pairs.select("m", "o_m").mapInArrow(settle, "root long, block string, o_root long, o_block string"), "pairs")
+    known = pairs.where("block IS NULL").select(F.col("root").alias("a"), F.col("o_root").alias("b"))
+    right = blocks.select(F.col("root").alias("o_root"), F.col("block").alias("o_block"), F.size("ids").alias("o_n"), F.col("vs").alias("o_vs"))
+    compared = pairs.where("block IS NOT NULL").join(blocks.select("root", "block", F.size("ids").alias("n"), "vs"), ["root", "block"]).join(right, ["o_root", "o_block"])
+
+    def compare(batches):
+        for batch in batches:
+            found = [[], []]
+            for a, b, n, vs, o_n, o_vs in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                x, y = np.frombuffer(vs, "<f8").reshape(n, -1), np.frombuffer(o_vs, "<f8").reshape(o_n, -1)
+                if (x @ y.T >= threshold).any():
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+
+    linked = compared.select("root", "o_root", "n", "vs", "o_n", "o_vs").mapInArrow(compare, "a long, b long")
+    return known.unionByName(linked).distinct()
+
+
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """id and linked: total weight of the nodes of its component (itself included) at the threshold or above."""
     blocks = written(blocks_of(members), "blocks")
@@ -264,9 +341,7 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = readable(vectors)
     nodes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row").alias("id"), F.count("*").alias("w"))
     nodes = written(nodes, "nodes")
-    graph = neighbour_graph(nodes, threshold)
-    edges = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    state = written(components(nodes.select("id"), edges), "components")
+    _, state = grouped_graph(nodes, threshold)
     several = state.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     members = state.join(several, "component_id").join(nodes, "id").select(F.col("component_id").alias("root"), "id", "w", "v")
     counts = link_counts(members, threshold)

@@ -295,3 +295,23 @@ def test_neighbour_lists_reach_the_wanted_recall(spark):
     nodes = vectors.selectExpr("row AS id", "v", "1 AS w")
     graph = embeddings.neighbour_graph(nodes, 0.95)
     assert embeddings.audit(graph, nodes, 0.95) >= 0.9
+
+
+def test_links_between_groups_of_saturated_lists(spark):
+    rng = np.random.default_rng(11)
+    turn, rows = np.arccos(0.96), []
+    for far in (0, turn):
+        centre = np.zeros(24)
+        centre[:2] = np.cos(far), np.sin(far)
+        for _ in range(14):  # 0.999 within a group, 0.96 across
+            x = centre + np.append([0, 0], rng.normal(size=22)) * 0.0316 / np.sqrt(44)
+            rows.append((len(rows), [float(c) for c in x]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embeddings.vector_groups(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(vector_truth(rows))
+    assert [r.vec_id for r in got if r.kept] == [0]
+    nodes = embeddings.readable(df).selectExpr("row AS id", "v", "1 AS w")
+    graph, state = embeddings.grouped_graph(nodes, 0.95)
+    assert embeddings.audit(graph, nodes, 0.95, state) == 1.0
+    apart = nodes.selectExpr("id", "id AS component_id")
+    assert embeddings.audit(graph, nodes, 0.95, apart) < 0.9
