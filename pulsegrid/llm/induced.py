@@ -1,4 +1,4 @@
-"""Suffix order and common prefixes of a shard by external induced sorting.
+"""Suffix order and common prefixes of a shard by induced sorting.
 
 The last characters of falling runs (S*-suffixes) are sorted first: their substrings by an induction of
 their own, then tuples of names, each level covering twice as many substrings, until all differ or the
@@ -6,8 +6,8 @@ depth asked for is covered. All other suffixes follow by induction: a suffix's p
 suffix one character later has its place. Suffixes wait in priority queues keyed by (first character,
 order of arrival); as arrivals come in order, a queue per character is enough. A queue keeps tuples of
 position and common prefix with the tuple before, and moves them to disk beyond its share of memory,
-as the tuple sorter does with its runs, so a shard may be far larger than memory; text and types of a
-large shard are mapped files.
+as the tuple sorter does with its runs; a large text is a mapped file. Types, names, seeds and the order
+itself are in memory, tens of bytes for each byte of the shard, so the caller bounds its shards.
 
 Common prefixes are carried along: of two suffixes that follow each other in a queue it is one more
 than the least common prefix met between their successors. They are kept up to ``depth`` only.
@@ -20,7 +20,7 @@ import tempfile
 
 import numpy as np
 
-#: Bytes of queues, of a sorter's run, and of text and types that stay in memory.
+#: Bytes of queues, of a sorter's run, and of text that stay in memory.
 MEMORY = 192 << 20
 
 

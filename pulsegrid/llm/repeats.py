@@ -11,7 +11,8 @@ is lost. Strings of one place are neighbours; their bytes make one piece.
    piece has is settled by that.
 3. The remaining pieces go, once each, to the shard their gram hashes to. A shard puts their suffixes in
    order with their common prefixes (``induced``). In a run of suffixes that share ``LENGTH`` bytes, all
-   but those of the smallest doc_id are repeats.
+   but those of the smallest doc_id are repeats. A gram with ``OFTEN`` pieces or more would make one large
+   shard: its strings go by their own hashes instead, and equal hashes are equal strings.
 4. The repeated ranges meet their document again, are joined and cut out.
 
 A hot string or piece is sent once per batch at most. Null text is empty; a null doc_id is below
@@ -36,6 +37,10 @@ LENGTH, GRAM = 50, 16
 #: Text bytes of a batch (a longer document is one of its own), and of what is hashed at once, whose
 #: places need PLACE_BITS.
 BATCH, AT_ONCE, PLACE_BITS = 6 << 20, 1 << 20, 24
+#: Pieces of one gram from which on its strings are dealt by their own hashes.
+OFTEN = 1 << 16
+#: Bytes of a shard if every text byte were in as many pieces as it can be, about five.
+SHARD, MOST_PIECES = 32 << 20, 5
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -274,8 +279,11 @@ def piece_hashes(texts: DataFrame, ranges: int) -> DataFrame:
     return texts.select("id", "text", "keys", "doc_id").mapInArrow(tidy(run), SENT_DDL)
 
 
-def settled(sent: DataFrame) -> DataFrame:
-    """Ranges of the pieces that equal one of a smaller doc_id, and (id, keys, places, sizes) of those left to compare."""
+def settled(sent: DataFrame, often: int) -> DataFrame:
+    """Ranges of the pieces that equal one of a smaller doc_id, and (id, keys, places, sizes) of those left to compare.
+
+    ``bytes`` marks those whose gram has ``often`` such pieces or more.
+    """
 
     def compare(held):
         key, hashes, doc, place, size = (np.concatenate(x) for x in zip(*held))
@@ -287,12 +295,14 @@ def settled(sent: DataFrame) -> DataFrame:
         # keys that different pieces have
         grams = heads_of(key)
         several = np.diff(np.searchsorted(heads, np.append(grams, len(key)))) > 1
-        left = np.repeat(several, np.diff(np.append(grams, len(key)))) & ~gone
+        counts = np.diff(np.append(grams, len(key)))
+        left = np.repeat(several, counts) & ~gone
+        frequent = np.repeat(np.add.reduceat(left, grams, dtype=np.int64) >= often, counts)
         order = np.argsort(doc[left], kind="stable")
-        key, doc, place, size = (x[left][order] for x in (key, doc, place, size))
+        key, doc, place, size, frequent = (x[left][order] for x in (key, doc, place, size, frequent))
         cuts = heads_of(doc)
         for a, b in zip(cuts, np.append(cuts[1:], len(doc))):
-            rows.append({"id": int(doc[a]), "keys": key[a:b].tobytes(), "places": place[a:b].tobytes(), "sizes": size[a:b].astype(np.uint8).tobytes()})
+            rows.append({"id": int(doc[a]), "keys": key[a:b].tobytes(), "places": place[a:b].tobytes(), "sizes": size[a:b].astype(np.uint8).tobytes(), "bytes": frequent[a:b].tobytes()})
         return sent_batch(rows)
 
     def run(batches):
@@ -322,13 +332,52 @@ def by_shard(sent: DataFrame) -> DataFrame:
     return sent.repartition(partitions(sent.sparkSession), F.coalesce("shard", spread)).sortWithinPartitions("shard")
 
 
+def string_hashes(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """Hash of the LENGTH bytes at each of ``starts``."""
+    h = gram_hashes(data)
+    out = h[starts]
+    for at in (*range(GRAM, LENGTH - GRAM, GRAM), LENGTH - GRAM):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[starts + at])
+    return out
+
+
+def strings(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, found: list[bytes], shards: int):
+    """Batches of the strings of frequent grams: ranges of those known to be repeats, and hashes of the others per shard."""
+    order = np.argsort(key, kind="stable")
+    groups = np.cumsum(size[order]) // (2 * AT_ONCE)
+    for a, b in zip(heads_of(groups), np.append(heads_of(groups)[1:], len(order))):
+        own = order[a:b]
+        n = size[own] - LENGTH + 1
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hashes = string_hashes(b"".join(found[k] for k in own.tolist()), np.repeat(np.cumsum(size[own]) - size[own], n) + inside)
+        keys, docs, places = np.repeat(key[own], n), np.repeat(doc[own], n), np.repeat(place[own], n) + inside
+        keys, hashes, docs, places, gone = repeated_strings(keys, hashes, docs, places)
+        rows = ranges_of(docs[gone], places[gone], places[gone] + LENGTH)
+        keys, hashes, docs, places = (x[~gone] for x in (keys, hashes, docs, places))
+        shard = range_of(mixed(keys ^ hashes), shards)
+        by = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+        for r in np.flatnonzero(np.diff(cuts)):
+            mine = by[cuts[r] : cuts[r + 1]]
+            rows.append({"shard": int(r), **{c: x[mine].tobytes() for c, x in zip(("keys", "hashes", "docs", "places"), (keys, hashes, docs, places))}})
+        yield sent_batch(rows)
+
+
+def repeated_strings(keys: np.ndarray, hashes: np.ndarray, docs: np.ndarray, places: np.ndarray):
+    """The four columns in order, and which rows equal one of a smaller doc_id."""
+    order = np.lexsort((docs, hashes, keys))
+    keys, hashes, docs, places = (x[order] for x in (keys, hashes, docs, places))
+    heads = heads_of(keys, hashes)
+    return keys, hashes, docs, places, docs > np.repeat(docs[heads], np.diff(np.append(heads, len(docs))))
+
+
 def pieces(texts: DataFrame, shards: int) -> DataFrame:
-    """The pieces asked for per shard; ``texts`` has id, text and ``asked``: (keys, places, sizes), several."""
+    """What is asked for per shard, pieces or strings; ``texts`` has id, text and ``asked``: (keys, places, sizes, frequent), several."""
 
     def run(batches):
         for ids, texts, (asked,) in batches_of(batches, 2):
             rows = []
-            found = [[], [], [], [], []]
+            found = [[], [], [], [], [], []]
             for id, text, several in zip(ids.tolist(), texts, asked):
                 for part in several:
                     places, sizes = np.frombuffer(part["places"], np.int64), np.frombuffer(part["sizes"], np.uint8).astype(np.int64)
@@ -337,11 +386,13 @@ def pieces(texts: DataFrame, shards: int) -> DataFrame:
                     found[2].append(places)
                     found[3].append(sizes)
                     found[4] += [text[p : p + n] for p, n in zip(places.tolist(), sizes.tolist())]
+                    found[5].append(np.frombuffer(part["frequent"], bool))
             key, doc, place, size = (np.concatenate(x) for x in found[:4])
+            frequent = np.concatenate(found[5])
             fits = np.array([len(c) for c in found[4]]) == size  # rows may repeat a doc_id with another text
             own = range_of(mixed(key), shards)
             order = np.argsort(own, kind="stable")
-            order = order[fits[order]]
+            order = order[(fits & ~frequent)[order]]
             cuts = np.searchsorted(own[order], np.arange(shards + 1))
             for r in range(shards):
                 mine = order[cuts[r] : cuts[r + 1]]
@@ -349,6 +400,9 @@ def pieces(texts: DataFrame, shards: int) -> DataFrame:
                     rows.append({"shard": r, "docs": doc[mine].tobytes(), "places": place[mine].tobytes(), "sizes": size[mine].astype(np.uint8).tobytes(), "bytes": b"".join(found[4][k] for k in mine.tolist())})
             if rows:
                 yield sent_batch(rows)
+            much = np.flatnonzero(fits & frequent)
+            if len(much):
+                yield from strings(key[much], doc[much], place[much], size[much], [found[4][k] for k in much.tolist()], shards)
 
     return texts.select("id", "text", "asked", "doc_id").mapInArrow(tidy(run), SENT_DDL)
 
@@ -407,7 +461,7 @@ def shard_repeats(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.n
 
 
 def repeated_ranges(sent: DataFrame) -> DataFrame:
-    """id, starts, ends: repeated ranges within the pieces of each shard."""
+    """id, starts, ends: repeated ranges within the pieces and strings of each shard."""
 
     def ranges(held):
         docs, places, sizes, data = (b"".join(x) for x in zip(*held))
@@ -418,18 +472,36 @@ def repeated_ranges(sent: DataFrame) -> DataFrame:
         start = places[piece] + at - begins[piece]
         return sent_batch(ranges_of(docs[piece], start, start + LENGTH))
 
+    def equal(held):
+        keys, hashes, docs, places = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), (np.uint64, np.uint64, np.int64, np.int64)))
+        _, _, docs, places, gone = repeated_strings(keys, hashes, docs, places)
+        return sent_batch(ranges_of(docs[gone], places[gone], places[gone] + LENGTH))
+
     def run(batches):
-        at, held = None, []
+        at, held, whole = None, [], []
         for batch in batches:
-            columns = [batch.column(SENT.index(c)).to_pylist() for c in ("docs", "places", "sizes", "bytes")]
-            for shard, *row in zip(batch.column(0).to_pylist(), *columns):
-                if shard != at and held:
-                    yield ranges(held)
-                    held = []
+            known = batch.filter(pa.array([x is None for x in batch.column(0).to_pylist()], pa.bool_()))
+            if known.num_rows:
+                yield known
+            columns = [batch.column(SENT.index(c)).to_pylist() for c in ("keys", "hashes", "docs", "places", "sizes", "bytes")]
+            for shard, keys, hashes, docs, places, sizes, data in zip(batch.column(0).to_pylist(), *columns):
+                if shard is None:
+                    continue
+                if shard != at:
+                    if held:
+                        yield ranges(held)
+                    if whole:
+                        yield equal(whole)
+                    held, whole = [], []
                 at = shard
-                held.append(row)
+                if keys is None:
+                    held.append((docs, places, sizes, data))
+                else:
+                    whole.append((keys, hashes, docs, places))
         if held:
             yield ranges(held)
+        if whole:
+            yield equal(whole)
 
     return by_shard(sent).mapInArrow(tidy(run), SENT_DDL)
 
@@ -467,8 +539,9 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     texts = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(NULL_ID))).alias("id"), F.col("text").cast("string"))
     keys = shared_grams(texts, n).groupBy("id").agg(F.collect_list("keys").alias("keys"))
-    first = settled(piece_hashes(texts.join(keys, "id"), n))
-    asked = first.where("keys IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("keys", "places", "sizes")).alias("asked"))
-    second = repeated_ranges(pieces(texts.join(asked, "id"), n))
+    first = settled(piece_hashes(texts.join(keys, "id"), n), OFTEN)
+    asked = first.where("keys IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("keys", "places", "sizes", F.col("bytes").alias("frequent"))).alias("asked"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    second = repeated_ranges(pieces(texts.join(asked, "id"), max(n, -(-MOST_PIECES * size // SHARD))))
     found = first.where("starts IS NOT NULL").select("id", "starts", "ends").unionByName(second.select("id", "starts", "ends"))
     return cut_out(texts, found, keep_text)

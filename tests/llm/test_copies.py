@@ -315,3 +315,30 @@ def test_links_between_groups_of_saturated_lists(spark):
     assert embeddings.audit(graph, nodes, 0.95, state) == 1.0
     apart = nodes.selectExpr("id", "id AS component_id")
     assert embeddings.audit(graph, nodes, 0.95, apart) < 0.9
+
+
+def test_strings_of_a_common_gram_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    ends = [word(60) for _ in range(5)]
+    # one of its 16-byte windows is the lowest of many strings; some ends repeat, with other beginnings
+    rows = [(k, word(30) + "The common phrase, again and again" + (rng.choice(ends) if k % 3 else word(60))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(repeats, "OFTEN", 20, raising=False)
+    seen, real = [], repeats.repeated_ranges
+    monkeypatch.setattr(repeats, "repeated_ranges", lambda sent: seen.append(sent) or real(sent))
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(df, keep_text=True).collect()}
+    first, want = {}, {}
+    for k, t in rows:
+        for a in range(len(t) - 49):
+            first.setdefault(t[a : a + 50], k)
+    for k, t in rows:
+        gone = {c for a in range(len(t) - 49) if first[t[a : a + 50]] < k for c in range(a, a + 50)}
+        want[k] = "".join(c for i, c in enumerate(t) if i not in gone).encode()
+    assert got == want and any(len(want[k]) < len(t) for k, t in rows)
+    load = defaultdict(int)
+    for r in seen[0].where("shard IS NOT NULL").collect():
+        load[r.shard] += sum(len(x) for x in (r.keys, r.hashes, r.docs, r.places, r.bytes) if x)
+    assert max(load.values()) < 0.3 * sum(load.values())
+    docs = [len(r.docs) // 8 for r in seen[0].where("bytes IS NOT NULL").collect()]
+    assert max(docs, default=0) < 40
