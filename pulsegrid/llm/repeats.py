@@ -39,6 +39,8 @@ LENGTH, GRAM = 50, 16
 BATCH, AT_ONCE, PLACE_BITS = 6 << 20, 1 << 20, 24
 #: Pieces of one gram from which on its strings are dealt by their own hashes.
 OFTEN = 1 << 16
+#: Text bytes for each range of keys, whose anchors take about as many.
+RANGE = 64 << 20
 #: Bytes of a shard if every text byte were in as many pieces as it can be, about five.
 SHARD, MOST_PIECES = 32 << 20, 5
 NULL_ID = np.iinfo(np.int64).min
@@ -150,6 +152,7 @@ def heads_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Number of the range of evenly spread keys; keys of anchors crowd at low values and must be ``mixed`` first."""
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
@@ -162,8 +165,9 @@ def shared_grams(texts: DataFrame, ranges: int) -> DataFrame:
             if not len(key):
                 continue
             doc = ids[number]
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
+            spread = mixed(key)
+            order = np.argsort(spread, kind="stable")
+            key, doc, spread = key[order], doc[order], spread[order]
             heads = heads_of(key)
             sizes = np.diff(np.append(heads, len(key)))
             least = np.minimum.reduceat(doc, heads)
@@ -172,7 +176,7 @@ def shared_grams(texts: DataFrame, ranges: int) -> DataFrame:
             other = np.repeat(several, sizes) & (doc != np.repeat(least, sizes))
             rows = [(int(d % ranges), int(d), np.unique(k).tobytes(), None, None) for d, k in grouped(doc[other], key[other])]
             key = key[heads]
-            cuts = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1))
+            cuts = np.searchsorted(range_of(spread[heads], ranges), np.arange(ranges + 1))
             for r in range(ranges):
                 a, b = cuts[r], cuts[r + 1]
                 if a < b:
@@ -262,14 +266,14 @@ def piece_hashes(texts: DataFrame, ranges: int) -> DataFrame:
             digest = xxhash.xxh3_64_intdigest
             hashes = np.array([digest(texts[k][a : b + LENGTH]) for k, a, b in zip(number.tolist(), first.tolist(), last.tolist())], np.uint64)
             doc, size = ids[number], last - first + LENGTH
-            order = np.lexsort((doc, hashes, key))
+            order = np.lexsort((doc, hashes, mixed(key)))
             key, hashes, doc, first, size = (x[order] for x in (key, hashes, doc, first, size))
             heads = heads_of(key, hashes)
             least = np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
             gone = doc > least
             rows = ranges_of(doc[gone], first[gone], (first + size)[gone])
             key, hashes, doc, first, size = (x[~gone] for x in (key, hashes, doc, first, size))
-            cuts = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1))
+            cuts = np.searchsorted(range_of(mixed(key), ranges), np.arange(ranges + 1))
             for r in range(ranges):
                 own = slice(cuts[r], cuts[r + 1])
                 if cuts[r] < cuts[r + 1]:
@@ -279,7 +283,7 @@ def piece_hashes(texts: DataFrame, ranges: int) -> DataFrame:
     return texts.select("id", "text", "keys", "doc_id").mapInArrow(tidy(run), SENT_DDL)
 
 
-def settled(sent: DataFrame, often: int) -> DataFrame:
+def settled(sent: DataFrame, parts: int, often: int) -> DataFrame:
     """Ranges of the pieces that equal one of a smaller doc_id, and (id, keys, places, sizes) of those left to compare.
 
     ``bytes`` marks those whose gram has ``often`` such pieces or more.
@@ -324,12 +328,12 @@ def settled(sent: DataFrame, often: int) -> DataFrame:
         if held:
             yield compare(held)
 
-    return by_shard(sent).mapInArrow(tidy(run), SENT_DDL)
+    return by_shard(sent, parts).mapInArrow(tidy(run), SENT_DDL)
 
 
-def by_shard(sent: DataFrame) -> DataFrame:
-    spread = F.pmod(F.xxhash64("id"), F.lit(partitions(sent.sparkSession))).cast("int")
-    return sent.repartition(partitions(sent.sparkSession), F.coalesce("shard", spread)).sortWithinPartitions("shard")
+def by_shard(sent: DataFrame, parts: int) -> DataFrame:
+    spread = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    return sent.repartition(parts, F.coalesce("shard", spread)).sortWithinPartitions("shard")
 
 
 def string_hashes(data: bytes, starts: np.ndarray) -> np.ndarray:
@@ -460,7 +464,7 @@ def shard_repeats(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.n
     return at - owner[at]  # without the marks
 
 
-def repeated_ranges(sent: DataFrame) -> DataFrame:
+def repeated_ranges(sent: DataFrame, parts: int) -> DataFrame:
     """id, starts, ends: repeated ranges within the pieces and strings of each shard."""
 
     def ranges(held):
@@ -503,7 +507,7 @@ def repeated_ranges(sent: DataFrame) -> DataFrame:
         if whole:
             yield equal(whole)
 
-    return by_shard(sent).mapInArrow(tidy(run), SENT_DDL)
+    return by_shard(sent, parts).mapInArrow(tidy(run), SENT_DDL)
 
 
 def cut_out(documents: DataFrame, found: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -535,13 +539,13 @@ def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
 
     The texts are shuffled by id once: the three joins with them read the same exchange.
     """
-    n = partitions(documents.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     texts = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(NULL_ID))).alias("id"), F.col("text").cast("string"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(documents.sparkSession), -(-size // RANGE))
     keys = shared_grams(texts, n).groupBy("id").agg(F.collect_list("keys").alias("keys"))
-    first = settled(piece_hashes(texts.join(keys, "id"), n), OFTEN)
+    first = settled(piece_hashes(texts.join(keys, "id"), n), n, OFTEN)
     asked = first.where("keys IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("keys", "places", "sizes", F.col("bytes").alias("frequent"))).alias("asked"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    second = repeated_ranges(pieces(texts.join(asked, "id"), max(n, -(-MOST_PIECES * size // SHARD))))
+    second = repeated_ranges(pieces(texts.join(asked, "id"), max(n, -(-MOST_PIECES * size // SHARD))), n)
     found = first.where("starts IS NOT NULL").select("id", "starts", "ends").unionByName(second.select("id", "starts", "ends"))
     return cut_out(texts, found, keep_text)

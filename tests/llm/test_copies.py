@@ -326,7 +326,7 @@ def test_strings_of_a_common_gram_are_dealt_out(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(repeats, "OFTEN", 20, raising=False)
     seen, real = [], repeats.repeated_ranges
-    monkeypatch.setattr(repeats, "repeated_ranges", lambda sent: seen.append(sent) or real(sent))
+    monkeypatch.setattr(repeats, "repeated_ranges", lambda sent, *more: seen.append(sent) or real(sent, *more))
     got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(df, keep_text=True).collect()}
     first, want = {}, {}
     for k, t in rows:
@@ -342,3 +342,26 @@ def test_strings_of_a_common_gram_are_dealt_out(spark, monkeypatch):
     assert max(load.values()) < 0.3 * sum(load.values())
     docs = [len(r.docs) // 8 for r in seen[0].where("bytes IS NOT NULL").collect()]
     assert max(docs, default=0) < 40
+
+
+def test_ranges_of_grams_have_even_sizes(spark, monkeypatch):
+    rng = random.Random(13)
+    text = ["".join(rng.choice("abcdefghijkl ") for _ in range(20_000)) for _ in range(4)]
+    rows = [(k, text[k % 4]) for k in range(8)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(8, "id")
+    load = defaultdict(int)
+    for r in repeats.shared_grams(df, 48).selectExpr("spark_partition_id() AS p", "length(keys) AS n").collect():
+        load[r.p] += r.n
+    assert max(load.values()) < 0.2 * sum(load.values())
+    keys = [(k, t, [np.unique(repeats.anchors([t.encode()])[0]).tobytes()], k) for k, t in rows]
+    hashed = repeats.piece_hashes(spark.createDataFrame(keys, "id long, text string, keys array<binary>, doc_id long"), 48)
+    load = defaultdict(int)
+    for r in hashed.where("shard IS NOT NULL").collect():
+        load[r.shard] += len(r.keys)
+    assert max(load.values()) < 0.06 * sum(load.values())
+    # more ranges than shuffle partitions where the texts are large
+    seen, real = [], repeats.piece_hashes
+    monkeypatch.setattr(repeats, "RANGE", 4096, raising=False)
+    monkeypatch.setattr(repeats, "piece_hashes", lambda texts, ranges: seen.append(ranges) or real(texts, ranges))
+    out = repeats.remove_repeats(df.withColumnRenamed("id", "doc_id")).collect()
+    assert seen == [40] and sorted(r.n_removed for r in out) == [0] * 4 + [20_000] * 4
