@@ -147,8 +147,9 @@ def with_faults(rows: DataFrame) -> DataFrame:
     # the window sorts within the partitions of the conversations
     seen = F.row_number().over(Window.partitionBy("conv_id", "role", "text").orderBy(F.col("turn").asc_nulls_first())) > 1
     fault = F.when(kept == "", BLANK).when(F.col("seen"), DUPLICATE).when(truncated, TRUNCATED).otherwise(0)
-    faulty = rows.repartition("conv_id").withColumn("seen", seen).withColumn("fault", fault.cast("int")).drop("seen")
-    return faulty.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    faulty = rows.repartition("conv_id").withColumn("seen", seen).withColumn("fault", fault.cast("int"))
+    # of rows equal in all, the one that counts as first comes first
+    return faulty.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text", "seen").drop("seen")
 
 
 AUDIT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"

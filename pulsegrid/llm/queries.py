@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import embeddings, exact, huffman, mixing, near, packing, repeats, secrets, sharding, toxicity
+from pulsegrid.llm import conversations, embeddings, exact, huffman, mixing, near, oracle, packing, repeats, secrets, sharding, spelling, toxicity, windows
 from pulsegrid.llm.common import table
 
 
@@ -50,8 +50,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.place_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_repeats, op3_secrets, op4_exact_dedup, op5_packing, op6_mixing, op7_token_ids, op8_near_dedup, op9_embedding_dedup, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_repeats, op3_secrets, op4_exact_dedup, op5_packing, op6_mixing, op7_token_ids, op8_near_dedup,
+        op9_embedding_dedup, op10_toxicity, op11_windows, op12_spelling, op13_conversations,
+    )
 }
 
 SQL: dict[str, str] = {
@@ -64,4 +80,6 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM normal
     """,
+    "op12_spelling": oracle.SPELLING,
+    "op13_conversations": oracle.CONVERSATIONS,
 }
