@@ -1,15 +1,10 @@
 """Matching of free-text names against a table of name variants, first variant wins.
 
-A variant matches a name when either contains the other. Both directions are
-equality joins on pieces of one fixed length, that of the shortest variant,
-followed by the exact test:
-
-* variant in name: the pieces of the name are looked up as beginnings of variants;
-* name in variant: the beginning of the name is looked up among the pieces of
-  variants. A name shorter than a piece is looked up among all shorter ones,
-  each of which already holds the best variant that contains it.
-
-Only distinct names are cut; callers join the result back.
+A variant matches a name when either contains the other, so matching is the search for contained texts, both
+ways. A contained text is looked up under one of its pieces only, the one that the fewest of the searched texts
+hold; a text whose rarest piece nobody holds is out at once. Pieces are as long as the longest power of two that
+fits into the text they stand for, so long texts are looked up by long, rare pieces whatever the shortest one is.
+Candidates pass the exact test. Only distinct names are cut; callers join the result back.
 """
 
 from __future__ import annotations
@@ -18,11 +13,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _pieces(text: Column, size: Column) -> Column:
-    """Distinct pieces of the given length, empty for a shorter text."""
-    starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
-    cut = F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, size)))
-    return F.when(F.char_length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
+def _piece_size(text: Column) -> Column:
+    """The largest power of two that is not above the number of code points."""
+    return F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.char_length(text))) - 1)
+
+
+def _pieces(text: Column, sizes: Column) -> Column:
+    """Hashes of the distinct pieces of the given sizes; equal pieces have equal hashes, and a false meeting only adds a candidate."""
+    length = F.char_length(text)
+    fitting = F.filter(sizes, lambda size: size <= length)
+    return F.array_distinct(
+        F.flatten(F.transform(fitting, lambda size: F.transform(F.sequence(F.lit(1), length - size + 1), lambda at: F.xxhash64(F.substring(text, at, size)))))
+    )
+
+
+def containment_candidates(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Pairs of which the hay holds the needle's rarest piece.
+
+    ``needles`` has distinct non-empty ``needle``, ``hays`` distinct non-empty ``hay``; further columns are carried along.
+    """
+    sizes = needles.agg(F.collect_set(_piece_size(F.col("needle")))).scalar()
+    held = hays.withColumn("_sizes", sizes)
+    held = held.select(*hays.columns, F.explode(_pieces(F.col("hay"), F.col("_sizes"))).alias("piece"))
+    frequency = held.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
+    own = needles.select("*", F.explode(_pieces(F.col("needle"), F.array(_piece_size(F.col("needle"))))).alias("piece"))
+    counted = own.join(frequency, "piece", "left").withColumn("_rarest", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "piece"))
+    rarest = counted.groupBy(*needles.columns).agg(F.min("_rarest").alias("_rarest")).where("_rarest.n > 0")
+    return rarest.select(*needles.columns, F.col("_rarest.piece").alias("piece")).join(held, "piece").drop("piece")
+
+
+def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Pairs of which the hay contains the needle."""
+    return containment_candidates(needles, hays).where(F.contains(F.col("hay"), F.col("needle")))
 
 
 def match_names(names: DataFrame, name: str, variants: DataFrame) -> DataFrame:
@@ -33,30 +55,11 @@ def match_names(names: DataFrame, name: str, variants: DataFrame) -> DataFrame:
     """
     variants = variants.where(F.char_length("variant") > 0)
     distinct = names.select(F.col(name)).where(F.char_length(name) > 0).distinct()
-    entry = F.struct("rank", "variant")
-    size = variants.agg(F.min(F.char_length("variant"))).scalar()
-    listed = variants.select("rank", "variant", size.alias("_size"))
-    sized = distinct.select(name, size.alias("_size"))
-
-    begins = listed.select(F.left("variant", F.col("_size")).alias("piece"), entry.alias("_best"), "variant")
-    cut = sized.select(name, F.explode(_pieces(F.col(name), F.col("_size"))).alias("piece"))
-    holds_variant = cut.join(begins, "piece").where(F.contains(F.col(name), F.col("variant")))
-
-    inner = listed.select(F.explode(_pieces(F.col("variant"), F.col("_size"))).alias("piece"), entry.alias("_best"), "variant")
-    long_names = sized.where(F.char_length(name) > F.col("_size")).select(name, F.left(name, F.col("_size")).alias("piece"))
-    in_variant = long_names.join(inner, "piece").where(F.contains(F.col("variant"), F.col(name)))
-
-    up_to = F.sequence(F.lit(1), F.col("_size"))
-    shorter = listed.select(F.explode(F.flatten(F.transform(up_to, lambda n: _pieces(F.col("variant"), n)))).alias(name), entry.alias("_best"))
-    shorter = shorter.groupBy(name).agg(F.min("_best").alias("_best"))
-    is_short = distinct.join(shorter, name).select(name, "_best")
-
-    best = (
-        holds_variant.select(name, "_best")
-        .unionByName(in_variant.select(name, "_best"))
-        .unionByName(is_short)
-        .groupBy(name)
-        .agg(F.min("_best").alias("_best"))
-        .select(name, F.col("_best.rank").alias("rank"), F.col("_best.variant").alias("variant"))
-    )
+    listed = variants.select("variant", "rank")
+    holds = contained(listed.withColumnRenamed("variant", "needle"), distinct.withColumnRenamed(name, "hay"))
+    held = contained(distinct.withColumnRenamed(name, "needle"), listed.withColumnRenamed("variant", "hay"))
+    pairs = holds.select(F.col("hay").alias(name), "rank", F.col("needle").alias("variant"))
+    pairs = pairs.unionByName(held.select(F.col("needle").alias(name), "rank", F.col("hay").alias("variant")))
+    best = pairs.groupBy(name).agg(F.min(F.struct("rank", "variant")).alias("_best"))
+    best = best.select(name, F.col("_best.rank").alias("rank"), F.col("_best.variant").alias("variant"))
     return best.join(variants.select("variant", "granted"), "variant").select(name, "rank", "granted")

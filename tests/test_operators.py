@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import cohort, first, flows, joins, percentiles, summary
-from pulsegrid.operators.variants import match_names
+from pulsegrid.operators.variants import contained, containment_candidates, match_names
 
 
 def test_first_and_latest_per_key(frame, rows):
@@ -178,3 +178,23 @@ def test_sketch_ranks(spark):
     got = percentiles.sketched_percentiles(df, [], "v", accuracy=1000).first()["percentiles"]
     for p, v in zip(percentiles.PERCENTILES, got):
         assert abs(sum(x <= v for x in values) / len(values) - p) <= 2 / 1000
+
+
+def test_containment_candidates_stay_near_the_matches(spark):
+    """A beginning that all variants share and one very short variant: the shared piece is never looked up."""
+    variants = spark.range(0, 3000).select(F.format_string("customer number %06d ward", "id").alias("needle"))
+    variants = variants.union(spark.createDataFrame([("q",)], "needle string"))
+    names = spark.range(0, 3000, 7).select(F.format_string("customer number %06d ward east", "id").alias("hay"))
+    for needles, hays in ((variants, names), (names.select(F.substring("hay", 1, 24).alias("needle")), variants.withColumnRenamed("needle", "hay"))):
+        candidates, matches = containment_candidates(needles, hays).count(), contained(needles, hays).count()
+        assert matches >= 429 and candidates <= 4 * matches
+
+
+def test_match_names_of_very_different_lengths(spark):
+    names = ["a", "ab" * 700, "b" * 63, "c", "é日本語 clinic"]
+    variants = ["b", "ab" * 350, "xbbx" * 40, "b" * 64, "日本", "clinic é日本語 clinic west", "a" * 5]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    table = spark.createDataFrame([(v, i, {"x": True}) for i, v in enumerate(variants)], "variant string, rank int, granted map<string,boolean>")
+    got = {r["name"]: r["rank"] for r in match_names(df, "name", table).collect()}
+    want = {n: min(i for i, v in enumerate(variants) if v in n or n in v) for n in names if any(v in n or n in v for v in variants)}
+    assert got == want

@@ -74,7 +74,7 @@ def test_symptom_onset(frame, rows):
     assert rows(got, "protocolId", "onset_time", "date", "time", "specification", "timestamp", "source") == [
         ("p1", "02.01.2023 00:50:00", "02.01.2023", "00:50:00", "plötzlich", T1, "d"),
         ("p2", None, None, None, "a", T1, "x"),
-        ("p3", None, None, None, None, None, None),
+        ("p3", "bald", None, None, None, None, None),
     ]
 
 
