@@ -1,36 +1,41 @@
 """Exact percentiles of whole numbers without collecting or sorting a group anywhere.
 
 The built-in ``percentile`` keeps all distinct values of a group in one
-buffer. Here rows are first reduced to counted values, map-side. Each group's
-range of values is cut into ``BUCKETS`` equal parts of its own; running counts
-over those name the parts that hold a wanted rank; these are cut again, and
-what is left is walked value by value. Every step keeps at most two parts per
-percentile, so the first one leaves a few thousandths of a group. Nothing is
-written: the counted values are one exchange, which Spark reuses.
+buffer. Here rows are first reduced to counted values, map-side. A mergeable
+quantile sketch of each group's distinct values gives ``PARTS - 1`` splitters, so
+parts hold about equally many values however those are spread; running counts
+over the parts name those that hold a wanted rank, and with ``cuts`` above 1 these
+are split again by sketches of their own. What is left, at most two parts per
+percentile of about 1 / PARTS ** cuts of a group's distinct values, is walked value
+by value. The sketch only decides where to split: counts and results are exact.
+Nothing is written: the counted values are one exchange, which Spark reuses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Parts a range is cut into, and how often, before single values are walked.
-BUCKETS = 4096
-CUTS = 2
+# Parts a group is split into, a power of two, and how often that is repeated. Once leaves about a thousandth of
+# the distinct values; further splits pay where a group has many billions of them.
+PARTS = 1024
+CUTS = 1
+# Rank error of a splitter: this fraction of a part.
+SHARPNESS = 4
 
 PERCENTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
-def _with_wanted(level: DataFrame, group: str) -> DataFrame:
-    """Parts that hold a wanted rank; ``at`` is the rank relative to the values of the part."""
-    running = level.selectExpr("*", f"sum(_n) OVER (PARTITION BY {group} ORDER BY _low) - _n AS _before")
+def _with_wanted(level: DataFrame, group: str, order: str, *keep: str) -> DataFrame:
+    """Rows of ``level`` that hold a wanted rank; ``at`` is the rank relative to the row."""
+    running = level.selectExpr("*", f"sum(_n) OVER (PARTITION BY {group} ORDER BY {order}) - _n AS _before")
     inside = (
         "filter(transform(_wanted, w -> struct(w.rank AS rank, w.at - _before AS at)), "
         "w -> w.at >= 0 AND w.at < _n) AS _wanted"
     )
-    return running.selectExpr("_k", "_low", "_width", "_total", inside).where("size(_wanted) > 0")
+    return running.selectExpr("_k", order, *keep, "_total", inside).where("size(_wanted) > 0")
 
 
 def value_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -65,51 +70,61 @@ def percentiles_of(counted: DataFrame, by: Sequence[str], ps: Sequence[float], u
     return keyed_percentiles(counted, ps, unit).select(*[F.col("_k")[b].alias(b) for b in by], "n", "percentiles")
 
 
+def _splitters() -> Column:
+    """Splitters of a part's distinct values, by rank."""
+    sketch = F.percentile_approx("_v", [k / PARTS for k in range(1, PARTS)], PARTS * SHARPNESS)
+    return F.sort_array(sketch).alias("_splits")
+
+
 def first_parts(counted: DataFrame, ps: Sequence[float]) -> DataFrame:
-    """Each group as one part: its smallest value, its width, its size and the wanted ranks."""
+    """Each group as one part, with its splitters, its size and the wanted ranks: _k, _part, _splits, _total, _wanted."""
     fractions = ", ".join(f"{float(p)!r}D" for p in ps)
     ranks = f"flatten(transform(array({fractions}), p -> array(floor((_total - 1) * p), ceil((_total - 1) * p))))"
-    whole = counted.groupBy("_k").agg(F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"), F.expr("sum(_n) AS _total"))
-    # widths as decimals: a range may be wider than 64 bits hold
-    width = "CAST(_high AS DECIMAL(20, 0)) - CAST(_low AS DECIMAL(20, 0)) + 1 AS _width"
-    return whole.selectExpr("_k", "_low", width, "_total", f"transform(array_distinct({ranks}), r -> struct(r AS rank, r AS at)) AS _wanted")
-
-
-def cut_parts(counted: DataFrame, parts: DataFrame) -> DataFrame:
-    """The values of ``parts`` counted in BUCKETS parts of each: _k, _part, _low, _width, _n, _total, _wanted.
-
-    ``counted`` carries the lower end of its part as ``_part``, absent at first.
-    """
-    step = "greatest(CAST(ceil(_width / {0}) AS DECIMAL(20, 0)), CAST(1 AS DECIMAL(20, 0)))".format(BUCKETS)
-    named = parts.selectExpr("_k", "_low AS _part", f"{step} AS _step", "_total", "_wanted")
-    keys = [c for c in ("_k", "_part") if c in counted.columns]
-    bucket = "floor((CAST(_v AS DECIMAL(20, 0)) - CAST(_part AS DECIMAL(20, 0))) / _step)"
-    low = f"CAST(_part + CAST({bucket} * _step AS DECIMAL(20, 0)) AS BIGINT) AS _low"
-    return counted.join(named, keys).selectExpr("_k", "_part", "_v", "_n", low, "_step AS _width", "_total", "_wanted")
+    whole = counted.groupBy("_k").agg(F.expr("sum(_n) AS _total"), _splitters())
+    return whole.selectExpr("_k", "0L AS _part", "_splits", "_total", f"transform(array_distinct({ranks}), r -> struct(r AS rank, r AS at)) AS _wanted")
+
+
+def split_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The counted values of ``parts``, each in its smaller part: _k, _part, _v, _n, _whole (the part before), _total, _wanted."""
+    placed = rows.join(parts, ["_k", "_part"]).selectExpr("*", "0 AS _at")
+    step = PARTS // 2
+    while step:
+        # the number of splitters that are not above the value, by halving
+        placed = placed.withColumn("_at", F.expr(f"_at + if(coalesce(try_element_at(_splits, _at + {step}) <= _v, false), {step}, 0)"))
+        step //= 2
+    return placed.selectExpr("_k", "_part AS _whole", f"_part * {PARTS} + _at AS _part", "_v", "_n", "_total", "_wanted")
+
+
+def last_values(counted: DataFrame, ps: Sequence[float], cuts: int = CUTS) -> DataFrame:
+    """The few counted values that hold the wanted ranks: _k, _part, _v, _n, _total, _wanted."""
+    rows, parts = counted.withColumn("_part", F.lit(0).cast("bigint")), first_parts(counted, ps)
+    for cut in range(cuts):
+        if cut:
+            parts = rows.groupBy("_k", "_part").agg(_splitters(), F.expr("first(_total) AS _total"), F.expr("first(_wanted) AS _wanted"))
+        rows = rows.select("_k", "_part", "_v", "_n")
+        level = split_parts(rows, parts).groupBy("_k", "_whole", "_part").agg(
+            F.expr("sum(_n) AS _n"), F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"), F.expr("first(_total) AS _total"), F.expr("first(_wanted) AS _wanted")
+        )
+        found = _with_wanted(level, "_k, _whole", "_part", "_whole", "_low", "_high")
+        inside = rows.withColumnRenamed("_part", "_whole").join(found, ["_k", "_whole"]).where("_v BETWEEN _low AND _high")
+        rows = inside.select("_k", "_part", "_v", "_n", "_total", "_wanted")
+        if cut + 1 < cuts:  # a small part of all is left and read three times: one exchange serves them
+            rows = rows.repartition("_k", "_part")
+    return rows
 
 
-def keyed_percentiles(counted: DataFrame, ps: Sequence[float], unit: float = 1.0) -> DataFrame:
+def keyed_percentiles(counted: DataFrame, ps: Sequence[float], unit: float = 1.0, cuts: int = CUTS) -> DataFrame:
     """Percentiles of a value table by its key ``_k``, to be joined with other aggregates of it."""
     fractions = ", ".join(f"{float(p)!r}D" for p in ps)
-    rows, found = counted, first_parts(counted, ps)
-    for _ in range(CUTS):
-        cut = cut_parts(rows, found)
-        level = cut.groupBy("_k", "_part", "_low").agg(
-            F.expr("sum(_n) AS _n"), F.expr("first(_width) AS _width"), F.expr("first(_total) AS _total"), F.expr("first(_wanted) AS _wanted")
-        )
-        found = _with_wanted(level, "_k, _part")
-        rows = cut.selectExpr("_k", "_low AS _part", "_v", "_n")
-    left = rows.join(found.withColumnRenamed("_low", "_part"), ["_k", "_part"])
-    left = left.selectExpr("_k", "_part", "_v AS _low", "_width", "_n", "_total", "_wanted")
-    found = _with_wanted(left, "_k, _part")
+    found = _with_wanted(last_values(counted, ps, cuts), "_k, _part", "_v")
 
     # At most two values per percentile and group are left.
     per_group = (
-        found.selectExpr("_k", "_total", "_low", "explode(_wanted.rank) AS _rank")
+        found.selectExpr("_k", "_total", "_v", "explode(_wanted.rank) AS _rank")
         .groupBy("_k")
         .agg(
             F.expr("first(_total) AS n"),
-            F.expr("map_from_entries(collect_list(struct(_rank, CAST(_low AS DOUBLE)))) AS _at"),
+            F.expr("map_from_entries(collect_list(struct(_rank, CAST(_v AS DOUBLE)))) AS _at"),
         )
     )
     interpolate = (

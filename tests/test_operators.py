@@ -158,13 +158,33 @@ def test_sketched_percentiles_close_to_exact(spark):
     assert all(math.isclose(a, p * 100_000, abs_tol=25) for a, p in zip(got, PS))
 
 
-def test_first_cut_splits_one_group(spark):
-    """All values within minutes, one group: the first cut leaves a few thousandths of it."""
-    df = spark.range(0, 200_000).select((F.col("id") * 3001).alias("v"))
-    counted = percentiles.value_table(df, [], "v")
-    cut = percentiles.cut_parts(counted, percentiles.first_parts(counted, [0.5]))
-    sizes = [r["n"] for r in cut.groupBy("_low").agg(F.sum("_n").alias("n")).collect()]
-    assert len(sizes) > 4000 and max(sizes) < 100
+def test_first_split_is_even(spark):
+    """All values within minutes, one group, and one of them far out: parts go by rank, not by width."""
+    values = spark.range(0, 200_000).select((F.col("id") * 27_000).alias("v"))
+    for df in (values, values.union(spark.createDataFrame([(250_000_000_000_000_000,)], "v bigint"))):
+        counted = percentiles.value_table(df, [], "v")
+        split = percentiles.split_parts(counted.withColumn("_part", F.lit(0).cast("bigint")), percentiles.first_parts(counted, [0.5]))
+        sizes = [r["count"] for r in split.groupBy("_part").count().collect()]
+        assert sum(sizes) == df.count() and max(sizes) < 3 * 200_000 / percentiles.PARTS
+        for cuts, most in ((1, 600), (2, 20)):
+            walked = percentiles.last_values(counted, [0.1, 0.5, 0.9], cuts).groupBy("_k", "_part").count().agg(F.max("count")).first()[0]
+            assert walked <= most
+
+
+def test_percentiles_of_skewed_values_equal_numpy(spark):
+    """Exponentially spread values, heavy repeats and an outlier, in two groups of unequal size."""
+    rng = random.Random(9)
+    groups = {"a": [int(2 ** rng.uniform(0, 61)) for _ in range(30_000)] + [-(2**62)], "b": [rng.choice([5, 5, 5, 6, 10**15]) for _ in range(5000)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v bigint")
+    counted, ps = percentiles.value_table(df, ["g"], "v"), [0.0, *PS, 1.0]
+    for cuts in (1, 2):
+        got = {r["_k"]["g"]: r["percentiles"] for r in percentiles.keyed_percentiles(counted, ps, cuts=cuts).collect()}
+        for g, values in groups.items():
+            values.sort()
+            for p, value in zip(ps, got[g]):
+                at = (len(values) - 1) * p
+                low, high = float(values[math.floor(at)]), float(values[math.ceil(at)])
+                assert value == low + (high - low) * (at - math.floor(at))
 
 
 def test_percentiles_of_a_range_wider_than_64_bits(spark):
