@@ -55,9 +55,11 @@ def _with_details(selected: DataFrame, details: DataFrame) -> DataFrame:
     """Selected index rows with their status timestamps.
 
     A selection by mission type, diagnosis or year holds index rows only, so
-    it is made before the join and the details without index row never move.
+    it is made before the join. Its ids reduce the details before their texts are
+    parsed: only the texts of the cohort are, and no others move.
     """
-    return joins.left_outer(selected, scans.status_times(details, _stops(INTERVALS)))
+    wanted = joins.keep_ids(details, selected)
+    return joins.left_outer(selected, scans.status_times(wanted, _stops(INTERVALS)))
 
 
 def select_missions(

@@ -123,3 +123,10 @@ def test_hot_key_is_split_at_run_time(spark):
     finally:
         for k, value in before.items():
             spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
+def test_cohort_reduces_details_before_their_texts_are_parsed(spark):
+    """Below every step that parses status texts, the details are first reduced to the cohort's ids."""
+    steps = [line for line in plan(registry.QUERIES["interval_polytrauma"](spark, SF)).splitlines() if "Join" in line or "Generate" in line]
+    parsed = [k for k, line in enumerate(steps) if "inline(array(struct(Status" in line]
+    assert parsed and all("LeftSemi" in steps[k + 1] for k in parsed)
