@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.llm.common import tidy, written
-from pulsegrid.llm.tokens import encoder, tokenizer_path
+from pulsegrid.llm.tokens import REMEMBERED, encoder, tokenizer_path
 
 SEQUENCE = 2048
 END_ID = 0
@@ -111,7 +111,7 @@ def cut(n: int, most: int) -> Iterator[tuple[int, int]]:
         start, length = start + length, most
 
 
-def pieces(documents: DataFrame, path: str, most: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
+def pieces(documents: DataFrame, path: str, most: int = SEQUENCE, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, part and rank within part and length.
 
     ``keep_ids`` adds the ids themselves (little-endian unsigned 32-bit). Written, since ``part`` and
@@ -123,7 +123,7 @@ def pieces(documents: DataFrame, path: str, most: int = SEQUENCE, keep_ids: bool
     end = np.uint32(END_ID).tobytes()
 
     def run(batches):
-        encode, part, ranks, rows = encoder(path), TaskContext.get().partitionId(), [0] * (most + 1), []
+        encode, part, ranks, rows = encoder(path, remembered), TaskContext.get().partitionId(), [0] * (most + 1), []
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids = encode.ids(text.as_py() or "") + end
@@ -175,5 +175,8 @@ def packed_sequences(placed: DataFrame) -> DataFrame:
     return placed.groupBy("sequence_id").agg(F.sum("length").alias("n_ids"), ids.alias("ids"))
 
 
-def pack_documents(documents: DataFrame, path: str | None = None, capacity: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
-    return pack(pieces(documents, path or tokenizer_path(), capacity, keep_ids), capacity)
+def pack_documents(
+    documents: DataFrame, path: str | None = None, capacity: int = SEQUENCE, keep_ids: bool = False, remembered: int = REMEMBERED
+) -> DataFrame:
+    """Every document's pieces and their places. ``remembered`` bounds the pre-tokens a worker keeps, at some 300 bytes each."""
+    return pack(pieces(documents, path or tokenizer_path(), capacity, keep_ids, remembered), capacity)

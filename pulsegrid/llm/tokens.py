@@ -38,9 +38,10 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
@@ -54,7 +55,7 @@ class Encoder:
             simple = piece.isascii() and piece.isprintable()
             word = piece.replace(" ", self.letters[32]) if simple else piece.encode().decode("latin-1").translate(self.letters)
             found = array("I", [t.id for t in self.tokenize(word)]).tobytes()
-            if len(self.known) < REMEMBERED:
+            if len(self.known) < self.remembered:
                 self.known[piece] = found
         return found
 
@@ -69,11 +70,11 @@ class Encoder:
         return b"".join(parts)
 
 
-_ENCODERS: dict[str, Encoder] = KEPT.setdefault("tokens", {})
+_ENCODERS: dict[tuple[str, int], Encoder] = KEPT.setdefault("tokens", {})
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder; Python workers are reused, and so is what it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """The worker's encoder; Python workers are reused, and so is what it remembers, ``remembered`` pre-tokens at most."""
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
