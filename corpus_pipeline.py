@@ -31,9 +31,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
+#: Pre-tokens a worker remembers while packing: the executors still hold what the stages before left in them.
+REMEMBERED = 200_000
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered=REMEMBERED)
 
 
 STAGES = [
