@@ -112,8 +112,8 @@ def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((equal - empty) / n - chance) / (1 - chance), n
 
 
-def sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, set_hash, small and large registers (null where not banded so), and row; written."""
+def sketched(documents: DataFrame, size: int, percent: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, set_hash, small and large registers (null where not banded so), ``carried`` and row; written."""
 
     def run(batches):
         for batch in batches:
@@ -128,10 +128,12 @@ def sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
                     for k in (0, 1):
                         registers[k].append(sketch(own, COPIES[k]).tobytes() if k in used else None)
                 columns = [pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), *(pa.array(r, pa.binary()) for r in registers)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "set_hash", "r0", "r1"])
+                more = [part.column(2 + k) for k in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, *more], names=["doc_id", "n", "set_hash", "r0", "r1", *carried])
 
-    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = source.mapInArrow(tidy(run), "doc_id long, n long, set_hash binary, r0 binary, r1 binary")
+    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried)
+    kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in carried)
+    out = source.mapInArrow(tidy(run), "doc_id long, n long, set_hash binary, r0 binary, r1 binary" + kinds)
     return written(out.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
@@ -314,19 +316,20 @@ def links(documents: DataFrame, nodes: DataFrame, size: int, percent: int) -> Da
     return written(components(nodes.select("id"), edges), "components")
 
 
-def near_groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(documents: DataFrame, size: int = 5, percent: int = 80, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row, and ``first``: one row of each component.
 
     ``size`` words make a shingle; pairs with a Jaccard similarity of ``percent`` or more are linked.
+    The columns ``carried`` of ``documents`` are in the result too.
     """
-    rows = sketched(documents, size, percent)
+    rows = sketched(documents, size, percent, carried)
     sets = rows.where("n > 0").groupBy("set_hash").agg(F.min("row").alias("id"))
     nodes = rows.withColumnRenamed("row", "id").join(sets.select("id"), "id", "left_semi")
     nodes = written(nodes.select("id", "doc_id", "n", "set_hash", "r0", "r1"), "nodes")
     state = links(documents, nodes, size, percent)
     of_set = nodes.select("id", "set_hash").join(state, "id").select("set_hash", F.col("component_id").alias("root"))
     placed = rows.drop("r0", "r1").join(of_set, "set_hash", "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")))
-    placed = written(placed.select("doc_id", "n", F.coalesce("root", "row").alias("root"), "row"), "placed")
+    placed = written(placed.select("doc_id", "n", F.coalesce("root", "row").alias("root"), "row", *carried), "placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(least, "root")
     first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("first_row"))
@@ -336,13 +339,26 @@ def near_groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         (F.col("row") == F.col("first_row")).alias("first"),
+        *carried,
     )
 
 
 def drop_near_copies(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` with one row of each component, the first with its smallest doc_id; all columns kept."""
-    numbered = written(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = near_groups(numbered.select(F.col("_row").alias("doc_id"), "text"), size, percent)
-    named = numbered.select("_row", F.col("doc_id").alias("_id")).join(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_root")), "_row")
-    several = named.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
-    return numbered.join(several.select(F.col("_first._row").alias("_row")), "_row", "left_semi").select(*documents.columns)
+    """``documents`` with one row of each component, the first with its smallest doc_id; all columns kept.
+
+    Rows are known by a digest of doc_id and text, so no numbered copy of the texts is written. Of rows that
+    share both, the least by all columns stays; without any word they link with nothing and all stay.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    mark = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)))
+    groups = near_groups(documents.select("doc_id", "text", mark.alias("mark")), size, percent, ("mark",))
+    stays = groups.groupBy("mark").agg(
+        F.max("first").alias("first"), ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("repeated")
+    )
+    stays = written(stays.where("first").select("mark", "repeated"), "stays")
+    marked = documents.select(F.struct("*").alias("row"), mark.alias("mark"))
+    alone = marked.join(stays.where("NOT repeated"), "mark", "left_semi").select("row")
+    if not stays.where("repeated").isEmpty():
+        copies = marked.join(stays.where("repeated"), "mark", "left_semi")
+        alone = alone.unionByName(copies.groupBy("mark").agg(F.min("row").alias("row")).select("row"))
+    return alone.select("row.*")

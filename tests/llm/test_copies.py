@@ -129,6 +129,14 @@ def test_near_odd_rows(odd, empty):
     assert near.near_groups(empty).count() == 0 and near.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """Rows that share doc_id and text: the least stays. Ids that repeat with other texts stand for themselves."""
+    text = "one two three four five six seven"
+    rows = [(4, text, "b", 2), (4, text, "b", 1), (4, text, "a", 9), (4, "quite another text", "c", 0), (9, text, "a", 0), (4, "", "x", 1), (4, "", "x", 1), (4, None, "x", 1)]
+    kept = near.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, mark string, row int"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[2], rows[3], rows[5], rows[6], rows[7]], key=repr)
+
+
 def test_estimates_follow_the_true_similarity():
     rng = np.random.default_rng(2)
     for share in (0.0, 0.5, 0.9):
