@@ -9,27 +9,20 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocab
 from pulsegrid.functions import classify, clean
-from pulsegrid.operators import cohort, summary
+from pulsegrid.operators import cohort, joins, summary
 from pulsegrid.operators.variants import match_names
 
 
-# Keys that the rows of one destination are spread over.
-SALTS = 16
-
-
 def with_capabilities(df: DataFrame, target: str, variants: DataFrame) -> DataFrame:
     """Add ``granted``, the capabilities of the first name variant the destination text matches.
 
     Only distinct destination texts are matched. A blank destination matches nothing and takes no
-    part in the join; a frequent one is spread over ``SALTS`` keys.
+    part in the join; a heavy one is spread over as many salts as its rows ask for.
     """
     named = df.withColumn("_target", clean.fold(F.col(target)))
     blank = F.coalesce(F.col("_target"), F.lit("")) == ""
-    best = match_names(named.where(~blank), "_target", variants).drop("rank")
-    spread = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
-    salted = named.where(~blank).withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
-    found = salted.join(spread, ["_target", "_salt"], "left").drop("_target", "_salt")
+    best = match_names(named.where(~blank), "_target", variants).drop("rank").withColumnRenamed("_target", "_matched")
+    found = joins.left_by(named.where(~blank), best, "_target", "_matched", by=["protocolId"]).drop("_target", "_matched")
     return found.unionByName(named.where(blank).drop("_target"), allowMissingColumns=True)
 
 

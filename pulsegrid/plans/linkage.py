@@ -10,19 +10,20 @@ from pulsegrid.operators import flows, joins, summary
 
 def link_dispatch(missions: DataFrame, dispatch: DataFrame) -> DataFrame:
     """Every mission row with its dispatch records, one to many."""
-    return joins.left_by(missions, dispatch, "missionNumber", "EINSATZ_NR")
+    return joins.left_by(missions, dispatch, "missionNumber", "EINSATZ_NR", by=["protocolId"])
 
 
 def link_protocols(dispatch: DataFrame, index: DataFrame) -> DataFrame:
     """Every dispatch record with its protocols."""
-    return joins.left_by(dispatch, index, "EINSATZ_NR", "missionNumber")
+    return joins.left_by(dispatch, index, "EINSATZ_NR", "missionNumber", by=["AUFTRAGS_NR"])
 
 
 def add_texts(linked: DataFrame, freetexts: DataFrame) -> DataFrame:
     """Free-text documents joined on, clashing columns with a suffix."""
     clashes = [c for c in freetexts.columns if c in linked.columns and c != "protocolId"]
     renamed = freetexts.withColumnsRenamed({c: f"{c}_Freetext" for c in clashes})
-    return joins.left_by(linked, renamed.withColumnRenamed("protocolId", "_text_of"), "protocolId", "_text_of").drop("_text_of")
+    texts = renamed.withColumnRenamed("protocolId", "_text_of")
+    return joins.left_by(linked, texts, "protocolId", "_text_of", by=["AUFTRAGS_NR", "missionNumber"]).drop("_text_of")
 
 
 def mission_match_quality(missions: DataFrame, dispatch: DataFrame) -> DataFrame:

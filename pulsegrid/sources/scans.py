@@ -64,7 +64,7 @@ def dispatch_records(dispatch: DataFrame, district: str | None = None, limit: in
 
 def mission_table(index: DataFrame, details: DataFrame) -> DataFrame:
     """Index and details of all protocols of either side."""
-    return joins.full_outer(index, details)
+    return joins.full_outer_once(index, details, by=(["missionNumber"], []))
 
 
 def select_values(df: DataFrame, column: str, values: Sequence | None) -> DataFrame:
