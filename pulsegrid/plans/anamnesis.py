@@ -27,7 +27,7 @@ def protocol_texts(freetexts: DataFrame, linked: DataFrame | None = None) -> Dat
     chosen = txt.pick_text([F.col(c) for c in items.TEXT_FIELDS], [F.col(c) for c in items.OTHER_TEXT_FIELDS])
     rows = rows.where(F.col("protocolId") != "").select("protocolId", "_id", "pos", chosen.alias("text"))
     return (
-        first.first_per_key(rows, ["protocolId"], ["_id", "pos"])
+        first.first_rows(rows, ["protocolId"], ["_id", "pos"])
         .where(F.col("text").isNotNull())
         .select("protocolId", "text", txt.text_key(F.col("text")).alias("text_key"))
     )
