@@ -35,12 +35,28 @@ def word_match(text: Column, word: str, no_words: Sequence[str] = (), no_parts:
     return F.coalesce(hit, F.lit(False))
 
 
+def covering_words(phrases: Sequence[str]) -> list[str]:
+    """Few words such that every phrase holds at least one: each time the one in most phrases left, then the longest."""
+    left, chosen = list(phrases), []
+    while left:
+        words = {w for p in left for w in p.split() or [p]}
+        held = {w: sum(w in p for p in left) for w in words}
+        chosen.append(max(words, key=lambda w: (held[w], len(w), w)))
+        left = [p for p in left if chosen[-1] not in p]
+    return chosen
+
+
 def first_label(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """Label of the first rule one of whose phrases occurs in the text, else null."""
+    """Label of the first rule one of whose phrases occurs in the text, else null.
+
+    A text without any of the words that cover all phrases is out after a search for these few.
+    """
     label = F.lit(None).cast("string")
     for name, phrases in reversed(rules):
         label = F.when(contains_any(text, phrases), name).otherwise(label)
-    return label
+    phrases = [p for _, own in rules for p in own]
+    words = covering_words(phrases)
+    return F.when(contains_any(text, words), label) if 2 * len(words) <= len(phrases) else label
 
 
 def first_category(text: Column, keywords: Sequence[tuple[str, str]]) -> Column:

@@ -53,7 +53,7 @@ def answer_pairs(answer: Column) -> Column:
         F.filter(lines, lambda line: F.contains(line, F.lit(":"))),
         lambda line: F.struct(
             F.upper(strip(F.substring_index(line, ":", 1))).alias("key"),
-            strip(F.regexp_replace(line, r"^[^:]*:", "")).alias("value"),
+            strip(F.substr(line, F.instr(line, F.lit(":")) + 1)).alias("value"),
         ),
     )
 
