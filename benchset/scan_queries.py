@@ -370,6 +370,27 @@ def materialised_metric(spark, sf):
     )
 
 
+@query(
+    "stored_metrics_join",
+    W(v.SQL_INDEX, v.SQL_FINDINGS)
+    + """, s AS (SELECT protocolId, count(*) AS n, sum(value_num) AS total FROM fnd WHERE description = 'GCS' GROUP BY 1),
+    p AS (SELECT protocolId, count(*) AS n_pain, sum(value_num) AS pain FROM fnd WHERE description = 'Schmerzen' GROUP BY 1)
+    SELECT protocolId, CAST(year(missionDate) AS BIGINT) AS mission_year, n, round(total, 6) AS total, n_pain, round(pain, 6) AS pain
+    FROM s JOIN p USING (protocolId) LEFT JOIN idx USING (protocolId)""",
+)
+def stored_metrics_join(spark, sf):
+    """Two stored metrics of the same buckets; one year of the first is written a second time."""
+    tables = {"index": v.index(spark, sf), "findings": v.findings(spark, sf)}
+    first_name, second_name = (f"metric_{kind}_{uuid.uuid4().hex}" for kind in ("gcs", "pain"))
+    metrics.store_metric(tables, "GCS", first_name, buckets=8)
+    pain = metrics.store_metric(tables, "Schmerzen", second_name, buckets=8)
+    gcs = metrics.replace_year(tables, "GCS", first_name, 1997)
+    keys = ["protocolId", metrics.YEAR]
+    a = gcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value_num").alias("total"))
+    b = pain.groupBy("protocolId").agg(F.count(F.lit(1)).alias("n_pain"), F.sum("value_num").alias("pain"))
+    return rounded(a.join(b, "protocolId").withColumn(metrics.YEAR, F.col(metrics.YEAR).cast("bigint")))
+
+
 @query(
     "calendar_parts",
     """SELECT event_id, year(ts) AS year, month(ts) AS month, hour(ts) AS hour, dayname(ts) AS weekday,
@@ -415,7 +436,7 @@ def mission_details_full_outer(spark, sf):
         "StatusAlarm",
         "Status8",
     )
-    both = joins.full_outer(v.index(spark, sf), details)
+    both = joins.full_outer_once(v.index(spark, sf), details, by=(["missionNumber"], []))
     return both.select("protocolId", "missionType", "missionDate", "StatusAlarm", "Status8")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid import session, vocab
 from pulsegrid.operators import first, joins
@@ -68,3 +69,36 @@ def load_metric(
 def materialised_metric(tables: Tables, metric: str, path: str, **options) -> DataFrame:
     """The metric written to a Parquet table at ``path`` and read back, for many readers."""
     return session.materialise(load_metric(tables, metric, **options), path)
+
+
+#: Partition column of stored metrics: year of the protocol's latest mission, null without one.
+YEAR = "mission_year"
+
+
+def _with_year(tables: Tables, rows: DataFrame) -> DataFrame:
+    index = tables["index"].where(F.col("protocolId").isNotNull())
+    years = index.groupBy("protocolId").agg(F.year(F.max("missionDate")).alias(YEAR))
+    return joins.left_outer(rows, years)
+
+
+def store_metric(tables: Tables, metric: str, name: str, buckets: int = 64, **options) -> DataFrame:
+    """The metric as table ``name`` of the session's catalog, partitioned by year and bucketed by protocol.
+
+    Tables with equally many buckets join on the protocol without a shuffle, and a year filter reads
+    that year's files only. Each year has one file a bucket.
+    """
+    rows = _with_year(tables, load_metric(tables, metric, **options)).repartition(buckets, "protocolId")
+    writer = rows.write.format("parquet").partitionBy(YEAR).bucketBy(buckets, "protocolId").sortBy("protocolId")
+    writer.mode("overwrite").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def replace_year(tables: Tables, metric: str, name: str, year: int, **options) -> DataFrame:
+    """One year of a stored metric written anew from ``tables``; the files of other years stay as they are."""
+    spark: SparkSession = tables["index"].sparkSession
+    stored = spark.table(name)
+    rows = _with_year(tables, load_metric(tables, metric, **options)).where(F.col(YEAR) == year)
+    buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first().data_type)
+    rows = rows.repartition(buckets, "protocolId").select([c for c in stored.columns if c != YEAR])
+    spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({YEAR} = {int(year)}) SELECT * FROM {{rows}}", rows=rows)
+    return spark.table(name)
