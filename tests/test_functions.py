@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,6 +233,21 @@ def test_utm_round_trip(spark):
         assert r["b"] == pytest.approx(r["lon"], abs=2e-8)
 
 
+def test_labels_are_those_of_the_first_rule_that_holds(spark):
+    """Texts of whole phrases, cut phrases and phrases within others, against a plain search rule by rule."""
+    rng = random.Random(4)
+    for rules in [*vocab.REQUIREMENT_RULES.values(), *vocab.BASIC_REQUIREMENT_RULES.values()]:
+        phrases = [p for _, own in rules for p in own]
+        assert all(any(w in p for w in classify.covering_words(phrases)) for p in phrases)
+        texts = [None, "", "nichts davon", *phrases]
+        texts += [" und ".join(rng.sample(phrases, 2)) if len(phrases) > 1 else phrases[0][1:] for _ in range(20)]
+        texts += [p[: len(p) // 2] for p in phrases] + ["vor " + p + " nach" for p in phrases]
+        want = [t and next((name for name, own in rules if any(p in t for p in own)), None) or None for t in texts]
+        df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+        got = df.select("n", classify.first_label(F.col("t"), rules).alias("label")).orderBy("n").collect()
+        assert [r.label for r in got] == want
+
+
 def parsed(spark, answer):
     df = spark.createDataFrame([(answer,)], "answer string").withColumn("p", F.reverse(txt.answer_pairs(F.col("answer"))))
     return df.select(*[c.alias(n) for n, c in txt.answer_columns(F.col("p.key"), F.col("p.value")).items()]).first().asDict()

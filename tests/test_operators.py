@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import cohort, first, flows, joins, percentiles, summary
+from pulsegrid.operators import cohort, first, flows, heavy, joins, percentiles, summary
 from pulsegrid.operators.variants import contained, containment_candidates, match_names
 
 
@@ -24,6 +24,43 @@ def test_full_outer_equals_the_built_in_join(spark, rows):
     assert rows(got) == rows(want)
 
 
+def many_keys(spark, seed):
+    """Two tables with a key that is heavy on the left, one on the right, one on both, null keys and lone keys."""
+    rng = random.Random(seed)
+    left = ["l"] * 40 + ["both"] * 9 + [None] * 15 + [f"k{rng.randrange(30)}" for _ in range(40)]
+    right = ["r"] * 30 + ["l"] * 2 + ["both"] * 7 + [None] * 12 + [f"k{rng.randrange(40)}" for _ in range(30)] + ["r2"] * 12
+    left += ["r"] * 3
+    a = spark.createDataFrame([(k, n) for n, k in enumerate(left)], "k string, v int")
+    return a, spark.createDataFrame([(k, n) for n, k in enumerate(right)], "k string, v int")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_pass_full_outer_equals_the_built_in_join(spark, rows, seed):
+    left, right = many_keys(spark, seed)
+    assert {r["_heavy"] for r in heavy.heavy_keys(left, "k").collect()} >= {"l"}
+    want = left.join(right.withColumnRenamed("v", "v_y"), "k", "full")
+    for a, b in ((left, right), (left.limit(0), right), (left, right.limit(0))):
+        got = joins.full_outer_once(a, b, "k")
+        want = a.join(b.withColumnRenamed("v", "v_y"), "k", "full")
+        assert got.columns == ["k", "v", "v_y"] and rows(got) == rows(want)
+    assert rows(joins.full_outer_once(left, right, "k", by=(["v"], ["v_y"]))) == rows(joins.full_outer(left, right, "k"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_left_join_of_heavy_keys(spark, rows, seed):
+    left, right = many_keys(spark, seed)
+    right = right.toDF("k2", "w")
+    assert rows(joins.left_by(left, right, "k", "k2")) == rows(left.join(right, left.k == right.k2, "left"))
+    assert joins.left_by(left.limit(0), right, "k", "k2").count() == 0
+
+
+def test_first_rows_equal_first_per_key(spark, rows):
+    rng = random.Random(1)
+    data = [(rng.choice(["a", "b", "c", None]), rng.choice([None, "x", "y"]), n, rng.choice([None, "text", ""])) for n in range(60)]
+    df = spark.createDataFrame(data, "k string, o string, pos int, v string")
+    assert rows(first.first_rows(df, ["k"], ["o", "pos"]), "k", "o", "pos", "v") == rows(first.first_per_key(df, ["k"], ["o", "pos"]))
+
+
 def test_top_n_other_sums_to_the_total(frame):
     values = [f"v{i:02d}" for i in range(14) for _ in range(14 - i)] + ["tie1"] * 4 + ["tie0"] * 4 + [None] * 9
     df = frame([(v,) for v in values], "v string")

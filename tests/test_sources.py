@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import uuid
 
 import pytest
 
@@ -236,6 +238,36 @@ def test_materialised_metric(frame, rows, tmp_path):
     assert got.inputFiles()
 
 
+def test_stored_metrics(spark, frame, rows):
+    """Tables by year and protocol: joined without a shuffle, one year replaced, the others' files untouched."""
+    docs = [("1", "a", None, [finding("GCS", "3")]), ("2", "d", None, [finding("GCS", "4"), finding("Schmerzen", "1")]), ("3", "none", None, [finding("GCS", "5")])]
+    tables = {"index": index(frame), "findings": frame(docs, schemas.FINDINGS)}
+    with table_names(spark) as (first, second):
+        gcs = metrics.store_metric(tables, "GCS", first, buckets=4)
+        pain = metrics.store_metric(tables, "Schmerzen", second, buckets=4)
+        assert rows(gcs, "protocolId", "value_num", metrics.YEAR) == [("a", 3.0, 2023), ("d", 4.0, 2025), ("none", 5.0, None)]
+        both = gcs.select("protocolId", "value_num").hint("merge").join(pain.select("protocolId"), "protocolId")
+        assert rows(both) == [("d", 4.0)]
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        before = {f for f in gcs.inputFiles() if "mission_year=2025" not in f}
+        changed = {**tables, "findings": frame([("1", "a", None, [finding("GCS", "9")]), ("2", "d", None, [finding("GCS", "7")])], schemas.FINDINGS)}
+        again = metrics.replace_year(changed, "GCS", first, 2025)
+        assert rows(again, "protocolId", "value_num", metrics.YEAR) == [("a", 3.0, 2023), ("d", 7.0, 2025), ("none", 5.0, None)]
+        assert before == {f for f in again.inputFiles() if "mission_year=2025" not in f}
+        emptied = metrics.replace_year({**tables, "findings": frame([], schemas.FINDINGS)}, "GCS", first, 2025)
+        assert rows(emptied, "protocolId") == [("a",), ("none",)]
+        assert "PartitionFilters: [isnotnull(mission_year" in emptied.where("mission_year = 2023")._jdf.queryExecution().executedPlan().toString()
+
+
+@contextlib.contextmanager
+def table_names(spark):
+    """Two unused table names; their tables are dropped afterwards."""
+    names = [f"stored_{uuid.uuid4().hex}" for _ in range(2)]
+    yield names
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_dispatch_records(frame, rows):
     table = collections.conform(
         frame(
