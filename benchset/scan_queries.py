@@ -436,7 +436,8 @@ def mission_details_full_outer(spark, sf):
         "StatusAlarm",
         "Status8",
     )
-    both = joins.full_outer_once(v.index(spark, sf), details, by=(["missionNumber"], []))
+    times = joins.computed_once(details, ["StatusAlarm", "Status8"])
+    both = joins.full_outer_once(v.index(spark, sf), times, by=(["missionNumber"], []), counted=(None, details))
     return both.select("protocolId", "missionType", "missionDate", "StatusAlarm", "Status8")
 
 

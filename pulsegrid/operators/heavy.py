@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most keys a sketch lists, and counters it holds for each of them.
 MOST, COUNTERS = 4096, 8
+#: Salts for each partition that a key's rows would fill: several, since salts fall on partitions by chance.
+SALTS = 4
 
 
 def partitions(spark: SparkSession) -> int:
@@ -30,7 +32,7 @@ def heavy_keys(df: DataFrame, key: str) -> DataFrame:
     return (
         found.select("_rows", F.inline("_top"))
         .where(share >= 2)
-        .select(F.col("item").alias("_heavy"), F.ceil(share).cast("int").alias("_pieces"))
+        .select(F.col("item").alias("_heavy"), F.ceil(share * SALTS).cast("int").alias("_pieces"))
     )
 
 

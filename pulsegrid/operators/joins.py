@@ -68,6 +68,7 @@ def full_outer_once(
     key: str = "protocolId",
     suffix: str = "_y",
     by: tuple[Sequence[str], Sequence[str]] = ((), ()),
+    counted: tuple[DataFrame | None, DataFrame | None] = (None, None),
 ) -> DataFrame:
     """The rows of ``full_outer`` from one full outer join: each input is read whole and shuffled once.
 
@@ -75,15 +76,17 @@ def full_outer_once(
     rows of such a key they are dealt over salts, on the other side its rows are copied to every salt. The key
     occurs on both sides then or on the dealt side alone, so a copy that meets nothing is dropped: it has met
     rows at another salt. Rows without a key are dealt over all partitions. ``by`` names the columns that tell
-    rows of one key apart, left and right (default: all). Heavy keys come from a look at both key columns alone.
+    rows of one key apart, left and right (default: all). Heavy keys come from a look at both key columns alone;
+    ``counted`` gives frames to count them in where a side's key cannot be read without its costly columns.
     """
     renamed = _suffixed(left, right, key, suffix)
     one = F.lit(1)
-    sides = heavy.heavy_keys(left, key).select("_heavy", F.col("_pieces").alias("_own"), one.alias("_other"))
-    sides = sides.unionByName(heavy.heavy_keys(right, key).select("_heavy", one.alias("_own"), F.col("_pieces").alias("_other")))
+    keys_of = [heavy.heavy_keys(c if c is not None else df, key) for c, df in zip(counted, (left, right))]
+    sides = keys_of[0].select("_heavy", F.col("_pieces").alias("_own"), one.alias("_other"))
+    sides = sides.unionByName(keys_of[1].select("_heavy", one.alias("_own"), F.col("_pieces").alias("_other")))
     larger = F.max_by(F.struct("_own", "_other"), F.greatest("_own", "_other"))
     keys = sides.groupBy("_heavy").agg(larger.alias("_larger")).select("_heavy", "_larger.*")
-    everywhere = F.lit(heavy.partitions(left.sparkSession))
+    everywhere = F.lit(heavy.partitions(left.sparkSession) * heavy.SALTS)
 
     def dealt(df: DataFrame, own: str, other: str, names: Sequence[str]) -> DataFrame:
         copies: Column = F.coalesce(other, one)

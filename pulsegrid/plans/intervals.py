@@ -48,7 +48,8 @@ def _stops(spans: Mapping[str, tuple[str, str]]) -> list[str]:
 
 def missions(index: DataFrame, details: DataFrame, statuses: Sequence[str] = tuple(_stops(INTERVALS))) -> DataFrame:
     """All protocols of either collection with the named status timestamps."""
-    return joins.full_outer_once(index, scans.status_times(details, statuses), by=(["missionNumber"], []))
+    times = scans.status_times(details, statuses)
+    return joins.full_outer_once(index, times, by=(["missionNumber"], []), counted=(None, details))
 
 
 def _with_details(selected: DataFrame, details: DataFrame) -> DataFrame:
