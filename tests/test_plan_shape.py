@@ -169,7 +169,7 @@ def test_heavy_keys_are_spread_without_run_time_splitting(spark, static):
     few = few.union(spark.createDataFrame([("hot", 2), (None, 3)], "protocolId string, w int"))
     assert joins.full_outer_once(many, few).count() == 60_000 + 200 + 1
     for df in (joins.full_outer_once(many, few), joins.full_outer_once(few, many)):
-        assert largest_share(df) < 0.2
+        assert largest_share(df) < 0.25  # an even share is an eighth; unspread, the hot key and the null key hold a third each
     linked = joins.left_by(many, few.withColumnRenamed("protocolId", "other"), "protocolId", "other").where("protocolId = 'hot'")
     assert linked.count() == 20_000 and linked.where("w = 2").count() == 20_000 and largest_share(linked) < 0.4
 
