@@ -6,10 +6,12 @@ the same texts are samples labelled ordinary; each label gets counts of characte
 ``LEAST`` or more key characters whose log-likelihood ratio reaches ``RATIO`` is one more span, of
 kind ``markov``, unless it overlaps a pattern's span.
 
-The models learn from the documents whose id hashes into the first ``SAMPLE`` or so of all (a documented
-bound on the labelled rows); every document is scanned whole. Without any labelled string both models
-are alike and add nothing. Null text is empty; a null doc_id is hashed like any other; repeated rows
-are scanned each. Further columns are not read.
+The model of random strings learns from every string the patterns find in any document, each counted once;
+that of identifiers from the words of the documents whose id hashes into the first ``SAMPLE`` or so of all
+(a documented bound on the ordinary rows). Every document, however long, is scanned whole. Without any
+labelled string both models are alike and add nothing. Null text is empty; a null doc_id is hashed like any
+other; repeated rows are scanned each; an empty table gives an empty result. Only doc_id and text are read, so
+further columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 WORDS = r"[A-Za-z0-9+/_=-]{6,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+#: Documents whose words are examples of ordinary ones, about.
 SAMPLE = 5000
 #: Counts spread over the characters after each one: evenly in the model of random strings, by their
 #: share in the model of identifiers.
@@ -61,14 +64,14 @@ def spans(text: Column, kind: int, pattern: str, ok) -> Column:
 
 
 def labelled(documents: DataFrame) -> DataFrame:
-    """Distinct strings with y: 1 found by the patterns, 0 other words met twice or more, from the sampled documents."""
+    """Distinct strings with y: 1 found by the patterns in any document, 0 other words met twice or more in the sampled ones."""
     every = max(1, documents.count() // SAMPLE)
-    text = text_of(documents)
-    sample = documents.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(every)) == 0).select(text.alias("text"))
+    read = documents.select("doc_id", text_of(documents).alias("text"))
+    sample = read.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(every)) == 0)
     t = F.col("text")
     random = F.concat(matches(t, ASSIGN, 2), matches(t, ACCESS), matches(t, HEX))
     ordinary = matches(F.regexp_replace(t, f"{ASSIGN}|{ACCESS}|{HEX}", " "), WORDS, 0)
-    strings = sample.select(F.explode(random).alias("s"), F.lit(1).alias("y")).where(F.char_length("s") >= 16)
+    strings = read.where(t.rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(F.explode(random).alias("s"), F.lit(1).alias("y")).where(F.char_length("s") >= 16)
     # a word met once only may be random itself
     words = sample.select(F.explode(ordinary).alias("s")).groupBy("s").count().where("count > 1")
     return strings.distinct().unionByName(words.select("s", F.lit(0).alias("y")))
