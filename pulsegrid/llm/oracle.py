@@ -128,3 +128,60 @@ CONVERSATIONS = f"""
     LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
     LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM i.conv_id
 """
+
+#: Links are looked for among sets that share one of their rarest shingles, as many as a similarity of 0.85 can miss, and one more.
+NEAR = r"""
+    WITH RECURSIVE worded AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ),
+    held AS (
+        SELECT DISTINCT doc_id, array_to_string(words[k:k + 2], ' ') AS shingle
+        FROM worded, unnest(range(1, greatest(len(words) - 1, least(len(words) + 1, 2)))) u(k)
+    ),
+    common AS (SELECT shingle, count(*) AS df, row_number() OVER (ORDER BY count(*), shingle) AS s FROM held GROUP BY shingle),
+    ranked AS (
+        SELECT doc_id, s, df, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS place, count(*) OVER (PARTITION BY doc_id) AS n
+        FROM held JOIN common USING (shingle)
+    ),
+    sets AS (SELECT doc_id, n, list(s ORDER BY s) AS items FROM ranked GROUP BY doc_id, n),
+    heads AS (SELECT doc_id, s FROM ranked WHERE df > 1 AND 100 * (n - place + 1) >= 85 * n),
+    candidates AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM heads a JOIN heads b ON a.s = b.s AND a.doc_id < b.doc_id),
+    compared AS (
+        SELECT u, v, a.n + b.n AS total, len(list_intersect(a.items, b.items)) AS shared
+        FROM candidates JOIN sets a ON a.doc_id = u JOIN sets b ON b.doc_id = v
+        WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    ),
+    found AS MATERIALIZED (SELECT u, v FROM compared WHERE 100 * shared >= 85 * (total - shared)),
+    links AS MATERIALIZED (SELECT u, v FROM found UNION ALL SELECT v, u FROM found),
+    reach AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION
+        SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other
+    ),
+    least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN least USING (doc_id) LEFT JOIN sets s USING (doc_id)
+"""
+
+VECTORS = """
+    WITH RECURSIVE vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    squared AS (
+        SELECT vec_id, v, CASE WHEN len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN list_sum(list_transform(v, lambda x: x * x)) END AS square
+        FROM vectors
+    ),
+    sound AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda x: x / sqrt(square)) AS v FROM squared WHERE square > 0),
+    links AS MATERIALIZED (
+        SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) >= 0.95 END
+    ),
+    counted AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+    reach AS (
+        SELECT vec_id, vec_id AS other FROM vectors
+        UNION
+        SELECT r.vec_id, l.v FROM reach r JOIN links l ON l.u = r.other
+    ),
+    least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM least LEFT JOIN counted ON u = vec_id
+"""

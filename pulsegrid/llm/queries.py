@@ -80,6 +80,8 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM normal
     """,
+    "op8_near_dedup": oracle.NEAR,
+    "op9_embedding_dedup": oracle.VECTORS,
     "op12_spelling": oracle.SPELLING,
     "op13_conversations": oracle.CONVERSATIONS,
 }

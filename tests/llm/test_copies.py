@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
+from benchset.check import compare, connect
 from pulsegrid.llm import embeddings, exact, near, queries, repeats
 from pulsegrid.llm.common import components
 from pulsegrid.llm.induced import TupleSorter, suffixes
@@ -112,6 +114,24 @@ def test_near_groups_of_documents(documents, texts):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(shingle_groups(list(texts.items()), 3, 85))
 
 
+@pytest.mark.parametrize("name", ["op8_near_dedup", "op9_embedding_dedup"])
+def test_linked_groups_equal_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    assert compare(spark, connect(sf), sf, name, queries.QUERIES[name], queries.SQL[name]) is None
+
+
+def test_sql_of_vectors_with_links(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16))
+    vectors = [(k, (centres[k % 20] + rng.normal(size=16) * 0.12).tolist()) for k in range(300)]
+    odd = [(300, None), (301, [0.0] * 16), (302, [1.0, None]), (303, []), (304, [float("nan")] * 16), (305, vectors[0][1]), (306, [1.0]), (307, [2.0])]
+    spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    name = "op9_embedding_dedup"
+    assert compare(spark, con, str(tmp_path), name, queries.QUERIES[name], queries.SQL[name]) is None
+
+
 def test_large_canopies_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 7)
     rows = planted(5, 6)

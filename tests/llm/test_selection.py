@@ -96,6 +96,62 @@ def test_pareto_shares_follow_the_weights(spark):
     assert taken[3.0] == pytest.approx(0.75, abs=0.04) and taken[1.0] == pytest.approx(0.25, abs=0.04)
 
 
+def test_expected_copies_reach_the_target(spark):
+    rng = np.random.default_rng(3)
+    for most_share in (0.3, 1.1, 1.97, 2.0):
+        classes = [("a", float(w), int(n)) for w, n in zip((0.5, 1, 3, 8), rng.integers(1, 900, 4))] + [("a", 0.0, 70), ("a", 5.0, 0), (None, 2.0, 40)]
+        total = sum(n for s, w, n in classes if s and w)
+        goal = spark.createDataFrame([("a", most_share * total), (None, most_share * 40)], "source string, target double")
+        got = {r.source: r.level for r in mixing.levels(spark.createDataFrame(classes, "source string, weight double, words long"), goal).collect()}
+        assert sum(min(2, w * got["a"]) * n for s, w, n in classes if s) == pytest.approx(most_share * total)
+        assert min(2, 2 * got[None]) == pytest.approx(most_share)
+
+
+def test_longer_documents_have_larger_odds(spark):
+    rows = spark.range(0, 6000).selectExpr("id AS doc_id", "'s' AS source", "repeat('w ', CASE WHEN id % 2 = 0 THEN 1000 ELSE 3 END) AS text")
+    other = spark.range(6000, 12000).selectExpr("id AS doc_id", "'r' AS source", "'one two' AS text")
+    got = mixing.mix(mixing.sized(rows.unionByName(other)), weights=(1,), share=0.5).toPandas()
+    taken = got[got.source == "s"].groupby("size").copies.mean()
+    weight = {size: 1 + np.log2(size + 1) / 16 for size in (3, 1000)}
+    assert taken[1000] / taken[3] == pytest.approx(weight[1000] / weight[3], rel=0.1)
+
+
+def test_cut_equals_walking_the_ranks(spark, monkeypatch):
+    """Every range of the rank holds several rows, one id holds a third of them."""
+    monkeypatch.setattr(mixing, "NEXT", 10**6)
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(3000):
+        source, key = "ab"[k % 2], 5 << 40 if k % 3 == 0 else int(rng.integers(0, 40)) << 40 | int(rng.integers(0, 3)) << 10
+        rows.append((source, k, key, int(rng.integers(1, 30))))
+    wanted = {"a": 9000.5, "b": 33.0}
+    open_rows = spark.createDataFrame(rows, "source string, row long, key long, size long")
+    for slack in (0.0, 100.0):
+        ends = spark.createDataFrame([(*w, slack) for w in wanted.items()], "source string, want double, slack double")
+        bounds, beyond = mixing.chosen(open_rows, ends)
+        bound, more = {r.source: r.bound for r in bounds.collect()}, {r.row for r in beyond.collect()}
+        got = {row for source, row, key, _ in rows if key >> (mixing.KEY_BITS - 2 * mixing.DIGIT_BITS) < bound[source]} | more
+        for source, left in wanted.items():
+            expected, missed = set(), []
+            for key, size, row in sorted((key, size, row) for s, row, key, size in rows if s == source):
+                if size > left:
+                    missed.append((size, row))
+                    if slack:  # the order is kept
+                        break
+                else:
+                    left -= size
+                    expected.add(row)
+            expected |= {row for size, row in [m for m in missed if m[0] < 2 * left][:1]}
+            assert {r for r in got if rows[r][0] == source} == expected
+
+
+def test_one_id_may_hold_a_source(spark):
+    rows = spark.range(0, 20000).selectExpr("7L AS doc_id", "'s' AS source", "'one two three' AS text")
+    got = mixing.mix_documents(rows.unionByName(spark.createDataFrame([(1, "r", "x y " * 40000)], rows.schema))).toPandas()
+    per = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "max"))
+    assert ((per.taken - per.target).abs() <= 2 * got["size"].max()).all() and abs(per.taken[60000] - per.target[60000]) <= 3
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -128,13 +184,33 @@ def test_base_spans_equal_plain_patterns(spark, documents):
     assert "markov:" in got[10**9 + 1].spans and "markov:" not in got[10**9 + 6].spans
 
 
+def test_labelled_strings_come_from_every_document(spark, documents, monkeypatch):
+    """No document with a labelled string is among those whose words are read."""
+    monkeypatch.setattr(secrets, "SAMPLE", 20)
+    rng = np.random.default_rng(5)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    key = "Xk29dKq03mZpQ8vLw7TyB4nR1cJ5"
+    marked = [f"here token = {''.join(rng.choice(letters, 32))}" for _ in range(30)]
+    plain = [r.text or "" for r in documents.collect()] + [f"see {key} here"]
+    every = max(1, len(marked + plain) // secrets.SAMPLE)
+    ids = spark.range(0, 100_000).selectExpr("id", f"pmod(xxhash64(CAST(id AS string)), {every}) = 0 AS s").collect()
+    outside, inside = [r.id for r in ids if not r.s], [r.id for r in ids if r.s]
+    assert every > 1
+    table = [*zip(outside, marked), *zip(inside, plain)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got[table[-1][0]] == f"markov:4:{4 + len(key)}"
+
+
 def test_scan_has_no_python(documents):
     plan = secrets.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_scan_odd_rows(odd, empty):
-    assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
+    got = secrets.scan(odd).collect()
+    expected = sorted((-1 if r.doc_id is None else r.doc_id, *base_spans(r.text or "")[0]) for r in odd.collect())
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == expected
+    assert {r.spans for r in got} == {""} and secrets.scan(empty).count() == 0
 
 
 def test_scores_of_held_out_rows(spark):
@@ -175,4 +251,4 @@ def test_toxicity_odd_rows(spark, odd, empty):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
