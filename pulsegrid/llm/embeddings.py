@@ -3,7 +3,9 @@
 Equal vectors are one node with a weight. Each node starts with the nearest of its block in several
 orders by random hyperplanes; then every round joins the neighbours of one node with each other
 (neighbours of neighbours) and keeps the ``K`` nearest of each. Rounds go on until an audit on
-``AUDIT`` nodes, compared with all nodes, finds the wanted share of their links in the graph.
+``AUDIT`` nodes and half as many that have a link, compared with all nodes, finds the wanted share of their
+links in the graph. Where ``ROUNDS`` rounds do not reach it, lists and blocks are enlarged to twice their
+length before every further one, with new orders, however often that takes.
 
 Edges at the threshold or above give the components. A full list whose worst entry is still a link is
 saturated: its node may have more links than its list holds. Links within a component need no list:
@@ -13,7 +15,8 @@ link. Two blocks whose centres and radii settle all their angles at once are not
 
 Cosines are in double precision. Null and empty vectors, vectors with null or non-finite components and
 zero vectors link with nothing, as do vectors of different lengths. Rows that repeat a vec_id are
-separate rows. Labels and further columns are not read.
+separate rows. An empty table gives an empty result. Only vec_id and embedding are read, so further columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from pulsegrid.llm.common import components, partitions, written
 
 K = 10
 TREES, PLANES, LEAF = 8, 24, 64
-LEAST_ROUNDS, MOST_ROUNDS = 1, 6
+#: Rounds before lists are enlarged.
+ROUNDS = 3
 AUDIT, WANTED = 1024, 0.995
 #: Vectors in a block of a component, and centres of blocks in a tile.
 BLOCK, TILE = 512, 1024
@@ -64,8 +68,8 @@ def readable(vectors: DataFrame) -> DataFrame:
     return written(source.mapInArrow(run, "vec_id long, v binary").withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
-def ordered(nodes: DataFrame) -> DataFrame:
-    """Every node once for each tree with the side of each of its hyperplanes as a number to sort by."""
+def ordered(nodes: DataFrame, turn: int = 0) -> DataFrame:
+    """Every node once for each tree with the side of each of its hyperplanes as a number to sort by; other planes each ``turn``."""
 
     def run(batches):
         for batch in batches:
@@ -73,7 +77,7 @@ def ordered(nodes: DataFrame) -> DataFrame:
                 own = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(v) == length]
                 x = unit([v for _, v in own])
                 for tree in range(TREES):
-                    planes = np.random.default_rng([tree, length]).normal(size=(x.shape[1], PLANES))
+                    planes = np.random.default_rng([tree, length, turn] if turn else [tree, length]).normal(size=(x.shape[1], PLANES))
                     sides = (x @ planes > 0) @ (1 << np.arange(PLANES)[::-1])
                     n = len(own)
                     columns = [pa.array([tree] * n, pa.int32()), pa.array([length] * n, pa.int32()), pa.array(sides), pa.array([i for i, _ in own]), pa.array([v for _, v in own], pa.binary())]
@@ -100,33 +104,33 @@ def nearest_in(ids: np.ndarray, sims: np.ndarray, k: int, floor: np.ndarray | No
     return ids[rows], ids[best], value
 
 
-def first_lists(nodes: DataFrame) -> DataFrame:
-    """(u, v, sim) from blocks of LEAF neighbours in each order, each block half overlapping the next."""
+def first_lists(nodes: DataFrame, k: int = K, leaf: int = LEAF, turn: int = 0) -> DataFrame:
+    """(u, v, sim) from blocks of ``leaf`` neighbours in each order, each block half overlapping the next."""
 
     def block(held):
         ids = np.array([i for i, _ in held], np.int64)
         x = unit([v for _, v in held])
-        u, v, s = nearest_in(ids, x @ x.T, K)
+        u, v, s = nearest_in(ids, x @ x.T, k)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], names=["u", "v", "sim"])
 
     def run(batches):
         at, held, new = None, [], 0
         for batch in batches:
-            for tree, length, id, v in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
+            for tree, length, id, v in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4))):
                 if (tree, length) != at:
                     if new and len(held) > 1:
                         yield block(held)
                     at, held, new = (tree, length), [], 0
                 held.append((id, v))
                 new += 1
-                if len(held) == LEAF:
+                if len(held) == leaf:
                     yield block(held)
-                    held, new = held[LEAF // 2 :], 0
+                    held, new = held[leaf // 2 :], 0
         if new and len(held) > 1:
             yield block(held)
 
     order = ["tree", "length", "sides", "id"]
-    dealt = ordered(nodes).repartitionByRange(partitions(nodes.sparkSession), *order)
+    dealt = ordered(nodes, turn).repartitionByRange(partitions(nodes.sparkSession), *order)
     return dealt.sortWithinPartitions(*order).mapInArrow(run, "u long, v long, sim double")
 
 
@@ -137,13 +141,13 @@ def nearest_lists(edges: DataFrame, k: int = K) -> DataFrame:
     return once.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def descent(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def descent(graph: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
     """One round: the members around each node (its list, itself, the nearest that list it) are joined with each other."""
     back = graph.select(F.col("v").alias("w"), F.col("u").alias("x"), "sim")
     place = F.row_number().over(Window.partitionBy("w").orderBy(F.col("sim").desc(), "x"))
-    back = back.withColumn("place", place).where(F.col("place") <= 2 * K).select("w", "x")
+    back = back.withColumn("place", place).where(F.col("place") <= 2 * k).select("w", "x")
     around = graph.select(F.col("u").alias("w"), F.col("v").alias("x")).unionByName(back).unionByName(nodes.select(F.col("id").alias("w"), F.col("id").alias("x"))).distinct()
-    floors = graph.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(-2.0).alias("floor"))
+    floors = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("floor"))
     known = nodes.select("id", "v").join(floors, nodes.id == floors.u, "left").select(F.col("id").alias("x"), "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
     members = around.join(known, "x").groupBy("w").agg(F.collect_list(F.struct("x", "v", "floor")).alias("members"))
 
@@ -156,28 +160,32 @@ def descent(graph: DataFrame, nodes: DataFrame) -> DataFrame:
                 members = [m for m in members if len(m["v"]) == length]
                 x = unit([m["v"] for m in members])
                 ids, floor = np.array([m["x"] for m in members], np.int64), np.array([m["floor"] for m in members])
-                for out, part in zip(found, nearest_in(ids, x @ x.T, K, floor)):
+                for out, part in zip(found, nearest_in(ids, x @ x.T, k, floor)):
                     out.append(part)
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["u", "v", "sim"])
 
-    # at most 3 K + 1 members each
+    # at most 3 k + 1 members each
     better = members.select("members").mapInArrow(run, "u long, v long, sim double")
-    return nearest_lists(graph.unionByName(better))
+    return nearest_lists(graph.unionByName(better), k)
 
 
-def saturated(graph: DataFrame, threshold: float) -> DataFrame:
+def saturated(graph: DataFrame, threshold: float, k: int = K) -> DataFrame:
     """id of the nodes whose list is full of links."""
     lists = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("worst"))
-    return lists.where((F.col("n") >= K) & (F.col("worst") >= threshold)).select(F.col("u").alias("id"))
+    return lists.where((F.col("n") >= k) & (F.col("worst") >= threshold)).select(F.col("u").alias("id"))
 
 
-def audit(graph: DataFrame, nodes: DataFrame, threshold: float, state: DataFrame | None = None) -> float:
-    """Share of the true links of AUDIT nodes that the graph has, or for saturated nodes the components of ``state``."""
-    queries = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).select("id", "v").collect()
+def audit(graph: DataFrame, nodes: DataFrame, threshold: float, state: DataFrame | None = None, k: int = K) -> float:
+    """Share of the true links of the audited nodes that the graph has, or for saturated nodes the components of ``state``."""
+    linked = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("id")).distinct()
+    drawn = [F.xxhash64("id", F.lit("audit")), F.col("id")]
+    queries = {}
+    for among, n in ((nodes, AUDIT), (nodes.join(linked, "id", "left_semi"), AUDIT // 2)):
+        queries |= {q.id: bytes(q.v) for q in among.select("id", "v").orderBy(*drawn).limit(n).collect()}
     groups = {}
-    for q in queries:
-        groups.setdefault(len(q.v), []).append((q.id, bytes(q.v)))
+    for id, v in queries.items():
+        groups.setdefault(len(v), []).append((id, v))
     held = {n: (np.array([i for i, _ in own], np.int64), unit([v for _, v in own])) for n, own in groups.items()}
 
     def run(batches):
@@ -194,7 +202,7 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float, state: DataFrame
     have = graph.select(F.col("u").alias("q"), F.col("v").alias("y")).unionByName(graph.select(F.col("v").alias("q"), F.col("u").alias("y"))).distinct()
     found = true.join(have.withColumn("hit", F.lit(1)), ["q", "y"], "left")
     if state is not None:
-        full = state.join(saturated(graph, threshold), "id").select(F.col("id").alias("q"), F.col("component_id").alias("own"))
+        full = state.join(saturated(graph, threshold, k), "id").select(F.col("id").alias("q"), F.col("component_id").alias("own"))
         other = state.select(F.col("id").alias("y"), F.col("component_id").alias("other"))
         same = F.when(F.col("own") == F.col("other"), 1)
         found = found.join(full, "q", "left").join(other, "y", "left").withColumn("hit", F.coalesce("hit", same))
@@ -202,11 +210,11 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float, state: DataFrame
     return found.hit / found.n if found.n else 1.0
 
 
-def linked_components(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def linked_components(graph: DataFrame, nodes: DataFrame, threshold: float, k: int = K) -> DataFrame:
     """id and component_id by the links of the graph and those between saturated nodes; written."""
     edges = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
     state = written(components(nodes.select("id"), edges), "components")
-    members = state.join(saturated(graph, threshold), "id").join(nodes, "id").select(F.col("component_id").alias("root"), "id", "w", "v")
+    members = state.join(saturated(graph, threshold, k), "id").join(nodes, "id").select(F.col("component_id").alias("root"), "id", "w", "v")
     across = written(links_across(members, threshold), "across")
     if not across.take(1):
         return state
@@ -218,13 +226,17 @@ def linked_components(graph: DataFrame, nodes: DataFrame, threshold: float) -> D
 
 def grouped_graph(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The neighbour graph, and the components of its nodes."""
-    graph = written(nearest_lists(first_lists(nodes)), "graph")
-    for step in range(MOST_ROUNDS):
-        graph = written(descent(graph, nodes), "graph")
-        state = linked_components(graph, nodes, threshold)
-        if step + 1 >= LEAST_ROUNDS and audit(graph, nodes, threshold, state) >= WANTED:
-            break
-    return graph, state
+    step, k, leaf = 0, K, LEAF
+    graph = written(nearest_lists(first_lists(nodes, k, leaf), k), "graph")
+    while True:
+        graph = written(descent(graph, nodes, k), "graph")
+        state = linked_components(graph, nodes, threshold, k)
+        if audit(graph, nodes, threshold, state, k) >= WANTED:
+            return graph, state
+        step += 1
+        if step >= ROUNDS:
+            k, leaf = 2 * k, 2 * leaf
+            graph = written(nearest_lists(graph.unionByName(first_lists(nodes, k, leaf, step)), k), "graph")
 
 
 def neighbour_graph(nodes: DataFrame, threshold: float) -> DataFrame:

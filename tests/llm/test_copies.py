@@ -345,6 +345,23 @@ def test_links_between_groups_of_saturated_lists(spark):
     assert embeddings.audit(graph, nodes, 0.95, apart) < 0.9
 
 
+def test_lists_are_enlarged_until_the_audit_is_met(spark, monkeypatch):
+    """With one order, blocks of four and lists of two the first round misses most links."""
+    for name, value in (("K", 2), ("LEAF", 4), ("TREES", 1), ("ROUNDS", 1)):
+        monkeypatch.setattr(embeddings, name, value)
+    turns, first = [], embeddings.first_lists
+    monkeypatch.setattr(embeddings, "first_lists", lambda nodes, k, leaf, turn=0: turns.append((k, leaf, turn)) or first(nodes, k, leaf, turn))
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(60, 24))
+    rows = [(k, [float(x) for x in base[k % 60] + 0.1 * rng.normal(size=24)]) for k in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embeddings.vector_groups(df).collect()
+    truth = {d: (n, c) for d, n, c in vector_truth(rows)}
+    found, true = sum(r.n_links for r in got), sum(n for n, _ in truth.values())
+    assert turns[0] == (2, 4, 0) and turns[1] == (4, 8, 1) and 0.99 * true <= found <= true
+    assert all(r.n_links <= truth[r.vec_id][0] for r in got)
+
+
 def test_strings_of_a_common_gram_are_dealt_out(spark, monkeypatch):
     rng = random.Random(12)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
