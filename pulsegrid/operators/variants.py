@@ -2,9 +2,12 @@
 
 A variant matches a name when either contains the other, so matching is the search for contained texts, both
 ways. A contained text is looked up under one of its pieces only, the one that the fewest of the searched texts
-hold; a text whose rarest piece nobody holds is out at once. Pieces are as long as the longest power of two that
-fits into the text they stand for, so long texts are looked up by long, rare pieces whatever the shortest one is.
+hold; a text whose rarest piece nobody holds is out at once. A piece is the text itself up to seven code points
+and more than four fifths of a longer one, so what holds a piece mostly holds the text, however many texts there are.
 Candidates pass the exact test. Only distinct names are cut; callers join the result back.
+
+Cut texts are many times the table they come from, whose size is all that is known of them before they are cut.
+Their joins are therefore merge joins: nothing that grows with the names or variants is sent to the driver.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from pyspark.sql import functions as F
 
 
 def _piece_size(text: Column) -> Column:
-    """The largest power of two that is not above the number of code points."""
-    return F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.char_length(text))) - 1)
+    """The number of code points with all but its three highest binary digits cleared: four sizes between powers of two."""
+    length = F.char_length(text)
+    cleared = F.greatest(F.length(F.bin(length)) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", length, cleared), cleared)
 
 
 def _pieces(text: Column, sizes: Column) -> Column:
@@ -37,9 +42,9 @@ def containment_candidates(needles: DataFrame, hays: DataFrame) -> DataFrame:
     held = held.select(*hays.columns, F.explode(_pieces(F.col("hay"), F.col("_sizes"))).alias("piece"))
     frequency = held.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
     own = needles.select("*", F.explode(_pieces(F.col("needle"), F.array(_piece_size(F.col("needle"))))).alias("piece"))
-    counted = own.join(frequency, "piece", "left").withColumn("_rarest", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "piece"))
+    counted = own.join(frequency.hint("merge"), "piece", "left").withColumn("_rarest", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "piece"))
     rarest = counted.groupBy(*needles.columns).agg(F.min("_rarest").alias("_rarest")).where("_rarest.n > 0")
-    return rarest.select(*needles.columns, F.col("_rarest.piece").alias("piece")).join(held, "piece").drop("piece")
+    return rarest.select(*needles.columns, F.col("_rarest.piece").alias("piece")).join(held.hint("merge"), "piece").drop("piece")
 
 
 def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
@@ -62,4 +67,4 @@ def match_names(names: DataFrame, name: str, variants: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(held.select(F.col("needle").alias(name), "rank", F.col("hay").alias("variant")))
     best = pairs.groupBy(name).agg(F.min(F.struct("rank", "variant")).alias("_best"))
     best = best.select(name, F.col("_best.rank").alias("rank"), F.col("_best.variant").alias("variant"))
-    return best.join(variants.select("variant", "granted"), "variant").select(name, "rank", "granted")
+    return best.join(variants.select("variant", "granted").hint("merge"), "variant").select(name, "rank", "granted")

@@ -255,3 +255,20 @@ def test_match_names_of_very_different_lengths(spark):
     got = {r["name"]: r["rank"] for r in match_names(df, "name", table).collect()}
     want = {n: min(i for i, v in enumerate(variants) if v in n or n in v) for n in names if any(v in n or n in v for v in variants)}
     assert got == want
+
+
+def test_containment_candidates_of_short_texts_stay_near_the_matches(spark):
+    """Seven digits that fewer digits would not tell apart."""
+    numbers = spark.range(0, 20000).select((F.col("id") * 7919 % 10000000).alias("n"))
+    hays = numbers.select(F.format_string("customer#%09d", "n").alias("hay"))
+    needles = numbers.select(F.format_string("%07d", "n").alias("needle"))
+    candidates, matches = containment_candidates(needles, hays).count(), contained(needles, hays).count()
+    assert matches >= 20000 and candidates <= 2 * matches
+
+
+def test_names_and_their_pieces_are_not_broadcast(spark):
+    names = spark.range(0, 300).select(F.format_string("house %03d", "id").alias("name"))
+    table = spark.range(0, 300).select(F.format_string("%03d", "id").alias("variant"), F.col("id").alias("rank"), F.lit(True).alias("granted"))
+    best = match_names(names, "name", table)
+    assert {r["name"]: r["rank"] for r in best.collect()} == {f"house {k:03d}": k for k in range(300)}
+    assert "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()
