@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Up to three parts between dots; a fourth and later ones do not count.
+_DAY_FIRST = r"(?s)\A([^.]*)\.([^.]*)(?:\.([^.]*))?(?:\..*)?\z"
 _ONSET_DATE = r"(^|\D)\d{1,2}\.\d{1,2}\.(\d{4}|\d{2})(\D|$)"
 
 # Every character that counts as whitespace at the ends of a text.
@@ -56,11 +58,17 @@ def to_status_time(date_text: Column, time_text: Column) -> Column:
     """Separate date and time texts to one timestamp, null when either is blank or unreadable.
 
     Dates are ``yyyy-MM-dd`` or day-first ``dd.MM.yyyy``; seconds are optional.
+    The texts are read in a lambda: written out for every status of a row, the generated method
+    passes the size up to which the JVM compiles it, and parsing takes several times as long.
     """
-    day, time = F.trim(date_text), strip(time_text)
-    parts = [F.split_part(day, F.lit("."), F.lit(k)) for k in (3, 2, 1)]
-    iso = F.when(F.contains(day, F.lit(".")), F.concat_ws("-", *parts)).otherwise(day)
-    return F.when(time != "", F.concat(iso, F.lit(" "), time).try_cast("timestamp_ntz"))
+
+    def parse(texts: Column) -> Column:
+        iso = F.regexp_replace(F.trim(texts["day"]), _DAY_FIRST, "$3-$2-$1")
+        time = strip(texts["time"])
+        return F.when(time != "", F.concat(iso, F.lit(" "), time).try_cast("timestamp_ntz"))
+
+    texts = F.struct(date_text.alias("day"), time_text.alias("time"))
+    return F.transform(F.array(texts), parse)[0]
 
 
 def micros_between(start: Column, end: Column) -> Column:

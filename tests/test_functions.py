@@ -289,3 +289,19 @@ def test_prompt_holds_the_whole_text(spark):
     got = one(spark, txt.prompt(F.col("a")), a=("Text mit {text} und $1", "string"))
     head, tail = vocab.PROMPT.split("{text}")
     assert got == head + "Text mit {text} und $1" + tail
+
+
+def test_status_texts_are_read_alike_in_and_out_of_large_projections(spark):
+    """Odd texts against the split into parts, and a plan that keeps the parsing out of the one method of a stage."""
+    days = ["2025-06-01", " 01.06.2025 ", "1.6.2025", "01.06", "01.06.2025.9", ".06.2025", "1..2025", "2020-01-01 10:00:00.5", "01.06.2025\n", "", "x", None]
+    times = ["10:00", " 10:00:07\t", "+10:00", "25:00", "", "  ", None]
+    df = spark.createDataFrame([(d, t) for d in days for t in times], "d string, t string")
+    day, time = F.trim("d"), clean.strip(F.col("t"))
+    parts = [F.split_part(day, F.lit("."), F.lit(k)) for k in (3, 2, 1)]
+    iso = F.when(F.contains(day, F.lit(".")), F.concat_ws("-", *parts)).otherwise(day)
+    plain = F.when(time != "", F.concat(iso, F.lit(" "), time).try_cast("timestamp_ntz"))
+    read = df.select(clean.to_status_time(F.col("d"), F.col("t")).alias("read"), plain.alias("plain")).collect()
+    assert [r["read"] for r in read] == [r["plain"] for r in read] and sum(r["read"] is not None for r in read) >= 8
+    many = df.select(*[clean.to_status_time(F.concat("d", F.lit(k)), F.col("t")).alias(k) for k in ("", " ", "  ")])
+    parsing = [line for line in many._jdf.queryExecution().executedPlan().toString().splitlines() if "try_cast" in line]
+    assert parsing and not any("*(" in line for line in parsing)
