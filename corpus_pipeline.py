@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Pre-tokens a worker remembers while packing: the executors still hold what the stages before left in them.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

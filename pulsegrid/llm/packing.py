@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulsegrid.llm.common import tidy, written
+from pulsegrid.llm.common import arrow_rows, tidy, written
 from pulsegrid.llm.tokens import REMEMBERED, encoder, tokenizer_path
 
 SEQUENCE = 2048
 END_ID = 0
-#: Pieces in one Arrow batch handed back to Spark.
-BATCH = 20_000
+#: Texts in one Arrow batch handed to a worker, and pieces in one handed back to Spark.
+TEXTS, BATCH = 500, 20_000
 
 
 class TightestBin:
@@ -138,7 +138,9 @@ def pieces(documents: DataFrame, path: str, most: int = SEQUENCE, keep_ids: bool
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * keep_ids
-    return written(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "tokens"), ddl), "pieces")
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    with arrow_rows(documents.sparkSession, TEXTS):
+        return written(texts.mapInArrow(tidy(run, "tokens"), ddl), "pieces")
 
 
 def pack(cut_pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
