@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import huffman, packing, tokens
+from pulsegrid.llm import common, huffman, packing, tokens
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +150,15 @@ def test_odd_and_empty_tables(odd, empty, encode):
     placed = packing.pack_documents(odd)
     assert placed.agg({"length": "sum"}).first()[0] == sum(len(encode.ids(t)) // 4 + 1 for _, t in rows)
     assert huffman.round_trip(empty).count() == 0 and packing.pack_documents(empty).count() == 0
+
+
+def test_packing_hands_workers_few_texts_at_once(spark, monkeypatch):
+    name, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.written
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "written", lambda df, label: seen.append(int(spark.conf.get(name))) or written(df, label))
+    docs = spark.range(0, 1203, 1, 1).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    placed = packing.pack_documents(docs)
+    assert placed.count() == 1203 and seen == [packing.TEXTS] and spark.conf.get(name) == before
+    with common.arrow_rows(spark, 500):
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long").collect()
+    assert sorted(r.n for r in sizes) == [203, 500, 500]
