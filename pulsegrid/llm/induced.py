@@ -97,8 +97,13 @@ class TupleSorter:
 
     def _run(self):
         keys, positions = (np.concatenate(x) for x in zip(*self.held))
-        order = np.argsort(keys, kind="stable")
         self.held, self.size = [], 0
+        bits = int(positions.max(initial=0)).bit_length()
+        if positions.min(initial=0) >= 0 <= keys.min(initial=0) and int(keys.max(initial=0)).bit_length() + bits <= 63:
+            # both in one number: sorting numbers is far cheaper than sorting their order
+            both = np.sort(keys << bits | positions)
+            return both >> bits, both & ((1 << bits) - 1)
+        order = np.argsort(keys, kind="stable")
         return keys[order], positions[order]
 
     def sorted(self):
@@ -142,20 +147,25 @@ class RangeMinimum:
 
     def __init__(self, values: np.ndarray):
         self.levels = [values]
-        width = 1
-        while 2 * width <= len(values):
-            last = self.levels[-1]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, width = self.levels[-1], 1 << (len(self.levels) - 1)
             self.levels.append(np.minimum(last[:-width], last[width:]))
-            width *= 2
+        return self.levels[k]
 
     def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Over ``first`` to ``last``, both included."""
-        level = np.int64(np.log2(last - first + 1)) if np.isscalar(first) else np.log2(last - first + 1).astype(np.int64)
-        out = np.empty(len(first), self.levels[0].dtype)
-        for k in np.unique(level):
-            own = level == k
-            a, b = first[own], last[own] - (1 << int(k)) + 1
-            out[own] = np.minimum(self.levels[k][a], self.levels[k][b])
+        size = last - first + 1
+        out = np.minimum(self.levels[0][first], self.levels[0][last])
+        open_, k = np.flatnonzero(size > 2), 1
+        while len(open_):
+            # the ranges of 2 ** k to 2 ** (k + 1) values are settled, the longer ones stay open
+            level = self._level(k)
+            a, b = first[open_], last[open_] - (1 << k) + 1
+            out[open_] = np.minimum(level[a], level[b])
+            k += 1
+            open_ = open_[size[open_] > 1 << k]
         return out
 
 
@@ -174,12 +184,37 @@ def falling(text: np.ndarray) -> np.ndarray:
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Common prefixes of suffixes ``a`` and ``b``, up to ``depth``; ``text`` is padded by ``depth``."""
     out, open_ = np.full(len(a), depth, np.uint8), np.arange(len(a))
-    for k in range(depth):
-        differs = text[a[open_] + k] != text[b[open_] + k]
-        out[open_[differs]] = k
-        open_ = open_[~differs]
+    k, four = 0, fours(text)
+    while len(open_) > FEW and k + 4 <= depth:
+        differ = four[a] ^ four[b] if not k else four[a + k] ^ four[b + k]
+        ended = differ != 0
+        d = differ[ended]
+        out[open_[ended]] = k + same_of_four(d)
+        a, b, open_ = a[~ended], b[~ended], open_[~ended]
+        k += 4
+    for k in range(k, depth):
         if not len(open_):
             break
+        differs = text[a + k] != text[b + k]
+        out[open_[differs]] = k
+        a, b, open_ = a[~differs], b[~differs], open_[~differs]
+    return out
+
+
+#: Pairs from which on characters are compared four at once.
+FEW = 64
+
+
+def fours(text: np.ndarray) -> np.ndarray:
+    """The four characters at every place as one number; a view of the 16-bit ``text``."""
+    return np.ndarray((max(len(text) - 3, 0),), np.uint64, text, 0, (2,))
+
+
+def same_of_four(differ: np.ndarray) -> np.ndarray:
+    """Equal leading characters, from the exclusive or of two different ``fours``."""
+    out = np.zeros(len(differ), np.uint8)
+    for bits in (16, 32, 48):
+        out += differ & np.uint64((1 << bits) - 1) == 0
     return out
 
 
@@ -305,29 +340,34 @@ def star_names(text, large, stars, sigma: int, memory: int) -> np.ndarray:
     # the end of the text follows nothing, so no induction reaches it; it comes first
     in_order = np.concatenate([stars[-1:], *(p[is_star[p]] for p, _ in induce(text, large, by_char, None, sigma, 0, memory))])
     length = np.diff(stars, append=len(large) - 1) + 1
-    where = np.searchsorted(stars, in_order)
+    number = np.empty(len(large), np.int32 if len(stars) < 1 << 31 else np.int64)
+    number[stars] = np.arange(len(stars))
+    where = number[in_order]
     size = length[where]
-    # equal substrings: same length and, compared character by character, same text
+    # equal substrings: same length and, compared four characters at a time, same text
     same = size[1:] == size[:-1]
     open_ = np.flatnonzero(same)
-    a, b = in_order[:-1], in_order[1:]
-    k = 0
+    a, b = in_order[:-1][open_], in_order[1:][open_]
+    left, four = size[1:][open_], fours(text)
     while len(open_):
-        open_ = open_[size[open_] > k]
-        differs = text[a[open_] + k] != text[b[open_] + k]
+        far = np.maximum(4 - left, 0) << 4  # bits of characters behind the substring
+        differs = (four[a] ^ four[b]) << far.astype(np.uint64) != 0
         same[open_[differs]] = False
-        open_ = open_[~differs]
-        k += 1
+        more = ~differs & (left > 4)
+        a, b, left, open_ = a[more] + 4, b[more] + 4, left[more] - 4, open_[more]
     names = np.empty(len(stars), np.int64)
     names[where] = np.concatenate([[0], np.cumsum(~same)])
     return names
 
 
 def sorted_stars(text, large, stars, sigma: int, depth: int, memory: int) -> np.ndarray:
-    """S*-suffixes in order up to ``depth`` characters: names, then names of pairs of names, level by level."""
+    """S*-suffixes in order up to ``depth`` characters: names, then names of pairs of names, level by level.
+
+    Two S*-suffixes are never neighbours, so ``covered`` names cover twice as many characters.
+    """
     names = star_names(text, large, stars, sigma, memory)
     covered = 1
-    while names.max(initial=0) + 1 < len(names) and 2 * covered <= 2 * depth:
+    while names.max(initial=0) + 1 < len(names) and 2 * covered < depth:
         after = np.zeros(len(names), np.int64)
         after[:-covered] = names[covered:] + 1
         sorter = TupleSorter(memory)
@@ -353,7 +393,7 @@ def suffixes(text: np.ndarray, sigma: int, depth: int, memory: int = MEMORY):
     n = len(text)
     if not n:
         return
-    padded = np.zeros(n + depth + 1, np.uint16)
+    padded = np.zeros(n + max(depth, 3) + 1, np.uint16)
     if padded.nbytes > memory:
         padded = np.memmap(tempfile.TemporaryFile(), np.uint16, shape=padded.shape)
     padded[:n] = text + 1  # 0 ends the text, below all characters

@@ -5,8 +5,11 @@ doc_id. To bring equal strings together without shipping every suffix, a string
 in it whose ``GRAM`` bytes hash lowest: equal strings have equal such grams at equal offsets, so no match
 is lost. Strings of one place are neighbours; their bytes make one piece.
 
-1. Every batch of documents sends each gram once; grams that only one document has end there.
-2. Documents come together with their shared grams and send a hash of each piece that belongs to one.
+Documents are dealt to buckets by their id, and all that is learned about them goes back to their bucket, in
+rows of arrays: one for each range or shard that has something for it, however many documents it is about.
+
+1. Every bucket sends each gram once a batch; grams that only one document has end there.
+2. Buckets come together with their shared grams and send a hash of each piece that belongs to one.
    Of equal pieces all but those of the smallest doc_id are repeats; a piece whose gram no different
    piece has is settled by that.
 3. The remaining pieces go, once each, to the shard their gram hashes to. A shard puts their suffixes in
@@ -41,6 +44,8 @@ BATCH, AT_ONCE, PLACE_BITS = 6 << 20, 1 << 20, 24
 OFTEN = 1 << 16
 #: Text bytes for each range of keys, whose anchors take about as many.
 RANGE = 64 << 20
+#: Buckets of documents for each range, so that partitions get about equally many.
+BUCKETS = 2
 #: Bytes of a shard if every text byte were in as many pieces as it can be, about five.
 SHARD, MOST_PIECES = 32 << 20, 5
 NULL_ID = np.iinfo(np.int64).min
@@ -122,22 +127,42 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def batches_of(batches, *columns: int):
-    """(ids, texts, further columns) in batches of about BATCH bytes; columns are id, text and ``columns``."""
-    ids, texts, more, size = [], [], [[] for _ in columns], 0
+def bucket_of(ranges: int):
+    return F.pmod(F.xxhash64("id"), F.lit(BUCKETS * ranges)).cast("int")
+
+
+def with_bucket(texts: DataFrame, ranges: int) -> DataFrame:
+    return texts if "bucket" in texts.columns else texts.withColumn("bucket", bucket_of(ranges))
+
+
+def batches_of(batches, answer: str | None = None):
+    """(bucket, ids, texts, answer) in batches of about BATCH bytes, each of one bucket.
+
+    What the column ``answer`` holds is for its row and those behind it in the same bucket, until a row has another.
+    """
+    held, size = {}, 0  # per bucket
+    answers, at = None, None
+
+    def out():
+        for b, (ids, texts) in held.items():
+            yield b, np.array(ids, np.int64), texts, answers
+        held.clear()
+
     for batch in batches:
-        further = [batch.column(c).to_pylist() for c in columns]
-        for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)))):
+        given = batch.column(answer) if answer else None
+        rows = zip(batch.column("bucket").to_pylist(), batch.column("id").to_pylist(), text_bytes(batch.column("text")))
+        for k, (bucket, key, text) in enumerate(rows):
+            if answer and (bucket != at or given[k].is_valid):
+                yield from out()
+                size, at, answers = 0, bucket, given[k].as_py()
+            ids, texts = held.setdefault(bucket, ([], []))
             ids.append(key)
             texts.append(text)
-            for out, values in zip(more, further):
-                out.append(values[k])
             size += len(text)
             if size >= BATCH:
-                yield np.array(ids, np.int64), texts, more
-                ids, texts, more, size = [], [], [[] for _ in columns], 0
-    if ids:
-        yield np.array(ids, np.int64), texts, more
+                yield from out()
+                size = 0
+    yield from out()
 
 
 def heads_of(*columns: np.ndarray) -> np.ndarray:
@@ -157,174 +182,195 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def shared_grams(texts: DataFrame, ranges: int) -> DataFrame:
-    """id and keys (a part of them): the grams of a document that another document has too."""
+    """bucket and keys (a part of them): the grams of a bucket that more than one document has."""
 
     def send(batches):
-        for ids, texts, _ in batches_of(batches):
+        for bucket, ids, texts, _ in batches_of(batches):
             key, number, _, _ = anchors(texts)
             if not len(key):
                 continue
-            doc = ids[number]
-            spread = mixed(key)
-            order = np.argsort(spread, kind="stable")
+            doc, spread = ids[number], mixed(key)
+            order = np.argsort(spread)
             key, doc, spread = key[order], doc[order], spread[order]
-            heads = heads_of(key)
-            sizes = np.diff(np.append(heads, len(key)))
-            least = np.minimum.reduceat(doc, heads)
-            several = least != np.maximum.reduceat(doc, heads)
-            # known here already: all documents but the one that is sent on
-            other = np.repeat(several, sizes) & (doc != np.repeat(least, sizes))
-            rows = [(int(d % ranges), int(d), np.unique(k).tobytes(), None, None) for d, k in grouped(doc[other], key[other])]
+            heads = heads_of(spread)
+            several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
             key = key[heads]
             cuts = np.searchsorted(range_of(spread[heads], ranges), np.arange(ranges + 1))
-            for r in range(ranges):
-                a, b = cuts[r], cuts[r + 1]
-                if a < b:
-                    rows.append((r, None, key[a:b].tobytes(), least[a:b].tobytes(), np.packbits(several[a:b]).tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["range", "id", "keys", "docs", "several"])
+            own = np.flatnonzero(np.diff(cuts)).tolist()
+            rows = [(r, bucket, key[cuts[r] : cuts[r + 1]].tobytes(), np.packbits(several[cuts[r] : cuts[r + 1]]).tobytes()) for r in own]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["range", "bucket", "keys", "several"])
 
     def shared(held):
-        key, doc, several = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(key, kind="stable")
-        key, doc, several = key[order], doc[order], several[order]
+        """A gram that came twice is in two batches, so in two documents, or in two rows of one."""
+        buckets, keys, several = zip(*held)
+        bucket = np.repeat(np.array(buckets, np.int32), [len(k) for k in keys])
+        key, several = np.concatenate(keys), np.concatenate(several)
+        order = np.argsort(key)
+        key, bucket, several = key[order], bucket[order], several[order]
         heads = heads_of(key)
         sizes = np.diff(np.append(heads, len(key)))
-        common = (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)) | np.logical_or.reduceat(several, heads)
-        keep = np.repeat(common, sizes)
-        rows = list(grouped(doc[keep], key[keep]))
-        return pa.RecordBatch.from_arrays([pa.array([int(d) for d, _ in rows], pa.int64()), pa.array([k.tobytes() for _, k in rows], pa.binary())], names=["id", "keys"])
+        keep = np.repeat((sizes > 1) | np.logical_or.reduceat(several, heads), sizes)
+        rows = [(int(b), np.unique(k).tobytes()) for b, k in grouped(bucket[keep], key[keep])]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.binary())], names=["bucket", "keys"])
 
     def merge(batches):
         at, held = None, []
         for batch in batches:
-            known = [[], []]
-            for r, id, keys, docs, several in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if id is not None:
-                    known[0].append(id)
-                    known[1].append(keys)
-                    continue
+            for r, bucket, keys, several in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if r != at and held:
                     yield shared(held)
                     held = []
                 at = r
                 n = len(keys) // 8
-                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(docs, np.int64), np.unpackbits(np.frombuffer(several, np.uint8))[:n].astype(bool)))
-            if known[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(known[0], pa.int64()), pa.array(known[1], pa.binary())], names=["id", "keys"])
+                held.append((bucket, np.frombuffer(keys, np.uint64), np.unpackbits(np.frombuffer(several, np.uint8))[:n].astype(bool)))
         if held:
             yield shared(held)
 
-    sent = texts.select("id", "text").mapInArrow(tidy(send), "range int, id long, keys binary, docs binary, several binary")
+    sent = with_bucket(texts, ranges).mapInArrow(tidy(send), "range int, bucket int, keys binary, several binary")
     # as many partitions as ranges: sizes in memory are a multiple of those Spark would merge them by
-    return sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(tidy(merge), "id long, keys binary")
+    return sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(tidy(merge), "bucket int, keys binary")
 
 
 def grouped(ids: np.ndarray, values: np.ndarray):
     """(id, its values) for every id."""
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
-    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
+    cuts = heads_of(ids)
     for a, b in zip(cuts, np.append(cuts[1:], len(ids))):
         yield ids[a], values[a:b]
 
 
-#: A row is either ranges of a document (starts, ends), or hashes or pieces for a shard.
-SENT = ["shard", "id", "starts", "ends", "keys", "hashes", "docs", "places", "sizes", "bytes"]
-KINDS = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 6]
-SENT_DDL = "shard int, id long, starts array<long>, ends array<long>, keys binary, hashes binary, docs binary, places binary, sizes binary, bytes binary"
+#: A row is either ranges of a bucket's documents (docs, starts, ends), or hashes or pieces of a bucket for a shard, or what is asked of a bucket.
+SENT = ["shard", "bucket", "docs", "starts", "ends", "keys", "hashes", "places", "sizes", "bytes"]
+KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
+SENT_DDL = "shard int, bucket int, docs binary, starts binary, ends binary, keys binary, hashes binary, places binary, sizes binary, bytes binary"
+#: A place in a text, which is below 2 GB, and the other columns as sent.
+SENT_TYPES = {"docs": np.int64, "starts": np.int32, "ends": np.int32, "keys": np.uint64, "hashes": np.uint64, "places": np.int32, "sizes": np.uint8, "bytes": bool}
+
+
+def sent_row(bucket: int, shard: int | None = None, **columns: np.ndarray) -> dict:
+    return {"bucket": int(bucket), "shard": shard, **{c: x.astype(SENT_TYPES[c], copy=False).tobytes() for c, x in columns.items()}}
+
+
+def sent_columns(rows: list, *columns: str) -> list[np.ndarray]:
+    """The columns of ``rows`` end to end; small numbers as 64 bits."""
+    whole = [np.frombuffer(b"".join(r[c] for r in rows), SENT_TYPES[c]) for c in columns]
+    return [x.astype(np.int64) if x.dtype in (np.int32, np.uint8) else x for x in whole]
+
+
+def buckets_of(rows: list) -> np.ndarray:
+    return np.repeat(np.array([r["bucket"] for r in rows], np.int32), [len(r["docs"]) // 8 for r in rows])
 
 
 def sent_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(SENT, KINDS)], names=SENT)
 
 
-def ranges_of(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
-    """One row of joined ranges per document."""
-    order = np.lexsort((starts, docs))
-    docs, starts, ends = docs[order], starts[order], ends[order]
-    cuts = heads_of(docs)
-    return [dict(zip(("id", "starts", "ends"), (int(docs[a]), *merged(starts[a:b], ends[a:b])))) for a, b in zip(cuts, np.append(cuts[1:], len(docs)))]
+def sent_rows(batch: pa.RecordBatch):
+    """Rows of a batch that are for a shard, as dicts."""
+    columns = [batch.column(c).to_pylist() for c in SENT]
+    for row in zip(*columns):
+        if row[0] is not None:
+            yield dict(zip(SENT, row))
+
+
+def ranges_of(buckets: np.ndarray, docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
+    """One row of joined ranges per bucket."""
+    if not len(docs):
+        return []
+    order = np.lexsort((starts, docs, buckets))
+    buckets, docs, starts, ends = buckets[order], docs[order], starts[order], ends[order]
+    fresh = np.zeros(len(docs), np.int64)
+    fresh[heads_of(buckets, docs)] = 1
+    apart = np.cumsum(fresh) << 32  # documents do not touch
+    ends = np.maximum.accumulate(ends + apart)
+    first = np.concatenate([[True], (starts + apart)[1:] > ends[:-1]])
+    last = np.append(np.flatnonzero(first)[1:], len(docs)) - 1
+    buckets, docs, starts, ends = buckets[first], docs[first], starts[first], (ends - apart)[last]
+    cuts = heads_of(buckets)
+    return [sent_row(buckets[a], docs=docs[a:b], starts=starts[a:b], ends=ends[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(docs)))]
 
 
 def piece_hashes(texts: DataFrame, ranges: int) -> DataFrame:
-    """Hashes of the pieces of shared grams per range of keys; ``texts`` has id, text and keys (several)."""
+    """Hashes of the pieces of shared grams per range of keys; ``texts`` has id, text and keys (several), as ``batches_of`` reads them."""
 
     def run(batches):
-        for ids, texts, (keys,) in batches_of(batches, 2):
-            key, number, first, last = anchors(texts)
+        last, known = None, None
+        for bucket, ids, texts, keys in batches_of(batches, "keys"):
+            if not keys:
+                continue
+            if keys is not last:
+                last, known = keys, np.unique(np.frombuffer(b"".join(keys), np.uint64))
+            key, number, first, end = anchors(texts)
+            if not len(known) or not len(key):
+                continue
+            # looked up in order, which is far faster
+            order = np.argsort(key)
+            at = np.minimum(np.searchsorted(known, key[order]), len(known) - 1)
             mark = np.zeros(len(key), bool)
-            cuts = np.searchsorted(number, np.arange(len(texts) + 1))
-            for k, own in enumerate(keys):
-                known, (a, b) = np.unique(np.frombuffer(b"".join(own or ()), np.uint64)), (cuts[k], cuts[k + 1])
-                if len(known) and a < b:
-                    at = np.minimum(np.searchsorted(known, key[a:b]), len(known) - 1)
-                    mark[a:b] = known[at] == key[a:b]
+            mark[order] = known[at] == key[order]
             if not mark.any():
                 continue
-            key, number, first, last = key[mark], number[mark], first[mark], last[mark]
+            key, number, first, end = key[mark], number[mark], first[mark], end[mark]
             digest = xxhash.xxh3_64_intdigest
-            hashes = np.array([digest(texts[k][a : b + LENGTH]) for k, a, b in zip(number.tolist(), first.tolist(), last.tolist())], np.uint64)
-            doc, size = ids[number], last - first + LENGTH
+            hashes = np.array([digest(texts[k][a : b + LENGTH]) for k, a, b in zip(number.tolist(), first.tolist(), end.tolist())], np.uint64)
+            doc, size = ids[number], end - first + LENGTH
             order = np.lexsort((doc, hashes, mixed(key)))
             key, hashes, doc, first, size = (x[order] for x in (key, hashes, doc, first, size))
             heads = heads_of(key, hashes)
             least = np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
             gone = doc > least
-            rows = ranges_of(doc[gone], first[gone], (first + size)[gone])
+            rows = ranges_of(np.full(int(gone.sum()), bucket, np.int32), doc[gone], first[gone], (first + size)[gone])
             key, hashes, doc, first, size = (x[~gone] for x in (key, hashes, doc, first, size))
             cuts = np.searchsorted(range_of(mixed(key), ranges), np.arange(ranges + 1))
-            for r in range(ranges):
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[r], cuts[r + 1])
-                if cuts[r] < cuts[r + 1]:
-                    rows.append({"shard": r, "keys": key[own].tobytes(), "hashes": hashes[own].tobytes(), "docs": doc[own].tobytes(), "places": first[own].astype(np.int64).tobytes(), "sizes": size[own].astype(np.uint8).tobytes()})
+                rows.append(sent_row(bucket, r, keys=key[own], hashes=hashes[own], docs=doc[own], places=first[own], sizes=size[own]))
             yield sent_batch(rows)
 
-    return texts.select("id", "text", "keys", "doc_id").mapInArrow(tidy(run), SENT_DDL)
+    return with_bucket(texts, ranges).mapInArrow(tidy(run), SENT_DDL)
 
 
 def settled(sent: DataFrame, parts: int, often: int) -> DataFrame:
-    """Ranges of the pieces that equal one of a smaller doc_id, and (id, keys, places, sizes) of those left to compare.
+    """Ranges of the pieces that equal one of a smaller doc_id, and (docs, keys, places, sizes) of those left to compare, per bucket.
 
     ``bytes`` marks those whose gram has ``often`` such pieces or more.
     """
 
     def compare(held):
-        key, hashes, doc, place, size = (np.concatenate(x) for x in zip(*held))
+        bucket = buckets_of(held)
+        key, hashes, doc, place, size = sent_columns(held, "keys", "hashes", "docs", "places", "sizes")
         order = np.lexsort((doc, hashes, key))
-        key, hashes, doc, place, size = (x[order] for x in (key, hashes, doc, place, size))
+        bucket, key, hashes, doc, place, size = (x[order] for x in (bucket, key, hashes, doc, place, size))
         heads = heads_of(key, hashes)
         gone = doc > np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
-        rows = ranges_of(doc[gone], place[gone], (place + size)[gone])
+        rows = ranges_of(bucket[gone], doc[gone], place[gone], (place + size)[gone])
         # keys that different pieces have
         grams = heads_of(key)
         several = np.diff(np.searchsorted(heads, np.append(grams, len(key)))) > 1
         counts = np.diff(np.append(grams, len(key)))
         left = np.repeat(several, counts) & ~gone
         frequent = np.repeat(np.add.reduceat(left, grams, dtype=np.int64) >= often, counts)
-        order = np.argsort(doc[left], kind="stable")
-        key, doc, place, size, frequent = (x[left][order] for x in (key, doc, place, size, frequent))
-        cuts = heads_of(doc)
+        order = np.lexsort((doc[left], bucket[left]))
+        bucket, key, doc, place, size, frequent = (x[left][order] for x in (bucket, key, doc, place, size, frequent))
+        cuts = heads_of(bucket)
         for a, b in zip(cuts, np.append(cuts[1:], len(doc))):
-            rows.append({"id": int(doc[a]), "keys": key[a:b].tobytes(), "places": place[a:b].tobytes(), "sizes": size[a:b].astype(np.uint8).tobytes(), "bytes": frequent[a:b].tobytes()})
+            rows.append(sent_row(bucket[a], docs=doc[a:b], keys=key[a:b], places=place[a:b], sizes=size[a:b], bytes=frequent[a:b]))
         return sent_batch(rows)
 
     def run(batches):
         at, held = None, []
         for batch in batches:
-            known = batch.filter(pa.array([x is None for x in batch.column(0).to_pylist()], pa.bool_()))
+            known = batch.filter(batch.column(0).is_null())
             if known.num_rows:
                 yield known
-            columns = [batch.column(SENT.index(c)).to_pylist() for c in ("keys", "hashes", "docs", "places", "sizes")]
-            for shard, *row in zip(batch.column(0).to_pylist(), *columns):
-                if shard is None:
-                    continue
-                if shard != at and held:
+            for row in sent_rows(batch):
+                if row["shard"] != at and held:
                     yield compare(held)
                     held = []
-                at = shard
-                held.append([np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint64, np.int64, np.int64, np.uint8))])
-                held[-1][4] = held[-1][4].astype(np.int64)
+                at = row["shard"]
+                held.append(row)
         if held:
             yield compare(held)
 
@@ -332,7 +378,7 @@ def settled(sent: DataFrame, parts: int, often: int) -> DataFrame:
 
 
 def by_shard(sent: DataFrame, parts: int) -> DataFrame:
-    spread = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    spread = F.pmod(F.xxhash64("bucket"), F.lit(parts)).cast("int")
     return sent.repartition(parts, F.coalesce("shard", spread)).sortWithinPartitions("shard")
 
 
@@ -345,7 +391,7 @@ def string_hashes(data: bytes, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def strings(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, found: list[bytes], shards: int):
+def strings(bucket: int, key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, found: list[bytes], shards: int):
     """Batches of the strings of frequent grams: ranges of those known to be repeats, and hashes of the others per shard."""
     order = np.argsort(key, kind="stable")
     groups = np.cumsum(size[order]) // (2 * AT_ONCE)
@@ -356,14 +402,14 @@ def strings(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarra
         hashes = string_hashes(b"".join(found[k] for k in own.tolist()), np.repeat(np.cumsum(size[own]) - size[own], n) + inside)
         keys, docs, places = np.repeat(key[own], n), np.repeat(doc[own], n), np.repeat(place[own], n) + inside
         keys, hashes, docs, places, gone = repeated_strings(keys, hashes, docs, places)
-        rows = ranges_of(docs[gone], places[gone], places[gone] + LENGTH)
+        rows = ranges_of(np.full(int(gone.sum()), bucket, np.int32), docs[gone], places[gone], places[gone] + LENGTH)
         keys, hashes, docs, places = (x[~gone] for x in (keys, hashes, docs, places))
         shard = range_of(mixed(keys ^ hashes), shards)
         by = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[by], np.arange(shards + 1))
         for r in np.flatnonzero(np.diff(cuts)):
             mine = by[cuts[r] : cuts[r + 1]]
-            rows.append({"shard": int(r), **{c: x[mine].tobytes() for c, x in zip(("keys", "hashes", "docs", "places"), (keys, hashes, docs, places))}})
+            rows.append(sent_row(bucket, int(r), keys=keys[mine], hashes=hashes[mine], docs=docs[mine], places=places[mine]))
         yield sent_batch(rows)
 
 
@@ -375,51 +421,41 @@ def repeated_strings(keys: np.ndarray, hashes: np.ndarray, docs: np.ndarray, pla
     return keys, hashes, docs, places, docs > np.repeat(docs[heads], np.diff(np.append(heads, len(docs))))
 
 
-def pieces(texts: DataFrame, shards: int) -> DataFrame:
-    """What is asked for per shard, pieces or strings; ``texts`` has id, text and ``asked``: (keys, places, sizes, frequent), several."""
+def pieces(texts: DataFrame, shards: int, ranges: int) -> DataFrame:
+    """What is asked for per shard, pieces or strings; ``texts`` has id, text and ``asked`` (several), as ``batches_of`` reads them."""
 
     def run(batches):
-        for ids, texts, (asked,) in batches_of(batches, 2):
-            rows = []
-            found = [[], [], [], [], [], []]
-            for id, text, several in zip(ids.tolist(), texts, asked):
-                for part in several:
-                    places, sizes = np.frombuffer(part["places"], np.int64), np.frombuffer(part["sizes"], np.uint8).astype(np.int64)
-                    found[0].append(np.frombuffer(part["keys"], np.uint64))
-                    found[1].append(np.full(len(places), id, np.int64))
-                    found[2].append(places)
-                    found[3].append(sizes)
-                    found[4] += [text[p : p + n] for p, n in zip(places.tolist(), sizes.tolist())]
-                    found[5].append(np.frombuffer(part["frequent"], bool))
-            key, doc, place, size = (np.concatenate(x) for x in found[:4])
-            frequent = np.concatenate(found[5])
-            fits = np.array([len(c) for c in found[4]]) == size  # rows may repeat a doc_id with another text
+        last, wanted = None, None
+        for bucket, ids, texts, asked in batches_of(batches, "asked"):
+            if not asked:
+                continue
+            if asked is not last:
+                last, wanted = asked, sent_columns(asked, "docs", "keys", "places", "sizes", "bytes")
+                order = np.argsort(wanted[0], kind="stable")
+                wanted = [x[order] for x in wanted]
+            begins, ends = (np.searchsorted(wanted[0], ids, side) for side in ("left", "right"))
+            n = ends - begins
+            index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begins, n)
+            if not len(index):
+                continue
+            doc, key, place, size, frequent = (x[index] for x in wanted)
+            found = [texts[k][p : p + m] for k, p, m in zip(np.repeat(np.arange(len(ids)), n).tolist(), place.tolist(), size.tolist())]
+            fits = np.array([len(x) for x in found]) == size  # rows may repeat a doc_id with another text
             own = range_of(mixed(key), shards)
             order = np.argsort(own, kind="stable")
             order = order[(fits & ~frequent)[order]]
             cuts = np.searchsorted(own[order], np.arange(shards + 1))
-            for r in range(shards):
+            rows = []
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = order[cuts[r] : cuts[r + 1]]
-                if len(mine):
-                    rows.append({"shard": r, "docs": doc[mine].tobytes(), "places": place[mine].tobytes(), "sizes": size[mine].astype(np.uint8).tobytes(), "bytes": b"".join(found[4][k] for k in mine.tolist())})
+                rows.append(sent_row(bucket, r, docs=doc[mine], places=place[mine], sizes=size[mine]) | {"bytes": b"".join(found[k] for k in mine.tolist())})
             if rows:
                 yield sent_batch(rows)
             much = np.flatnonzero(fits & frequent)
             if len(much):
-                yield from strings(key[much], doc[much], place[much], size[much], [found[4][k] for k in much.tolist()], shards)
+                yield from strings(bucket, key[much], doc[much], place[much], size[much], [found[k] for k in much.tolist()], shards)
 
-    return texts.select("id", "text", "asked", "doc_id").mapInArrow(tidy(run), SENT_DDL)
-
-
-def merged(starts, ends) -> tuple[list[int], list[int]]:
-    """Ranges joined where they touch or overlap."""
-    if not len(starts):
-        return [], []
-    order = np.argsort(starts, kind="stable")
-    s, e = np.array(starts, np.int64)[order], np.maximum.accumulate(np.array(ends, np.int64)[order])
-    fresh = np.concatenate([[True], s[1:] > e[:-1]])
-    last = np.append(np.flatnonzero(fresh)[1:], len(s)) - 1
-    return s[fresh].tolist(), e[last].tolist()
+    return with_bucket(texts, ranges).mapInArrow(tidy(run), SENT_DDL)
 
 
 def shard_repeats(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -465,43 +501,39 @@ def shard_repeats(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.n
 
 
 def repeated_ranges(sent: DataFrame, parts: int) -> DataFrame:
-    """id, starts, ends: repeated ranges within the pieces and strings of each shard."""
+    """docs, starts, ends per bucket: repeated ranges within the pieces and strings of each shard."""
 
     def ranges(held):
-        docs, places, sizes, data = (b"".join(x) for x in zip(*held))
-        docs, places, sizes = np.frombuffer(docs, np.int64), np.frombuffer(places, np.int64), np.frombuffer(sizes, np.uint8).astype(np.int64)
-        at = shard_repeats(np.frombuffer(data, np.uint8), sizes, docs)
+        buckets = buckets_of(held)
+        docs, places, sizes = sent_columns(held, "docs", "places", "sizes")
+        at = shard_repeats(np.frombuffer(b"".join(r["bytes"] for r in held), np.uint8), sizes, docs)
         begins = np.cumsum(sizes) - sizes
         piece = np.searchsorted(begins, at, side="right") - 1
         start = places[piece] + at - begins[piece]
-        return sent_batch(ranges_of(docs[piece], start, start + LENGTH))
+        return sent_batch(ranges_of(buckets[piece], docs[piece], start, start + LENGTH))
 
     def equal(held):
-        keys, hashes, docs, places = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), (np.uint64, np.uint64, np.int64, np.int64)))
+        buckets = buckets_of(held)
+        keys, hashes, docs, places = sent_columns(held, "keys", "hashes", "docs", "places")
+        order = np.lexsort((docs, hashes, keys))
         _, _, docs, places, gone = repeated_strings(keys, hashes, docs, places)
-        return sent_batch(ranges_of(docs[gone], places[gone], places[gone] + LENGTH))
+        return sent_batch(ranges_of(buckets[order][gone], docs[gone], places[gone], places[gone] + LENGTH))
 
     def run(batches):
         at, held, whole = None, [], []
         for batch in batches:
-            known = batch.filter(pa.array([x is None for x in batch.column(0).to_pylist()], pa.bool_()))
+            known = batch.filter(batch.column(0).is_null())
             if known.num_rows:
                 yield known
-            columns = [batch.column(SENT.index(c)).to_pylist() for c in ("keys", "hashes", "docs", "places", "sizes", "bytes")]
-            for shard, keys, hashes, docs, places, sizes, data in zip(batch.column(0).to_pylist(), *columns):
-                if shard is None:
-                    continue
-                if shard != at:
+            for row in sent_rows(batch):
+                if row["shard"] != at:
                     if held:
                         yield ranges(held)
                     if whole:
                         yield equal(whole)
                     held, whole = [], []
-                at = shard
-                if keys is None:
-                    held.append((docs, places, sizes, data))
-                else:
-                    whole.append((keys, hashes, docs, places))
+                at = row["shard"]
+                (held if row["keys"] is None else whole).append(row)
         if held:
             yield ranges(held)
         if whole:
@@ -510,42 +542,76 @@ def repeated_ranges(sent: DataFrame, parts: int) -> DataFrame:
     return by_shard(sent, parts).mapInArrow(tidy(run), SENT_DDL)
 
 
-def cut_out(documents: DataFrame, found: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (with ``keep_text`` also kept) of every document."""
+def bucketed(documents: DataFrame, ranges: int) -> DataFrame:
+    """doc_id, id, text and bucket of every document, and for every bucket one further row, its ``lead``."""
+    doc_id = F.col("doc_id").cast("long")
+    texts = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(NULL_ID))).alias("id"), F.col("text").cast("string"))
+    texts = texts.withColumns({"bucket": bucket_of(ranges), "lead": F.lit(False)})
+    leads = documents.sparkSession.range(BUCKETS * ranges).withColumns({"bucket": F.col("id").cast("int"), "lead": F.lit(True)})
+    leads = leads.withColumns({"doc_id": F.lit(None).cast("long"), "id": F.lit(int(NULL_ID)), "text": F.lit(None).cast("string")})
+    return texts.unionByName(leads).repartition(ranges, "bucket")
+
+
+def answered(texts: DataFrame, *answers: DataFrame) -> DataFrame:
+    """``texts`` by bucket, the leads first, which alone get the columns of ``answers`` (one row per bucket)."""
+    for answer in answers:
+        own = answer.withColumnRenamed("bucket", "own").hint("shuffle_hash")
+        texts = texts.join(own, (F.col("bucket") == F.col("own")) & F.col("lead"), "left").drop("own")
+    return texts.sortWithinPartitions("bucket", F.col("lead").desc())
+
+
+def cut_out(texts: DataFrame, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (with ``keep_text`` also kept) of every document.
+
+    The leads of ``texts`` have the ranges to remove, in several rows of ``first`` and ``second``.
+    """
 
     def run(batches):
+        none = [np.empty(0, np.int64)] * 3
+        at, spans = None, none
         for batch in batches:
-            rows = [[], [], [], []] + [[]] * keep_text
-            for text, starts, ends in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s, e = merged([x for part in starts or () for x in part], [x for part in ends or () for x in part])
-                kept, at = [], 0
-                for a, b in zip(s, e):
-                    kept.append(text[at:a])
-                    at = b
-                kept = b"".join([*kept, text[at:]])
-                for column, value in zip(rows, (len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept)):
+            rows = [[], [], [], [], []] + [[]] * keep_text
+            given = [batch.column(c) for c in ("first", "second")]
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "id", "bucket", "lead")]
+            for k, (doc_id, id, bucket, lead, text) in enumerate(zip(*columns, text_bytes(batch.column("text")))):
+                if bucket != at:
+                    at, spans = bucket, none
+                if lead:
+                    found = [r for c in given for r in c[k].as_py() or ()]
+                    # a row's ranges are joined, those of several rows not yet
+                    joined = ranges_of(np.zeros(len(b"".join(r["docs"] for r in found)) // 8, np.int32), *sent_columns(found, "docs", "starts", "ends"))
+                    spans = sent_columns(joined, "docs", "starts", "ends")
+                    continue
+                a, b = np.searchsorted(spans[0], id, "left"), np.searchsorted(spans[0], id, "right")
+                kept, end = [], 0
+                for s, e in zip(spans[1][a:b].tolist(), spans[2][a:b].tolist()):
+                    kept.append(text[end:s])
+                    end = e
+                kept = b"".join([*kept, text[end:]])
+                for column, value in zip(rows, (doc_id, len(text), len(text) - len(kept), int(b - a), hashlib.sha256(kept).hexdigest(), kept)):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
 
-    spans = found.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    both = documents.join(spans, "id", "left").select("doc_id", "text", "starts", "ends")
-    return both.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    chosen = texts.select("doc_id", "id", "text", "bucket", "lead", "first", "second")
+    return chosen.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def remove_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
     """The measures, and with ``keep_text`` the bytes, of every document without its repeated strings.
 
-    The texts are shuffled by id once: the three joins with them read the same exchange.
+    The texts are shuffled by bucket once: all steps read the same exchange. So do the two readers of what the
+    piece hashes settle, for which neither may leave out a row or column before it.
     """
-    doc_id = F.col("doc_id").cast("long")
-    texts = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(NULL_ID))).alias("id"), F.col("text").cast("string"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     n = max(partitions(documents.sparkSession), -(-size // RANGE))
-    keys = shared_grams(texts, n).groupBy("id").agg(F.collect_list("keys").alias("keys"))
-    first = settled(piece_hashes(texts.join(keys, "id"), n), n, OFTEN)
-    asked = first.where("keys IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("keys", "places", "sizes", F.col("bytes").alias("frequent"))).alias("asked"))
-    second = repeated_ranges(pieces(texts.join(asked, "id"), max(n, -(-MOST_PIECES * size // SHARD))), n)
-    found = first.where("starts IS NOT NULL").select("id", "starts", "ends").unionByName(second.select("id", "starts", "ends"))
-    return cut_out(texts, found, keep_text)
+    texts = bucketed(documents, n)
+    keys = shared_grams(texts, n).groupBy("bucket").agg(F.collect_list("keys").alias("keys"))
+    hashed = settled(piece_hashes(answered(texts, keys), n), n, OFTEN).repartition(n, "bucket").groupBy("bucket")
+    row = F.struct(*[c for c in SENT if c != "bucket"])
+    asked = hashed.agg(F.collect_list(F.when(F.col("keys").isNotNull(), row)).alias("asked"))
+    second = repeated_ranges(pieces(answered(texts, asked), max(n, -(-MOST_PIECES * size // SHARD)), n), n)
+    first = hashed.agg(F.collect_list(F.when(F.col("starts").isNotNull(), row)).alias("first"))
+    second = second.groupBy("bucket").agg(F.collect_list(F.struct("docs", "starts", "ends")).alias("second"))
+    return cut_out(answered(texts, first, second), keep_text)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from benchset.check import compare, connect
-from pulsegrid.llm import embeddings, exact, near, queries, repeats
+from pulsegrid.llm import embeddings, exact, induced, near, queries, repeats
 from pulsegrid.llm.common import components
 from pulsegrid.llm.induced import TupleSorter, suffixes
 
@@ -410,3 +410,40 @@ def test_ranges_of_grams_have_even_sizes(spark, monkeypatch):
     monkeypatch.setattr(repeats, "piece_hashes", lambda texts, ranges: seen.append(ranges) or real(texts, ranges))
     out = repeats.remove_repeats(df.withColumnRenamed("id", "doc_id")).collect()
     assert seen == [40] and sorted(r.n_removed for r in out) == [0] * 4 + [20_000] * 4
+
+
+def test_rows_about_documents_do_not_follow_their_number(spark, monkeypatch):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = [word(400) for _ in range(20)]
+    rows = [(k if k % 5 else None, word(40) + base[k % 20] + word(rng.randint(0, 9)) + base[k % 7][:200]) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # one row for each range and bucket, not for each document and range
+    shared = repeats.shared_grams(df.selectExpr("coalesce(doc_id, -1) AS id", "text"), 4)
+    assert 0 < shared.count() <= 4 * 4 * repeats.BUCKETS
+    seen, real = [], repeats.settled
+    monkeypatch.setattr(repeats, "partitions", lambda spark: 4)
+    monkeypatch.setattr(repeats, "settled", lambda sent, *more: seen.append(real(sent, *more)) or seen[-1])
+    got = repeats.remove_repeats(df).collect()
+    assert 0 < seen[0].where("keys IS NOT NULL").count() <= 4 * 4 * repeats.BUCKETS
+    brute = cut_texts([(repeats.NULL_ID if i is None else i, t.encode()) for i, t in rows])
+    assert sorted((repeats.NULL_ID if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == sorted(brute)
+
+
+def test_common_prefixes_and_sorted_tuples_equal_plain_ones():
+    rng = np.random.default_rng(15)
+    text = np.append(rng.integers(0, 2, 3000), np.zeros(60, int)).astype(np.uint16) * 300
+    a, b = rng.integers(0, 3000, (2, 2000))
+    for depth in (2, 5, 50):
+        want = [next((k for k in range(depth) if text[x + k] != text[y + k]), depth) for x, y in zip(a, b)]
+        assert induced.common_prefix(text, a, b, depth).tolist() == want
+    values = rng.integers(0, 50, 700).astype(np.uint8)
+    first = rng.integers(0, 700, 900)
+    last = np.minimum(first + rng.integers(0, 600, 900), 699)
+    assert induced.RangeMinimum(values).least(first, last).tolist() == [values[x : y + 1].min() for x, y in zip(first, last)]
+    for most in (50, 1 << 62):  # keys that fit in one number with their positions, and keys that don't
+        keys, sorter = rng.integers(0, most, 5000), TupleSorter(20_000)
+        for k in range(0, 5000, 1000):
+            sorter.add(keys[k : k + 1000], np.arange(k, k + 1000))
+        found = [np.concatenate(x) for x in zip(*sorter.sorted())]
+        assert np.array_equal(found[0], np.sort(keys)) and np.array_equal(found[0], keys[found[1]]) and len(set(found[1].tolist())) == 5000
