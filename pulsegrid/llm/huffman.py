@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulsegrid.llm.common import shared_dir, tidy, written
+from pulsegrid.llm.common import arrow_rows, shared_dir, tidy, written
 from pulsegrid.llm.tokens import encoder, tokenizer_path
 
 END_ID = 0
@@ -35,6 +35,8 @@ MAX_BITS = 20
 BLOCK, SEGMENT = 512, 1 << 20
 #: Documents in a file, and most files.
 FILE_DOCS, MOST_FILES = 8192, 10_000
+#: Texts a worker is handed at once, and the bucket of the row in which a task counts its ids.
+AT_ONCE, COUNTS = 512, -1
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -93,16 +95,18 @@ def decode_table(lengths: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
 
 def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bit stream (most significant bit first) and the bit offset of every block."""
-    size = lengths[ids].astype(np.int64)
+    both = (codes << np.uint64(6) | lengths)[ids]  # one look-up for both
+    size = (both & np.uint64(63)).view(np.int64)
     ends = np.cumsum(size)
     starts = ends - size
-    placed = codes[ids] << (64 - (starts & 31) - size).astype(np.uint64)
+    placed = both >> np.uint64(6) << (64 - (starts & 31) - size).view(np.uint64)
     word = starts >> 5
     first = np.flatnonzero(np.diff(word, prepend=-1))
     whole = np.bitwise_or.reduceat(placed, first)
     out = np.zeros(int(word[-1]) + 2, np.uint64)
-    out[word[first]] |= whole >> np.uint64(32)
-    out[word[first] + 1] |= whole & np.uint64(0xFFFFFFFF)
+    at = word[first]
+    out[at] |= whole >> np.uint64(32)
+    out[at + 1] |= whole & np.uint64(0xFFFFFFFF)
     return out.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], starts[::BLOCK].copy()
 
 
@@ -115,50 +119,61 @@ def decode_bits(stream: bytes, checkpoints: np.ndarray, n: int, table: np.ndarra
     for k in range(min(BLOCK, n)):
         if k == n - last * BLOCK:  # the last block is shorter
             at = at[:-1]
-        key = window[at >> 3] >> (32 - most - (at & 7)).astype(np.uint32) & np.uint32((1 << most) - 1)
-        entry = table[key]
+        key = window.take(at >> 3)
+        key <<= (at & 7).astype(np.uint32)
+        key >>= np.uint32(32 - most)
+        entry = table.take(key)
         out[k, : len(at)] = entry
         at = at + (entry & np.uint32(31))
     return (out.T.reshape(-1) >> np.uint32(5))[:n]
 
 
 def tokenized(documents: DataFrame, path: str, bounds: list[int]) -> DataFrame:
-    """doc_id, bucket and ids (little-endian, 16 bits where the vocabulary allows), written once."""
+    """doc_id, bucket and ids (little-endian, 16 bits where the vocabulary allows), written once.
+
+    Every task adds a row of bucket COUNTS, whose ids are how often it has written each id, in 64 bits.
+    """
     edges = np.array(bounds, np.int64)
 
     def run(batches):
         encode = encoder(path)
-        small = encode.tokenizer.get_vocab_size() <= 1 << 16
+        vocabulary = encode.tokenizer.get_vocab_size()
+        small = vocabulary <= 1 << 16
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 ids = []
                 for text in part.column(1):
                     own = encode.ids(text.as_py() or "") + np.uint32(END_ID).tobytes()
                     ids.append(np.frombuffer(own, "<u4").astype("<u2").tobytes() if small else own)
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2" if small else "<u4"), minlength=vocabulary)
                 keys = part.column(0).to_numpy(zero_copy_only=False) if not part.column(0).null_count else np.array([x if x is not None else np.iinfo(np.int64).min for x in part.column(0).to_pylist()])
                 buckets = np.searchsorted(edges, keys.astype(np.int64), side="left").astype(np.int32)
                 width = np.full(len(ids), 2 if small else 4, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(buckets), pa.array(width), pa.array(ids, pa.binary())], names=["doc_id", "bucket", "width", "ids"])
+        row = [[None], [COUNTS], [8], [total.astype("<i8").tobytes()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names=["doc_id", "bucket", "width", "ids"])
 
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(source.mapInArrow(tidy(run, "tokens"), "doc_id long, bucket int, width int, ids binary"), "ids")
+    with arrow_rows(documents.sparkSession, AT_ONCE):
+        return written(source.mapInArrow(tidy(run, "tokens"), "doc_id long, bucket int, width int, ids binary"), "ids")
 
 
 def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs: one array of the vocabulary's size per task, summed by Spark."""
+    """How often each id occurs: the counts of all tasks, added per task and then by Spark."""
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for width in set(batch.column(0).to_pylist()):
-                own = b"".join(x.as_py() for w, x in zip(batch.column(0), batch.column(1)) if w.as_py() == width)
-                total += np.bincount(np.frombuffer(own, f"<u{width}"), minlength=vocabulary)
+            for own in batch.column(0):
+                total += np.frombuffer(own.as_py(), "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    counts = np.zeros(vocabulary, np.int64)
-    for row in ids.select("width", "ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    counts, rows = np.zeros(vocabulary, np.int64), ids.where(F.col("bucket") == COUNTS).select("ids")
+    for row in rows.mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.id] = row.n
     return counts
 
@@ -206,7 +221,7 @@ def write_ids(documents: DataFrame, folder: str, path: str | None = None) -> Non
         if docs:
             yield segment(at, number, docs, held)
 
-    ordered = ids.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
+    ordered = ids.where(F.col("bucket") != COUNTS).repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
     ddl = "bucket int, segment int, n_docs long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, stream binary"
     ordered.mapInArrow(tidy(run), ddl).write.option("compression", "uncompressed").partitionBy("bucket").parquet(f"{folder}/segments")
 

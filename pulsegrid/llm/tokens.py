@@ -19,7 +19,9 @@ REMEMBERED = 1_000_000
 #: Characters on which the pattern below and the tokenizer's own agree: printable ASCII, line ends and
 #: tabs, Latin letters with marks.
 PLAIN = re.compile(r"[\x20-\x7e\n\r\tÀ-ÖØ-öø-ſ]*\Z")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The tokenizer's pattern over PLAIN characters, its classes written out and words first, which is faster;
+#: alternatives that change places never start with the same character.
+PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[ \n\r\t]+(?![^ \n\r\t])|[ \n\r\t]+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -35,39 +37,37 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Pieces(dict):
+    """Ids of pre-tokens, as remembered or, the first time, from the tokenizer's model; it holds no reference to its encoder."""
+
+    def __init__(self, tokenize, remembered: int):
+        self.tokenize, self.remembered, self.letters = tokenize, remembered, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        # printable ASCII but the space stands for itself
+        simple = piece.isascii() and piece.isprintable()
+        word = piece.replace(" ", self.letters[32]) if simple else piece.encode().decode("latin-1").translate(self.letters)
+        found = array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        if len(self) < self.remembered:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            # printable ASCII but the space stands for itself
-            simple = piece.isascii() and piece.isprintable()
-            word = piece.replace(" ", self.letters[32]) if simple else piece.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.tokenize(word)]).tobytes()
-            if len(self.known) < self.remembered:
-                self.known[piece] = found
-        return found
+        self.known = Pieces(self.tokenizer.model.tokenize, remembered)
 
     def ids(self, text: str) -> bytes:
         if PLAIN.match(text) is None or any(s in text for s in self.special):
             whole = self.tokenizer.encode_batch([text], add_special_tokens=False)[0].ids
             return array("I", whole).tobytes()
-        pieces = PIECES.findall(text)
-        parts = [*map(self.known.get, pieces)]
-        if None in parts:
-            parts = [found or self._piece(p) for found, p in zip(parts, pieces)]
-        return b"".join(parts)
+        return b"".join(map(self.known.__getitem__, PIECES.findall(text)))
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = KEPT.setdefault("tokens", {})

@@ -1,4 +1,6 @@
 import random
+import re
+import weakref
 import zlib
 
 import numpy as np
@@ -31,6 +33,30 @@ def test_pieces_give_the_ids_of_the_whole_text(encode, texts):
         assert ids_of(encode, text) == whole(encode, text)
 
 
+def test_pretokens_are_cut_as_by_the_classes_of_the_tokenizer():
+    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    plain = [chr(c) for c in range(0x180) if tokens.PLAIN.match(chr(c))]
+    rng = random.Random(2)
+    for own in (plain, " 'strevmld\n", " a0_\té"):
+        for _ in range(2000):
+            text = "".join(rng.choice(own) for _ in range(rng.randint(0, 30)))
+            assert tokens.PIECES.findall(text) == cut.findall(text)
+
+
+def test_a_pretoken_is_looked_up_once_and_remembered_up_to_the_limit():
+    encode = tokens.Encoder(tokens.tokenizer_path(), remembered=2)
+    calls, real = [], encode.known.tokenize
+    encode.known.tokenize = lambda word: calls.append(word) or real(word)
+    for _ in range(2):
+        assert ids_of(encode, "one two six one") == whole(encode, "one two six one")
+    assert len(encode.known) == 2 and [c.strip("Ġ") for c in calls] == ["one", "two", "six", "one", "six", "one"]
+    # clearing what a worker keeps frees it at once, with no reference that goes round
+    gone = weakref.ref(encode)
+    encode.known.tokenize = None
+    del encode
+    assert gone() is None
+
+
 @pytest.mark.parametrize("text", ["", "<|endoftext|> x", "日本語 text", "a b c", "\x1c\x85 d", "😀" * 5])
 def test_other_characters_go_through_the_library(encode, text):
     assert ids_of(encode, text) == whole(encode, text)
@@ -162,3 +188,15 @@ def test_packing_hands_workers_few_texts_at_once(spark, monkeypatch):
     with common.arrow_rows(spark, 500):
         sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long").collect()
     assert sorted(r.n for r in sizes) == [203, 500, 500]
+
+
+def test_ids_are_counted_where_they_are_made(documents, texts, encode, spark):
+    path = tokens.tokenizer_path()
+    ids = huffman.tokenized(documents, path, [])
+    rows = ids.where("bucket = -1").collect()
+    assert ids.where("bucket >= 0").count() == len(texts) and 0 < len(rows) <= documents.rdd.getNumPartitions()
+    every = np.frombuffer(b"".join(expected(encode, texts).values()), "<u4")
+    want = np.bincount(every, minlength=encode.tokenizer.get_vocab_size())
+    assert np.array_equal(huffman.id_counts(ids, len(want)), want)
+    assert np.array_equal(sum(np.frombuffer(r.ids, "<i8") for r in rows), want)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
