@@ -8,7 +8,8 @@ is lost. Strings of one place are neighbours; their bytes make one piece.
 Documents are dealt to buckets by their id, and all that is learned about them goes back to their bucket, in
 rows of arrays: one for each range or shard that has something for it, however many documents it is about.
 
-1. Every bucket sends each gram once a batch; grams that only one document has end there.
+1. Every bucket sends half the hash of each gram once a batch; grams that only one document has end there. A
+   gram is long enough that texts of a few syllables or words seldom share one without sharing more.
 2. Buckets come together with their shared grams and send a hash of each piece that belongs to one.
    Of equal pieces all but those of the smallest doc_id are repeats; a piece whose gram no different
    piece has is settled by that.
@@ -36,7 +37,9 @@ from pulsegrid.llm.common import partitions, text_bytes, tidy
 from pulsegrid.llm.induced import suffixes
 from pulsegrid.llm.near import mixed
 
-LENGTH, GRAM = 50, 16
+#: A gram is whole words of eight bytes. The shorter it is, the more pieces that share nothing else meet, and their
+#: share grows with the input; the longer, the fewer strings a place has.
+LENGTH, GRAM = 50, 24
 #: Text bytes of a batch (a longer document is one of its own), and of what is hashed at once, whose
 #: places need PLACE_BITS.
 BATCH, AT_ONCE, PLACE_BITS = 6 << 20, 1 << 20, 24
@@ -54,13 +57,15 @@ NULL_ID = np.iinfo(np.int64).min
 def gram_hashes(data: bytes) -> np.ndarray:
     """Hash of the GRAM bytes at every place."""
     n = len(data) - GRAM + 1
-    word = np.empty(n + 8, np.uint64)
+    word = np.empty(n + GRAM - 8, np.uint64)
     for k in range(8):
         part = np.frombuffer(data, "<u8", (len(data) - k) // 8, k)
         own = word[k::8]
         own[: min(len(own), len(part))] = part[: len(own)]
-    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h += word[8 : n + 8]
+    h = word[:n].copy()
+    for at in range(8, GRAM, 8):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += word[at : n + at]
     for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
         h ^= h >> np.uint64(shift)
         h *= np.uint64(factor)
@@ -181,8 +186,13 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
+def halves(keys: np.ndarray) -> np.ndarray:
+    """The half of each key by which shared grams are known: within a range and within a bucket few differ in the other half only."""
+    return keys.astype(np.uint32)
+
+
 def shared_grams(texts: DataFrame, ranges: int) -> DataFrame:
-    """bucket and keys (a part of them): the grams of a bucket that more than one document has."""
+    """bucket and keys (halves of a part of them): the grams of a bucket that more than one document has, and few others."""
 
     def send(batches):
         for bucket, ids, texts, _ in batches_of(batches):
@@ -194,7 +204,7 @@ def shared_grams(texts: DataFrame, ranges: int) -> DataFrame:
             key, doc, spread = key[order], doc[order], spread[order]
             heads = heads_of(spread)
             several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
-            key = key[heads]
+            key = halves(key[heads])
             cuts = np.searchsorted(range_of(spread[heads], ranges), np.arange(ranges + 1))
             own = np.flatnonzero(np.diff(cuts)).tolist()
             rows = [(r, bucket, key[cuts[r] : cuts[r + 1]].tobytes(), np.packbits(several[cuts[r] : cuts[r + 1]]).tobytes()) for r in own]
@@ -204,14 +214,16 @@ def shared_grams(texts: DataFrame, ranges: int) -> DataFrame:
     def shared(held):
         """A gram that came twice is in two batches, so in two documents, or in two rows of one."""
         buckets, keys, several = zip(*held)
-        bucket = np.repeat(np.array(buckets, np.int32), [len(k) for k in keys])
-        key, several = np.concatenate(keys), np.concatenate(several)
-        order = np.argsort(key)
-        key, bucket, several = key[order], bucket[order], several[order]
-        heads = heads_of(key)
-        sizes = np.diff(np.append(heads, len(key)))
-        keep = np.repeat((sizes > 1) | np.logical_or.reduceat(several, heads), sizes)
-        rows = [(int(b), np.unique(k).tobytes()) for b, k in grouped(bucket[keep], key[keep])]
+        # key, bucket and mark in one number: sorting numbers is far cheaper than sorting their order
+        both = np.concatenate(keys).astype(np.uint64) << np.uint64(32)
+        both |= np.repeat(np.array(buckets, np.uint64) << np.uint64(1), [len(k) for k in keys])
+        both |= np.concatenate(several)
+        both.sort()
+        heads = heads_of(both >> np.uint64(32))
+        sizes = np.diff(np.append(heads, len(both)))
+        both = both[np.repeat((sizes > 1) | (np.bitwise_or.reduceat(both, heads) & np.uint64(1) > 0), sizes)]
+        bucket, key = (both & np.uint64((1 << 32) - 1)) >> np.uint64(1), (both >> np.uint64(32)).astype(np.uint32)
+        rows = [(int(b), np.unique(k).tobytes()) for b, k in grouped(bucket, key)]
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.binary())], names=["bucket", "keys"])
 
     def merge(batches):
@@ -222,8 +234,8 @@ def shared_grams(texts: DataFrame, ranges: int) -> DataFrame:
                     yield shared(held)
                     held = []
                 at = r
-                n = len(keys) // 8
-                held.append((bucket, np.frombuffer(keys, np.uint64), np.unpackbits(np.frombuffer(several, np.uint8))[:n].astype(bool)))
+                n = len(keys) // 4
+                held.append((bucket, np.frombuffer(keys, np.uint32), np.unpackbits(np.frombuffer(several, np.uint8))[:n].astype(bool)))
         if held:
             yield shared(held)
 
@@ -301,15 +313,16 @@ def piece_hashes(texts: DataFrame, ranges: int) -> DataFrame:
             if not keys:
                 continue
             if keys is not last:
-                last, known = keys, np.unique(np.frombuffer(b"".join(keys), np.uint64))
+                last, known = keys, np.unique(np.frombuffer(b"".join(keys), np.uint32))
             key, number, first, end = anchors(texts)
             if not len(known) or not len(key):
                 continue
             # looked up in order, which is far faster
-            order = np.argsort(key)
-            at = np.minimum(np.searchsorted(known, key[order]), len(known) - 1)
+            half = halves(key)
+            order = np.argsort(half)
+            at = np.minimum(np.searchsorted(known, half[order]), len(known) - 1)
             mark = np.zeros(len(key), bool)
-            mark[order] = known[at] == key[order]
+            mark[order] = known[at] == half[order]
             if not mark.any():
                 continue
             key, number, first, end = key[mark], number[mark], first[mark], end[mark]

@@ -430,6 +430,32 @@ def test_rows_about_documents_do_not_follow_their_number(spark, monkeypatch):
     assert sorted((repeats.NULL_ID if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == sorted(brute)
 
 
+def test_texts_of_few_syllables_do_not_meet_by_chance(spark, monkeypatch):
+    """What is left to the sort follows what is repeated, not how many texts of the same syllables there are."""
+    rng = random.Random(17)
+    parts = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(12)]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(700))) for k in range(200)]
+    rows += [(1000 + k, rows[k][1][:300] + rows[k + 50][1][90:400]) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen, real = [], repeats.settled
+    monkeypatch.setattr(repeats, "settled", lambda sent, *more: seen.append(real(sent, *more)) or seen[-1])
+    got = repeats.remove_repeats(df).collect()
+    assert sorted(tuple(r) for r in got) == sorted(cut_texts([(k, t.encode()) for k, t in rows]))
+    left = sum(sum(r.sizes) for r in seen[0].where("keys IS NOT NULL").collect())
+    assert 0 < left < 0.03 * sum(len(t) for _, t in rows)
+
+
+def test_grams_known_by_half_of_their_hash(spark, monkeypatch):
+    """Grams that differ in the other half only, or not at all in what is sent, add pieces but change no result."""
+    monkeypatch.setattr(repeats, "halves", lambda keys: (keys & np.uint64(15)).astype(np.uint32))
+    rng = random.Random(18)
+    rows = [(k if k % 7 else None, "".join(rng.choice("abcdefgh ") for _ in range(400))) for k in range(40)]
+    rows += [(50 + k, rows[k][1][20:99] + rows[k + 9][1][:70 + k]) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(repeats.NULL_ID if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in repeats.remove_repeats(df).collect()]
+    assert sorted(got) == sorted(cut_texts([(repeats.NULL_ID if k is None else k, t.encode()) for k, t in rows]))
+
+
 def test_common_prefixes_and_sorted_tuples_equal_plain_ones():
     rng = np.random.default_rng(15)
     text = np.append(rng.integers(0, 2, 3000), np.zeros(60, int)).astype(np.uint16) * 300
